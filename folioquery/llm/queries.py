@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import compare_with_next
+from .line_dedup import drop_boilerplate
+from .ngram_join import ngram_classes
 from .oracles import ORACLES
 from .packing import pack_documents
+from .quality import judge_quality
+from .repeats import cut_repeats, removed_digest
 from .token_shards import token_shards
 from .url_filter import judge_urls
 from .warc import round_trip
@@ -21,6 +27,14 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(table(spark, sf_dir, "documents"))
+
+
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_digest(cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -38,11 +52,25 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_url_filter, op5_packing, op6_token_shards, op8_word_bpe)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_repeats, op3_warc, op4_url_filter, op5_packing, op6_token_shards, op7_line_dedup, op8_word_bpe, op9_fingerprints, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
