@@ -1,4 +1,77 @@
-STAGES = []
+"""Documents to training sequences: quality rules, line dedup, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last
+return the columns of documents. Other columns pass through. Empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioquery.llm.common import table, written
+from folioquery.llm.line_dedup import drop_boilerplate
+from folioquery.llm.ngram_join import ngram_classes
+from folioquery.llm.packing import pack_documents
+from folioquery.llm.quality import judge_quality
+from folioquery.llm.queries import END_ID, vocabulary
+from folioquery.llm.repeats import cut_repeats
+
+CAPACITY = 1024
+
+
+def shaped(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with n_chars of the text as it is now."""
+    return df.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return judge_quality(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their host go."""
+    return shaped(drop_boilerplate(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest number; rows without a number stay."""
+    first = written(ngram_classes(docs).where("doc_id = component_id").select("doc_id").distinct(), "first")
+    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.union(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand elsewhere too go; a character cut in the middle goes with them."""
+    cut = cut_repeats(docs.withColumnRenamed("text", "_text"), "_text")
+
+    def readable(values: pd.Series) -> pd.Series:
+        return values.map(lambda data: data.decode("utf-8", "ignore"))
+
+    left = F.pandas_udf(readable, "string")(F.when(F.col("n_removed") > 0, F.col("kept_bytes")).otherwise(F.lit(b"").cast("binary")))
+    return shaped(cut.withColumn("_left", left).withColumn("text", F.when(F.col("n_removed") > 0, F.col("_left")).otherwise(F.col("_text"))), docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most CAPACITY tokens, one row per piece of a document."""
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), CAPACITY, END_ID)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packing),
+]
+#: Exact set joins and byte repeats are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
