@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import chat_queries, text_queries
+
+PARTS = [text_queries, chat_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for part in PARTS:
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
