@@ -9,9 +9,9 @@ A document's set holds its distinct n-grams as 64-bit hashes. Equal sets are one
    them. Two sets with a link share an n-gram in their first n - ceil(3n/4) + 1.
 3. Star. Of each such n-gram's sets the smallest is its hub; every other one is held against the hub, in
    a prefix tree of the members that the hub's set walks down. Links give first components.
-4. Rest. N-grams whose sets still lie in several components are joined in blocks: a prefix tree of one block,
-   walked by the sets of another, skipping branches of the walker's own component and branches that the
-   remaining lengths rule out. N-grams with the same sets are joined once.
+4. Rest. Sets that n-grams with several components tie together are a family, joined in blocks: a prefix tree
+   of one block, walked by the sets of another, skipping branches of the walker's own component and branches
+   that the remaining lengths rule out. A family beyond FAMILY is joined by n-gram instead, in blocks as well.
 
 A large group of near copies is so joined through its hub, not in pairs. Rows that share an n-gram are never
 gathered beyond BLOCK; larger ones take more blocks, none is dropped.
@@ -32,6 +32,8 @@ from .rolling import BASE, mix
 WORDS = 5
 #: Sets in one block of the last step; hashes in one part of the first; text characters hashed at a time.
 BLOCK, PART, TOGETHER = 512, 1 << 21, 8 << 20
+#: Sets of a family that are joined as one group, in blocks.
+FAMILY = 16 * BLOCK
 #: The threshold of 75 of 100: 7 * overlap >= 3 * (a + b) for sets of a and b.
 EDGE = 32
 
@@ -104,7 +106,7 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
     """The columns `kept` of docs and n, sa, sb, likely: size and signature of the set, and whether it may have a partner."""
 
     def halves(batches):
-        """Part -1 carries the rows' own columns through; the others hold hashes and, as (row, number) pairs, whose they are."""
+        """Parts below 0 carry the rows' own columns through, a part for each batch; the others hold hashes and, as (row, number) pairs, whose they are."""
         task, chunk = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("raw")], np.int64)
@@ -131,7 +133,7 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema) as writer:
                     writer.write_batch(own)
-                yield batch_of(([-1], [uid], [sink.getvalue().to_pybytes()], [b""]), types, names)
+                yield batch_of(([-1 - uid], [uid], [sink.getvalue().to_pybytes()], [b""]), types, names)
 
     def count(batches):
         for part, held in by_part(batches):
@@ -344,6 +346,15 @@ def block_links(rows: DataFrame) -> DataFrame:
     return spread.select("key", "i", "j", "node", "component", "keys", "side").mapInArrow(run, "a long, b long")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, node, component, rows) for every pair of blocks i <= j of their group; side 0: of i, 1: of j, 2: of both."""
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
+    split = rows.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return split.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+
+
 def links_of(sets: DataFrame) -> DataFrame:
     """node, component for the nodes of sets (node, n, keys) that have a link."""
 
@@ -369,15 +380,20 @@ def links_of(sets: DataFrame) -> DataFrame:
     first = written(components(links), "first")
 
     placed = index.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    told = placed.groupBy("key").agg(
-        F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-    ).where("low <> high")
-    groups = told.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    split = placed.join(written(groups, "groups"), "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = written(block_links(split.join(whole, "node")), "blocks")
+    told = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low <> high")
+    open_ = written(placed.join(told.select("key", "hub"), "key"), "open")
+    # sets that n-grams tie together, linked or not, travel once, as a family; only of overlarge families each n-gram's sets do
+    family = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")), name="family")
+    family = written(open_.select("node", "component").distinct().join(family.toDF("node", "key"), "node"), "families")
+    sizes = written(family.groupBy("key").agg(F.count("*").alias("rows")), "sizes")
+    small = family.join(sizes.where(F.col("rows") <= FAMILY), "key")
+    found = block_links(in_blocks(small).join(whole, "node"))
+    if sizes.where(F.col("rows") > FAMILY).limit(1).count():
+        large = open_.drop("hub").join(family.join(sizes.where(F.col("rows") > FAMILY), "key").select("node"), "node", "left_semi")
+        groups = large.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        groups = written(groups.groupBy("rows", "x", "y").agg(F.min("key").alias("key")), "groups")
+        found = found.union(block_links(in_blocks(large.join(groups.select("key", "rows"), "key")).join(whole, "node")))
+    more = written(found, "blocks")
     return written(components(links.union(more)), "classes")
 
 
