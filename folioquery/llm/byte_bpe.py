@@ -8,14 +8,18 @@ class may differ between regular-expression engines, go to the library whole.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Fixed value: the published piece pattern of this vocabulary family.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that every engine puts in the same class; any other sends the text to the library whole.
 PLAIN = "\t\n\r -~¡-ɏΆ-ώЁ-џ‐-‧‰-⁞₠-₵ぁ-ゖァ-ヺ一-龥가-힣"
-#: Distinct words that a task remembers before it starts anew.
-MEMORY = 1_000_000
+#: Fixed value: marks that often end a word; such words are cut without the pattern.
+STOPS = (".", ",", ";", ":", "!", "?")
+#: Distinct words, and pieces of them, that a worker remembers.
+MEMORY = 500_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -25,6 +29,10 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+#: White space next to white space: such texts are cut by the pattern.
+RUNS = [a + b for a in " \n\t\r" for b in " \n\t\r"]
+
+
 class Numbers(dict):
     """Numbers keys as they are first asked for; fresh lists those not yet learnt."""
 
@@ -39,23 +47,24 @@ class Numbers(dict):
 
 
 class WordTable:
-    """Ids of words, appended to flat arrays as words turn up; MEMORY words and those of one text at most."""
+    """Ids of words in one flat array, as words turn up.
+
+    The first MEMORY words stay; they hold nearly all frequent ones. Later ones are looked up anew with every text.
+    """
 
     def __init__(self, ids_of):
+        """ids_of: a function from words to their ids, each as the bytes of u32 numbers."""
         self.ids_of = ids_of
-        self.forget()
-
-    def forget(self) -> None:
         self.index = Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self) -> None:
+    def learn(self) -> list[str]:
         words, self.index.fresh = self.index.fresh, []
-        ids = [self.ids_of(word) for word in words]
+        ids = self.ids_of(words)
         first, last = len(self.index) - len(words), len(self.index)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         while last > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + len(flat) > len(self.flat):
@@ -64,6 +73,7 @@ class WordTable:
         self.length[first:last] = size
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        return words
 
     def number(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -72,16 +82,24 @@ class WordTable:
         """Ids of numbered words, one word after the other."""
         if not len(at):
             return np.zeros(0, np.uint32)
-        if self.index.fresh:
-            self.learn()
         size = self.length[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
 
-    def gather(self, words: list[str]) -> np.ndarray:
+    def gather_all(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts that are cut into words; the new words of all of them are learnt together."""
+        used = self.used
+        at = [self.number(words) for words in texts]
+        fresh = self.learn() if self.index.fresh else []
+        found = [self.ids(a) for a in at]
         if len(self.index) > MEMORY:
-            self.forget()
-        return self.ids(self.number(words))
+            self.used = used
+            for word in fresh:
+                del self.index[word]
+        return found
+
+    def gather(self, words: list[str]) -> np.ndarray:
+        return self.gather_all([words])[0]
 
 
 class Encoder:
@@ -99,30 +117,45 @@ class Encoder:
         self.find = regex.compile(PIECES).findall
         self.odd = regex.compile(f"[^{PLAIN}]").search
         self.shown = byte_characters()
-        self.known: dict[str, list[int]] = {}
-        self.words, self.pieces = WordTable(self.word_ids), WordTable(self.piece_ids)
-
-    def piece_ids(self, piece: str) -> list[int]:
-        if (ids := self.known.get(piece)) is None:
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            ids = self.known[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+        self.known: dict[str, bytes] = {}
+        self.words, self.pieces = WordTable(self.ids_of_words), WordTable(self.ids_of_pieces)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece that is new; the library's model takes it in the characters that stand for its bytes."""
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            shown = "Ġ" + piece[1:]
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self.known) < MEMORY:
+            self.known[piece] = ids
         return ids
 
-    def word_ids(self, word: str) -> list[int]:
-        """Of a word with the space before it; a text's first word comes with a NUL in its place."""
-        ids: list[int] = []
-        for piece in self.find(word[1:] if word[:1] == "\0" else f" {word}"):
-            ids += self.piece_ids(piece)
-        return ids
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        known = self.known.get
+        return [known(x) or self.piece(x) for x in pieces]
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with the space before them; NUL in its place: of the word alone."""
+        known, piece, out = self.known.get, self.piece, []
+        for word in words:
+            if word.isalpha():
+                word = " " + word
+                out.append(known(word) or piece(word))
+            elif word[-1:] in STOPS and (stem := word[:-1]).isalpha():
+                stem, stop = " " + stem, word[-1]
+                out.append((known(stem) or piece(stem)) + (known(stop) or piece(stop)))
+            else:
+                cut = self.find(word[1:] if word[:1] == "\0" else f" {word}")
+                out.append(b"".join([known(x) or piece(x) for x in cut]))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if self.odd(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[0] == " " or text[-1] == " ":
+        if text[0] == " " or text[-1] == " " or any(run in text for run in RUNS):
             return self.pieces.gather(self.find(text))
-        words = text.split(" ")
-        words[0] = "\0" + words[0]
-        return self.words.gather(words)
+        # a single line feed is a piece of its own, and the word after it has no space before it
+        return self.words.gather(("\0" + text.replace("\n", " \0\n \0")).split(" "))

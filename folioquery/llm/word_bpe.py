@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import MEMORY, WordTable, byte_characters
+from .byte_bpe import WordTable, byte_characters
 
 #: Fixed value: the vocabulary's published word pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -88,23 +88,19 @@ class WordBpe:
         self.find = regex.compile(WORDS).findall
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda text: [text]
         self.spaces = regex.compile(r"\s+").split
-        self.table = WordTable(None)
-        self.table.learn = self.learn
+        self.table = WordTable(self.ids_of_chunks)
 
     def symbols(self, word: str) -> np.ndarray:
         raw = np.frombuffer(word.encode(), np.uint8)
         return np.append(self.inner[raw[:-1]], self.last[raw[-1]])
 
-    def learn(self) -> None:
-        """Give the table the ids of chunks between white space that are new, merging all their words at once."""
-        table = self.table
-        chunks, table.index.fresh = table.index.fresh, []
+    def ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks between white space, as bytes of u32; the words of all of them are merged at once."""
         words = [self.find(chunk) for chunk in chunks]
         flat = list(dict.fromkeys(w for x in words for w in x))
-        ids = dict(zip(flat, merge_words([self.symbols(w) for w in flat], self.keys, self.ranks, self.products), strict=True)) if flat else {}
-        known = {chunk: np.concatenate([ids[w] for w in x]) if x else np.zeros(0, np.uint32) for chunk, x in zip(chunks, words, strict=True)}
-        table.index.fresh, table.ids_of = chunks, known.__getitem__
-        WordTable.learn(table)
+        merged = merge_words([self.symbols(w) for w in flat], self.keys, self.ranks, self.products) if flat else []
+        ids = {w: x.tobytes() for w, x in zip(flat, merged, strict=True)}
+        return [b"".join([ids[w] for w in x]) for x in words]
 
     def chunks(self, text: str) -> list[str]:
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -114,10 +110,8 @@ class WordBpe:
         """Ids of every text. Words that are new in the batch are merged in one go."""
         parts = [self.split(text) if any(s in text for s in self.special) else [text] for text in texts]
         chunks = [[p if p in self.special else self.chunks(p) for p in x] for x in parts]
-        if len(self.table.index) > MEMORY:
-            self.table.forget()
-        at = [[p if isinstance(p, str) else self.table.number(p) for p in x] for x in chunks]
-        return [np.concatenate([np.array([self.special[p]], np.uint32) if isinstance(p, str) else self.table.ids(p) for p in x]) for x in at]
+        found = iter(self.table.gather_all([p for x in chunks for p in x if isinstance(p, list)]))
+        return [np.concatenate([np.array([self.special[p]], np.uint32) if isinstance(p, str) else next(found) for p in x]) for x in chunks]
 
     def decode(self, ids: np.ndarray) -> str:
         """The vocabulary file names no decoder, so tokens are joined with spaces; unknown ids are skipped."""
