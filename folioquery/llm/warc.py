@@ -145,7 +145,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for h, block in parse(data.as_buffer()):
                     number = int(h.get("warc-segment-number", 0))
                     total = h.get("warc-segment-total-length")
-                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["page-id"]) if "page-id" in h else None, h["warc-type"], h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None, number, int(total) if total else None, block if number else payload_of(block)))
+                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["page-id"]) if "page-id" in h else None, h["warc-type"], h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None, number, int(total) if total else None, b"" if h["warc-type"] == "revisit" else block if number else payload_of(block)))
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                         rows = []
