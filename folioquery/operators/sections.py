@@ -61,8 +61,9 @@ def spill_text(pages: DataFrame, boundary: str | None = None) -> DataFrame:
     """
     both = with_next_page(pages)
     told = F.instr(F.col("next_text"), F.col(boundary)) if boundary else F.lit(0)
-    at = F.when(told > 0, told - 1).otherwise(header_offset(F.col("next_text")))
     half = F.floor(F.length("next_text") / 2).cast("int")
+    # a header that begins in the first half shows in 128 more characters
+    at = F.when(told > 0, told - 1).otherwise(header_offset(F.substring(F.col("next_text"), F.lit(1), half + 128)))
     spill = F.regexp_replace(F.substring(F.col("next_text"), F.lit(1), F.least(half, at)), r"\s+$", "")
     return both.withColumn("full_text", F.when(or_empty(spill) != "", trimmed(F.concat("text", F.lit("\n\n"), spill))).otherwise(F.col("text"))).drop("next_text")
 

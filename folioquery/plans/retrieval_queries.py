@@ -217,3 +217,17 @@ def a13(spark, d):
 @query("a18_batch_outcome", "SELECT count(*) AS processed, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def a18(spark, d):
     return L.batch_outcome(table(spark, d, "events").withColumn("error", F.when(F.col("event_type") == "error", "x")))
+
+
+def shorten():
+    """A stand-in for a model: the first words of the prompt."""
+    return lambda prompt: " ".join(prompt.split(" ")[:3])
+
+
+@query("u1_map_model", "SELECT doc_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:3], ' ') AS answer FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, 'cached' FROM documents WHERE doc_id % 4 = 0")
+def u1(spark, d):
+    from ..operators.model import map_model
+
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    cache = docs.where("doc_id % 4 = 0").select("doc_id", F.lit("cached").alias("answer"))
+    return map_model(docs, shorten, "doc_id", "prompt", cache).select("doc_id", "answer")
