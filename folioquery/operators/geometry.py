@@ -5,6 +5,7 @@ word_boxes: source, page, block, line, word_no, x0, y0, x1, y1, word, and page_w
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +116,41 @@ def anchor_hit_rate(starts: DataFrame, words: DataFrame) -> DataFrame:
     found = phrase_match(words, asked.select("phrase").distinct()).select("source", "page", "phrase").withColumn("hit", F.lit(1))
     joined = asked.join(found, ["source", "page", "phrase"], "left")
     return joined.groupBy("source").agg(F.count("*").alias("total"), F.count("hit").alias("found")).withColumn("rate", F.round(F.col("found") / F.greatest(F.lit(1), F.col("total")), 6))
+
+
+def phrase_box_gaps(words: DataFrame, phrases: DataFrame, rows: int = 2) -> DataFrame:
+    """phrase_box, and for phrases that stand nowhere in a row on a page: the box of their tokens in order, with gaps.
+
+    The next token may lie lower by at most max(6, 1.6 times the middle height of the page's words), on `rows` lines in
+    all. Only words that are tokens of a phrase of which the page has all are gathered, per page and phrase.
+    """
+    exact = phrase_box(words, phrases)
+    asked = phrases.select("phrase", match_tokens(F.col("phrase")).alias("tokens")).where(F.size("tokens") > 1)
+    ordered = reading_order(words)
+    middle = words.groupBy("source", "page").agg(F.median(F.col("y1") - F.col("y0")).alias("middle"))
+    hits = ordered.join(asked.select("phrase", F.explode(F.array_distinct("tokens")).alias("key")), "key")
+    whole = hits.groupBy("source", "page", "phrase").agg(F.count_distinct("key").alias("got")).join(asked.select("phrase", F.size(F.array_distinct("tokens")).alias("need")), "phrase").where("got = need")
+    open_ = whole.select("source", "page", "phrase").join(exact, ["source", "page", "phrase"], "left_anti")
+    near = hits.join(open_, ["source", "page", "phrase"]).join(asked, "phrase").join(middle, ["source", "page"])
+    kinds = {c: words.schema[c].dataType.simpleString() for c in ("source", "page")}
+
+    def find(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place")
+        tokens, jump = list(group["tokens"].iloc[0]), max(6.0, 1.6 * float(group["middle"].iloc[0]))
+        at = list(zip(group["key"], group["x0"], group["y0"], group["x1"], group["y1"]))
+        for start, first in enumerate(at):
+            if first[0] != tokens[0]:
+                continue
+            used = [first]
+            for word in at[start + 1 :]:
+                if len(used) == len(tokens):
+                    break
+                if word[0] == tokens[len(used)] and word[2] - used[-1][2] <= jump and len({w[2] for w in used} | {word[2]}) <= rows:
+                    used.append(word)
+            if len(used) == len(tokens):
+                box = (min(w[1] for w in used), min(w[2] for w in used), max(w[3] for w in used), max(w[4] for w in used))
+                return pd.DataFrame([(*key, *box)], columns=["source", "page", "phrase", "x0", "y0", "x1", "y1"])
+        return pd.DataFrame(columns=["source", "page", "phrase", "x0", "y0", "x1", "y1"])
+
+    loose = near.groupBy("source", "page", "phrase").applyInPandas(find, f"source {kinds['source']}, page {kinds['page']}, phrase string, x0 double, y0 double, x1 double, y1 double")
+    return exact.select("source", "page", "phrase", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).union(loose)

@@ -96,7 +96,7 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = RANKED, by: str | None
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ann(questions: DataFrame, chunks: DataFrame, k: int = RANKED, number: str = "vec_id", vector: str = "embedding", within: float = 1.2, width: float = 2.0, tables: int = 8) -> DataFrame:
+def ann(questions: DataFrame, chunks: DataFrame, k: int = RANKED, number: str = "vec_id", vector: str = "embedding", within: float = 2.0, width: float = 2.0, tables: int = 8) -> DataFrame:
     """As knn, from random projections: candidates share a bucket in one of `tables`, lie within a distance, and are scored exactly.
 
     Recall depends on width, tables and within; hold it against knn on a sample.

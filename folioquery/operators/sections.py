@@ -268,3 +268,20 @@ def outline_prompt(pages: DataFrame, most: int = 8, size: int = 1800) -> DataFra
 def title_prompt(pages: DataFrame, most: int = 10, size: int = 500) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("page", F.substring("text", 1, size).alias("head"))))
     return pages.where(F.col("page") <= most).groupBy("source").agg(F.array_join(F.transform(parts, lambda p: p["head"]), "\n\n").alias("prompt"))
+
+
+def grep_context(pages: DataFrame, pattern: str, around: int = 2, ignore_case: bool = True, most: int | None = None) -> DataFrame:
+    """source, page, line_no, line, context of the lines that match: the line with `around` lines before and after on its page.
+
+    most: hits per source, first in order of page and line.
+    """
+    w = Window.partitionBy("source", "page").orderBy("line_no")
+    near = F.array_join(F.collect_list("line").over(w.rowsBetween(-around, around)), "\n")
+    hit = F.col("line").rlike(("(?i)" if ignore_case else "") + pattern)
+    # only pages with a hit are cut into windows
+    some = pages.where(F.col("text").rlike(("(?i)" if ignore_case else "") + pattern))
+    found = lines(some).withColumn("context", near).where(hit)
+    if most is None:
+        return found
+    order = Window.partitionBy("source").orderBy("page", "line_no")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

@@ -75,3 +75,8 @@ def a19(spark, d):
     head = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 4), " ")
     starts = table(spark, d, "documents").select("source", F.col("doc_id").alias("page"), head.alias("section_start"))
     return G.anchor_hit_rate(starts, words(spark, d))
+
+
+@query("x5_phrase_box_gaps")
+def x5b(spark, d):
+    return G.phrase_box_gaps(words(spark, d), spark.createDataFrame([("of the and",), ("the of",)], "phrase string"))

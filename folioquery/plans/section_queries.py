@@ -174,3 +174,28 @@ def q1(spark, d):
     raw = F.when(n % 4 == 0, body).when(n % 4 == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone"))).when(n % 4 == 2, F.concat(F.lit("See {x} and "), body, F.lit(" as asked"))).otherwise(F.lit('{"sections": [], "visuals": []}'))
     good, bad = S.salvage_json(table(spark, d, "documents").select("doc_id", raw.alias("raw")))
     return good.select("doc_id", (F.size("llm.sections") == 1).alias("parsed")).union(bad.select("doc_id", F.lit(False)))
+
+
+@query(
+    "f24_grep_context",
+    f"WITH l AS (SELECT source, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM {PAGES}), c AS (SELECT *, array_to_string(list(line) OVER (PARTITION BY source, page ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10)) AS context FROM l) SELECT source, page, CAST(line_no AS INTEGER) AS line_no, line, context FROM c WHERE regexp_matches(line, '(?i)rights reserved')",
+)
+def f24(spark, d):
+    return S.grep_context(pages(spark, d), "rights reserved")
+
+
+@query("s5_s6_sections_table", f"SELECT source || '.pdf' AS source, count(*) * 2 AS n FROM {GROUPS} GROUP BY source")
+def s5(spark, d):
+    from ..sources.pages import read_sections, scratch, write_sections
+
+    path = scratch(spark, "sections")
+    made = S.aggregate_sections(artifacts(spark, d), "v2.3").select("id", "source", "text")
+    write_sections(made, path)
+    return read_sections(spark, path).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("s2_file_manifest")
+def s2(spark, d):
+    from ..sources.pages import file_manifest
+
+    return file_manifest(spark, d, "*.parquet", recursive=True).select("name", "size_bytes")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,3 +131,12 @@ def lookup(chunks: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def list_chunks(chunks: DataFrame, contains: str = "", preview: int = 160, limit: int | None = None) -> DataFrame:
     found = chunks.where(F.lower("id").contains(contains.lower())).select("id", F.substring("text", 1, preview).alias("preview"))
     return found.orderBy("id").limit(limit) if limit else found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
