@@ -1,3 +1,50 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import line_dedup, quality, url_filter
+
+SPACE = r"[\x20\x09-\x0D]"
+BARE = rf"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def url_sql() -> str:
+    """Rules as a CASE, longest first; a term counts where no letter or digit is next to it."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
+    hits = lambda terms: "CAST(" + " + ".join(rf"CAST(regexp_matches(u, '(^|[^\p{{L}}\p{{N}}]){t}($|[^\p{{L}}\p{{N}}])') AS INTEGER)" for t in terms) + " AS INTEGER)"
+    return rf"""WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS u, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), h AS (SELECT *, {hits(url_filter.STRICT)} AS strict_hits, {hits(url_filter.SOFT)} AS soft_hits FROM p)
+ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN strict_hits * {url_filter.LIMIT} + soft_hits >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits FROM h"""
+
+
+def line_dedup_sql() -> str:
+    return rf"""WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents), l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE text IS NOT NULL),
+ b AS (SELECT *, {BARE} AS bare FROM l), t AS (SELECT source, count(DISTINCT coalesce(text, '')) AS total FROM d GROUP BY source), c AS (SELECT source, bare, count(DISTINCT text) AS n FROM b WHERE bare <> '' GROUP BY source, bare),
+ bad AS (SELECT c.source, bare FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= {line_dedup.LEAST_PAGES} AND n > {line_dedup.RATIO} * total),
+ m AS (SELECT b.rid, b.line, b.k, bad.bare IS NOT NULL AS hit FROM b LEFT JOIN bad ON b.source IS NOT DISTINCT FROM bad.source AND b.bare = bad.bare),
+ r AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (hit) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT hit), '')) AS text_sha256 FROM m GROUP BY rid)
+ SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, text_sha256 FROM d LEFT JOIN r USING (rid)"""
+
+
+def quality_sql() -> str:
+    words = rf"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda w: w <> '')"
+    symbols = "[" + "".join("\\" + c for c in quality.SYMBOLS) + "]"
+    n = quality.WINDOW
+    return rf"""WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS rid, {words} AS w FROM documents),
+ win AS (SELECT rid, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n}),
+ rep AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1), cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + {n})) AS p FROM rep) GROUP BY rid),
+ l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
+ k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{SPACE}+', ' ', 'g')) AS bare, len(list_filter(string_split_regex(line, '{SPACE}+'), lambda w: w <> '')) AS nw FROM l),
+ dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE nw > 0 GROUP BY rid),
+ s AS (SELECT * FROM k WHERE bare <> '' AND length(bare) - length(replace(bare, ' ', '')) < {quality.LINE_WORDS}), t AS (SELECT source, count(DISTINCT text) AS total FROM d WHERE text IS NOT NULL GROUP BY source),
+ bad AS (SELECT s.source, bare FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source GROUP BY s.source, bare HAVING count(DISTINCT text) >= {quality.LEAST_DOCUMENTS} AND count(DISTINCT text) > {quality.SHARE} * max(total)),
+ lost AS (SELECT rid, CAST(sum(nw) AS BIGINT) AS lost FROM s JOIN bad ON s.source IS NOT DISTINCT FROM bad.source AND s.bare = bad.bare GROUP BY rid),
+ a AS (SELECT doc_id, len(w) AS n_words, CAST(length(regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '{symbols}', '', 'g')) AS BIGINT) AS n_symbols,
+ coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(lost, 0) AS n_left FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid))
+ SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND n_left >= CAST({quality.LEFT} AS DOUBLE) * n_words AS kept FROM a"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": url_sql(), "op7_line_dedup": line_dedup_sql(), "op10_quality": quality_sql()}
