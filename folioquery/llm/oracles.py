@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, url_filter
+from . import line_dedup, quality, url_filter, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 BARE = rf"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -47,4 +47,19 @@ def quality_sql() -> str:
  SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND n_left >= CAST({quality.LEFT} AS DOUBLE) * n_words AS kept FROM a"""
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": url_sql(), "op7_line_dedup": line_dedup_sql(), "op10_quality": quality_sql()}
+def classes_sql(n: int = 5) -> str:
+    """Sets of n-grams, pairs that share one, links of 75 of 100, and the smallest document over links."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+ c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ e AS (SELECT x, y FROM p JOIN c i ON i.doc_id = x JOIN c j ON j.doc_id = y WHERE 100 * shared >= 75 * (i.n + j.n - shared)), t AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT t.y, r.root FROM r JOIN t ON r.doc_id = t.x)
+ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id"""
+
+
+def warc_sql(least: int = warc.LEAST) -> str:
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= {least} GROUP BY h)
+ SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f ON p.h = f.h"""
+
+
+ORACLES: dict[str, str] = {"op1_ngram_join": classes_sql(), "op3_warc": warc_sql(), "op4_url_filter": url_sql(), "op7_line_dedup": line_dedup_sql(), "op10_quality": quality_sql()}
