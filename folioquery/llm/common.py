@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,35 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 24
 
 
+#: Rows of whole texts in an Arrow batch.
+BATCH = 2000
+_held: dict[str, object] = {}
+
+
+def held(name: str, make) -> object:
+    """In a worker: the tables that tasks share under this name; those that other operators left there are let go."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """In a worker: let go of the tables that tasks of other operators have left."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let the session send whole texts to Python workers BATCH rows at a time, so that a worker holds few of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH:
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slots
+from .common import slots, small_batches
 from .rolling import Prefix, winnow
 
 GRAM, WINDOW = 24, 100
@@ -71,7 +71,7 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     first document of the range that follows, so every text is shuffled once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     told = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not told["n"]:

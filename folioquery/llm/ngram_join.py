@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, likely, slots, written
+from .common import components, likely, release, slots, small_batches, written
 from .repeats import common_prefix
 from .rolling import BASE, mix
 
@@ -107,6 +107,7 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
 
     def halves(batches):
         """Parts below 0 carry the rows' own columns through, a part for each batch; the others hold hashes and, as (row, number) pairs, whose they are."""
+        release()
         task, chunk = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("raw")], np.int64)
@@ -404,7 +405,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     Rows with equal sets are linked; rows of one number with different texts are different nodes. A null number
     is never the smallest of its component; alone, its component is null. An empty table gives no rows.
     """
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(slots(docs), -(-size // (12 * PART)))
     all_rows = written(thinned(rows, "text", words, parts, ["doc_id", "key"]), "thinned")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, written
+from .common import likely, release, small_batches, written
 from .rolling import Prefix, winnow
 
 LENGTH, GRAM = 400, 40
@@ -127,6 +127,7 @@ def occurrences(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame
     """ka, kb and the runs of every text of at least `length` bytes."""
 
     def run(batches):
+        release()
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in range(2)]
             for i, value in enumerate(batch.column(2)):
@@ -273,7 +274,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
     names = [c for c in docs.columns if c.lower() not in made]
-    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    own = small_batches(docs).select(*[F.col(f"`{c}`") for c in names])
     spans = repeated_windows(docs, text, length, gram)
     ka, kb = text_key(F.col(f"`{text}`"))
     twice = docs.where(F.octet_length(F.col(f"`{text}`")) >= length).groupBy(ka, kb).agg(F.count("*").alias("copies"), F.max(F.octet_length(F.col(f"`{text}`"))).cast("long").alias("size")).where("copies > 1")
@@ -287,20 +288,20 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
     clean = clean.select(*[F.col(f"`{c}`") for c in names], F.length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept_bytes"))
 
     @F.pandas_udf("n_removed long, n_spans long, kept_bytes binary")
-    def cut(raws, lists):
+    def cut(raws, starts, stops):
         import pandas as pd
 
         rows = []
-        for data, found in zip(raws, lists):
-            if found is None or len(found) == 0:
+        for data, a, b in zip(raws, starts, stops):
+            if a is None or len(a) == 0:
                 rows.append((0, 0, data))
                 continue
-            cover = merged([(s["a"], s["b"] - 1) for s in found])
+            cover = merged(list(zip(a.tolist(), (b - 1).tolist())))
             edges = [0, *(x for a, b in cover for x in (a, b + 1)), len(data)]
             rows.append((sum(b + 1 - a for a, b in cover), len(cover), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_bytes"])
 
-    maybe = maybe.withColumn("_cut", cut(raw, F.col("_spans"))).select(*[F.col(f"`{c}`") for c in names], F.length(raw).cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.n_spans", "_cut.kept_bytes")
+    maybe = maybe.withColumn("_cut", cut(raw, F.col("_spans.a"), F.col("_spans.b"))).select(*[F.col(f"`{c}`") for c in names], F.length(raw).cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.n_spans", "_cut.kept_bytes")
     return clean.union(maybe)
 
 

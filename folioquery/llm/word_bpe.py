@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import WordTable, byte_characters
+from .common import held, small_batches
 
 #: Fixed value: the vocabulary's published word pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -118,15 +119,12 @@ class WordBpe:
         return " ".join([t for t in map(self.token.get, ids.tolist()) if t is not None])
 
 
-_known: dict[str, WordBpe] = {}
 #: Characters of text that are encoded together.
 TOGETHER = 4 << 20
 
 
 def bpe(path: str) -> WordBpe:
-    if path not in _known:
-        _known[path] = WordBpe(path)
-    return _known[path]
+    return held(path, lambda: WordBpe(path))
 
 
 def groups(sizes: list[int], most: int) -> list[tuple[int, int]]:
@@ -158,7 +156,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                     names=["doc_id", "ids", "decoded"],
                 )
 
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
