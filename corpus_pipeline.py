@@ -6,7 +6,6 @@ return the columns of documents. Other columns pass through. Empty tables stay e
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +43,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand elsewhere too go; a character cut in the middle goes with them."""
-    cut = cut_repeats(docs.withColumnRenamed("text", "_text"), "_text")
+    """Passages that stand elsewhere too go; a character cut in the middle goes with them.
 
-    def readable(values: pd.Series) -> pd.Series:
-        return values.map(lambda data: data.decode("utf-8", "ignore"))
+    Where a passage goes, replacement characters (U+FFFD) of the text go too.
+    """
+    cut = cut_repeats(docs.withColumnRenamed("text", "_text"), "_text")
 
-    left = F.pandas_udf(readable, "string")(F.when(F.col("n_removed") > 0, F.col("kept_bytes")).otherwise(F.lit(b"").cast("binary")))
-    return shaped(cut.withColumn("_left", left).withColumn("text", F.when(F.col("n_removed") > 0, F.col("_left")).otherwise(F.col("_text"))), docs)
+    left = F.replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return shaped(cut.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("_text"))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
