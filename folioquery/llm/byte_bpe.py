@@ -49,12 +49,12 @@ class Numbers(dict):
 class WordTable:
     """Ids of words in one flat array, as words turn up.
 
-    The first MEMORY words stay; they hold nearly all frequent ones. Later ones are looked up anew with every text.
+    The first `memory` words stay; they hold nearly all frequent ones. Later ones are looked up anew with every text.
     """
 
-    def __init__(self, ids_of):
+    def __init__(self, ids_of, memory: int | None = None):
         """ids_of: a function from words to their ids, each as the bytes of u32 numbers."""
-        self.ids_of = ids_of
+        self.ids_of, self.memory = ids_of, memory or MEMORY
         self.index = Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -92,7 +92,7 @@ class WordTable:
         at = [self.number(words) for words in texts]
         fresh = self.learn() if self.index.fresh else []
         found = [self.ids(a) for a in at]
-        if len(self.index) > MEMORY:
+        if len(self.index) > self.memory:
             self.used = used
             for word in fresh:
                 del self.index[word]
@@ -105,7 +105,7 @@ class WordTable:
 class Encoder:
     """encode(text) gives the ids that the library gives with add_special_tokens=False."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -118,7 +118,8 @@ class Encoder:
         self.odd = regex.compile(f"[^{PLAIN}]").search
         self.shown = byte_characters()
         self.known: dict[str, bytes] = {}
-        self.words, self.pieces = WordTable(self.ids_of_words), WordTable(self.ids_of_pieces)
+        self.memory = memory or MEMORY
+        self.words, self.pieces = WordTable(self.ids_of_words, self.memory), WordTable(self.ids_of_pieces, self.memory)
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece that is new; the library's model takes it in the characters that stand for its bytes."""
@@ -127,7 +128,7 @@ class Encoder:
         else:
             shown = piece.encode().decode("latin-1").translate(self.shown)
         ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(self.known) < MEMORY:
+        if len(self.known) < self.memory:
             self.known[piece] = ids
         return ids
 

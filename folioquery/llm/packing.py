@@ -16,18 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .token_shards import encoder
 
 #: Rows of a group within which ranks are counted.
 GROUP = 200_000
+#: Words that a worker remembers; fewer than the shards' writer, since packing may follow other stages in one session.
+MEMORY = 120_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; documents over capacity are cut, the first piece taking what is left over."""
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMORY)
         for batch in batches:
             out = ([], [], [], [], [])
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -40,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_colum
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

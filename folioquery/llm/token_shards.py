@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import Encoder
-from .common import fresh_path, slots, written
+from .common import fresh_path, held, slots, small_batches, written
 
 MAGIC = b"FQSST01\n"
 FOOTER = struct.Struct("<QQQQQBB8s")
@@ -36,14 +36,9 @@ BLOCK = 64 << 10
 SHARD = 24 << 20
 BITS_PER_KEY, HASHES = 10, 7
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int | None = None) -> Encoder:
     """One encoder per worker process, so that its word table outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"{path} {memory}", lambda: Encoder(path, memory))
 
 
 def key_of(number: int | None) -> bytes:
@@ -143,7 +138,7 @@ class Shard:
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode every text and write the shards of all documents into path, ordered by number over all shards."""
-    cut = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    cut = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     size = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(slots(docs), -(-size // SHARD))
 
