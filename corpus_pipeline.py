@@ -18,6 +18,8 @@ from folioquery.llm.queries import END_ID, vocabulary
 from folioquery.llm.repeats import cut_repeats
 
 CAPACITY = 1024
+#: A passage that goes has over 50 words; 51 words have at least 101 bytes, so windows of that length meet each of them.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 101, 24
 
 
 def shaped(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -43,11 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand elsewhere too go; a character cut in the middle goes with them.
+    """Passages of over 50 words that stand elsewhere too go; a character cut in the middle goes with them.
 
     Where a passage goes, replacement characters (U+FFFD) of the text go too.
     """
-    cut = cut_repeats(docs.withColumnRenamed("text", "_text"), "_text")
+    cut = cut_repeats(docs.withColumnRenamed("text", "_text"), "_text", PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS)
 
     left = F.replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), F.lit("\ufffd"), F.lit(""))
     return shaped(cut.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("_text"))), docs)

@@ -33,8 +33,8 @@ from .rolling import Prefix, winnow
 LENGTH, GRAM = 400, 40
 #: Kinds of one anchor that are sorted in one task.
 GROUP = 256
-#: Windows of a document that are hashed at a time; offsets are halved from the smallest power of two over LENGTH.
-SLICE, OFFSETS = 1 << 19, 512
+#: Windows of a document that are hashed at a time.
+SLICE = 1 << 19
 
 RUN = "h long, c long, pos long, left int, right int"
 
@@ -172,9 +172,14 @@ def bytes_of_kinds(docs: DataFrame, text: str, wanted: DataFrame, length: int) -
     return one.select(F.encode("text", "UTF-8").alias("raw"), "runs").mapInArrow(cut, "h long, kind long, low int, high int, left int, data binary")
 
 
+def offsets_over(length: int) -> int:
+    """The smallest power of two over `length`, from which offsets are halved."""
+    return 1 << length.bit_length()
+
+
 def halves(rows: DataFrame, level: int, length: int) -> DataFrame:
     """Split kinds of large groups in two by offset. The new group is the old one, the half, and the bytes that all of its windows share."""
-    width = OFFSETS >> level
+    width = offsets_over(length) >> level
 
     def split(batches):
         for batch in batches:
@@ -246,7 +251,7 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH, gram: int
         rows = written(held.join(mixed.select("kind", "n"), "kind"), "bytes")
         found = found.union(sorted_groups(rows.where(F.col("n") <= GROUP), length))
         rows, level = rows.where(F.col("n") > GROUP), 1
-        while OFFSETS >> level:
+        while offsets_over(length) >> level:
             rows = written(halves(rows, level, length), "halves")
             same = F.xxhash64("data", "low", "high")
             told = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(same).alias("x"), F.max(same).alias("y")).where("n > 1")
@@ -264,9 +269,10 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH, gram: int
     return written(spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, least_words: int = 0) -> DataFrame:
     """docs and n_bytes, n_removed, n_spans, kept_bytes: what is left without the bytes of repeated windows.
 
+    With least_words, only joined ranges of windows that hold so many words (a word cut at an edge is one) go.
     Windows are judged on the input. Texts that occur twice are repeated from end to end if they have `length`
     bytes. A null text has no bytes. Repeated rows count as occurrences of each other. Null and equal
     numbers don't matter: texts are told apart by 128 bits of hash. Columns of docs with these names are
@@ -297,6 +303,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
                 rows.append((0, 0, data))
                 continue
             cover = merged(list(zip(a.tolist(), (b - 1).tolist())))
+            if least_words:
+                cover = [(a, b) for a, b in cover if len(data[a : b + 1].split()) >= least_words]
             edges = [0, *(x for a, b in cover for x in (a, b + 1)), len(data)]
             rows.append((sum(b + 1 - a for a, b in cover), len(cover), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_bytes"])

@@ -356,3 +356,24 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {n: b for n, _, b in names}
     assert kept["quality_rules"] < len(rows()) and kept["near_duplicates"] < kept["line_dedup"] and kept["packing"] >= kept["repeated_passages"] > 0
     assert corpus_pipeline.run(spark, folder).count() == kept["packing"]
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    english = lambda seed, n: " ".join(random.Random(seed).choices("a of the rule card turn player moves board phase".split(), k=n))
+    shared, few = {51: english(1, 51), 60: passage(902, 60)}, english(3, 40)
+    told = [(k, f"{passage(k, 70)} {shared[n]} {passage(k + 100, 70)}", "en", f"src{k}", 0) for k, n in enumerate([51, 51, 60, 60])]
+    clean = [(k, f"{passage(k, 90)} {few} {passage(k + 100, 90)}", "en", f"src{k}", 0) for k in range(10, 13)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(told + clean, SCHEMA), "").collect()}
+    assert len(shared[51]) < 400
+    for k, n in enumerate([51, 51, 60, 60]):
+        assert shared[n] not in got[k] and passage(k, 70) in got[k] and passage(k + 100, 69).split(" ", 1)[1] in got[k]
+    assert all(got[r[0]] == r[1] for r in clean)
+
+
+@pytest.mark.parametrize("group", [256, 1])
+def test_short_repeats_equal_brute_force(docs, group, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    told = rows()
+    want = sorted((r[0], *x) for r, x in zip(told, cut_by_force([(r[1] or "").encode() for r in told], 101)))
+    assert sorted(map(tuple, repeats.removed_digest(repeats.cut_repeats(docs, "text", 101, 24)).collect())) == want
