@@ -1,8 +1,8 @@
 """Rules on a document's own words, and rejection of documents that boilerplate lines deplete.
 
-Lines are normalised and hashed; a line is boilerplate where enough distinct documents of a host hold it.
-A document that keeps too few of its words without such lines is rejected. Copies of one text count as one
-document, so that they don't make all of their lines boilerplate, and long lines are never boilerplate.
+Lines of every length are normalised and hashed; a line is boilerplate where enough distinct documents of a host hold
+it. A document that keeps too few of its words without such lines is rejected. A line counts once per distinct
+remaining text, so that copies don't make all of their lines boilerplate.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, release, small_batches, written
+from .common import likely, release, small_batches, written
 
 #: The base rules: words a document needs, and percent of its words that may stand in repeated 8-word windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Line limits: documents of a host, and their share, that make a line boilerplate, and the words it may have.
+#: Line limits: documents of a host, or their share, that make a line boilerplate. LINE_WORDS is the limit of op10's SQL.
 LEAST_DOCUMENTS, SHARE, LINE_WORDS = 10, 0.1, 20
 #: Share of its words that a document has to keep.
 LEFT = 0.3
@@ -64,10 +64,9 @@ def word_counts(texts: pd.Series) -> pd.DataFrame:
 
 
 def line_key(line: Column) -> Column:
-    """128 bits of a line in lower case, digits alike, blanks run together; null where it is blank or too long."""
+    """128 bits of a line in lower case, digits alike, blanks run together; null where it is blank."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
-    short = F.length(bare) - F.length(F.replace(bare, F.lit(" "))) < LINE_WORDS
-    return F.when((bare != "") & short, F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
 
 
 def words_in(line: Column) -> Column:
@@ -75,39 +74,72 @@ def words_in(line: Column) -> Column:
     return F.length(F.trim(bare)) - F.length(F.replace(F.trim(bare), F.lit(" "))) + F.when(F.trim(bare) == "", 0).otherwise(1)
 
 
-def frequent_lines(docs: DataFrame, host: str, text: str, least: int, share: float) -> DataFrame:
-    """host and the set of its boilerplate lines. At most (lines per document / share) lines a host."""
-    own = docs.select(F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{text}`")).alias("document"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines")).where(F.col("lines").isNotNull())
-    keys = own.select("host", "document", F.explode(F.array_distinct(F.filter(F.transform("lines", line_key), lambda k: k.isNotNull()))).alias("line"))
-    counts = keys.groupBy("host", "line", "document").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    totals = own.groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))
-    often = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > share * F.col("total"))
-    return often.groupBy("host").agg(F.collect_set("line").alias("_lines"))
+def text_key(host: Column, text: Column) -> list[Column]:
+    """128 bits that tell texts of hosts apart, as da and db."""
+    return [F.xxhash64(text, host).alias("da"), F.xxhash64(text, host, F.lit(1)).alias("db")]
 
 
-def judge_quality(docs: DataFrame, host: str = "source", text: str = "text", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, text: str, least: int, share: float, most_words: int | None) -> DataFrame:
+    """da, db and _lines: the boilerplate lines of every distinct text of a host that has any.
+
+    A line counts once per distinct remaining text, which is the text less that line: copies that differ in nothing
+    but the line (a page number, a date) are one. It is boilerplate where it counts `least` times on its host, or twice and
+    more often than by `share` of the host's distinct texts. With most_words, only lines of so many words count, once
+    per distinct text, and both limits have to be met. Counts are combined before each shuffle; no group is collected
+    but the lines of one text.
+    """
+    own = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), *text_key(F.col(f"`{host}`"), F.col(f"`{text}`")), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
+    hashed = lambda line, k: F.xxhash64(line, k)
+    whole = F.aggregate(F.transform("lines", hashed), F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
+    placed = own.withColumn("whole", whole).select("host", "da", "db", "whole", F.posexplode("lines").alias("k", "raw"))
+    if most_words:
+        placed = placed.where(words_in(F.col("raw")) <= most_words)
+    keyed = placed.select("host", "da", "db", "whole", hashed(F.col("raw"), F.col("k")).alias("h"), line_key(F.col("raw")).alias("line")).where("line is not null")
+    rest = F.first("whole").bitwiseXOR(F.bit_xor("h"))
+    lines = written(keyed.groupBy("host", "line", "da", "db").agg((F.xxhash64("da", "db") if most_words else rest).alias("rest")), "lines")
+    counts = lines.groupBy("host", "line", "rest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n >= 2")
+    totals = own.groupBy("host", "da", "db").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))
+    many, often = F.col("n") >= least, F.col("n") > share * F.col("total")
+    found = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(many & often if most_words else many | often)
+    found = written(found.select(F.col("host").alias("of"), F.col("line").alias("found")), "boilerplate")
+    hits = lines.join(found, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("found")))
+    return written(hits.groupBy("da", "db").agg(F.collect_list("line").alias("_lines")), "hits")
+
+
+def judge_quality(docs: DataFrame, host: str = "source", text: str = "text", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT, most_words: int | None = None) -> DataFrame:
     """docs with the columns of the verdict, in place of any that bear their names.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: counts over the whole text. base_failed: too few
     words, or too many in repeated windows. n_left: words outside boilerplate lines. kept: neither failed nor
-    depleted. A null text has no words and fails. Documents with a null host form one host. Repeated rows are
-    judged alike and all kept or dropped; an empty table stays empty.
+    depleted. left_text: the text without its boilerplate lines. A null text has no words and fails. Documents with a
+    null host form one host. Repeated rows are judged alike and all kept or dropped; an empty table stays empty.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "left_text")
     kept = [c for c in docs.columns if c.lower() not in made]
-    lines = checked_broadcast(written(frequent_lines(docs, host, text, least, share), "lines")).withColumnRenamed("host", "_host")
+    hits = boilerplate(docs, host, text, least, share, most_words)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # declared nondeterministic so that a filter on the verdict doesn't make the optimizer evaluate it twice
     count = F.pandas_udf(word_counts, "n_words long, n_dup_lines long, n_repeat_words long").asNondeterministic()
-    counted = small_batches(docs).select(*[F.col(f"`{c}`") for c in kept]).withColumn("_n", count(body))
-    joined = counted.join(lines, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    hit = F.filter(F.split(body, "\n", -1), lambda line: F.array_contains("_lines", line_key(line)))
-    lost = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0).cast("long"), lambda n, line: n + words_in(line).cast("long")))
+    da, db = text_key(F.col(f"`{host}`"), F.col(f"`{text}`"))
+    keyed = small_batches(docs).select(*[F.col(f"`{c}`") for c in kept], da.alias("_da"), db.alias("_db"))
+    told = hits.select(F.col("da").alias("_da"), F.col("db").alias("_db"), "_lines")
+    # only texts that have such lines are shuffled
+    clean = likely(keyed, "_da", hits, "da", absent=True).withColumn("_lines", F.lit(None).cast(hits.schema["_lines"].dataType))
+    maybe = likely(keyed, "_da", hits, "da").join(told, ["_da", "_db"], "left")
     failed = (F.col("_n.n_words") < LEAST_WORDS) | (100 * F.col("_n.n_repeat_words") > MOST_REPEATED * F.col("_n.n_words"))
     bare = F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")
-    out = joined.select(
-        *[F.col(f"`{c}`") for c in kept],
-        "_n.n_words", F.length(bare).cast("long").alias("word_chars"), (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        "_n.n_dup_lines", "_n.n_repeat_words", failed.alias("base_failed"), (F.col("_n.n_words") - lost).alias("n_left"),
-    )
+
+    def judged(df: DataFrame, lost: Column, left_text: Column) -> DataFrame:
+        return df.withColumn("_n", count(body)).select(
+            *[F.col(f"`{c}`") for c in kept],
+            "_n.n_words", F.length(bare).cast("long").alias("word_chars"), (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            "_n.n_dup_lines", "_n.n_repeat_words", failed.alias("base_failed"), (F.col("_n.n_words") - lost).alias("n_left"), left_text.alias("left_text"),
+        )
+
+    hit = lambda line: F.coalesce(F.array_contains("_lines", line_key(line)), F.lit(False))
+    parts = F.split(body, "\n", -1)
+    lost = F.aggregate(F.filter(parts, hit), F.lit(0).cast("long"), lambda n, line: n + words_in(line).cast("long"))
+    cut = F.array_join(F.filter(parts, lambda line: ~hit(line)), "\n")
+    has = F.col("_lines").isNotNull()
+    out = judged(clean, F.lit(0).cast("long"), F.col(f"`{text}`")).union(judged(maybe, F.when(has, lost).otherwise(0), F.when(has, cut).otherwise(F.col(f"`{text}`"))))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= left * F.col("n_words")))

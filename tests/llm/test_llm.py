@@ -377,3 +377,13 @@ def test_short_repeats_equal_brute_force(docs, group, monkeypatch):
     told = rows()
     want = sorted((r[0], *x) for r, x in zip(told, cut_by_force([(r[1] or "").encode() for r in told], 101)))
     assert sorted(map(tuple, repeats.removed_digest(repeats.cut_repeats(docs, "text", 101, 24)).collect())) == want
+
+
+def test_long_notices_deplete_documents(spark):
+    notice = passage(77, 25)
+    told = [(k, f"{notice}\nown words of {k}", "big") for k in range(40)] + [(k, passage(k, 60), "big") for k in range(100, 700)]
+    told += [(k, f"Copy {k}\n{passage(78, 60)}", "copies") for k in range(700, 703)] + [(k, passage(k, 60), "copies") for k in range(710, 750)]
+    told += [(k, f"{passage(80, 30)}\nown words of {k}", "small") for k in range(800, 803)]
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(told, "doc_id long, text string, source string")).collect()}
+    assert all(not got[k].kept and got[k].n_left == 4 for k in [*range(40), *range(800, 803)])
+    assert all(got[k].kept for k in [*range(100, 703), *range(710, 750)])
