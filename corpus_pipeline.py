@@ -28,8 +28,8 @@ def shaped(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return judge_quality(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the quality rules reject go, and boilerplate lines of those that stay."""
+    return shaped(judge_quality(docs).where("kept").withColumn("text", F.col("left_text")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

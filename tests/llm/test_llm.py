@@ -387,3 +387,14 @@ def test_long_notices_deplete_documents(spark):
     got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(told, "doc_id long, text string, source string")).collect()}
     assert all(not got[k].kept and got[k].n_left == 4 for k in [*range(40), *range(800, 803)])
     assert all(got[k].kept for k in [*range(100, 703), *range(710, 750)])
+
+
+def test_boilerplate_lines_leave_the_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    told = [(k, f"Page {k} of 340\n{passage(k, 40)}\n\n  PAGE {k + 1} of 999", "en", "a", 0) for k in range(30)] + [(k, passage(k, 40), "en", "a", 0) for k in range(30, 60)] + [(60, None, "en", "a", 0)]
+    docs = spark.createDataFrame(told, SCHEMA)
+    judged = {r.doc_id: r for r in quality.judge_quality(docs.withColumn("LEFT_TEXT", F.lit("clash"))).collect()}
+    assert judged[60].left_text is None and judged[3].text == told[3][1]
+    assert all(judged[k].left_text == passage(k, 40) + ("\n" if k < 30 else "") for k in range(60))
+    got = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert sorted(got) == list(range(60)) and all((r.text, r.n_chars) == (judged[k].left_text, len(r.text)) for k, r in got.items())
