@@ -18,6 +18,8 @@ from folioquery.llm.queries import END_ID, vocabulary
 from folioquery.llm.repeats import cut_repeats
 
 CAPACITY = 1024
+#: Distinct pages that a shared line needs besides its share of the host's pages.
+SHARING_PAGES = 2
 #: A passage that goes has over 50 words; 51 words have at least 101 bytes, so windows of that length meet each of them.
 PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 101, 24
 
@@ -33,8 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their host go."""
-    return shaped(drop_boilerplate(docs), docs)
+    """Lines that are boilerplate of their host go; two pages can share one, whatever the host's size."""
+    return shaped(drop_boilerplate(docs, least=SHARING_PAGES), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

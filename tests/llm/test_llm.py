@@ -398,3 +398,10 @@ def test_boilerplate_lines_leave_the_text(spark):
     assert all(judged[k].left_text == passage(k, 40) + ("\n" if k < 30 else "") for k in range(60))
     got = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert sorted(got) == list(range(60)) and all((r.text, r.n_chars) == (judged[k].left_text, len(r.text)) for k, r in got.items())
+
+
+def test_pipeline_drops_lines_of_small_hosts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    told = [(10 * h + k, f"Menu of {h}\nText {h} {k}", "en", f"host{h}", 0) for h in range(4) for k in range(h + 1)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(told, SCHEMA), "").collect()}
+    assert got == {i: text if i == 0 else text.split("\n")[1] for i, text, *_ in told}
