@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the id filter that is sent to the executors (2 MB), whatever the input's size.
@@ -44,9 +46,11 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. Where the session names none, a local one serves a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -74,26 +78,77 @@ def slots(df: DataFrame, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checked_broadcast(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Broadcast a written table if it has at most `rows` rows; else leave the join to the optimizer."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def likely(df: DataFrame, column: str, ids: DataFrame, of: str, absent: bool = False) -> DataFrame:
-    """The rows of df whose column may be among ids.of, or with absent those where it certainly isn't.
+def owned(df: DataFrame, made: Iterable[str], body: str | None = None) -> tuple[list[Column], Column]:
+    """A way to carry the columns of df past columns of our own, whatever their names.
 
-    A Bloom filter with one hash: FILTER_BITS bits at most, whatever the input, broadcast as words of 64 bits. When
-    the ids outgrow it, it lets more rows pass; an exact join has to follow.
+    Gives the expressions that take them out again, under their names and in their order, and the column `own` to
+    select. Columns that bear a name in `made` are left out; the column `body` travels beside, under that name.
     """
-    word = lambda c: (F.pmod(F.xxhash64(F.lit(7), F.col(c)), F.lit(FILTER_BITS)) / 64).cast("long")
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(7, `{c}`), 64) as int))")
-    words = ids.select(word(of).alias("_word"), bit(of).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    words = F.broadcast(written(words, "filter"))
-    joined = df.withColumn("_word", word(column)).join(words, "_word", "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(column)) != 0, F.lit(False))
+    taken = {name.lower() for name in made}
+    kept = [c for c in df.columns if c.lower() not in taken]
+    fields = {c: f"f{k}" for k, c in enumerate(kept) if c != body}
+    own = F.struct(*[F.col(quoted(c)).alias(f) for c, f in fields.items()] or [F.lit(0).alias("none")]).alias("own")
+    return [(F.col("body") if c == body else F.col("own").getField(fields[c])).alias(c) for c in kept], own
+
+
+def _words(ids: DataFrame, of: str) -> DataFrame:
+    """A Bloom filter with one hash: FILTER_BITS bits at most, whatever the input, as words of 64 bits."""
+    words = ids.select(_word(of).alias("_word"), _bit(of).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return F.broadcast(written(words, "filter"))
+
+
+def _word(column: str) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(FILTER_BITS)) / 64).cast("long")
+
+
+def _bit(column: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod(xxhash64(7, `{column}`), 64) as int))")
+
+
+def _passed(df: DataFrame, column: str, words: DataFrame, absent: bool = False) -> DataFrame:
+    joined = df.withColumn("_word", _word(column)).join(words, "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(_bit(column)) != 0, F.lit(False))
     return joined.where(~hit if absent else hit).drop("_word", "_bits")
 
 
+def likely(df: DataFrame, column: str, ids: DataFrame, of: str, absent: bool = False) -> DataFrame:
+    """The rows of df, whose columns are our own, whose column may be among ids.of.
+
+    The filter is broadcast and has FILTER_BITS bits. When the ids outgrow it, it lets more rows pass; an exact
+    join has to follow.
+    """
+    return _passed(df, column, _words(ids, of), absent)
+
+
+def parted(df: DataFrame, column: str, ids: DataFrame, of: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose column certainly isn't among ids.of, and those where it may be."""
+    words = _words(ids, of)
+    return _passed(df, column, words, absent=True), _passed(df, column, words)
+
+
+def hot_keys(df: DataFrame, keys: list[str], parts: int = 500) -> DataFrame:
+    """The keys that more than one in `parts` rows of df have: fewer than `parts`, whatever the input."""
+    total = df.count()
+    return written(df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * parts > total).select(*keys), "hot")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "left", salts: int = 64) -> DataFrame:
+    """left joined to right, whose rows of a hot key are repeated `salts` times so that those of left are dealt to as many tasks."""
+    if not hot.limit(1).count():
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = left.withColumn("_row", F.monotonically_increasing_id()).join(hot, keys, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_row"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot", "_row")
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over links, for nodes that have a link.
 

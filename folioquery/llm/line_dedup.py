@@ -5,53 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import owned, quoted, written
+from .shared_lines import host_key, line_key, split_by, text_key, texts_with
 
-#: Share of a host's pages beyond which a line is boilerplate, pages that must hold it, and words it may have.
-RATIO, LEAST_PAGES = 0.1, 10
-#: Fixed value: trailing and leading characters that don't tell lines apart.
-BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: Share of a host's pages beyond which a line is boilerplate; a line on one page is shared by none.
+RATIO, LEAST_PAGES = 0.1, 2
+#: Fixed value: leading and trailing characters that don't tell lines apart.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.split(text, "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of a line without the blanks around it; null for a blank line."""
-    bare = F.regexp_replace(line, BLANK, "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
+def key_of(line: Column) -> Column:
+    """The key of a line without the blanks around it; null for a blank line."""
+    return line_key(F.btrim(line, F.lit(BLANK)))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
-    """host, line key, pages, total of the lines to drop.
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
+    """host, line key, pages, total of the lines to drop, and host, line, da, db, copies of all lines.
 
-    Pages of a host with equal text count once, so that copies of one page don't make all of its lines
-    boilerplate. A page's lines are made distinct before the shuffle, and counts are combined before it too.
+    Pages are rows; with distinct, equal texts of a host are one page. A page's lines are made distinct before the
+    shuffle.
     """
-    pages = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("page"), lines(F.col(text)).alias("lines"))
-    keys = pages.select("host", "page", F.explode(F.array_distinct(F.filter(F.transform("lines", line_key), lambda k: k.isNotNull()))).alias("line"))
-    counts = keys.groupBy("host", "line", "page").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("pages"))
-    totals = pages.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
-    often = counts.where(F.col("pages") >= least)
-    return often.join(totals, often.host.eqNullSafe(totals.host)).where(F.col("pages") > ratio * F.col("total")).select(often.host, "line", "pages", "total")
-
-
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+    body, key = F.col(quoted(text)), host_key(F.col(quoted(host)))
+    pages = docs.select(key.alias("host"), *text_key(F.col(quoted(host)), body), body.alias("body"))
+    keys = pages.where("body is not null").select("host", "da", "db", F.explode(F.array_distinct(F.filter(F.transform(lines(F.col("body")), key_of), lambda k: k.isNotNull()))).alias("line"))
+    held = written(keys.groupBy("host", "line", "da", "db").agg(F.count("*").alias("copies")), "lines")
+    counts = held.groupBy("host", "line").agg((F.count("*") if distinct else F.sum("copies")).alias("pages")).where(F.col("pages") >= least)
+    if distinct:
+        pages = pages.groupBy("host", "da", "db").agg(F.lit(1).alias("one"))
+    totals = written(pages.groupBy("host").agg(F.count("*").alias("total")), "hosts")
+    return written(counts.join(totals, "host").where(F.col("pages") > ratio * F.col("total")), "boilerplate"), held
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
     """docs with the text less its boilerplate lines, and n_lines and n_dropped.
 
-    A null text stays null with no lines; blank lines are kept and never counted. Pages with a null host form
-    a host of their own. Repeated rows are kept and treated alike. Existing n_lines and n_dropped columns are
-    replaced; other columns, whatever their names, pass through. An empty table stays empty.
+    A line goes where more than `ratio` of the host's pages hold it, and at least `least`. Pages are rows; with
+    distinct, equal texts of a host are one page. A null text stays null with no lines and counts as a page; blank
+    lines are kept and never counted. Pages with a null host form a host of their own. Repeated rows are kept and
+    treated alike. Columns n_lines and n_dropped are replaced; others pass through, whatever their names. An empty
+    table stays empty.
     """
-    # a host has at most (lines per page / ratio) such lines, so its set stays small
-    bad = checked_broadcast(written(boilerplate(docs, host, text, ratio, least).groupBy("host").agg(F.collect_set("line").alias("_drop")), "boilerplate"))
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    marked = docs.select(*[F.col(f"`{c}`") for c in kept])
-    joined = marked.join(bad.withColumnRenamed("host", "_host"), F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    all_lines = lines(F.col(text))
-    stay = F.filter(all_lines, lambda line: ~F.coalesce(F.array_contains("_drop", line_key(line)), F.lit(False)))
-    cut = F.when(F.col("_drop").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long")
-    left = F.when(F.col("_drop").isNull() | F.col(text).isNull(), n).otherwise(F.size(stay)).cast("long")
-    return joined.select(*[(cut.alias(c) if c == text else F.col(f"`{c}`")) for c in kept], n.alias("n_lines"), (n - left).alias("n_dropped"))
+    names, own = owned(docs, ("n_lines", "n_dropped"), text)
+    found, held = boilerplate(docs, host, text, ratio, least, distinct)
+    keyed = docs.select(own, F.col(quoted(text)).alias("body"), *text_key(F.col(quoted(host)), F.col(quoted(text))))
+    clean, maybe = split_by(keyed, texts_with(held, found))
+    n = F.when(F.col("body").isNull(), 0).otherwise(F.size(lines(F.col("body")))).cast("long")
+    clean = clean.select("own", "body", n.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    stay = F.filter(lines(F.col("body")), lambda line: ~F.coalesce(F.array_contains("lines", key_of(line)), F.lit(False)))
+    cut = maybe.select("own", F.when(F.col("lines").isNull(), F.col("body")).otherwise(F.array_join(stay, "\n")).alias("body"), n.alias("n_lines"), F.when(F.col("lines").isNull(), n).otherwise(F.size(stay)).cast("long").alias("left"))
+    return clean.union(cut.select("own", "body", "n_lines", F.col("n_lines") - F.col("left"))).select(*names, "n_lines", "n_dropped")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, url_filter, warc
+from . import url_filter, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 BARE = rf"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -21,30 +21,33 @@ def url_sql() -> str:
 
 
 def line_dedup_sql() -> str:
-    return rf"""WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents), l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE text IS NOT NULL),
- b AS (SELECT *, {BARE} AS bare FROM l), t AS (SELECT source, count(DISTINCT coalesce(text, '')) AS total FROM d GROUP BY source), c AS (SELECT source, bare, count(DISTINCT text) AS n FROM b WHERE bare <> '' GROUP BY source, bare),
- bad AS (SELECT c.source, bare FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= {line_dedup.LEAST_PAGES} AND n > {line_dedup.RATIO} * total),
+    """A line goes where more than a tenth of its host's pages hold it, and two at least."""
+    return rf"""WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents), l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE text IS NOT NULL),
+ b AS (SELECT *, {BARE} AS bare FROM l), t AS (SELECT source, count(*) AS total FROM d GROUP BY source), c AS (SELECT source, bare, count(DISTINCT rid) AS n FROM b WHERE bare <> '' GROUP BY source, bare),
+ bad AS (SELECT c.source, bare FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > CAST(0.1 AS DOUBLE) * total),
  m AS (SELECT b.rid, b.line, b.k, bad.bare IS NOT NULL AS hit FROM b LEFT JOIN bad ON b.source IS NOT DISTINCT FROM bad.source AND b.bare = bad.bare),
  r AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (hit) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT hit), '')) AS text_sha256 FROM m GROUP BY rid)
  SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, text_sha256 FROM d LEFT JOIN r USING (rid)"""
 
 
 def quality_sql() -> str:
+    """A line is boilerplate where ten distinct remaining texts of its host hold it, or two that are over a tenth of the host's documents."""
     words = rf"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda w: w <> '')"
-    symbols = "[" + "".join("\\" + c for c in quality.SYMBOLS) + "]"
-    n = quality.WINDOW
-    return rf"""WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS rid, {words} AS w FROM documents),
- win AS (SELECT rid, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n}),
- rep AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1), cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + {n})) AS p FROM rep) GROUP BY rid),
- l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
- k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{SPACE}+', ' ', 'g')) AS bare, len(list_filter(string_split_regex(line, '{SPACE}+'), lambda w: w <> '')) AS nw FROM l),
- dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE nw > 0 GROUP BY rid),
- s AS (SELECT * FROM k WHERE bare <> '' AND length(bare) - length(replace(bare, ' ', '')) < {quality.LINE_WORDS}), t AS (SELECT source, count(DISTINCT text) AS total FROM d WHERE text IS NOT NULL GROUP BY source),
- bad AS (SELECT s.source, bare FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source GROUP BY s.source, bare HAVING count(DISTINCT text) >= {quality.LEAST_DOCUMENTS} AND count(DISTINCT text) > {quality.SHARE} * max(total)),
- lost AS (SELECT rid, CAST(sum(nw) AS BIGINT) AS lost FROM s JOIN bad ON s.source IS NOT DISTINCT FROM bad.source AND s.bare = bad.bare GROUP BY rid),
- a AS (SELECT doc_id, len(w) AS n_words, CAST(length(regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '{symbols}', '', 'g')) AS BIGINT) AS n_symbols,
- coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(lost, 0) AS n_left FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid))
- SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND n_left >= CAST({quality.LEFT} AS DOUBLE) * n_words AS kept FROM a"""
+    plain = lambda line: rf"trim(regexp_replace(translate(lower({line}), '123456789', '000000000'), '{SPACE}+', ' ', 'g'), ' ')"
+    return rf"""WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS rid, {words} AS w, string_split(text, chr(10)) AS raw, list_transform(string_split(text, chr(10)), lambda x: {plain('x')}) AS plain FROM documents),
+ win AS (SELECT rid, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+ rep AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1), cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
+ l AS (SELECT rid, source, unnest(raw) AS line, unnest(plain) AS bare, generate_subscripts(raw, 1) AS k FROM d WHERE text IS NOT NULL),
+ n AS (SELECT *, len(list_filter(string_split(bare, ' '), lambda w: w <> '')) AS nw FROM l), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM n WHERE nw > 0 GROUP BY rid),
+ u AS (SELECT rid, unnest(list_distinct(plain)) AS bare FROM d WHERE text IS NOT NULL),
+ s AS (SELECT d.source, u.bare, array_to_string(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN plain[i] = u.bare THEN chr(1) ELSE raw[i] END), chr(10)) AS rest FROM u JOIN d USING (rid) WHERE u.bare <> ''),
+ t AS (SELECT source, count(*) AS total FROM d GROUP BY source), c AS (SELECT source, bare, count(DISTINCT rest) AS n FROM s GROUP BY source, bare),
+ bad AS (SELECT c.source, bare FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 10 OR n >= 2 AND n > CAST(0.1 AS DOUBLE) * total),
+ m AS (SELECT n.*, bad.bare IS NOT NULL AS hit FROM n LEFT JOIN bad ON n.source IS NOT DISTINCT FROM bad.source AND n.bare = bad.bare),
+ r AS (SELECT rid, CAST(sum(nw) FILTER (hit) AS BIGINT) AS lost, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT hit), '')) AS left_sha256 FROM m GROUP BY rid),
+ a AS (SELECT doc_id, len(w) AS n_words, CAST(length(regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+ coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(lost, 0) AS n_left, left_sha256 FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN r USING (rid))
+ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_left >= CAST(0.3 AS DOUBLE) * n_words AS kept FROM a"""
 
 
 def classes_sql(n: int = 5) -> str:

@@ -1,8 +1,8 @@
 """Rules on a document's own words, and rejection of documents that boilerplate lines deplete.
 
-Lines of every length are normalised and hashed; a line is boilerplate where enough distinct documents of a host hold
-it. A document that keeps too few of its words without such lines is rejected. A line counts once per distinct
-remaining text, so that copies don't make all of their lines boilerplate.
+Lines are normalised and hashed; a line is boilerplate where enough distinct documents of a host hold it. Such lines
+leave the text, and a document that keeps too few of its words without them is rejected. A line counts once per
+distinct remaining text, so that copies don't make all of their lines boilerplate.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, release, small_batches, written
+from .common import owned, quoted, release, small_batches, written
+from .shared_lines import host_key, line_key, split_by, text_key, texts_with
 
 #: The base rules: words a document needs, and percent of its words that may stand in repeated 8-word windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
-#: Fixed value: characters that count as symbols.
+#: Characters that count as symbols, and as white space.
 SYMBOLS = "#*$%&|<>"
-#: Line limits: documents of a host, or their share, that make a line boilerplate. LINE_WORDS is the limit of op10's SQL.
-LEAST_DOCUMENTS, SHARE, LINE_WORDS = 10, 0.1, 20
+BLANK = " \t\n\x0b\x0c\r"
+#: Line limits: distinct documents of a host, or their share of its documents, that make a line boilerplate.
+LEAST_DOCUMENTS, SHARE = 10, 0.1
 #: Share of its words that a document has to keep.
 LEFT = 0.3
 
@@ -53,93 +55,77 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def word_counts(texts: pd.Series) -> pd.DataFrame:
+def own_counts(texts: pd.Series) -> pd.DataFrame:
     release()
     rows = []
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
         words = raw.split()
-        rows.append((len(words), repeated_lines(raw), repeated_words(words)))
-    return pd.DataFrame(rows, columns=["n_words", "n_dup_lines", "n_repeat_words"])
+        rows.append((len(words), len(text) - sum(map(text.count, BLANK)), sum(map(text.count, SYMBOLS)), repeated_lines(raw), repeated_words(words)))
+    return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of a line in lower case, digits alike, blanks run together; null where it is blank."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
+def plain_lines(text: Column) -> Column:
+    """A text's lines as they are compared: lower case, digits alike, white space as single spaces, none at the ends."""
+    alike = F.translate(F.lower(text), "123456789", "000000000")
+    single = F.regexp_replace(alike, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.transform(F.split(single, "\n", -1), F.trim)
 
 
-def words_in(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")
-    return F.length(F.trim(bare)) - F.length(F.replace(F.trim(bare), F.lit(" "))) + F.when(F.trim(bare) == "", 0).otherwise(1)
+def words_in(plain: Column) -> Column:
+    """The words of such a line."""
+    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1).cast("long")
 
 
-def text_key(host: Column, text: Column) -> list[Column]:
-    """128 bits that tell texts of hosts apart, as da and db."""
-    return [F.xxhash64(text, host).alias("da"), F.xxhash64(text, host, F.lit(1)).alias("db")]
-
-
-def boilerplate(docs: DataFrame, host: str, text: str, least: int, share: float, most_words: int | None) -> DataFrame:
-    """da, db and _lines: the boilerplate lines of every distinct text of a host that has any.
+def boilerplate(docs: DataFrame, host: str, text: str, least: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """host, line (key), n of the boilerplate lines, and host, line, da, db, rest of all lines.
 
     A line counts once per distinct remaining text, which is the text less that line: copies that differ in nothing
-    but the line (a page number, a date) are one. It is boilerplate where it counts `least` times on its host, or twice and
-    more often than by `share` of the host's distinct texts. With most_words, only lines of so many words count, once
-    per distinct text, and both limits have to be met. Counts are combined before each shuffle; no group is collected
-    but the lines of one text.
+    but the line (a page number, a date) are one. It is boilerplate where it counts `least` times on its host, or
+    twice and more often than by `share` of the host's documents. Copies are combined before the shuffle.
     """
-    own = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), *text_key(F.col(f"`{host}`"), F.col(f"`{text}`")), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
-    hashed = lambda line, k: F.xxhash64(line, k)
-    whole = F.aggregate(F.transform("lines", hashed), F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
-    placed = own.withColumn("whole", whole).select("host", "da", "db", "whole", F.posexplode("lines").alias("k", "raw"))
-    if most_words:
-        placed = placed.where(words_in(F.col("raw")) <= most_words)
-    keyed = placed.select("host", "da", "db", "whole", hashed(F.col("raw"), F.col("k")).alias("h"), line_key(F.col("raw")).alias("line")).where("line is not null")
-    rest = F.first("whole").bitwiseXOR(F.bit_xor("h"))
-    lines = written(keyed.groupBy("host", "line", "da", "db").agg((F.xxhash64("da", "db") if most_words else rest).alias("rest")), "lines")
+    body, key = F.col(quoted(text)), host_key(F.col(quoted(host)))
+    rows = docs.select(key.alias("host"), *text_key(F.col(quoted(host)), body), body.alias("body"))
+    # a text's number is the XOR of its lines', each with its place; without the line's own it is that of the rest
+    numbers = F.transform(F.split("body", "\n", -1), lambda line, k: F.xxhash64(line, k))
+    own = rows.where("body is not null").select("host", "da", "db", numbers.alias("number"), F.transform(plain_lines(F.col("body")), line_key).alias("line"))
+    whole = F.aggregate("number", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    single = own.select("host", "da", "db", whole.alias("whole"), F.explode(F.arrays_zip("number", "line")).alias("z"))
+    single = single.select("host", "da", "db", "whole", "z.number", "z.line").where("line is not null")
+    rest = F.first("whole").bitwiseXOR(F.expr("bit_xor(DISTINCT number)"))
+    lines = written(single.groupBy("host", "line", "da", "db").agg(rest.alias("rest")), "lines")
     counts = lines.groupBy("host", "line", "rest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n >= 2")
-    totals = own.groupBy("host", "da", "db").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))
-    many, often = F.col("n") >= least, F.col("n") > share * F.col("total")
-    found = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(many & often if most_words else many | often)
-    found = written(found.select(F.col("host").alias("of"), F.col("line").alias("found")), "boilerplate")
-    hits = lines.join(found, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("found")))
-    return written(hits.groupBy("da", "db").agg(F.collect_list("line").alias("_lines")), "hits")
+    totals = written(rows.groupBy("host").agg(F.count("*").alias("total")), "hosts")
+    found = counts.join(totals, "host").where((F.col("n") >= least) | (F.col("n") > share * F.col("total")))
+    return written(found.select("host", "line", "n"), "boilerplate"), lines
 
 
-def judge_quality(docs: DataFrame, host: str = "source", text: str = "text", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT, most_words: int | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, host: str = "source", text: str = "text", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """docs with the columns of the verdict, in place of any that bear their names.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: counts over the whole text. base_failed: too few
     words, or too many in repeated windows. n_left: words outside boilerplate lines. kept: neither failed nor
-    depleted. left_text: the text without its boilerplate lines. A null text has no words and fails. Documents with a
-    null host form one host. Repeated rows are judged alike and all kept or dropped; an empty table stays empty.
+    depleted. left_text: the text without its boilerplate lines. A null text has no words and fails, and left_text
+    is null; it counts as one of its host's documents. Documents with a null host form one host. Repeated rows are
+    judged alike and all kept or dropped. Other columns pass through, whatever their names; an empty table stays empty.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "left_text")
-    kept = [c for c in docs.columns if c.lower() not in made]
-    hits = boilerplate(docs, host, text, least, share, most_words)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    docs = small_batches(docs)
+    names, own = owned(docs, made, text)
+    found, lines = boilerplate(docs, host, text, least, share)
+    keyed = docs.select(own, F.col(quoted(text)).alias("body"), *text_key(F.col(quoted(host)), F.col(quoted(text))))
+    clean, maybe = split_by(keyed, texts_with(lines, found))
+    hits = F.transform(plain_lines(F.col("body")), lambda line: F.coalesce(F.array_contains("lines", line_key(line)), F.lit(False)))
+    marked = maybe.select("own", "body", F.when(F.col("lines").isNotNull(), hits).alias("hits"), plain_lines(F.col("body")).alias("plain"))
+    gone = F.filter("plain", lambda line, k: F.element_at("hits", k + 1))
+    lost = F.aggregate(gone, F.lit(0).cast("long"), lambda n, line: n + words_in(line))
+    stay = F.array_join(F.filter(F.split("body", "\n", -1), lambda line, k: ~F.element_at("hits", k + 1)), "\n")
+    marked = marked.select("own", "body", F.when(F.col("hits").isNull(), 0).otherwise(lost).alias("lost"), F.when(F.col("hits").isNull(), F.col("body")).otherwise(stay).alias("left_text"))
+    both = clean.select("own", "body", F.lit(0).cast("long").alias("lost"), F.col("body").alias("left_text")).union(marked)
+
     # declared nondeterministic so that a filter on the verdict doesn't make the optimizer evaluate it twice
-    count = F.pandas_udf(word_counts, "n_words long, n_dup_lines long, n_repeat_words long").asNondeterministic()
-    da, db = text_key(F.col(f"`{host}`"), F.col(f"`{text}`"))
-    keyed = small_batches(docs).select(*[F.col(f"`{c}`") for c in kept], da.alias("_da"), db.alias("_db"))
-    told = hits.select(F.col("da").alias("_da"), F.col("db").alias("_db"), "_lines")
-    # only texts that have such lines are shuffled
-    clean = likely(keyed, "_da", hits, "da", absent=True).withColumn("_lines", F.lit(None).cast(hits.schema["_lines"].dataType))
-    maybe = likely(keyed, "_da", hits, "da").join(told, ["_da", "_db"], "left")
-    failed = (F.col("_n.n_words") < LEAST_WORDS) | (100 * F.col("_n.n_repeat_words") > MOST_REPEATED * F.col("_n.n_words"))
-    bare = F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")
-
-    def judged(df: DataFrame, lost: Column, left_text: Column) -> DataFrame:
-        return df.withColumn("_n", count(body)).select(
-            *[F.col(f"`{c}`") for c in kept],
-            "_n.n_words", F.length(bare).cast("long").alias("word_chars"), (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            "_n.n_dup_lines", "_n.n_repeat_words", failed.alias("base_failed"), (F.col("_n.n_words") - lost).alias("n_left"), left_text.alias("left_text"),
-        )
-
-    hit = lambda line: F.coalesce(F.array_contains("_lines", line_key(line)), F.lit(False))
-    parts = F.split(body, "\n", -1)
-    lost = F.aggregate(F.filter(parts, hit), F.lit(0).cast("long"), lambda n, line: n + words_in(line).cast("long"))
-    cut = F.array_join(F.filter(parts, lambda line: ~hit(line)), "\n")
-    has = F.col("_lines").isNotNull()
-    out = judged(clean, F.lit(0).cast("long"), F.col(f"`{text}`")).union(judged(maybe, F.when(has, lost).otherwise(0), F.when(has, cut).otherwise(F.col(f"`{text}`"))))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= left * F.col("n_words")))
+    count = F.pandas_udf(own_counts, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").asNondeterministic()
+    told = both.withColumn("n", count(F.coalesce("body", F.lit("")))).select("own", "body", "lost", "left_text", "n.*")
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    told = told.withColumns({"base_failed": failed, "n_left": F.col("n_words") - F.col("lost")})
+    return told.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= left * F.col("n_words"))).select(*names, *made)

@@ -11,7 +11,7 @@ from .line_dedup import drop_boilerplate
 from .ngram_join import ngram_classes
 from .oracles import ORACLES
 from .packing import pack_documents
-from .quality import LINE_WORDS, judge_quality
+from .quality import judge_quality
 from .repeats import cut_repeats, removed_digest
 from .token_shards import token_shards
 from .url_filter import judge_urls
@@ -66,8 +66,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), most_words=LINE_WORDS)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left", F.sha2(F.encode("left_text", "UTF-8"), 256).alias("left_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_repeats, op3_warc, op4_url_filter, op5_packing, op6_token_shards, op7_line_dedup, op8_word_bpe, op9_fingerprints, op10_quality)}
