@@ -116,13 +116,13 @@ def _passed(df: DataFrame, column: str, words: DataFrame, absent: bool = False)
     return joined.where(~hit if absent else hit).drop("_word", "_bits")
 
 
-def likely(df: DataFrame, column: str, ids: DataFrame, of: str, absent: bool = False) -> DataFrame:
+def likely(df: DataFrame, column: str, ids: DataFrame, of: str) -> DataFrame:
     """The rows of df, whose columns are our own, whose column may be among ids.of.
 
     The filter is broadcast and has FILTER_BITS bits. When the ids outgrow it, it lets more rows pass; an exact
     join has to follow.
     """
-    return _passed(df, column, _words(ids, of), absent)
+    return _passed(df, column, _words(ids, of))
 
 
 def parted(df: DataFrame, column: str, ids: DataFrame, of: str) -> tuple[DataFrame, DataFrame]:

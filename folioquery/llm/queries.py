@@ -12,7 +12,7 @@ from .ngram_join import ngram_classes
 from .oracles import ORACLES
 from .packing import pack_documents
 from .quality import judge_quality
-from .repeats import cut_repeats, removed_digest
+from .repeats import PASSAGE, cut_repeats, removed_digest
 from .token_shards import token_shards
 from .url_filter import judge_urls
 from .warc import round_trip
@@ -32,7 +32,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_digest(cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return removed_digest(cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

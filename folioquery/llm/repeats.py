@@ -1,42 +1,52 @@
-"""Byte strings that stand anywhere else in the corpus, found over an enhanced suffix array and cut out.
-
-A window of LENGTH bytes is repeated if it also starts elsewhere, in the same document or another. Every
-window names an anchor, the smallest rolling hash of GRAM bytes in it (the rightmost of equal ones), so equal
-windows name equal anchors at equal offsets. Windows of one document with one anchor form a run. Only
-anchors that occur twice matter, and their runs are decided in three steps:
-
-1. Runs with the same bytes around the same anchor are repeated as they are (counting, no bytes move).
-2. Where an anchor has runs that differ, the bytes of one run of each kind are gathered by anchor. The
-   suffixes that start at anchors are sorted, neighbours' common prefixes give the enhanced suffix array,
-   and a stack scan lists its intervals. In each, the bytes to the left are compared: where they are all
-   the same the interval is no maximal repeat by itself; otherwise all its occurrences, not just neighbours,
-   get the longest match to the left and, with the interval's to the right, their repeated windows.
-3. Anchors with more kinds than GROUP are first split by offset: half the offsets, and the bytes that all
-   windows at those offsets have in common. Runs that share such a core stay together, the others part, so no
-   large group meets in one task; kinds that agree wholly at these offsets are decided by counting again.
-
-Every shuffle is by a key whose groups are counted or bounded; lists are gathered per document or per kind.
+"""Strings that stand anywhere else in the corpus, found over an enhanced suffix array and cut out.
+
+Texts are read as symbols: their bytes, or their words (64 bits of each). A window of LENGTH symbols is repeated
+if it also starts elsewhere, in the same document or another. Every window names an anchor, the smallest rolling
+hash of GRAM symbols in it (the rightmost of equal ones), so equal windows name equal anchors at equal offsets.
+Windows of one document with one anchor form a run; the symbols that its windows cover are its surroundings.
+
+1. Only anchors that stand in two places matter. Runs with the same surroundings are one kind, with a count.
+2. The surroundings of one run of each kind are gathered by anchor. The suffixes that start at the anchors are
+   sorted (a kind that stands twice or more has two equal ones), neighbours' common prefixes give the enhanced
+   suffix array, and a stack scan lists the intervals of its common-prefix tree.
+3. The occurrences of an interval are told apart by what stands to their left: in the order of their reversed left
+   sides a second scan lists the sets that agree on so many symbols and differ in the next. A set with such a
+   left-extension diversity, which no child of the interval holds alone, is a maximal repeat with all its
+   occurrences; those of LENGTH symbols or more are the result, and every covered symbol comes from one of them.
+4. Anchors with more kinds than GROUP are first split by offset: half the offsets, and the symbols that all
+   windows at those offsets have in common. Runs that share such a core stay together, the others part, and kinds
+   that have become equal are counted as one, so no large group meets in one task.
+
+A repeat is maximal within the surroundings of its anchor: a longer one comes as overlapping repeats, one for each
+anchor on its way. Every shuffle is by a key whose groups are counted or bounded; lists are gathered per document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, release, small_batches, written
+from .common import hot_keys, likely, owned, parted, quoted, release, salted_join, small_batches, written
 from .rolling import Prefix, winnow
 
+#: The window and the gram in bytes, and those of passages in words.
 LENGTH, GRAM = 400, 40
+PASSAGE, PASSAGE_GRAM = 51, 8
 #: Kinds of one anchor that are sorted in one task.
-GROUP = 256
+GROUP = 128
 #: Windows of a document that are hashed at a time.
 SLICE = 1 << 19
 
 RUN = "h long, c long, pos long, left int, right int"
+SHAPE = ["h", "c", "left", "right"]
+KIND = ["h", "kind", "low", "high", "left", "copies", "data"]
+KIND_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+KIND_SHAPE = "h long, kind long, low int, high int, left int, copies long, data binary"
 
 
 def text_key(text: Column) -> list[Column]:
@@ -44,10 +54,25 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("ka"), F.xxhash64(text, F.lit(1)).alias("kb")]
 
 
+def symbols(raw: bytes, words: bool) -> np.ndarray:
+    """A text's bytes, or 64 bits of each of its words, which white space of ASCII parts."""
+    if not words:
+        return np.frombuffer(raw, np.uint8)
+    from xxhash import xxh3_64_intdigest
+
+    parts = raw.split()
+    return np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Symbols as bytes, most significant first, so that bytes compare as symbols do."""
+    return values.tobytes() if values.dtype == np.uint8 else values.astype(">u8").tobytes()
+
+
 def runs_of(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Per run: anchor hash, hash of the run's bytes, anchor position, bytes before the anchor, windows in the run less one.
+    """Per run: anchor hash, hash of the surroundings, anchor position, symbols before the anchor, windows in the run less one.
 
-    The windows of a run start at left bytes before the anchor and go on for `right` more positions.
+    The windows of a run start at `left` symbols before the anchor and go on for `right` more positions.
     """
     out = []
     for start in range(0, max(0, len(raw) - length + 1), SLICE):
@@ -91,24 +116,31 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return found
 
 
-def repeated_offsets(kinds: list[tuple[bytes, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For kinds (bytes of a run, bytes before its anchor) of one anchor: the window offsets o, as ranges, at which
-    the window that starts o bytes before the anchor is also another kind's."""
-    order = sorted(range(len(kinds)), key=lambda k: kinds[k][0][kinds[k][1] :])
-    right = [kinds[k][0][kinds[k][1] :] for k in order]
-    left = [kinds[k][0][: kinds[k][1]][::-1] for k in order]
-    lcp = [0] + [common_prefix(a, b) for a, b in zip(right, right[1:])]
-    found: list[list[tuple[int, int]]] = [[] for _ in kinds]
+def maximal_repeats(kinds: list[tuple[bytes, int, int]], length: int, unit: int = 1) -> list[list[tuple[int, int, int]]]:
+    """For kinds (surroundings, symbols before the anchor, count) of one anchor: the maximal repeats over the anchor
+    of `length` symbols or more, each as all its occurrences (kind, symbols before the anchor, symbols from it on)."""
+    # two equal suffixes stand for all occurrences of a kind
+    entries = [k for k, (_, _, copies) in enumerate(kinds) for _ in range(2 if copies > 1 else 1)]
+    right = [data[left * unit :] for data, left, _ in kinds]
+    back = [np.frombuffer(data[: left * unit], f"V{unit}")[::-1].tobytes() for data, left, _ in kinds]
+    order = sorted(entries, key=right.__getitem__)
+    lcp = [0] + [common_prefix(right[a], right[b]) // unit for a, b in zip(order, order[1:])]
+    most = max(len(x) for x in back) // unit
+    found = []
     for match, a, b in intervals(lcp):
-        if b == a:
+        if b == a or match + most < length:
+            continue
+        rows = sorted(range(a, b + 1), key=lambda x: back[order[x]])
+        near = [0] + [common_prefix(back[order[x]], back[order[y]]) // unit for x, y in zip(rows, rows[1:])]
+        if match + max(near) < length:
             continue
-        # extend to the left: neighbours in the order of the reversed bytes before the anchor have the longest match
-        rows = sorted(range(a, b + 1), key=left.__getitem__)
-        near = [common_prefix(left[x], left[y]) for x, y in zip(rows, rows[1:])]
-        for k, row in enumerate(rows):
-            back = max(near[k - 1] if k else 0, near[k] if k < len(near) else 0)
-            if back + match >= length:
-                found[order[row]].append((max(0, length - match), back))
+        for before, c, d in intervals(near):
+            if d == c or match + before < length:
+                continue
+            # the left order's interval differs to the left; it differs to the right unless one child has all of it
+            members = rows[c : d + 1]
+            if min(lcp[min(members) + 1 : max(members) + 1]) == match:
+                found.append([(k, before, match) for k in dict.fromkeys(order[x] for x in members)])
     return found
 
 
@@ -123,16 +155,20 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def occurrences(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """ka, kb and the runs of every text of at least `length` bytes."""
+def long_enough(text: str, length: int, words: bool) -> Column:
+    """Whether a text has bytes enough for a window."""
+    return F.octet_length(F.col(quoted(text))) >= (2 * length - 1 if words else length)
+
+
+def occurrences(docs: DataFrame, text: str, length: int, gram: int, words: bool) -> DataFrame:
+    """ka, kb and the runs of every text of at least `length` symbols."""
 
     def run(batches):
         release()
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in range(2)]
             for i, value in enumerate(batch.column(2)):
-                raw = np.frombuffer(value.as_buffer(), np.uint8)
-                columns = runs_of(raw, length, gram)
+                columns = runs_of(symbols(value.as_buffer().to_pybytes(), words), length, gram)
                 if n := len(columns[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, keys[0][i])), pa.array(np.full(n, keys[1][i])), *map(pa.array, columns)], names=names)
 
@@ -149,27 +185,31 @@ def occurrences(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     names = ["ka", "kb", "h", "c", "pos", "left", "right"]
-    long = docs.where(F.octet_length(F.col(f"`{text}`")) >= length)
-    return long.select(*text_key(F.col(f"`{text}`")), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw")).mapInArrow(joined, f"ka long, kb long, {RUN}")
+    body = F.col(quoted(text))
+    long = docs.where(long_enough(text, length, words))
+    return long.select(*text_key(body), F.encode(body, "UTF-8").alias("raw")).mapInArrow(joined, f"ka long, kb long, {RUN}")
 
 
-def bytes_of_kinds(docs: DataFrame, text: str, wanted: DataFrame, length: int) -> DataFrame:
-    """h, kind (number), low, high (its window offsets), left and bytes of every wanted run (kind, ka, kb, h, pos, left, right)."""
-    lists = written(wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("kind", "h", "pos", "left", "right")).alias("runs")), "wanted")
-    own = docs.where(F.octet_length(F.col(f"`{text}`")) >= length).select(*text_key(F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
+def kinds_with_bytes(docs: DataFrame, text: str, kinds: DataFrame, length: int, words: bool) -> DataFrame:
+    """The columns of KIND and n, the kinds of the anchor, of every kind: low and high are the offsets of its windows."""
+    run = F.struct("kind", "h", F.col("one.pos").alias("pos"), "left", "right", "copies", "n")
+    lists = written(kinds.groupBy(F.col("one.ka").alias("ka"), F.col("one.kb").alias("kb")).agg(F.collect_list(run).alias("runs")), "wanted")
+    body = F.col(quoted(text))
+    own = docs.where(long_enough(text, length, words)).select(*text_key(body), body.alias("text"))
     # one of the copies of a text is enough; first() drops the others before the shuffle
     one = likely(own, "ka", lists, "ka").groupBy("ka", "kb").agg(F.first("text").alias("text")).join(lists, ["ka", "kb"])
 
     def cut(batches):
         for batch in batches:
             for raw, runs in zip(batch.column(0), batch.column(1).to_pylist()):
-                data = raw.as_buffer().to_pybytes()
-                rows = [(r["h"], r["kind"], r["left"] - r["right"], r["left"], r["left"], data[r["pos"] - r["left"] : r["pos"] - r["left"] + r["right"] + length]) for r in runs]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                values = symbols(raw.as_buffer().to_pybytes(), words)
+                rows = [
+                    (r["h"], r["kind"], r["left"] - r["right"], r["left"], r["left"], r["copies"], packed(values[r["pos"] - r["left"] : r["pos"] - r["left"] + r["right"] + length]), r["n"])
+                    for r in runs
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*KIND_TYPES, pa.int64()])], names=[*KIND, "n"])
 
-    names = ["h", "kind", "low", "high", "left", "data"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return one.select(F.encode("text", "UTF-8").alias("raw"), "runs").mapInArrow(cut, "h long, kind long, low int, high int, left int, data binary")
+    return one.select(F.encode("text", "UTF-8").alias("raw"), "runs").mapInArrow(cut, f"{KIND_SHAPE}, n long")
 
 
 def offsets_over(length: int) -> int:
@@ -177,141 +217,169 @@ def offsets_over(length: int) -> int:
     return 1 << length.bit_length()
 
 
-def halves(rows: DataFrame, level: int, length: int) -> DataFrame:
-    """Split kinds of large groups in two by offset. The new group is the old one, the half, and the bytes that all of its windows share."""
+def halves(rows: DataFrame, level: int, length: int, unit: int) -> DataFrame:
+    """Split kinds of large groups in two by offset. The new group is the old one, the half, and the symbols that all
+    of its windows share; `row` tells different ones of its kinds apart."""
     width = offsets_over(length) >> level
 
+    def digest(*parts: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "big", signed=True)
+
     def split(batches):
         for batch in batches:
             out = []
-            for h, kind, low, high, left, data in zip(*(batch.column(c).to_pylist() for c in names[:6])):
+            for h, kind, low, high, left, copies, data in zip(*(batch.column(c).to_pylist() for c in KIND)):
                 for k in range(low // width, high // width + 1):
                     first, last = k * width, k * width + width - 1
                     a, b = max(low, first), min(high, last)
-                    core = data[max(0, left - first) : left - last + length] if left - last + length > 0 else b""
-                    digest = hashlib.blake2b(core + b"%d,%d,%d" % (h, level, k), digest_size=8).digest()
-                    bytes_ = data[left - b : left - a + length]
-                    out.append((int.from_bytes(digest, "big", signed=True), kind, a, b, b, bytes_))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names[:6])
+                    core = data[max(0, left - first) * unit : (left - last + length) * unit] if left - last + length > 0 else b""
+                    group = digest(core, b"%d,%d,%d" % (h, level, k))
+                    part = data[(left - b) * unit : (left - a + length) * unit]
+                    out.append((group, kind, a, b, b, copies, part, digest(part, b"%d,%d,%d" % (group, a, b))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate([*KIND_TYPES, pa.int64()])], names=[*KIND, "row"])
+
+    return rows.select(*KIND).mapInArrow(split, f"{KIND_SHAPE}, row long")
 
-    names = ["h", "kind", "low", "high", "left", "data"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return rows.select(*names).mapInArrow(split, "h long, kind long, low int, high int, left int, data binary")
 
+def repeats_of_groups(rows: DataFrame, length: int, unit: int, each: bool) -> DataFrame:
+    """kind, a, b (from the anchor, b excluded) of the maximal repeats of groups of at most GROUP rows.
 
-def sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """kind, low, high: repeated window offsets of the kinds of groups of at most GROUP rows."""
+    With each, a row for every repeat and occurrence, and `repeat`, 64 bits of its symbols; else the ranges that
+    a kind's repeats cover together, and a null.
+    """
 
     def scan(batches):
-        held: dict[int, list] = {}
+        held: list = []
         now = None
         for batch in batches:
             out = []
-            for h, kind, left, data in zip(*(batch.column(c).to_pylist() for c in ("h", "kind", "left", "data"))):
+            for h, kind, left, copies, data in zip(*(batch.column(c).to_pylist() for c in ("h", "kind", "left", "copies", "data"))):
                 if h != now:
-                    out += decide(held.pop(now, []))
-                    now = h
-                held.setdefault(h, []).append((kind, left, data))
+                    out += decide(held)
+                    now, held = h, []
+                held.append((kind, data, left, copies))
             yield result(out)
-        yield result(decide(held.pop(now, [])))
+        yield result(decide(held))
 
     def decide(group):
-        if len(group) < 2:
+        if len(group) < 2 and not (group and group[0][3] > 1):
             return []
-        found = repeated_offsets([(data, left) for _, left, data in group], length)
-        return [(group[k][0], a, b) for k, ranges in enumerate(found) for a, b in merged(ranges)]
+        found = maximal_repeats([x[1:] for x in group], length, unit)
+        if each:
+            out = []
+            for members in found:
+                k, before, match = members[0]
+                _, data, left, _ = group[k]
+                string = data[(left - before) * unit : (left + match) * unit]
+                name = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
+                out += [(group[k][0], -before, match, name) for k, before, match in members]
+            return out
+        ranges: dict[int, list] = {}
+        for members in found:
+            for k, before, match in members:
+                ranges.setdefault(k, []).append((-before, match - 1))
+        return [(group[k][0], a, b + 1, None) for k, own in ranges.items() for a, b in merged(own)]
 
     def result(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["kind", "low", "high"])
-
-    types = [pa.int64(), pa.int32(), pa.int32()]
-    return rows.repartition("h").sortWithinPartitions("h", "kind").select("h", "kind", "left", "data").mapInArrow(scan, "kind long, low int, high int")
-
-
-def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """ka, kb, spans array<struct<a, b>>: covered byte ranges (b excluded, unmerged) of every distinct text that has any."""
-    runs = written(occurrences(docs, text, length, gram), "runs")
-    shape = ["h", "c", "left", "right"]
-    place = F.struct("ka", "kb", "pos")
-    kinds = runs.groupBy(*shape).agg(F.min(place).alias("one"), F.max(place).alias("other"))
-    kinds = kinds.withColumn("multi", F.col("one") != F.col("other"))
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("n"), F.max("multi").alias("twice")).where("n > 1 or twice")
-    kinds = written(kinds.join(anchors, "h").select(*shape, "one", "multi", "n", F.monotonically_increasing_id().alias("kind")), "kinds")
-
-    mixed = kinds.where("n > 1")
-    wanted = mixed.select("kind", "h", F.col("one.ka").alias("ka"), F.col("one.kb").alias("kb"), F.col("one.pos").alias("pos"), "left", "right")
-    held = bytes_of_kinds(docs, text, wanted, length)
-    sizes = mixed.groupBy("n").agg(F.count("*").alias("rows"))
-    large = sizes.where(F.col("n") > GROUP).limit(1).count() > 0
-    whole = kinds.where("multi").select("kind", (F.col("left") - F.col("right")).alias("low"), F.col("left").alias("high"))
-    found = whole
-    if not large:
-        found = found.union(sorted_groups(held, length))
-    else:
-        rows = written(held.join(mixed.select("kind", "n"), "kind"), "bytes")
-        found = found.union(sorted_groups(rows.where(F.col("n") <= GROUP), length))
-        rows, level = rows.where(F.col("n") > GROUP), 1
-        while offsets_over(length) >> level:
-            rows = written(halves(rows, level, length), "halves")
-            same = F.xxhash64("data", "low", "high")
-            told = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(same).alias("x"), F.max(same).alias("y")).where("n > 1")
-            rows = rows.join(written(told, "cores"), "h")
-            found = found.union(rows.where("x = y").select("kind", "low", "high"))
-            rows = rows.where("x <> y")
-            found = found.union(sorted_groups(rows.where(F.col("n") <= GROUP), length))
-            rows = rows.where(F.col("n") > GROUP)
-            if rows.limit(1).count() == 0:
-                break
-            level += 1
-    found = written(found, "offsets")
-    ranges = found.join(kinds.select("kind", *shape), "kind").select(*shape, "low", "high").distinct()
-    spans = runs.join(written(ranges, "ranges"), shape).select("ka", "kb", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + length).alias("b")).distinct()
-    return written(spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-
-
-def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, least_words: int = 0) -> DataFrame:
-    """docs and n_bytes, n_removed, n_spans, kept_bytes: what is left without the bytes of repeated windows.
-
-    With least_words, only joined ranges of windows that hold so many words (a word cut at an edge is one) go.
-    Windows are judged on the input. Texts that occur twice are repeated from end to end if they have `length`
-    bytes. A null text has no bytes. Repeated rows count as occurrences of each other. Null and equal
-    numbers don't matter: texts are told apart by 128 bits of hash. Columns of docs with these names are
-    replaced, others pass through. An empty table stays empty.
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["kind", "a", "b", "repeat"])
+
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    dealt = rows.repartition("h").sortWithinPartitions("h", "kind")
+    return dealt.select("h", "kind", "left", "copies", "data").mapInArrow(scan, "kind long, a int, b int, repeat long")
+
+
+def placed_repeats(docs: DataFrame, text: str, length: int, gram: int, words: bool, each: bool = False) -> DataFrame:
+    """ka, kb, a, b (in symbols, b excluded), repeat: where repeats stand in the distinct texts; see repeats_of_groups for each."""
+    unit = 8 if words else 1
+    runs = written(occurrences(docs, text, length, gram, words), "runs")
+    often = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    near = written(likely(runs, "h", often, "h"), "near")
+    kinds = near.groupBy(*SHAPE).agg(F.min(F.struct("ka", "kb", "pos")).alias("one"), F.count("*").alias("copies"))
+    kinds = written(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    anchors = written(kinds.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n"), "anchors")
+    rows = written(kinds_with_bytes(docs, text, kinds.join(anchors, "h"), length, words), "bytes")
+    found = written(repeats_of_groups(rows.where(F.col("n") <= GROUP), length, unit, each), "found")
+    rows, level = rows.where(F.col("n") > GROUP), 1
+    while rows.limit(1).count():
+        split = written(halves(rows, level, length, unit), "halves")
+        # kinds that are equal at these offsets are one; the largest width is 1, where all kinds of a group are
+        one = split.groupBy("h", "row").agg(*[F.first(c).alias(c) for c in ("low", "high", "left", "data")], F.sum("copies").alias("copies"))
+        one = written(one.withColumnRenamed("row", "kind"), "distinct")
+        told = written(one.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n"), "cores")
+        some = repeats_of_groups(one.join(told.where(F.col("n") <= GROUP), "h"), length, unit, each)
+        here = split.select("kind", "row").join(some.withColumnRenamed("kind", "row"), "row").select("kind", "a", "b", "repeat")
+        found = found.union(written(here, "found"))
+        rows, level = split.join(told.where(F.col("n") > GROUP), "h").select(*KIND), level + 1
+    ranges = written(found.join(kinds.select("kind", *SHAPE), "kind").select(*SHAPE, "a", "b", "repeat").distinct(), "ranges")
+    return near.join(ranges, SHAPE).select("ka", "kb", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), "repeat").distinct()
+
+
+def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """repeat, size, ka, kb, start: the maximal repeats of `length` symbols or more, with all their occurrences.
+
+    repeat: 64 bits of the string. ka, kb: the text, see text_key; equal texts are one. A repeat that stands once in
+    one distinct text stands in two rows with that text. Positions and sizes are in bytes, or in words with words.
     """
-    made = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
-    names = [c for c in docs.columns if c.lower() not in made]
-    own = small_batches(docs).select(*[F.col(f"`{c}`") for c in names])
-    spans = repeated_windows(docs, text, length, gram)
-    ka, kb = text_key(F.col(f"`{text}`"))
-    twice = docs.where(F.octet_length(F.col(f"`{text}`")) >= length).groupBy(ka, kb).agg(F.count("*").alias("copies"), F.max(F.octet_length(F.col(f"`{text}`"))).cast("long").alias("size")).where("copies > 1")
-    whole = twice.select("ka", "kb", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))).alias("spans"))
-    spans = written(spans.join(whole.select("ka", "kb"), ["ka", "kb"], "left_anti").union(whole), "cover")
-
-    keyed = own.withColumns({"_ka": ka, "_kb": kb})
-    clean = likely(keyed, "_ka", spans, "ka", absent=True).withColumn("_spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-    maybe = likely(keyed, "_ka", spans, "ka").join(spans.select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), F.col("spans").alias("_spans")), ["_ka", "_kb"], "left")
-    raw = F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"").cast("binary"))
-    clean = clean.select(*[F.col(f"`{c}`") for c in names], F.length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept_bytes"))
-
-    @F.pandas_udf("n_removed long, n_spans long, kept_bytes binary")
-    def cut(raws, starts, stops):
+    found = placed_repeats(small_batches(docs), text, length, gram, words, each=True)
+    return found.select("repeat", (F.col("b") - F.col("a")).alias("size"), "ka", "kb", F.col("a").alias("start"))
+
+
+def covered(docs: DataFrame, text: str, length: int, gram: int, words: bool) -> DataFrame:
+    """ka, kb, spans array<struct<a, b>>: ranges of symbols that repeats cover (b excluded, unmerged), of every distinct text that has any."""
+    found = placed_repeats(docs, text, length, gram, words)
+    return written(found.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+
+
+def word_edges(data: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+
+
+def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, words: bool = False, passage: int = 0) -> DataFrame:
+    """docs and n_bytes, n_removed, n_spans, kept_bytes: what is left without the repeated windows of `length` symbols.
+
+    Symbols are bytes; with words, they are words, and white space around a removed passage stays. With passage, a
+    column n_passage_words tells how many words stand in passages of so many words that are repeated; they are not
+    removed for that. Windows are judged on the input, and all occurrences go. A null text has no bytes. Repeated rows
+    count as occurrences of each other. Null and equal numbers don't matter: texts are told apart by 128 bits of hash.
+    Columns of docs with these names are replaced, others pass through, whatever they are called. An empty table
+    stays empty.
+    """
+    made = ["n_bytes", "n_removed", "n_spans", "kept_bytes"] + ["n_passage_words"] * bool(passage)
+    docs = small_batches(docs)
+    names, own = owned(docs, made, text)
+    body = F.col(quoted(text))
+    ka, kb = text_key(body)
+    spans = covered(docs, text, length, gram, words)
+    other = covered(docs, text, passage, PASSAGE_GRAM, True) if passage else spans.where("false")
+    spans = written(spans.join(other.withColumnRenamed("spans", "passages"), ["ka", "kb"], "full"), "cover")
+
+    clean, maybe = parted(docs.select(own, body.alias("body"), ka, kb), "ka", spans, "ka")
+    raw = F.coalesce(F.encode(F.col("body"), "UTF-8"), F.lit(b"").cast("binary"))
+    none = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept_bytes"), F.lit(0).cast("long").alias("n_passage_words")]
+    clean = clean.select("own", "body", F.length(raw).cast("long").alias("n_bytes"), *none)
+    # all copies of a text have one key
+    maybe = salted_join(maybe, spans, ["ka", "kb"], hot_keys(maybe, ["ka", "kb"]))
+
+    @F.pandas_udf("n_removed long, n_spans long, kept_bytes binary, n_passage_words long")
+    def cut(raws, starts, stops, passage_starts, passage_stops):
         import pandas as pd
 
         rows = []
-        for data, a, b in zip(raws, starts, stops):
-            if a is None or len(a) == 0:
-                rows.append((0, 0, data))
-                continue
-            cover = merged(list(zip(a.tolist(), (b - 1).tolist())))
-            if least_words:
-                cover = [(a, b) for a, b in cover if len(data[a : b + 1].split()) >= least_words]
+        for data, a, b, c, d in zip(raws, starts, stops, passage_starts, passage_stops):
+            inside = sum(y + 1 - x for x, y in merged(list(zip(c.tolist(), (d - 1).tolist())))) if c is not None else 0
+            cover = merged(list(zip(a.tolist(), (b - 1).tolist()))) if a is not None else []
+            if words and cover:
+                at = word_edges(data)
+                cover = [(at[x][0], at[y][1] - 1) for x, y in cover]
             edges = [0, *(x for a, b in cover for x in (a, b + 1)), len(data)]
-            rows.append((sum(b + 1 - a for a, b in cover), len(cover), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
-        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_bytes"])
+            rows.append((sum(b + 1 - a for a, b in cover), len(cover), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), inside))
+        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_bytes", "n_passage_words"])
 
-    maybe = maybe.withColumn("_cut", cut(raw, F.col("_spans.a"), F.col("_spans.b"))).select(*[F.col(f"`{c}`") for c in names], F.length(raw).cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.n_spans", "_cut.kept_bytes")
-    return clean.union(maybe)
+    done = maybe.select("own", "body", F.length(raw).cast("long").alias("n_bytes"), cut(raw, F.col("spans.a"), F.col("spans.b"), F.col("passages.a"), F.col("passages.b")).alias("cut"))
+    done = done.select("own", "body", "n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_bytes", "cut.n_passage_words")
+    return clean.union(done).select(*names, *made)
 
 
 def removed_digest(cut: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    return cut.select(F.col(id_column).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    more = [c for c in cut.columns if c == "n_passage_words"]
+    return cut.select(F.col(quoted(id_column)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), *more)
