@@ -15,13 +15,9 @@ from folioquery.llm.ngram_join import ngram_classes
 from folioquery.llm.packing import pack_documents
 from folioquery.llm.quality import judge_quality
 from folioquery.llm.queries import END_ID, vocabulary
-from folioquery.llm.repeats import cut_repeats
+from folioquery.llm.repeats import PASSAGE, PASSAGE_GRAM, cut_repeats
 
 CAPACITY = 1024
-#: Distinct pages that a shared line needs besides its share of the host's pages.
-SHARING_PAGES = 2
-#: A passage that goes has over 50 words; 51 words have at least 101 bytes, so windows of that length meet each of them.
-PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 101, 24
 
 
 def shaped(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -35,8 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their host go; two pages can share one, whatever the host's size."""
-    return shaped(drop_boilerplate(docs, least=SHARING_PAGES), docs)
+    """Lines that are boilerplate of their host go. Equal texts are one page here, as copies are still there."""
+    return shaped(drop_boilerplate(docs, distinct=True), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words that stand elsewhere too go; a character cut in the middle goes with them.
-
-    Where a passage goes, replacement characters (U+FFFD) of the text go too.
-    """
-    cut = cut_repeats(docs.withColumnRenamed("text", "_text"), "_text", PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS)
-
-    left = F.replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return shaped(cut.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("_text"))), docs)
+    """Passages of over 50 words that stand elsewhere too go, at every place; white space around them stays."""
+    cut = cut_repeats(docs, "text", PASSAGE, PASSAGE_GRAM, words=True)
+    return shaped(cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_bytes").cast("string"))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +60,7 @@ STAGES = [
     ("repeated_passages", repeated_passages),
     ("packing", packing),
 ]
-#: Exact set joins and byte repeats are beyond SQL; tests hold the stages against brute force.
+#: Repeated passages and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
