@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -30,11 +32,18 @@ def held(name: str, make) -> object:
 
 
 def release() -> None:
-    """In a worker: let go of the tables that tasks of other operators have left."""
+    """In a worker: let go of what tasks of other operators have left, and give freed memory back to the machine."""
     if _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

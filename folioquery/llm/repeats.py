@@ -24,14 +24,13 @@ anchor on its way. Every shuffle is by a key whose groups are counted or bounded
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, likely, owned, parted, quoted, release, salted_join, small_batches, written
+from .common import hot_keys, likely, owned, parted, quoted, salted_join, small_batches, trim, written
 from .rolling import Prefix, winnow
 
 #: The window and the gram in bytes, and those of passages in words.
@@ -39,8 +38,10 @@ LENGTH, GRAM = 400, 40
 PASSAGE, PASSAGE_GRAM = 51, 8
 #: Kinds of one anchor that are sorted in one task.
 GROUP = 128
-#: Windows of a document that are hashed at a time.
-SLICE = 1 << 19
+#: Windows of a document that are hashed at a time, bytes of small documents that are, and bytes of a very long word.
+SLICE, TOGETHER, LONG_WORD = 1 << 19, 1 << 18, 1 << 16
+#: Fixed value: the white space of ASCII.
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 RUN = "h long, c long, pos long, left int, right int"
 SHAPE = ["h", "c", "left", "right"]
@@ -54,14 +55,32 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("ka"), F.xxhash64(text, F.lit(1)).alias("kb")]
 
 
-def symbols(raw: bytes, words: bool) -> np.ndarray:
-    """A text's bytes, or 64 bits of each of its words, which white space of ASCII parts."""
-    if not words:
-        return np.frombuffer(raw, np.uint8)
+def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes start and end; white space of ASCII parts them."""
+    inside = np.concatenate([[False], ~SPACE[raw], [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2]
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64 bits of each word, from rolling hashes of SLICE bytes at a time; of a very long word from its bytes as a whole."""
     from xxhash import xxh3_64_intdigest
 
-    parts = raw.split()
-    return np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
+    out = np.zeros(len(start), np.uint64)
+    edges = np.searchsorted(start, np.arange(0, len(raw) + SLICE, SLICE))
+    for low, a, b in zip(range(0, len(raw), SLICE), edges, edges[1:]):
+        short = np.flatnonzero(stop[a:b] - start[a:b] <= LONG_WORD) + a
+        if len(short):
+            out[short] = Prefix(raw[low : stop[short[-1]]]).ranges(start[short] - low, stop[short] - low)
+    for k in np.flatnonzero(stop - start > LONG_WORD):
+        out[k] = xxh3_64_intdigest(raw[start[k] : stop[k]].tobytes())
+    return out
+
+
+def symbols(raw: bytes, words: bool) -> np.ndarray:
+    """A text's bytes, or 64 bits of each of its words."""
+    values = np.frombuffer(raw, np.uint8)
+    return word_hashes(values, *word_edges(values)) if words else values
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -69,23 +88,35 @@ def packed(values: np.ndarray) -> bytes:
     return values.tobytes() if values.dtype == np.uint8 else values.astype(">u8").tobytes()
 
 
-def runs_of(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Per run: anchor hash, hash of the surroundings, anchor position, symbols before the anchor, windows in the run less one.
+def runs_in(flat: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For texts that stand one after the other in flat, up to `ends`, per run: its text, and the columns of RUN.
 
-    The windows of a run start at `left` symbols before the anchor and go on for `right` more positions.
+    These are the anchor's hash, the hash of the surroundings, the anchor's position, the symbols before it, and the
+    windows in the run less one. The windows of a run start at `left` symbols before the anchor.
     """
+    if len(flat) < length:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32))
+    prefix = Prefix(flat)
+    grams = prefix.windows(gram)
+    anchor = winnow(grams, length - gram + 1)
+    size = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(ends)), size)[: len(anchor)]
+    start = np.flatnonzero(ends[text] - np.arange(len(anchor)) >= length)
+    own = anchor[start]
+    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else start
+    last = start[np.r_[first[1:], len(start)] - 1] if len(start) else start
+    first, at = start[first], own[first]
+    text = text[first]
+    return text, grams[at].view(np.int64), prefix.ranges(first, last + length).view(np.int64), at - (ends - size)[text], (at - first).astype(np.int32), (last - first).astype(np.int32)
+
+
+def runs_of(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The columns of RUN for one text, SLICE windows at a time."""
     out = []
-    for start in range(0, max(0, len(raw) - length + 1), SLICE):
+    for start in range(0, max(1, len(raw) - length + 1), SLICE):
         part = raw[start : start + SLICE + length - 1]
-        prefix = Prefix(part)
-        grams = prefix.windows(gram)
-        anchor = winnow(grams, length - gram + 1)
-        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        last = np.r_[first[1:], len(anchor)] - 1
-        at = anchor[first]
-        out.append((grams[at].view(np.int64), prefix.ranges(first, last + length).view(np.int64), at + start, (at - first).astype(np.int32), (last - first).astype(np.int32)))
-    if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32))
+        _, h, c, pos, left, right = runs_in(part, np.array([len(part)]), length, gram)
+        out.append((h, c, pos + start, left, right))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -116,9 +147,13 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return found
 
 
-def maximal_repeats(kinds: list[tuple[bytes, int, int]], length: int, unit: int = 1) -> list[list[tuple[int, int, int]]]:
-    """For kinds (surroundings, symbols before the anchor, count) of one anchor: the maximal repeats over the anchor
-    of `length` symbols or more, each as all its occurrences (kind, symbols before the anchor, symbols from it on)."""
+def common_intervals(kinds: list[tuple[bytes, int, int]], length: int, unit: int):
+    """For kinds (surroundings, symbols before the anchor, count) of one anchor, the intervals of its suffix array.
+
+    Each as the symbols from the anchor on that its suffixes share, its suffixes in the order of their reversed left
+    sides, what neighbours in that order share to the left, the kind of every suffix, and the array of common prefixes.
+    Intervals without LENGTH symbols in common to both sides are left out.
+    """
     # two equal suffixes stand for all occurrences of a kind
     entries = [k for k, (_, _, copies) in enumerate(kinds) for _ in range(2 if copies > 1 else 1)]
     right = [data[left * unit :] for data, left, _ in kinds]
@@ -126,22 +161,41 @@ def maximal_repeats(kinds: list[tuple[bytes, int, int]], length: int, unit: int
     order = sorted(entries, key=right.__getitem__)
     lcp = [0] + [common_prefix(right[a], right[b]) // unit for a, b in zip(order, order[1:])]
     most = max(len(x) for x in back) // unit
-    found = []
     for match, a, b in intervals(lcp):
-        if b == a or match + most < length:
-            continue
-        rows = sorted(range(a, b + 1), key=lambda x: back[order[x]])
-        near = [0] + [common_prefix(back[order[x]], back[order[y]]) // unit for x, y in zip(rows, rows[1:])]
-        if match + max(near) < length:
-            continue
+        if b > a and match + most >= length:
+            rows = sorted(range(a, b + 1), key=lambda x: back[order[x]])
+            near = [0] + [common_prefix(back[order[x]], back[order[y]]) // unit for x, y in zip(rows, rows[1:])]
+            if match + max(near) >= length:
+                yield match, rows, near, order, lcp
+
+
+def maximal_repeats(kinds: list[tuple[bytes, int, int]], length: int, unit: int = 1):
+    """The maximal repeats over the anchor of kinds of `length` symbols or more, each as all its occurrences
+    (kind, symbols before the anchor, symbols from it on)."""
+    for match, rows, near, order, lcp in common_intervals(kinds, length, unit):
         for before, c, d in intervals(near):
             if d == c or match + before < length:
                 continue
-            # the left order's interval differs to the left; it differs to the right unless one child has all of it
+            # its occurrences have to differ in the symbol to the left, and to the right, where else one child has all of them
             members = rows[c : d + 1]
-            if min(lcp[min(members) + 1 : max(members) + 1]) == match:
-                found.append([(k, before, match) for k in dict.fromkeys(order[x] for x in members)])
-    return found
+            if min(near[c + 1 : d + 1]) == before and min(lcp[min(members) + 1 : max(members) + 1]) == match:
+                yield [(k, before, match) for k in dict.fromkeys(order[x] for x in members)]
+
+
+def covers(kinds: list[tuple[bytes, int, int]], length: int, unit: int = 1) -> dict[int, list[tuple[int, int]]]:
+    """By kind, the ranges (both ends included, from the anchor) that its maximal repeats cover together.
+
+    In an interval, what a suffix shares most to the left with others, who differ beyond, covers what the larger sets
+    around that do. So each suffix is taken once an interval, and no set is listed.
+    """
+    found: dict[int, dict[int, int]] = {}
+    for match, rows, near, order, _ in common_intervals(kinds, length, unit):
+        for at, row in enumerate(rows):
+            before = max(near[at], near[at + 1] if at + 1 < len(near) else 0)
+            if match + before >= length:
+                own = found.setdefault(order[row], {})
+                own[match] = max(own.get(match, 0), before)
+    return {k: merged([(-before, match - 1) for match, before in own.items()]) for k, own in found.items()}
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -163,31 +217,37 @@ def long_enough(text: str, length: int, words: bool) -> Column:
 def occurrences(docs: DataFrame, text: str, length: int, gram: int, words: bool) -> DataFrame:
     """ka, kb and the runs of every text of at least `length` symbols."""
 
+    def together(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The runs of texts that stand in one array, each with the number of its text."""
+        data = np.frombuffer(b"\n".join(raws), np.uint8)
+        ends = np.cumsum([len(raw) + 1 for raw in raws])
+        if words:
+            start, stop = word_edges(data)
+            return runs_in(word_hashes(data, start, stop), np.searchsorted(start, ends), length, gram)
+        return runs_in(np.frombuffer(b"".join(raws), np.uint8), ends - np.arange(1, len(raws) + 1), length, gram)
+
+    def alone(raw: bytes) -> tuple[np.ndarray, ...]:
+        columns = runs_of(symbols(raw, words), length, gram)
+        return (np.zeros(len(columns[0]), np.int64), *columns)
+
     def run(batches):
-        release()
+        trim()
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in range(2)]
-            for i, value in enumerate(batch.column(2)):
-                columns = runs_of(symbols(value.as_buffer().to_pybytes(), words), length, gram)
-                if n := len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, keys[0][i])), pa.array(np.full(n, keys[1][i])), *map(pa.array, columns)], names=names)
-
-    def joined(batches):
-        """Batches of a few rows cost more to move than their rows."""
-        held, n = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n > 20_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            size, cuts = 0, [0]
+            raws = [x.as_buffer().to_pybytes() for x in batch.column(2)]
+            for k, raw in enumerate(raws):
+                size += len(raw)
+                if size > TOGETHER:
+                    cuts, size = [*cuts, k] if k > cuts[-1] else cuts, len(raw)
+            for a, b in zip(cuts, [*cuts[1:], len(raws)]):
+                text, *columns = alone(raws[a]) if b - a == 1 else together(raws[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(k[a:b][text]) for k in keys] + [pa.array(c) for c in columns], names=names)
 
     names = ["ka", "kb", "h", "c", "pos", "left", "right"]
     body = F.col(quoted(text))
     long = docs.where(long_enough(text, length, words))
-    return long.select(*text_key(body), F.encode(body, "UTF-8").alias("raw")).mapInArrow(joined, f"ka long, kb long, {RUN}")
+    return long.select(*text_key(body), F.encode(body, "UTF-8").alias("raw")).mapInArrow(run, f"ka long, kb long, {RUN}")
 
 
 def kinds_with_bytes(docs: DataFrame, text: str, kinds: DataFrame, length: int, words: bool) -> DataFrame:
@@ -200,6 +260,7 @@ def kinds_with_bytes(docs: DataFrame, text: str, kinds: DataFrame, length: int,
     one = likely(own, "ka", lists, "ka").groupBy("ka", "kb").agg(F.first("text").alias("text")).join(lists, ["ka", "kb"])
 
     def cut(batches):
+        trim()
         for batch in batches:
             for raw, runs in zip(batch.column(0), batch.column(1).to_pylist()):
                 values = symbols(raw.as_buffer().to_pybytes(), words)
@@ -226,6 +287,7 @@ def halves(rows: DataFrame, level: int, length: int, unit: int) -> DataFrame:
         return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "big", signed=True)
 
     def split(batches):
+        trim()
         for batch in batches:
             out = []
             for h, kind, low, high, left, copies, data in zip(*(batch.column(c).to_pylist() for c in KIND)):
@@ -264,21 +326,17 @@ def repeats_of_groups(rows: DataFrame, length: int, unit: int, each: bool) -> Da
     def decide(group):
         if len(group) < 2 and not (group and group[0][3] > 1):
             return []
-        found = maximal_repeats([x[1:] for x in group], length, unit)
-        if each:
-            out = []
-            for members in found:
-                k, before, match = members[0]
-                _, data, left, _ = group[k]
-                string = data[(left - before) * unit : (left + match) * unit]
-                name = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
-                out += [(group[k][0], -before, match, name) for k, before, match in members]
-            return out
-        ranges: dict[int, list] = {}
-        for members in found:
-            for k, before, match in members:
-                ranges.setdefault(k, []).append((-before, match - 1))
-        return [(group[k][0], a, b + 1, None) for k, own in ranges.items() for a, b in merged(own)]
+        kinds = [x[1:] for x in group]
+        if not each:
+            return [(group[k][0], a, b + 1, None) for k, own in covers(kinds, length, unit).items() for a, b in own]
+        out = []
+        for members in maximal_repeats(kinds, length, unit):
+            k, before, match = members[0]
+            data, left, _ = kinds[k]
+            string = data[(left - before) * unit : (left + match) * unit]
+            name = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
+            out += [(group[k][0], -before, match, name) for k, before, match in members]
+        return out
 
     def result(out):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["kind", "a", "b", "repeat"])
@@ -330,10 +388,6 @@ def covered(docs: DataFrame, text: str, length: int, gram: int, words: bool) ->
     return written(found.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
-def word_edges(data: bytes) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
-
-
 def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, words: bool = False, passage: int = 0) -> DataFrame:
     """docs and n_bytes, n_removed, n_spans, kept_bytes: what is left without the repeated windows of `length` symbols.
 
@@ -369,8 +423,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
             inside = sum(y + 1 - x for x, y in merged(list(zip(c.tolist(), (d - 1).tolist())))) if c is not None else 0
             cover = merged(list(zip(a.tolist(), (b - 1).tolist()))) if a is not None else []
             if words and cover:
-                at = word_edges(data)
-                cover = [(at[x][0], at[y][1] - 1) for x, y in cover]
+                start, stop = word_edges(np.frombuffer(data, np.uint8))
+                cover = [(int(start[x]), int(stop[y]) - 1) for x, y in cover]
             edges = [0, *(x for a, b in cover for x in (a, b + 1)), len(data)]
             rows.append((sum(b + 1 - a for a, b in cover), len(cover), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), inside))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_bytes", "n_passage_words"])
