@@ -1,6 +1,8 @@
-"""Jaccard join of documents over word n-grams, exact, by prefix trees.
+"""Jaccard join of documents over word n-grams by prefix trees.
 
-A document's set holds its distinct n-grams as 64-bit hashes. Equal sets are one node. Then:
+A document's set holds its distinct n-grams as 64-bit hashes; once ordered, 48 bits of them and their frequency are
+compared. Sets are told apart by 128 bits, texts by 64. But for collisions of these the join is exact. Equal sets
+are one node. Then:
 
 1. Thin out. Of every set the first half in hash order is dealt by hash, and counted: a set that has a
    partner must share a quarter of its size there (see least_shared), and most sets don't. Nothing is
@@ -22,16 +24,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, likely, release, slots, small_batches, written
+from .common import components, likely, quoted, release, slots, small_batches, written
 from .repeats import common_prefix
 from .rolling import BASE, mix
 
 WORDS = 5
 #: Sets in one block of the last step; hashes in one part of the first; text characters hashed at a time.
 BLOCK, PART, TOGETHER = 512, 1 << 21, 8 << 20
+#: Hubs that a set is held against, so that what the star step moves stays in proportion to the sets.
+HUBS = 8
 #: Sets of a family that are joined as one group, in blocks.
 FAMILY = 16 * BLOCK
 #: The threshold of 75 of 100: 7 * overlap >= 3 * (a + b) for sets of a and b.
@@ -127,7 +131,7 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
                 out = ([], [], [], [])
                 for p in np.flatnonzero(np.diff(edges)):
                     rows, counts = np.unique(row[edges[p] : edges[p + 1]], return_counts=True)
-                    for column, value in zip(out, (int(p), uid, flat[edges[p] : edges[p + 1]].tobytes(), np.stack([rows, counts], 1).astype("<u2").tobytes())):
+                    for column, value in zip(out, (int(p), uid, flat[edges[p] : edges[p + 1]].tobytes(), np.stack([rows, counts], 1).astype("<u4").tobytes())):
                         column.append(value)
                 yield batch_of(out, types, names)
                 own = pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in kept] + [pa.array([len(s) for s in sets], pa.int64())] + [pa.array(x, pa.int64()) for x in zip(*map(signature, sets))], names=[*kept, "n", "sa", "sb"])
@@ -146,11 +150,11 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
             shared = np.split(n[at] > 1, np.cumsum([len(x) for x in hashes])[:-1])
             out = ([], [], [], [])
             for (uid, _, aux), hit in zip(held, shared):
-                rows, counts = np.frombuffer(aux, "<u2").reshape(-1, 2).T
+                rows, counts = np.frombuffer(aux, "<u4").reshape(-1, 2).T
                 number = np.add.reduceat(hit.astype(np.int64), np.cumsum(counts.astype(np.int64)) - counts)
                 some = number > 0
                 if some.any():
-                    for column, value in zip(out, (part, uid, b"", np.stack([rows[some], number[some]], 1).astype("<u2").tobytes())):
+                    for column, value in zip(out, (part, uid, b"", np.stack([rows[some], number[some]], 1).astype("<u4").tobytes())):
                         column.append(value)
             yield batch_of(out, types, names)
 
@@ -161,7 +165,7 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
             found = np.zeros(rows.num_rows, np.int64)
             for _, data, aux in held:
                 if not data:
-                    row, number = np.frombuffer(aux, "<u2").reshape(-1, 2).T
+                    row, number = np.frombuffer(aux, "<u4").reshape(-1, 2).T
                     found[row] += number
             n = rows.column("n").to_numpy()
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((n > 0) & (found >= np.maximum(1, -(-n // 4))))], names=[*rows.schema.names, "likely"])
@@ -169,7 +173,7 @@ def thinned(docs: DataFrame, text: str, words: int, parts: int, kept: list[str])
     names, types = ["part", "uid", "data", "aux"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     shape = "part long, uid long, data binary, aux binary"
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    rows = docs.select(*kept, F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw")).mapInArrow(halves, shape)
+    rows = docs.select(*kept, F.encode(F.col(quoted(text)), "UTF-8").alias("raw")).mapInArrow(halves, shape)
     counted = rows.repartition(slots(docs), "part").sortWithinPartitions("part", "uid").mapInArrow(count, shape)
     back = counted.select(F.col("uid").alias("part"), "uid", "data", "aux").repartition(slots(docs), "part").sortWithinPartitions("part")
     return back.mapInArrow(gather, f"{kinds}, n long, sa long, sb long, likely boolean")
@@ -374,7 +378,10 @@ def links_of(sets: DataFrame) -> DataFrame:
     index = written(sets.mapInArrow(prefixes, "key long, node long, n long"), "index")
     hubs = index.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
     near = index.join(hubs, "key").where("node <> hub.node and 3 * n <= 4 * hub.n")
-    pairs = written(near.select(F.col("hub.node").alias("hub"), "node").distinct(), "pairs")
+    # a set goes to the hubs it shares most n-grams with; links that its other hubs would show are found in the last step
+    shared = near.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.count("*").alias("shared"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("shared").desc(), "hub"))
+    pairs = written(shared.withColumn("place", place).where(F.col("place") <= HUBS).select("hub", "node"), "pairs")
     whole = sets.select("node", "keys")
     both = pairs.join(whole, "node").join(whole.select(F.col("node").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
     links = written(star_links(both), "stars")
@@ -405,7 +412,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     Rows with equal sets are linked; rows of one number with different texts are different nodes. A null number
     is never the smallest of its component; alone, its component is null. An empty table gives no rows.
     """
-    rows = small_batches(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = small_batches(docs).select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(slots(docs), -(-size // (12 * PART)))
     all_rows = written(thinned(rows, "text", words, parts, ["doc_id", "key"]), "thinned")
@@ -417,7 +424,8 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     classes = links_of(sets)
     placed = nodes.join(classes, "node", "left").select("sa", "sb", "low", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
-    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    # written, so that the join on it can split a component that holds many of the rows
+    lowest = written(placed.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     of_set = written(placed.join(lowest, "component").select("sa", "sb", "component_id"), "of_set")
     found = all_rows.where("n > 0").join(of_set, ["sa", "sb"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(all_rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
