@@ -8,10 +8,13 @@ or digit stands on either side; one strict term, or several distinct soft ones,
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, owned, quoted
+
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [
     ("com", "/", "allow"),
@@ -20,8 +23,16 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-STRICT = ["adult", "camgirls", "escort", "escorts", "hardcore", "hentai", "milf", "nsfw", "porn", "porno", "pornhub", "sexcam", "xxx"]
-SOFT = ["amateur", "babes", "bet", "betting", "casino", "cheap", "dating", "erotic", "gamble", "hot", "loan", "loans", "nude", "pharmacy", "pills", "poker", "sex", "sexy", "slots", "teen", "viagra", "warez", "webcam"]
+#: Default terms, in English, German, Spanish and French; terms_of reads others from a table.
+STRICT = [
+    "adult", "bdsm", "bukkake", "camgirl", "camgirls", "camsex", "creampie", "cumshot", "escort", "escorts", "fetish", "gangbang", "hardcore", "hentai", "hookers", "milf", "nsfw", "nudes",
+    "porn", "pornhub", "porno", "pornografia", "pornographie", "pornos", "putas", "sexcam", "sexfilme", "sexvideos", "shemale", "threesome", "xvideos", "xxx",
+]
+SOFT = [
+    "amateur", "apuestas", "babes", "bet", "betting", "bingo", "casino", "cheap", "citas", "crack", "dating", "diet", "erotic", "erotik", "erotique", "free", "gamble", "girls", "hot", "jackpot",
+    "keygen", "kredit", "loan", "loans", "lottery", "nackt", "nude", "pharmacy", "pills", "poker", "prestamos", "rencontres", "replica", "serial", "sex", "sexe", "sexo", "sexy", "singles", "slots",
+    "teen", "torrent", "viagra", "warez", "webcam", "wetten",
+]
 #: A strict term weighs as much as LIMIT distinct soft ones.
 LIMIT = 2
 
@@ -43,48 +54,62 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def vocabulary(strict: list[str], soft: list[str], limit: int):
-    """An Arrow function that gives (strict hits, distinct soft hits) for addresses."""
+def automaton(strict: Iterable[str], soft: Iterable[str]):
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for term in soft:
-        automaton.add_word(term.lower(), (term.lower(), False))
-    for term in strict:
-        automaton.add_word(term.lower(), (term.lower(), True))
-    automaton.make_automaton()
+    made = ahocorasick.Automaton()
+    for terms, is_strict in ((soft, False), (strict, True)):
+        for term in filter(None, terms):
+            made.add_word(term.lower(), (term.lower(), is_strict))
+    made.make_automaton()
+    return made
+
 
-    def judge(url: str) -> tuple[int, int]:
-        url = url.lower()
-        found: tuple[set[str], set[str]] = (set(), set())
-        for end, (term, is_strict) in automaton.iter(url):
-            start = end - len(term) + 1
-            if (start == 0 or not url[start - 1].isalnum()) and (end + 1 == len(url) or not url[end + 1].isalnum()):
-                found[is_strict].add(term)
-        return len(found[1]), len(found[0])
+def hits_of(url: str, terms) -> tuple[int, int]:
+    """Distinct strict and soft terms that stand in the address without a letter or digit next to them."""
+    url = url.lower()
+    found: tuple[set[str], set[str]] = (set(), set())
+    for end, (term, is_strict) in terms.iter(url):
+        start = end - len(term) + 1
+        if (start == 0 or not url[start - 1].isalnum()) and (end + 1 == len(url) or not url[end + 1].isalnum()):
+            found[is_strict].add(term)
+    return len(found[1]), len(found[0])
 
-    return judge
+
+def terms_of(table: DataFrame, term: str = "term", kind: str = "kind", most: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a vocabulary table, whose kind is "strict" or "soft"; null terms are none.
+
+    The terms go to every worker, so a table of over `most` rows is an error.
+    """
+    rows = table.select(F.col(quoted(term)), F.col(quoted(kind))).where(F.col(quoted(term)).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has over {most} terms")
+    return sorted(t for t, k in rows if k == "strict"), sorted(t for t, k in rows if k == "soft")
 
 
 def judge_urls(pages: DataFrame, url_column: str = "url", rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> DataFrame:
     """pages with host, path, rule, verdict, strict_hits and soft_hits in place of any such columns.
 
     A null, empty or malformed address has empty host and path, fits no rule and is allowed unless its
-    text holds the terms. Repeated rows are judged alike and kept; an empty table stays empty.
+    text holds the terms. Repeated rows are judged alike and kept; other columns pass through, whatever their names;
+    an empty table stays empty. The automaton is built once per worker, not for every batch.
     """
-    host, path = host_and_path(F.col(url_column))
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")]
-    parts = pages.select(*kept, host.alias("host"), path.alias("path"))
+    made = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+    names, own = owned(pages, made)
+    url = F.col(quoted(url_column))
+    host, path = host_and_path(url)
+    parts = pages.select(own, F.coalesce(url, F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, ruled = by_rules(F.col("host"), F.col("path"), rules)
+    strict, soft = tuple(strict), tuple(soft)
 
     @F.pandas_udf("strict_hits int, soft_hits int")
     def hits(urls):
         import pandas as pd
 
-        judge = vocabulary(strict, soft, limit)
-        return pd.DataFrame([judge(u) for u in urls], columns=["strict_hits", "soft_hits"])
+        terms = held(f"url terms {strict} {soft}", lambda: automaton(strict, soft))
+        return pd.DataFrame([hits_of(u, terms) for u in urls], columns=["strict_hits", "soft_hits"])
 
-    hit = parts.withColumn("_hits", hits(F.coalesce(F.col(url_column), F.lit(""))))
-    heavy = F.col("_hits.strict_hits") * limit + F.col("_hits.soft_hits") >= limit
+    hit = parts.withColumn("hits", hits("url"))
+    heavy = F.col("hits.strict_hits") * limit + F.col("hits.soft_hits") >= limit
     verdict = F.coalesce(ruled, F.when(heavy, F.lit("block")).otherwise(F.lit("allow")))
-    return hit.select(*kept, "host", "path", rule.alias("rule"), verdict.alias("verdict"), "_hits.strict_hits", "_hits.soft_hits")
+    return hit.select(*names, "host", "path", rule.alias("rule"), verdict.alias("verdict"), "hits.strict_hits", "hits.soft_hits")
