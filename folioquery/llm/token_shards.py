@@ -1,7 +1,8 @@
 """Token ids in sorted-string-table shards.
 
 File layout, little-endian throughout; every part ends with a line feed, because Spark's text sink writes
-the parts as rows:
+the parts as rows. A shard has BLOCKS data blocks at most, and the sink begins a new file after as many rows as
+that makes, so shards are bounded in bytes wherever long texts stand, but for a single longer text:
 
 * data blocks of about BLOCK bytes. Entry: bytes shared with the previous key (u8), bytes that follow (u8),
   value bytes (u32), the rest of the key, the value (ids as u16 or u32). The first key of a block is whole.
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import Encoder
-from .common import fresh_path, held, slots, small_batches, written
+from .common import fresh_path, held, quoted, slots, small_batches, written
 
 MAGIC = b"FQSST01\n"
 FOOTER = struct.Struct("<QQQQQBB8s")
 ENTRY = struct.Struct("<BBI")
 INDEX = struct.Struct("<QIB")
 BLOCK = 64 << 10
-#: Text bytes a shard is made for.
-SHARD = 24 << 20
+#: Data blocks of a full shard, and text bytes that one task writes shards of.
+BLOCKS, TASK = 255, 128 << 20
 BITS_PER_KEY, HASHES = 10, 7
 
 def encoder(path: str, memory: int | None = None) -> Encoder:
@@ -57,8 +58,8 @@ def bloom_positions(key: bytes, bits: int) -> list[int]:
 class ShardWriter:
     """Turns entries in key order into the parts of one shard."""
 
-    def __init__(self, id_bytes: int):
-        self.id_bytes, self.block, self.last = id_bytes, bytearray(), b""
+    def __init__(self, id_bytes: int, size: int = BLOCK):
+        self.id_bytes, self.size, self.block, self.last = id_bytes, size, bytearray(), b""
         self.index, self.keys, self.offset, self.ids, self.first = bytearray(), [], 0, 0, b""
 
     def add(self, key: bytes, ids: np.ndarray):
@@ -72,7 +73,7 @@ class ShardWriter:
         self.last = key
         self.keys.append(key)
         self.ids += len(ids)
-        if len(self.block) >= BLOCK:
+        if len(self.block) >= self.size:
             yield self.flush()
 
     def flush(self) -> bytes:
@@ -138,25 +139,54 @@ class Shard:
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode every text and write the shards of all documents into path, ordered by number over all shards."""
-    cut = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    cut = small_batches(docs).select(F.col(quoted(id_column)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"))
     size = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(slots(docs), -(-size // SHARD))
+    tasks, blocks, block = max(slots(docs), -(-size // TASK)), BLOCKS, BLOCK
 
     def build(batches):
         enc = encoder(tokenizer)
-        writer = ShardWriter(2 if max(enc.library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4)
+        width = 2 if max(enc.library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        writer, full = ShardWriter(width, block), 0
+
+        def row(part):
+            return pa.RecordBatch.from_pydict({"part": pa.array([part[:-1]], pa.binary())})
+
         for batch in batches:
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(enc.encode(text.as_py()), np.uint32(end_id))
                 for part in writer.add(key_of(number), ids):
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([part[:-1]], pa.binary())})
+                    yield row(part)
+                    full += 1
+                if full == blocks:
+                    yield from map(row, writer.close())
+                    writer, full = ShardWriter(width, block), 0
         if writer.keys:
-            for part in writer.close():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part[:-1]], pa.binary())})
+            yield from map(row, writer.close())
+
+    spread = cut.repartitionByRange(tasks, "id").sortWithinPartitions("id")
+    parts = spread.mapInArrow(build, "part binary").select(F.col("part").cast("string").alias("value"))
+    parts.write.option("compression", "none").option("maxRecordsPerFile", blocks + 1).text(path)
+
 
-    spread = cut.repartitionByRange(shards, "id").sortWithinPartitions("id")
-    parts = spread.mapInArrow(build, "part binary")
-    parts.select(F.col("part").cast("string").alias("value")).write.option("compression", "none").text(path)
+def shard_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path and content of the shards in a folder, or of the named files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).where("length > 0").select("path", "content")
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: str) -> None:
+    """A small Parquet table of the shards in path: file, lowest and highest number, entries, ids, filter."""
+
+    def describe(batches):
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shard = Shard(data.as_buffer().to_pybytes())
+                keys = [number_of(key) for key, _ in shard.read(len(shard.blocks) - 1)]
+                rows.append((name, number_of(shard.blocks[0][0]), keys[-1], shard.entries, shard.ids, np.packbits(shard.bloom).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    names, types = ["file", "low", "high", "entries", "ids", "filter"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    shard_files(spark, path).mapInArrow(describe, "file string, low long, high long, entries long, ids long, filter binary").write.parquet(manifest)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -183,22 +213,46 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                         }
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(parse, "shard string, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary")
+    return shard_files(spark, path).mapInArrow(parse, "shard string, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary")
+
+
+def lookup(spark: SparkSession, path: str, numbers: list[int | None], manifest: str | None = None) -> DataFrame:
+    """doc_id and ids of a few documents (a null number is one, too) in the shards of path.
+
+    With a manifest, its key ranges and filters name the shards that can hold them, and only these files are read;
+    else all are. In a shard, its filter and the sparse index lead to the block.
+    """
 
+    @F.pandas_udf("boolean")
+    def may_hold(lows, highs, filters):
+        import pandas as pd
 
-def lookup(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
-    """doc_id and ids of a few documents; shards whose filter rules a number out are not searched."""
+        out = []
+        for low, high, data in zip(lows, highs, filters):
+            bits = np.unpackbits(np.frombuffer(data, np.uint8))
+            low, high = (b"" if pd.isna(x) else key_of(int(x)) for x in (low, high))
+            out.append(any(low <= key_of(n) <= high and all(bits[bloom_positions(key_of(n), len(bits))]) for n in numbers))
+        return pd.Series(out, dtype=bool)
 
     def find(batches):
         for batch in batches:
-            for data in batch.column(0):
+            for data in batch.column(1):
                 shard = Shard(data.as_buffer().to_pybytes())
                 rows = [(n, ids.astype("<u4").tobytes()) for n in numbers for ids in shard.find(n)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([n for n, _ in rows], pa.int64()), "ids": pa.array([x for _, x in rows], pa.binary())})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
-    return files.mapInArrow(find, "doc_id long, ids binary")
+    shape = "doc_id long, ids binary"
+    if manifest is None:
+        return shard_files(spark, path).mapInArrow(find, shape)
+    told = [n for n in numbers if n is not None]
+    some = F.lit(False)
+    if told:
+        some = (F.col("high") >= min(told)) & (F.coalesce(F.col("low"), F.lit(min(told))) <= max(told))
+    if len(told) < len(numbers):
+        some = some | F.col("low").isNull()
+    ranged = spark.read.parquet(manifest).where(some)
+    files = [r["file"] for r in ranged.where(may_hold(F.col("low").cast("string"), F.col("high").cast("string"), F.col("filter"))).select("file").collect()]
+    return shard_files(spark, files).mapInArrow(find, shape) if files else spark.createDataFrame([], shape)
 
 
 def with_starts(entries: DataFrame) -> DataFrame:
@@ -207,8 +261,10 @@ def with_starts(entries: DataFrame) -> DataFrame:
     The sums are one row per shard, so that the one window over all of them stays small.
     """
     entries = written(entries, "entries")
-    sums = entries.groupBy("shard").agg(F.min("doc_id").alias("low"), F.sum("n_tokens").alias("n"))
-    before = Window.orderBy(F.col("low").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = entries.groupBy("shard").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none"), F.sum("n_tokens").alias("n"))
+    # a number's shards have one task, whose files are numbered; shards with null numbers come first
+    order = [F.when(~F.col("none"), F.col("low")).asc_nulls_first(), F.length("shard"), F.col("shard")]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return entries.join(base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
