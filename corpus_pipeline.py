@@ -6,10 +6,10 @@ return the columns of documents. Other columns pass through. Empty tables stay e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import table, written
+from folioquery.llm.common import owned, quoted, table, written
 from folioquery.llm.line_dedup import drop_boilerplate
 from folioquery.llm.ngram_join import ngram_classes
 from folioquery.llm.packing import pack_documents
@@ -20,32 +20,39 @@ from folioquery.llm.repeats import PASSAGE, PASSAGE_GRAM, cut_repeats
 CAPACITY = 1024
 
 
-def shaped(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs, with n_chars of the text as it is now."""
-    return df.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+def carried(docs: DataFrame) -> DataFrame:
+    """What operators need of docs, and all its columns under one name, so that none clashes with theirs."""
+    return docs.select("doc_id", "source", "text", owned(docs, (), "text")[1])
+
+
+def shaped(df: DataFrame, docs: DataFrame, text: str | Column = "text") -> DataFrame:
+    """The columns of docs out of carried rows, with the text and n_chars as they are now."""
+    names, _ = owned(docs, (), "text")
+    now = df.withColumn("body", F.col(text) if isinstance(text, str) else text)
+    return now.select(*[F.length("body").cast("long").alias(c) if c == "n_chars" else name for c, name in zip(docs.columns, names)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, and boilerplate lines of those that stay."""
-    return shaped(judge_quality(docs).where("kept").withColumn("text", F.col("left_text")), docs)
+    return shaped(judge_quality(carried(docs)).where("kept"), docs, "left_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their host go. Equal texts are one page here, as copies are still there."""
-    return shaped(drop_boilerplate(docs, distinct=True), docs)
+    return shaped(drop_boilerplate(carried(docs), distinct=True), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest number; rows without a number stay."""
     first = written(ngram_classes(docs).where("doc_id = component_id").select("doc_id").distinct(), "first")
     one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.union(docs.where("doc_id is null")).select(*docs.columns)
+    return one.union(docs.where("doc_id is null")).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words that stand elsewhere too go, at every place; white space around them stays."""
-    cut = cut_repeats(docs, "text", PASSAGE, PASSAGE_GRAM, words=True)
-    return shaped(cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_bytes").cast("string"))), docs)
+    cut = cut_repeats(carried(docs), "text", PASSAGE, PASSAGE_GRAM, words=True)
+    return shaped(cut, docs, F.when(F.col("text").isNotNull(), F.col("kept_bytes").cast("string")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
