@@ -13,9 +13,10 @@ Windows of one document with one anchor form a run; the symbols that its windows
    sides a second scan lists the sets that agree on so many symbols and differ in the next. A set with such a
    left-extension diversity, which no child of the interval holds alone, is a maximal repeat with all its
    occurrences; those of LENGTH symbols or more are the result, and every covered symbol comes from one of them.
-4. Anchors with more kinds than GROUP are first split by offset: half the offsets, and the symbols that all
+4. Anchors with more kinds than GROUP are first split by offset: an eighth of the offsets, and the symbols that all
    windows at those offsets have in common. Runs that share such a core stay together, the others part, and kinds
-   that have become equal are counted as one, so no large group meets in one task.
+   that have become equal are counted as one; in groups that are still large, an eighth of these offsets, and so on.
+   So no large group meets in one task.
 
 A repeat is maximal within the surroundings of its anchor: a longer one comes as overlapping repeats, one for each
 anchor on its way. Every shuffle is by a key whose groups are counted or bounded; lists are gathered per document.
@@ -36,8 +37,8 @@ from .rolling import Prefix, winnow
 #: The window and the gram in bytes, and those of passages in words.
 LENGTH, GRAM = 400, 40
 PASSAGE, PASSAGE_GRAM = 51, 8
-#: Kinds of one anchor that are sorted in one task.
-GROUP = 128
+#: Kinds of one anchor that are sorted in one task, and parts that the offsets of larger groups are split into.
+GROUP, SPLIT = 128, 8
 #: Windows of a document that are hashed at a time, bytes of small documents that are, and bytes of a very long word.
 SLICE, TOGETHER, LONG_WORD = 1 << 19, 1 << 18, 1 << 16
 #: Fixed value: the white space of ASCII.
@@ -273,15 +274,9 @@ def kinds_with_bytes(docs: DataFrame, text: str, kinds: DataFrame, length: int,
     return one.select(F.encode("text", "UTF-8").alias("raw"), "runs").mapInArrow(cut, f"{KIND_SHAPE}, n long")
 
 
-def offsets_over(length: int) -> int:
-    """The smallest power of two over `length`, from which offsets are halved."""
-    return 1 << length.bit_length()
-
-
-def halves(rows: DataFrame, level: int, length: int, unit: int) -> DataFrame:
-    """Split kinds of large groups in two by offset. The new group is the old one, the half, and the symbols that all
-    of its windows share; `row` tells different ones of its kinds apart."""
-    width = offsets_over(length) >> level
+def split_by_offset(rows: DataFrame, width: int, length: int, unit: int) -> DataFrame:
+    """Split kinds of large groups into those of `width` offsets each. The new group is the old one, the offsets, and the
+    symbols that all of its windows share; `row` tells different ones of its kinds apart."""
 
     def digest(*parts: bytes) -> int:
         return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "big", signed=True)
@@ -295,7 +290,7 @@ def halves(rows: DataFrame, level: int, length: int, unit: int) -> DataFrame:
                     first, last = k * width, k * width + width - 1
                     a, b = max(low, first), min(high, last)
                     core = data[max(0, left - first) * unit : (left - last + length) * unit] if left - last + length > 0 else b""
-                    group = digest(core, b"%d,%d,%d" % (h, level, k))
+                    group = digest(core, b"%d,%d,%d" % (h, width, k))
                     part = data[(left - b) * unit : (left - a + length) * unit]
                     out.append((group, kind, a, b, b, copies, part, digest(part, b"%d,%d,%d" % (group, a, b))))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate([*KIND_TYPES, pa.int64()])], names=[*KIND, "row"])
@@ -356,18 +351,18 @@ def placed_repeats(docs: DataFrame, text: str, length: int, gram: int, words: bo
     kinds = written(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
     anchors = written(kinds.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n"), "anchors")
     rows = written(kinds_with_bytes(docs, text, kinds.join(anchors, "h"), length, words), "bytes")
-    found = written(repeats_of_groups(rows.where(F.col("n") <= GROUP), length, unit, each), "found")
-    rows, level = rows.where(F.col("n") > GROUP), 1
+    found = repeats_of_groups(rows.where(F.col("n") <= GROUP), length, unit, each)
+    rows, width = rows.where(F.col("n") > GROUP), length
     while rows.limit(1).count():
-        split = written(halves(rows, level, length, unit), "halves")
-        # kinds that are equal at these offsets are one; the largest width is 1, where all kinds of a group are
+        width = -(-width // SPLIT)
+        split = written(split_by_offset(rows, width, length, unit), "split")
+        # kinds that are equal at these offsets are one; where the width is 1, all kinds of a group are
         one = split.groupBy("h", "row").agg(*[F.first(c).alias(c) for c in ("low", "high", "left", "data")], F.sum("copies").alias("copies"))
         one = written(one.withColumnRenamed("row", "kind"), "distinct")
-        told = written(one.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n"), "cores")
+        told = one.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n")
         some = repeats_of_groups(one.join(told.where(F.col("n") <= GROUP), "h"), length, unit, each)
-        here = split.select("kind", "row").join(some.withColumnRenamed("kind", "row"), "row").select("kind", "a", "b", "repeat")
-        found = found.union(written(here, "found"))
-        rows, level = split.join(told.where(F.col("n") > GROUP), "h").select(*KIND), level + 1
+        found = found.union(split.select("kind", "row").join(some.withColumnRenamed("kind", "row"), "row").select("kind", "a", "b", "repeat"))
+        rows = split.join(told.where(F.col("n") > GROUP), "h").select(*KIND)
     ranges = written(found.join(kinds.select("kind", *SHAPE), "kind").select(*SHAPE, "a", "b", "repeat").distinct(), "ranges")
     return near.join(ranges, SHAPE).select("ka", "kb", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), "repeat").distinct()
 
