@@ -24,8 +24,10 @@ WEIGHTS = {
     "embedding_prefix_headers": 2.0,
     "embedding_prefix_search_hints": 2.0,
 }
-#: Vectors of a block of chunks and of a block of questions; salts that spread one filter value's blocks.
-CHUNKS, QUESTIONS, SALTS = 4096, 512, 16
+#: Vectors of a block of chunks and of a block of questions.
+CHUNKS, QUESTIONS = 4096, 512
+#: Vectors that the cells of an index are fitted on, questions that its probes are fitted on, cells, and the recall aimed at.
+SAMPLE, PROBED, CELLS, AIM = 20_000, 200, 64, 0.97
 
 
 def blocks(vectors: DataFrame, number: str, vector: str, by: list[str], size: int, salts: int) -> DataFrame:
@@ -62,17 +64,25 @@ def blocks(vectors: DataFrame, number: str, vector: str, by: list[str], size: in
     return spread.mapInArrow(pack, schema)
 
 
-def knn(questions: DataFrame, chunks: DataFrame, k: int = RANKED, by: str | None = None, number: str = "vec_id", vector: str = "embedding", same: bool = True) -> DataFrame:
+def salts_for(vectors: DataFrame, by: list[str], size: int) -> int:
+    """Salts that spread the vectors of the largest group over blocks of about `size`."""
+    rows = vectors.groupBy(*by).count().agg(F.max("count")).first()[0] if by else vectors.count()
+    return max(1, -(-(rows or 0) // size))
+
+
+def knn(questions: DataFrame, chunks: DataFrame, k: int = RANKED, by: str | None = None, number: str = "vec_id", vector: str = "embedding", same: bool = True, size: int = CHUNKS, asked: int = QUESTIONS) -> DataFrame:
     """query_id, chunk_id, score, rank: the k chunks of least Euclidean distance per question, ties by number.
 
     by: a column on which question and chunk have to agree; it is joined on, so nothing else is ever ranked. Vectors
-    travel and are compared in blocks; only the k best of each pair of blocks are kept before the shuffle by question.
+    travel and are compared in blocks of `size` and `asked`, dealt to as many salts as they fill, so tasks grow in
+    number and not in size; only the k best of each pair of blocks are kept before the shuffle by question.
     same=False leaves out the chunk with the question's own number.
     """
     on = [by] if by else []
-    left = blocks(questions, number, vector, on, QUESTIONS, 1).drop("salt").withColumnRenamed("ids", "q_ids").withColumnRenamed("matrix", "q_matrix")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = left.join(blocks(chunks, number, vector, on, CHUNKS, SALTS), [*on, "salt"])
+    salts = salts_for(chunks, on, size)
+    left = blocks(questions, number, vector, on, asked, salts_for(questions, on, asked)).drop("salt").withColumnRenamed("ids", "q_ids").withColumnRenamed("matrix", "q_matrix")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = left.join(blocks(chunks, number, vector, on, size, salts), [*on, "salt"])
 
     def rank(batches):
         for batch in batches:
@@ -82,9 +92,12 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = RANKED, by: str | None
                 own = np.array(ids)
                 if not same:
                     far[np.array(q_ids)[:, None] == own[None]] = np.inf
+                # whatever is as near as the k-th takes part in the order, so that ties go by number
+                last = np.partition(far, k - 1, 1)[:, k - 1] if k < len(own) else np.full(len(far), np.inf)
                 out = ([], [], [])
-                for q, row in zip(q_ids, far):
-                    best = np.lexsort((own, row))[:k]
+                for q, row, most in zip(q_ids, far, last):
+                    near = np.flatnonzero(row <= most)
+                    best = near[np.lexsort((own[near], row[near]))[:k]]
                     best = best[np.isfinite(row[best])]
                     out[0].append(np.full(len(best), q))
                     out[1].append(own[best])
@@ -96,19 +109,64 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = RANKED, by: str | None
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ann(questions: DataFrame, chunks: DataFrame, k: int = RANKED, number: str = "vec_id", vector: str = "embedding", within: float = 2.0, width: float = 2.0, tables: int = 8) -> DataFrame:
-    """As knn, from random projections: candidates share a bucket in one of `tables`, lie within a distance, and are scored exactly.
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
 
-    Recall depends on width, tables and within; hold it against knn on a sample.
+def fit_cells(chunks: DataFrame, k: int = RANKED, number: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, cells: int = CELLS, aim: float = AIM) -> tuple[np.ndarray, int]:
+    """Centres of an index's cells, and the cells to probe for a question.
+
+    Fitted on `sample` vectors at most, those of the smallest hashes of their numbers, whatever the table's size: by
+    k-means, and by the number of nearest cells that hold a share `aim` of the true neighbours of PROBED of them.
+    """
+    rows = chunks.where(F.col(vector).isNotNull()).select(F.col(number).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    told = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    if not told:
+        return np.zeros((1, 1)), 1
+    points = np.array([r["v"] for r in told])
+    centres = points[: min(cells, len(points))].copy()
+    for _ in range(15):
+        own = distances(points, centres).argmin(1)
+        for cell in np.unique(own):
+            centres[cell] = points[own == cell].mean(0)
+    own = distances(points, centres).argmin(1)
+    asked = points[-min(PROBED, len(points)) :]
+    nearest = np.argsort(distances(asked, points), 1)[:, :k]
+    rank_of = np.argsort(np.argsort(distances(asked, centres), 1), 1)
+    needed = np.sort(np.take_along_axis(rank_of, own[nearest], 1).ravel())
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(aim * len(needed))) - 1)]) + 1
+
+
+def with_cells(vectors: DataFrame, centres: np.ndarray, probes: int, vector: str = "embedding") -> DataFrame:
+    """vectors with `cell`, a row for each of the `probes` nearest cells."""
+
+    @F.pandas_udf("array<int>")
+    def nearest(values):
+        import pandas as pd
+
+        if not len(values):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.argsort(distances(np.stack(values.to_list()).astype(float), centres), 1)[:, :probes].astype(np.int32)))
+
+    return vectors.where(F.col(vector).isNotNull()).withColumn("cell", F.explode(nearest(vector)))
+
+
+def ann(questions: DataFrame, chunks: DataFrame, k: int = RANKED, number: str = "vec_id", vector: str = "embedding", index: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """As knn, from an index of cells: every chunk is in that of the nearest centre, a question meets the chunks of a few.
+
+    Candidates are scored exactly. index: centres and probes, by default those of fit_cells. How much of the table a
+    question meets depends on the vectors: little where they form clusters, half where they are spread evenly.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    centres, probes = index or fit_cells(chunks, k, number, vector)
+    asked, held = (with_cells(df.select(number, vector), centres, n, vector) for df, n in ((questions, probes), (chunks, 1)))
+    return knn(asked, held, k, "cell", number, vector)
 
-    pick = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(number).cast("long").alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(pick(chunks))
-    near = model.approxSimilarityJoin(pick(questions), pick(chunks), within, distCol="score").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("chunk_id"), F.round("score", 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy("score", "chunk_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def met_share(questions: DataFrame, chunks: DataFrame, index: tuple[np.ndarray, int], vector: str = "embedding") -> float:
+    """Candidates that questions meet on average, as a share of the chunks."""
+    asked, held = (with_cells(df.select(vector), index[0], n, vector).groupBy("cell").count() for df, n in ((questions, index[1]), (chunks, 1)))
+    both = asked.withColumnRenamed("count", "asked").join(held, "cell", "full").agg(F.sum(F.col("asked") * F.col("count")), F.sum("asked"), F.sum("count")).first()
+    return round((both[0] or 0) * index[1] / max(1, (both[1] or 0) * (both[2] or 0)), 6)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -124,14 +182,15 @@ def rerank_lexical(hits: DataFrame, questions: DataFrame, fields: list[str], que
     """
     tokens = X.query_tokens(F.col(question))
     terms = questions.select(query, F.array_distinct(F.flatten(F.transform(tokens, X.plural_variants))).alias("_forms"), X.ngram_phrases(tokens).alias("_phrases"))
-    joined = hits.join(terms, query)
+    # lowered once for a field, not for every form and phrase
+    joined = hits.select("*", *[F.lower(or_empty(F.col(f))).alias(f"_low_{f}") for f in fields]).join(terms, query)
     total = F.lit(0.0)
     for field in fields:
-        blob = F.lower(or_empty(F.col(field)))
+        blob = F.col(f"_low_{field}")
         some = F.exists("_forms", blob.contains).cast("int")
         phrases = F.size(F.filter("_phrases", blob.contains))
         total = total + F.lit(WEIGHTS[field]) * (some + 0.6 * F.least(phrases, F.lit(3)))
-    return joined.withColumn("score", F.round(F.col("score") - STEP * total, 6)).drop("_forms", "_phrases")
+    return joined.withColumn("score", F.round(F.col("score") - STEP * total, 6)).drop("_forms", "_phrases", *[f"_low_{f}" for f in fields])
 
 
 def route(importance: Column, page: Column) -> Column:
@@ -145,13 +204,18 @@ def top_hits(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
 
 
 def build_context(hits: DataFrame, query: str = "query_id", top: int = USED) -> DataFrame:
-    """Per question the context block of its first hits (file, page, code, text)."""
+    """Per question the context block of its first hits (file, page, code, text); see instruction for what follows it."""
     lead = F.concat(F.lit("[Context from "), F.col("source"), F.lit(" p"), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.concat(F.lit(" "), or_empty(F.col("code"))), F.lit("]\nCitation: ["), or_empty(F.col("code")), F.lit("]\n"))
     one = F.concat(lead, X.strip_retrieval_lines(F.col("text")))
     parts = F.array_sort(F.collect_list(F.struct("rank", one.alias("block"))))
     return top_hits(hits, top, query).groupBy(query).agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("context"))
 
 
+def instruction(context: Column, question: Column) -> Column:
+    """The text for a model: the context block and the question, each in its tags."""
+    return F.concat(F.lit("<context>\n"), context, F.lit("\n</context>\n\n<question>"), or_empty(question), F.lit("</question>\n"))
+
+
 def section_search(chunks: DataFrame, section: str, source: str | None = None, limit: int = 20) -> DataFrame:
     """Chunks (source, number, label, page, text) of a section by kind of match, page and length."""
     own = chunks.where(F.col("source") == source) if source else chunks

@@ -58,7 +58,8 @@ def v3(spark, d):
 @query("v3_ann_recall")
 def v3b(spark, d):
     asked, chunks = vectors(spark, d)
-    return R.recall(R.ann(asked, chunks), R.knn(asked, chunks))
+    index = R.fit_cells(chunks)
+    return R.recall(R.ann(asked, chunks, index=index), R.knn(asked, chunks)).withColumn("share_met", F.lit(R.met_share(asked, chunks, index)))
 
 
 @query("o3_top_k", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 6")
@@ -81,6 +82,12 @@ def v6(spark, d):
     return R.build_context(contexts(hits, table(spark, d, "documents")))
 
 
+@query("v6_instruction", f"SELECT query_id, sha256('<context>' || chr(10) || context || chr(10) || '</context>' || chr(10) || chr(10) || '<question>Question ' || query_id || '</question>' || chr(10)) AS digest FROM ({ORACLES['v6_build_context']})")
+def v6b(spark, d):
+    asked = F.concat(F.lit("Question "), F.col("query_id"))
+    return v6(spark, d).select("query_id", F.sha2(R.instruction(F.col("context"), asked), 256).alias("digest"))
+
+
 @query("entry_context", ORACLES["v6_build_context"])
 def entry_context(spark, d):
     return v6(spark, d)
@@ -92,24 +99,24 @@ def v5(spark, d):
     return table(spark, d, "documents").select("doc_id", R.route(F.col("doc_id") % 6, page).alias("route"))
 
 
-ASKED = f"(SELECT item_id, list_filter(string_split_regex(lower(substring(text, 1, 60)), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([{STOPS}], w)) AS k FROM benchmark)"
+ASKED = f"(SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([{STOPS}], w)) AS k FROM benchmark)"
 FORMS = f"list_distinct(flatten(list_transform(k, lambda t: list_filter([t, CASE WHEN ends_with(t, 'ies') AND length(t) > 3 THEN t[:-4] || 'y' END, CASE WHEN ends_with(t, 'es') AND length(t) > 2 THEN t[:-3] END, CASE WHEN ends_with(t, 's') AND length(t) > 1 THEN t[:-2] END, {MORE}], lambda x: x IS NOT NULL))))"
 PHRASES = "list_distinct(list_filter(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), lambda p: length(p) >= 5) || list_filter(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]), lambda p: length(p) >= 7))"
 
 
 @query(
     "v4_rerank_lexical",
-    f"""WITH t AS (SELECT item_id, {FORMS} AS forms, {PHRASES} AS phrases FROM {ASKED}), h AS (SELECT doc_id, doc_id % 40 AS query_id, (doc_id * 37 % 1000) / 1000.0 AS score, lower(substring(coalesce(text, ''), 1, 120)) AS a, lower(coalesce(text, '')) AS b FROM documents)
+    f"""WITH t AS (SELECT item_id, {FORMS} AS forms, {PHRASES} AS phrases FROM {ASKED}), h AS (SELECT doc_id, doc_id % 40 AS query_id, (doc_id * 37 % 1000) / 1000.0 AS score, lower(coalesce(source, '') || ' ' || coalesce(lang, '')) AS a, lower(coalesce(text, '')) AS b FROM documents)
  SELECT query_id, doc_id AS chunk_id, round(score - 0.2 * (9.5 * (CAST(len(list_filter(forms, lambda f: contains(a, f))) > 0 AS INTEGER) + 0.6 * least(len(list_filter(phrases, lambda p: contains(a, p))), 3)) + 6.0 * (CAST(len(list_filter(forms, lambda f: contains(b, f))) > 0 AS INTEGER) + 0.6 * least(len(list_filter(phrases, lambda p: contains(b, p))), 3))), 6)::DOUBLE AS score FROM h JOIN t ON query_id = item_id""",
 )
 def v4(spark, d):
     n = F.col("doc_id")
-    hits = table(spark, d, "documents").select((n % 40).alias("query_id"), n.alias("chunk_id"), ((n * 37 % 1000) / 1000.0).alias("score"), F.substring("text", 1, 120).alias("section_titles"), F.col("text").alias("sections_raw"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+    hits = table(spark, d, "documents").select((n % 40).alias("query_id"), n.alias("chunk_id"), ((n * 37 % 1000) / 1000.0).alias("score"), F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit(""))).alias("section_titles"), F.col("text").alias("sections_raw"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return R.rerank_lexical(hits, asked, ["section_titles", "sections_raw"]).select("query_id", "chunk_id", "score")
 
 
-@query("v9_section_search")
+@query("v9_section_search", """SELECT id, rank, page FROM (SELECT doc_id AS id, doc_id % 50 AS page, length(text) AS n, CASE WHEN doc_id % 6 = 3 THEN 1 END AS rank FROM documents WHERE source = 'src1') WHERE rank IS NOT NULL ORDER BY rank, page, n, id LIMIT 20""")
 def v9(spark, d):
     n = F.col("doc_id")
     chunks = table(spark, d, "documents").select(n.alias("id"), "source", F.concat(n % 6, F.lit("."), n % 3).alias("number"), F.lit("").alias("label"), (n % 50).alias("page"), "text")
