@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_tokens, or_empty, trimmed
+from ..functions.text import extract_code, match_tokens, or_empty, trimmed
 
 # Tokens of a phrase that are compared, and the inset of the page frame.
 WINDOW, MARGIN = 6, 0.02
@@ -26,15 +26,21 @@ def reading_order(words: DataFrame) -> DataFrame:
     return words.withColumn("place", F.row_number().over(w)).withColumn("key", word_key(F.col("word")))
 
 
+def pages_with(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """The words of the pages that hold a word of keys (key), so that other pages are never put in order."""
+    held = words.select("source", "page", word_key(F.col("word")).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
+    return words.join(held.select("source", "page").distinct(), ["source", "page"], "left_semi")
+
+
 def phrase_match(words: DataFrame, phrases: DataFrame, most: int = WINDOW) -> DataFrame:
     """source, page, phrase, x0, y0: the first window that begins with the phrase's first token and has half of its others, two at least.
 
     Windows are joined on their first token only, so a page meets the phrases that can begin there.
     """
     w = Window.partitionBy("source", "page").orderBy("place")
-    ordered = reading_order(words)
-    ahead = ordered.withColumn("keys", F.array(*[F.lead("key", k).over(w) if k else F.col("key") for k in range(most)]))
     asked = phrases.select("phrase", F.slice(match_tokens(F.col("phrase")), 1, most).alias("tokens")).where(F.size("tokens") > 0).withColumn("head", F.element_at("tokens", 1))
+    ordered = reading_order(pages_with(words, asked.select(F.col("head").alias("key"))))
+    ahead = ordered.withColumn("keys", F.array(*[F.lead("key", k).over(w) if k else F.col("key") for k in range(most)]))
     pairs = ahead.join(asked, F.col("key") == F.col("head"))
     n = F.size("tokens")
     equal = F.size(F.filter(F.zip_with(F.slice("keys", F.lit(1), n), "tokens", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
@@ -42,15 +48,17 @@ def phrase_match(words: DataFrame, phrases: DataFrame, most: int = WINDOW) -> Da
     return good.groupBy("source", "page", "phrase").agg(F.min_by(F.struct("x0", "y0", "place"), "place").alias("at")).select("source", "page", "phrase", "at.x0", "at.y0", "at.place")
 
 
-def code_match(words: DataFrame, codes: DataFrame) -> DataFrame:
-    """source, page, code, x0, y0: the first word that is the code or begins with it.
+def code_match(words: DataFrame, codes: DataFrame, give: list[str] = ["x0", "y0", "place"]) -> DataFrame:  # noqa: B006
+    """source, page, code and the columns `give` of the first word that is the code or begins with it.
 
-    Words are joined to codes by every prefix of a word that a code could be, so the join is by equality.
+    Words are joined to codes by their prefixes of the lengths that codes have, so the join is by equality.
     """
+    sizes = [r[0] for r in codes.select(F.length("code").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
     ordered = reading_order(words).withColumn("bare", F.regexp_replace(F.lower(trimmed(F.translate(or_empty(F.col("word")), " ", " "))), "[ :.]+$", "")).where("bare <> ''")
-    lead = ordered.withColumn("low", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("bare"), F.lit(24))), lambda k: F.substring("bare", F.lit(1), k))))
+    prefixes = F.array_compact(F.array(*[F.when(F.length("bare") >= n, F.substring("bare", 1, n)) for n in sizes])) if sizes else F.array().cast("array<string>")
+    lead = ordered.withColumn("low", F.explode(prefixes))
     asked = codes.select("code", F.lower("code").alias("low")).distinct()
-    return lead.join(asked, "low").groupBy("source", "page", "code").agg(F.min_by(F.struct("x0", "y0", "place"), "place").alias("at")).select("source", "page", "code", "at.x0", "at.y0", "at.place")
+    return lead.join(asked, "low").groupBy("source", "page", "code").agg(F.min_by(F.struct(*give), "place").alias("at")).select("source", "page", "code", "at.*")
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,14 +93,19 @@ def normalize_box(boxes: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 
 def phrase_box(words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """source, page, phrase and the box around the first place where all of its tokens stand in a row."""
-    w = Window.partitionBy("source", "page").orderBy("place")
-    asked = phrases.select("phrase", match_tokens(F.col("phrase")).alias("tokens")).where(F.size("tokens") > 0)
+    """source, page, phrase and the box around the first place where all of its tokens stand in a row.
+
+    A phrase with a section code has the box of the first word that begins with the code, on pages that have one.
+    """
+    asked = phrases.select("phrase", match_tokens(F.col("phrase")).alias("tokens"), extract_code(F.col("phrase")).alias("code")).where(F.size("tokens") > 0)
     parts = asked.select("phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("k", "key"))
     # a run of tokens in order keeps place - k the same; all n of them make a match
-    hits = reading_order(words).join(parts, "key").withColumn("start", F.col("place") - F.col("k"))
+    hits = reading_order(pages_with(words, parts)).join(parts, "key").withColumn("start", F.col("place") - F.col("k"))
     runs = hits.groupBy("source", "page", "phrase", "start").agg(F.count("*").alias("got"), F.first("n").alias("n"), *[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]).where("got = n")
-    return runs.groupBy("source", "page", "phrase").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "start").alias("b")).select("source", "page", "phrase", "b.*")
+    found = runs.groupBy("source", "page", "phrase").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "start").alias("b")).select("source", "page", "phrase", "b.*")
+    coded = asked.where("code <> ''").select("phrase", "code")
+    own = code_match(words, coded, ["x0", "y0", "x1", "y1"]).join(coded, "code").select("source", "page", "phrase", "x0", "y0", "x1", "y1")
+    return found.join(own.select("source", "page", "phrase"), ["source", "page", "phrase"], "left_anti").union(own)
 
 
 def code_box(words: DataFrame, codes: DataFrame, most: int = WINDOW) -> DataFrame:
@@ -110,6 +123,42 @@ def code_box(words: DataFrame, codes: DataFrame, most: int = WINDOW) -> DataFram
     return boxed.groupBy("source", "page", "code").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "place").alias("b")).select("source", "page", "code", "b.*")
 
 
+def code_box_at(words: DataFrame, starts: DataFrame, most: int = WINDOW) -> DataFrame:
+    """source, page, code, section_start and the box of the code at the section's start; starts: source, page, code, section_start.
+
+    The start is the first window whose words begin as the start's first tokens do, or these as they, for the first
+    token and half of them, two at least. From there words are joined until they begin with the code, `most` at most
+    and no further than four characters past it. Where they never do, the box is that of a word nearby (three before to
+    five after) that begins with the code, is the first of its line and stands at the left inset; else of the words
+    joined. Code mentions elsewhere on the page don't count.
+    """
+    w = Window.partitionBy("source", "page").orderBy("place")
+    line = Window.partitionBy("source", "page", "block", "line").orderBy("place")
+    # marks that stand alone are tokens here, without a character
+    tokens = F.transform(F.filter(F.split(F.translate(or_empty(F.col("section_start")), "\u00a0", " "), r"\s+"), lambda t: t != ""), word_key)
+    asked = starts.select("source", "page", "code", "section_start", F.lower(F.regexp_replace(F.col("code"), r"\s+", "")).alias("low"), F.slice(tokens, 1, most).alias("tokens")).where(F.size("tokens") > 0)
+    # a token and a word of which one begins with the other have a first character in common, unless the word has none
+    asked = asked.withColumn("head", F.explode(F.array(F.substring(F.element_at("tokens", 1), 1, 1), F.lit(""))))
+    ordered = reading_order(words.join(starts.select("source", "page").distinct(), ["source", "page"], "left_semi"))
+    left = F.col("x0") - F.col("page_w") * MARGIN <= F.greatest(F.lit(6.0), 0.02 * F.col("page_w"))
+    ordered = ordered.withColumn("w", F.struct("key", F.lower(F.regexp_replace(or_empty(F.col("word")), r"[\s\u00a0]+", "")).alias("bare"), "x0", "y0", "x1", "y1", ((F.row_number().over(line) == 1) & left).alias("outer")))
+    at = lambda k: F.lead("w", k).over(w) if k > 0 else F.lag("w", -k).over(w) if k else F.col("w")
+    told = ordered.select("source", "page", "place", F.substring("key", 1, 1).alias("head"), F.array_compact(F.array(*map(at, range(most)))).alias("ahead"), F.array_compact(F.array(*map(at, range(-3, 6)))).alias("around"))
+    n = F.size("tokens")
+    alike = F.zip_with(F.slice(F.transform("ahead", lambda s: s["key"]), F.lit(1), n), "tokens", lambda a, b: a.startswith(b) | b.startswith(a))
+    pairs = told.join(asked, ["source", "page", "head"]).where((F.size("ahead") >= n) & F.element_at(alike, 1))
+    good = pairs.where(F.size(F.filter(alike, lambda x: x)) >= F.greatest(F.lit(2), F.floor(n / 2)))
+    first = good.groupBy("source", "page", "code", "section_start").agg(F.min_by(F.struct("ahead", "around", "low"), "place").alias("f")).select("source", "page", "code", "section_start", "f.*")
+    text = lambda k: F.array_join(F.transform(F.slice("ahead", F.lit(1), k), lambda s: s["bare"]), "")
+    counts = F.filter(F.sequence(F.lit(1), F.size("ahead")), lambda k: (k == 1) | (F.length(text(k - 1)) < F.length("low") + 4))
+    whole = F.array_min(F.filter("counts", lambda k: text(k).startswith(F.col("low"))))
+    near = F.slice(F.filter("around", lambda s: s["outer"] & s["bare"].startswith(F.col("low"))), 1, 1)
+    used = F.when(F.col("whole").isNotNull(), F.slice("ahead", F.lit(1), F.col("whole"))).when(F.size("near") > 0, F.col("near")).otherwise(F.slice("ahead", F.lit(1), F.array_max("counts")))
+    boxed = first.withColumn("counts", counts).withColumn("whole", whole).withColumn("near", near).withColumn("used", used)
+    side = lambda f, c: f(F.transform("used", lambda s: s[c])).alias(c)
+    return boxed.select("source", "page", "code", "section_start", side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+
+
 def anchor_hit_rate(starts: DataFrame, words: DataFrame) -> DataFrame:
     """Per source: section starts (source, page, section_start), how many are found on their page, and the share."""
     asked = starts.where(trimmed(or_empty(F.col("section_start"))) != "").select("source", "page", F.col("section_start").alias("phrase"))

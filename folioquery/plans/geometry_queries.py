@@ -52,10 +52,10 @@ def x3(spark, d):
     return G.merge_boxes(words(spark, d), ["source", "page"])
 
 
-@query("x4_normalize_box", f"""WITH b AS (SELECT source, page, place, greatest(0, least(100, (y0 - 16.0) / 768.0 * 100)) AS x, greatest(0, least(100, (x0 - 10.0) / 480.0 * 100)) AS y, greatest(0.2, least(100, (x1 - x0) / 480.0 * 100)) AS w, greatest(0.2, least(100, 10 / 768.0 * 100)) AS h, page % 4 AS t FROM {WORDS} WHERE line < 20)
+@query("x4_normalize_box", f"""WITH b AS (SELECT source, page, place, greatest(0, least(100, (y0 - 16.0) / 768.0 * 100)) AS x, greatest(0, least(100, (x0 - 10.0) / 480.0 * 100)) AS y, greatest(0.2, least(100, (x1 - x0) / 480.0 * 100)) AS w, greatest(0.2, least(100, 10 / 768.0 * 100)) AS h, page % 4 AS t FROM {WORDS})
  SELECT source, page, round(CAST(sum(CASE t WHEN 1 THEN y WHEN 2 THEN greatest(0, 100 - x - h) WHEN 3 THEN greatest(0, 100 - y - w) ELSE x END) AS DOUBLE), 3) AS nx, round(CAST(sum(CASE t WHEN 1 THEN greatest(0, 100 - x - h) WHEN 2 THEN greatest(0, 100 - y - w) WHEN 3 THEN x ELSE y END) AS DOUBLE), 3) AS ny FROM b GROUP BY source, page""")
 def x4(spark, d):
-    boxes = G.normalize_box(words(spark, d).where("line < 20"))
+    boxes = G.normalize_box(words(spark, d))
     return boxes.groupBy("source", "page").agg(F.round(F.sum("nx"), 3).alias("nx"), F.round(F.sum("ny"), 3).alias("ny"))
 
 
@@ -65,7 +65,9 @@ def x5(spark, d):
     return G.phrase_box(words(spark, d), spark.createDataFrame([("Of the",)], "phrase string")).drop("phrase")
 
 
-@query("x6_code_box")
+@query("x6_code_box", f"""WITH w AS (SELECT *, lower(word) AS bare FROM {WORDS}), p AS (SELECT *, lead(bare) OVER w AS b2, lead(x0) OVER w AS p0, lead(y0) OVER w AS q0, lead(x1) OVER w AS p1, lead(y1) OVER w AS q1 FROM w WINDOW w AS (PARTITION BY source, page ORDER BY place)),
+ h AS (SELECT source, page, 'and' AS code, place, CASE WHEN starts_with(bare, 'and') THEN x0 ELSE least(x0, p0) END AS x0, CASE WHEN starts_with(bare, 'and') THEN y0 ELSE least(y0, q0) END AS y0, CASE WHEN starts_with(bare, 'and') THEN x1 ELSE greatest(x1, p1) END AS x1, CASE WHEN starts_with(bare, 'and') THEN y1 ELSE greatest(y1, q1) END AS y1 FROM p WHERE starts_with(bare, 'and') OR bare IN ('a', 'an') AND starts_with(bare || b2, 'and') UNION ALL SELECT source, page, 'ofthe', place, CASE WHEN starts_with(bare, 'ofthe') THEN x0 ELSE least(x0, p0) END, CASE WHEN starts_with(bare, 'ofthe') THEN y0 ELSE least(y0, q0) END, CASE WHEN starts_with(bare, 'ofthe') THEN x1 ELSE greatest(x1, p1) END, CASE WHEN starts_with(bare, 'ofthe') THEN y1 ELSE greatest(y1, q1) END FROM p WHERE starts_with(bare, 'ofthe') OR starts_with(bare, 'of') AND length(bare) < 5 AND starts_with('ofthe', bare) AND starts_with(bare || b2, 'ofthe'))
+ SELECT source, page, code, arg_min(x0, place) AS x0, arg_min(y0, place) AS y0, arg_min(x1, place) AS x1, arg_min(y1, place) AS y1 FROM h GROUP BY source, page, code""")
 def x6(spark, d):
     return G.code_box(words(spark, d), spark.createDataFrame([("ofthe",), ("and",)], "code string"))
 
@@ -80,3 +82,19 @@ def a19(spark, d):
 @query("x5_phrase_box_gaps")
 def x5b(spark, d):
     return G.phrase_box_gaps(words(spark, d), spark.createDataFrame([("of the and",), ("the of",)], "phrase string"))
+
+
+START = "(SELECT source, page, max(word) FILTER (place = 4) AS code, string_agg(word, ' ' ORDER BY place) AS section_start FROM w WHERE place BETWEEN 4 AND 6 GROUP BY source, page HAVING count(*) = 3 AND bool_and(regexp_full_match(word, '[A-Za-z]{4,}')))"
+
+
+@query("x6_code_box_at", f"""WITH w AS {WORDS}, s AS {START}, n AS (SELECT a.*, b.key AS k2, c.key AS k3 FROM w a JOIN w b ON a.source = b.source AND a.page = b.page AND b.place = a.place + 1 JOIN w c ON a.source = c.source AND a.page = c.page AND c.place = a.place + 2),
+ t AS (SELECT *, string_split(lower(section_start), ' ') AS k FROM s), m AS (SELECT t.source, t.page, code, section_start, min(place) AS spot FROM t JOIN n ON t.source = n.source AND t.page = n.page
+  WHERE (starts_with(key, k[1]) OR starts_with(k[1], key)) AND CAST(starts_with(k2, k[2]) OR starts_with(k[2], k2) AS INTEGER) + CAST(starts_with(k3, k[3]) OR starts_with(k[3], k3) AS INTEGER) >= 1 GROUP BY ALL)
+ SELECT m.source, m.page, m.code, m.section_start, a.x0, a.y0 FROM m JOIN w a ON a.source = m.source AND a.page = m.page AND a.place = m.spot WHERE starts_with(lower(a.word), lower(m.code))""")
+def x6b(spark, d):
+    told = words(spark, d)
+    some = G.reading_order(told).where("place BETWEEN 4 AND 6 AND word rlike '^[A-Za-z]{4,}$'").groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("held")).where("size(held) = 3")
+    starts = some.select("source", "page", F.col("held")[0]["word"].alias("code"), F.array_join(F.transform("held", lambda h: h["word"]), " ").alias("section_start"))
+    # where the window's first word is the code, its box is that word's
+    boxed = G.code_box_at(told, starts).join(told.select("source", "page", "x0", "y0", "word"), ["source", "page", "x0", "y0"])
+    return boxed.where(F.lower("word").startswith(F.lower("code"))).select("source", "page", "code", "section_start", "x0", "y0")
