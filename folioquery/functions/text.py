@@ -1,9 +1,13 @@
-"""Column functions over names, codes, header lines, queries and answers. All native expressions."""
+"""Column functions over names, codes, header lines, queries and answers. Native expressions but for compatibility folding."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Header line families at the start of a line.
 NUMERIC_HEADER = r"^\s*\d+(\.[A-Za-z0-9]+)+\b"
@@ -18,10 +22,10 @@ CAPITALIZED = r"^\s*[A-Z][A-Za-z0-9][A-Za-z0-9 &'\-/()]+\s*$"
 # Starts of lines that only serve retrieval; the first two by exact case, the others in any case.
 RETRIEVAL_LINE = r"^\s*(Search hints:|Headers:|(?i:summary:|page summary:|overview:|key points:))"
 # Words that queries are stripped of.
-STOP_WORDS = (
-    "a about an and are be been being by can could did do does explain for how in is may me might must of on or please shall should tell "
-    "the to use uses using was were what when where who why will with would"
-).split()
+STOP_WORDS = [
+    "a", "about", "an", "and", "are", "be", "been", "being", "by", "can", "could", "did", "do", "does", "explain", "for", "how", "in", "is", "may", "me", "might", "must", "of", "on", "or",
+    "please", "shall", "should", "tell", "the", "to", "use", "uses", "using", "was", "were", "what", "when", "where", "who", "why", "will", "with", "would",
+]
 # Abuse, developer and domain vocabulary of the request filter.
 ABUSE = [
     "jailbreak", "dan", r"developer\s+mode", r"system\s+prompt", r"ignore\s+(all\s+)?previous\s+(instructions|directions)", r"prompt\s*injection",
@@ -72,12 +76,21 @@ def section_doc_id(stem: Column, code: Column) -> Column:
     return F.concat(stem, F.lit("#s"), normalize_code(code))
 
 
+@F.pandas_udf(T.StringType())
+def decomposed(texts: pd.Series) -> pd.Series:
+    """The ASCII characters of the compatibility decomposition (NFKD)."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii")).astype(object)
+
+
+def ascii_fold(s: Column) -> Column:
+    """ASCII text as it is; of other text the ASCII characters of its decomposition. Only the latter goes through Python."""
+    plain = s.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, s).otherwise(decomposed(F.when(~plain, s)))
+
+
 def ascii_slug(s: Column) -> Column:
-    """Lower case without accents, spaces as hyphens. Folds the Latin letters listed below; other non-ASCII letters go."""
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"  # ß has no decomposition and goes
-    folded = F.translate(F.lower(or_empty(s)), accented, "aaaaaaceeeeiiiinooooouuuuyy")
-    bare = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
-    return F.regexp_replace(trimmed(F.regexp_replace(bare, r"\s+", " ")), " ", "-")
+    """Lower case without accents, spaces as hyphens; letters without a decomposition to ASCII go."""
+    return F.regexp_replace(trimmed(F.regexp_replace(F.lower(ascii_fold(or_empty(s))), r"\s+", " ")), " ", "-")
 
 
 def section_id2(source: Column, code: Column, base: Column, start: Column) -> Column:
@@ -278,6 +291,8 @@ def answer_title(text: Column) -> Column:
 
 
 def tidy_title(s: Column, question: Column, most: int = 60) -> Column:
-    first = trimmed(F.regexp_replace(trimmed(F.split_part(trimmed(or_empty(s)), F.lit("\n"), F.lit(1))), "^[\"'`]+|[\"'`]+$", ""))
-    cut = trimmed(F.substring(F.regexp_replace(first, r"[.!?:;,\s]+$", ""), 1, most))
-    return F.when(cut != "", cut).otherwise(trimmed(F.substring(trimmed(or_empty(question)), 1, most)))
+    """The first line without quotes around it and punctuation after it, cut; where nothing is left, that of the question."""
+    line = lambda c: trimmed(F.split_part(trimmed(or_empty(c)), F.lit("\n"), F.lit(1)))
+    cut = lambda c: F.regexp_replace(F.substring(F.regexp_replace(c, r"[.!?:;,\s]+$", ""), 1, most), r"\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(line(s), '^"+|"+$', ""), "^'+|'+$", "")
+    return F.when(cut(bare) != "", cut(bare)).otherwise(cut(line(question)))

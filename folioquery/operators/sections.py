@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +20,10 @@ LETTERED = r"^\s*([A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9
 LETTERED_INSIDE = r"\b([A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?)\.?\s+([A-Z][A-Za-z0-9'\-/()]+\s+)+[A-Za-z0-9'\-/()]+\s*$"
 HEADINGS = ["setup", "components?", "objectives?", "overview", "how to play", "turn order", "game round", "player turn", "phases", "phase [a-z]", "end of (the )?game", "game end", "scoring", "glossary", "reference"]
 WORDED = r"^[A-Z][A-Z0-9 &'\-/()]{3,}$|^[A-Z][a-z0-9'\-/()]+(\s+[A-Z][a-z0-9'\-/()]+){0,2}$|^(?i:" + "|".join(HEADINGS) + r")\b"
+LETTERED_ITEM = r"^[A-Z]\)\s+.+$"
 VALID_CODE = r"^(\d+(\.[A-Za-z0-9]+)+|[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?)$"
 # Matches that make a family primary; pages looked at; characters of a segment and of a batch.
 PRIMARY, SCHEME_PAGES, SEGMENT, BATCH, SEGMENT_COST = 5, 8, 1600, 24000, 32
-#: Pages of a source that are packed into batches together; batches start anew after as many.
-PACKED = 512
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -50,30 +50,53 @@ def with_next_page(pages: DataFrame) -> DataFrame:
 def header_offset(text: Column) -> Column:
     """Characters before the first header line of a text; null if it has none."""
     rows = X.lines_of(text)
-    first = F.array_min(F.filter(F.transform(rows, lambda line, k: F.when(X.is_header(line) | X.title_case_header(line), k)), lambda k: k.isNotNull()))
+    header = lambda line: X.is_header(line) | X.title_case_header(line) | trimmed(line).rlike(LETTERED_ITEM)
+    first = F.array_min(F.filter(F.transform(rows, lambda line, k: F.when(header(line), k)), lambda k: k.isNotNull()))
     return F.when(first.isNotNull(), F.aggregate(F.slice(rows, 1, F.coalesce(first, F.lit(0))), F.lit(0), lambda n, line: n + F.length(line) + 1))
 
 
+def loose_at(text: Column, phrase: Column, whole: bool = False) -> Column:
+    """Characters before the first place of a phrase in any case and spacing; null if it isn't there. whole: as whole words."""
+    escaped = F.regexp_replace(trimmed(phrase), r"([^\p{L}\p{N}\s])", r"\\$1")
+    edge = F.lit(r"\b" if whole else "")
+    pattern = F.concat(F.lit("(?iu)"), edge, F.regexp_replace(escaped, r"\s+", r"\\s+"), edge)
+    return F.when(trimmed(or_empty(phrase)) != "", F.nullif(F.regexp_instr(text, pattern), F.lit(0)) - 1)
+
+
+def with_spill(text: Column, spill: Column) -> Column:
+    """A page and what runs on from it, a blank line between them."""
+    return F.when(or_empty(spill) != "", trimmed(F.concat(trimmed(text), F.lit("\n\n"), spill))).otherwise(trimmed(text))
+
+
 def spill_text(pages: DataFrame, boundary: str | None = None) -> DataFrame:
     """pages with full_text: the page and the start of the next, cut before its first header and at half its length at most.
 
     boundary: a column with the header that the model expects on the next page; where the next page holds it, it wins.
+    Of the next page only its first half moves, and what a header that begins there may need.
     """
-    both = with_next_page(pages)
-    told = F.instr(F.col("next_text"), F.col(boundary)) if boundary else F.lit(0)
-    half = F.floor(F.length("next_text") / 2).cast("int")
-    # a header that begins in the first half shows in 128 more characters
-    at = F.when(told > 0, told - 1).otherwise(header_offset(F.substring(F.col("next_text"), F.lit(1), half + 128)))
-    spill = F.regexp_replace(F.substring(F.col("next_text"), F.lit(1), F.least(half, at)), r"\s+$", "")
-    return both.withColumn("full_text", F.when(or_empty(spill) != "", trimmed(F.concat("text", F.lit("\n\n"), spill))).otherwise(F.col("text"))).drop("next_text")
+    bare = trimmed(F.col("text"))
+    half = F.floor(F.length(bare) / 2).cast("int")
+    after = pages.select("source", (F.col("page") - 1).alias("page"), half.alias("_half"), F.substring(bare, F.lit(1), half + 256).alias("_next"))
+    both = pages.join(after, ["source", "page"], "left")
+    at = header_offset(F.col("_next"))
+    if boundary:
+        at = F.coalesce(loose_at(F.col("_next"), F.col(boundary), whole=True), at)
+    spill = F.regexp_replace(F.substring(F.col("_next"), F.lit(1), F.least(F.col("_half"), at)), r"\s+$", "")
+    return both.withColumn("full_text", with_spill(F.col("text"), spill)).drop("_half", "_next")
 
 
 def refine_spill(pages: DataFrame, starts: DataFrame) -> DataFrame:
-    """pages (with full_text and text) cut again before the earliest section start of page + 1; starts: source, page, section_start."""
-    first = starts.select("source", (F.col("page") - 1).alias("page"), F.col("section_start").alias("_start")).where("_start <> ''")
-    where = pages.join(first, ["source", "page"], "left").withColumn("_at", F.expr("locate(_start, full_text, length(text) + 1)"))
-    low = where.groupBy(*[F.col(c) for c in pages.columns]).agg(F.min(F.when(F.col("_at") > 0, F.col("_at"))).alias("_cut"))
-    return low.withColumn("full_text", F.when(F.col("_cut").isNotNull(), F.regexp_replace(F.expr("substring(full_text, 1, _cut - 1)"), r"\s+$", "")).otherwise(F.col("full_text"))).drop("_cut")
+    """pages with full_text: the page and the next one up to the earliest of the section starts that are told for that page.
+
+    starts: source, page, section_start. A page after which none is told, or found, keeps the full_text it has, or its text.
+    """
+    after = pages.select("source", "page", F.col("text").alias("next"))
+    found = after.join(starts.select("source", "page", "section_start"), ["source", "page"]).withColumn("at", loose_at(F.col("next"), F.col("section_start")))
+    cut = found.where("at is not null").groupBy("source", "page").agg(F.min_by(F.expr("substring(next, 1, at)"), "at").alias("_spill"))
+    cut = cut.select("source", (F.col("page") - 1).alias("page"), F.regexp_replace("_spill", r"\s+$", "").alias("_spill"))
+    held = F.col("full_text") if "full_text" in pages.columns else F.col("text")
+    joined = pages.join(cut, ["source", "page"], "left")
+    return joined.withColumn("full_text", F.when(F.col("_spill").isNotNull(), with_spill(F.col("text"), F.col("_spill"))).otherwise(held)).drop("_spill")
 
 
 def scan_headers(pages: DataFrame) -> DataFrame:
@@ -184,18 +207,29 @@ def segment_lines(pages: DataFrame, most: int = SEGMENT) -> DataFrame:
     return pages.where(trimmed(or_empty(F.col("text"))) != "").select("source", "page", F.posexplode(parts).alias("_k", "text")).select("source", "page", (F.col("_k") + 1).alias("part"), "text")
 
 
-def pack_batches(segments: DataFrame, most: int = BATCH, cost: int = SEGMENT_COST) -> DataFrame:
-    """segments with batch (range of PACKED pages, number in it): greedy, in order of page and part; only lengths are gathered."""
-    sized = segments.select("source", F.floor((F.col("page") - 1) / PACKED).alias("_range"), F.struct("page", "part", (F.length("text") + cost).alias("n")).alias("s"))
-    start = F.struct(F.array().cast("array<struct<page:int,part:int,batch:int>>").alias("out"), F.lit(0).alias("batch"), F.lit(0).alias("size"))
+def pack_batches(segments: DataFrame, most: int = BATCH, cost: int = SEGMENT_COST, items: int | None = None) -> DataFrame:
+    """source, page, part, batch: segments in order of page and part, as many to a batch as fit; items: and no more than so many.
+
+    A batch depends on where the one before it ends, so a source's segments are read in order by one task, as a stream
+    of which only the current sum is held; only lengths move.
+    """
+    sized = segments.select("source", F.col("page").cast("int").alias("page"), F.col("part").cast("int").alias("part"), (F.length("text") + cost).cast("long").alias("n"))
 
-    def add(state: Column, s: Column) -> Column:
-        over = (state["size"] > 0) & (state["size"] + s["n"] > most)
-        batch = state["batch"] + over.cast("int")
-        return F.struct(F.concat(state["out"], F.array(F.struct(s["page"].cast("int").alias("page"), s["part"].cast("int").alias("part"), batch.alias("batch")))).alias("out"), batch.alias("batch"), F.when(over, s["n"]).otherwise(state["size"] + s["n"]).alias("size"))
+    def number(batches):
+        now, batch, size, held = None, 0, 0, 0
+        for rows in batches:
+            out = []
+            for source, n in zip(rows.column("source").to_pylist(), rows.column("n").to_pylist()):
+                if (source,) != now:
+                    now, batch, size, held = (source,), 0, 0, 0
+                elif held and (size + n > most or held == items):
+                    batch, size, held = batch + 1, 0, 0
+                size, held = size + n, held + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("source", "page", "part")), pa.array(out, pa.int32())], names=["source", "page", "part", "batch"])
 
-    placed = sized.groupBy("source", "_range").agg(F.aggregate(F.array_sort(F.collect_list("s")), start, add, lambda s: s["out"]).alias("out"))
-    return placed.select("source", F.col("_range").alias("range"), F.explode("out").alias("o")).select("source", "range", "o.page", "o.part", "o.batch")
+    ordered = sized.repartition("source").sortWithinPartitions("source", "page", "part")
+    return ordered.mapInArrow(number, "source string, page int, part int, batch int")
 
 
 def embed_text(pages: DataFrame) -> DataFrame:
@@ -252,6 +286,34 @@ def balanced_objects(texts: pd.Series) -> pd.Series:
     return pd.Series([first(t) for t in texts], dtype=object)
 
 
+def salvage_array(outputs: DataFrame, raw: str = "raw") -> DataFrame:
+    """outputs with items: the objects (code, title, first_page) of the text's outermost array that have a code and a page number."""
+    whole = trimmed(or_empty(F.col(raw)))
+    inner = F.when(whole.startswith("[") & whole.endswith("]"), whole).otherwise(F.regexp_extract(whole, r"(?s)\[.*\]", 0))
+    told = F.from_json(inner, "array<struct<code: string, title: string, first_page: string>>")
+    clean = F.transform(F.coalesce(told, F.array()), lambda x: F.struct(trimmed(or_empty(x["code"])).alias("code"), trimmed(or_empty(x["title"])).alias("title"), x["first_page"].try_cast("int").alias("first_page")))
+    return outputs.withColumn("items", F.filter(clean, lambda x: (x["code"] != "") & x["first_page"].isNotNull()))
+
+
+def toc_pages(pages: DataFrame, top: int = 10) -> DataFrame:
+    """source, page, lines, numbered, titled, is_toc: whether a page is a table of contents or an index.
+
+    It is where most of its lines that aren't blank begin or end with a number, or where one of its first `top` lines
+    names it and a quarter of them do.
+    """
+    told = lines(pages).where(trimmed(F.col("line")) != "")
+    numbered = F.count_if(F.col("line").rlike(r"^\s*\d|\d\s*$"))
+    titled = F.count_if((F.col("line_no") < top) & F.col("line").rlike(r"(?i)^\s*(table of contents|contents( continued)?|index)\s*$"))
+    counted = told.groupBy("source", "page").agg(F.count("*").alias("lines"), numbered.alias("numbered"), titled.alias("titled"))
+    return counted.withColumn("is_toc", (F.col("numbered") * 2 > F.col("lines")) | ((F.col("titled") > 0) & (F.col("numbered") * 4 >= F.col("lines"))))
+
+
+def find_chunks(chunks: DataFrame, source_end: str = "", section_start: str = "", contains: str = "") -> DataFrame:
+    """Chunks (source, section, text) whose source ends, in any case, whose section starts, and whose text has, in any case, what is asked."""
+    hit = F.lower(or_empty(F.col("source"))).endswith(source_end.lower()) & trimmed(or_empty(F.col("section"))).startswith(section_start)
+    return chunks.where(hit & F.lower(or_empty(F.col("text"))).contains(contains.lower()))
+
+
 def merge_codes(batches: DataFrame) -> DataFrame:
     """source, code, first_page, title: the earliest page and the first title that isn't empty."""
     title = F.min_by("title", F.when(trimmed(or_empty(F.col("title"))) != "", F.col("batch")))

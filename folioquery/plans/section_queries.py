@@ -37,20 +37,44 @@ def headed(spark, d):
     return pages(spark, d).withColumn("text", F.concat(n % 9, F.lit("."), n % 4, F.lit(" Part "), n % 5, F.lit("\n"), "text"))
 
 
-@query("j1_with_next_page", f"SELECT a.source, a.page, length(a.text) AS n, length(b.text) AS next_n FROM {PAGES} a LEFT JOIN {PAGES} b ON a.source = b.source AND b.page = a.page + 1")
+@query("j1_with_next_page", f"SELECT a.source, a.page, sha256(a.text) AS own, sha256(b.text) AS next FROM {PAGES} a LEFT JOIN {PAGES} b ON a.source = b.source AND b.page = a.page + 1")
 def j1(spark, d):
-    return S.with_next_page(pages(spark, d)).select("source", "page", F.length("text").cast("long").alias("n"), F.length("next_text").cast("long").alias("next_n"))
+    return S.with_next_page(pages(spark, d)).select("source", "page", F.sha2("text", 256).alias("own"), F.sha2("next_text", 256).alias("next"))
 
 
-@query("w4_spill_text", f"SELECT a.source, a.page, CAST(length(a.text) AS BIGINT) AS n FROM {HEADED} a")
+STARTS = f"(SELECT source, page, k[4] || ' ' || k[5] AS section_start FROM (SELECT source, page, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS k FROM {PAGES}) WHERE regexp_full_match(k[4] || ' ' || k[5], '[A-Za-z]+ [A-Za-z]+'))"
+
+
+@query(
+    "j1_refine_spill",
+    rf"""WITH f AS (SELECT n.source, n.page - 1 AS page, regexp_replace(regexp_extract(n.text, '(?is)^(.*?)' || replace(section_start, ' ', '\s+'), 1), '\s+$', '') AS spill FROM {PAGES} n JOIN {STARTS} s ON n.source = s.source AND n.page = s.page)
+ SELECT p.source, p.page, sha256(CASE WHEN spill IS NULL THEN text WHEN spill <> '' THEN regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || spill, '^\s+|\s+$', '', 'g') ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS digest FROM {PAGES} p LEFT JOIN f ON p.source = f.source AND p.page = f.page""",
+)
+def j1b(spark, d):
+    told = pages(spark, d)
+    k = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    start = F.concat(F.try_element_at(k, F.lit(4)), F.lit(" "), F.try_element_at(k, F.lit(5)))
+    starts = told.select("source", "page", start.alias("section_start")).where(F.col("section_start").rlike("^[A-Za-z]+ [A-Za-z]+$"))
+    return S.refine_spill(told, starts).select("source", "page", F.sha2("full_text", 256).alias("digest"))
+
+
+SPILL = rf"""WITH p AS (SELECT source, page, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {PAGES}), b AS (SELECT a.source, a.page, a.t, n.t AS s FROM p a LEFT JOIN p n ON a.source = n.source AND n.page = a.page + 1),
+ l AS (SELECT source, page, unnest(string_split(s, chr(10))) AS raw, generate_subscripts(string_split(s, chr(10)), 1) AS k FROM b WHERE s IS NOT NULL), o AS (SELECT source, page, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line, sum(length(raw) + 1) OVER (PARTITION BY source, page ORDER BY k) - length(raw) - 1 AS spot FROM l),
+ w AS (SELECT *, string_split_regex(line, '\s+') AS w FROM o), h AS (SELECT source, page, min(spot) AS spot FROM w WHERE length(line) >= 2 AND (regexp_matches(line, '^\s*\d+(\.[A-Za-z0-9]+)+\b') OR regexp_matches(line, '^\s*[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?\b') OR regexp_matches(line, '^\s*\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?\b') OR regexp_matches(line, '^[A-Z]\)\s+.+$'))
+  OR length(line) BETWEEN 1 AND 80 AND NOT regexp_matches(line, '[.?!]$') AND NOT regexp_matches(line, '^[-•]') AND (len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}') AND x <> upper(x))) = 0 AND len(w) <= 8 OR len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) >= greatest(2, len(w) // 2)) GROUP BY source, page),
+ c AS (SELECT b.source, b.page, b.t, coalesce(regexp_replace(substring(s, 1, CAST(least(length(s) // 2, coalesce(spot, length(s))) AS INTEGER)), '\s+$', ''), '') AS spill FROM b LEFT JOIN h ON b.source = h.source AND b.page = h.page)
+ SELECT source, page, sha256(CASE WHEN spill <> '' THEN regexp_replace(t || chr(10) || chr(10) || spill, '^\s+|\s+$', '', 'g') ELSE t END) AS digest FROM c"""
+
+
+@query("w4_spill_text", rf"SELECT source, page, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM {HEADED}")
 def w4(spark, d):
     # every page begins with a header, so nothing spills over
-    return S.spill_text(headed(spark, d)).select("source", "page", F.length("full_text").cast("long").alias("n"))
+    return S.spill_text(headed(spark, d)).select("source", "page", F.sha2("full_text", 256).alias("digest"))
 
 
-@query("w4_spill_text_plain")
+@query("w4_spill_text_plain", SPILL)
 def w4b(spark, d):
-    return S.spill_text(pages(spark, d)).select("source", "page", F.length("text").alias("n"), F.length("full_text").alias("n_full"))
+    return S.spill_text(pages(spark, d)).select("source", "page", F.sha2("full_text", 256).alias("digest"))
 
 
 @query("f15_header_candidates", rf"SELECT source, page, line FROM (SELECT source, page, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM {LINES}) WHERE length(line) >= 2 AND (regexp_matches(line, '^\s*\d+(\.[A-Za-z0-9]+)+\b') OR regexp_matches(line, '^\s*[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?\b') OR regexp_matches(line, '^\s*\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?\b'))")
@@ -63,9 +87,13 @@ def a4(spark, d):
     return S.scan_headers(headed(spark, d))
 
 
-@query("a5_detect_scheme", rf"SELECT source, count(*) FILTER (regexp_matches(line, '{S.NUMERIC}')) AS numeric, CASE WHEN count(*) FILTER (regexp_matches(line, '{S.NUMERIC}')) >= 5 THEN 'numeric' WHEN count(*) FILTER (regexp_matches(line, '{S.WORDED.replace(chr(39), chr(39) * 2)}')) > 0 THEN 'words' ELSE 'numeric' END AS scheme FROM (SELECT source, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM {LINES} WHERE page <= 8) GROUP BY source")
+LETTERS = " OR ".join(f"regexp_matches(line, '{p.replace(chr(39), chr(39) * 2)}')" for p in (S.LETTERED, S.LETTERED_INSIDE))
+
+
+@query("a5_detect_scheme", rf"""SELECT source, count(*) FILTER (regexp_matches(line, '{S.NUMERIC}')) AS numeric, count(*) FILTER ({LETTERS}) AS alphanum, count(*) FILTER (regexp_matches(line, '{S.WORDED.replace(chr(39), chr(39) * 2)}')) AS words,
+ CASE WHEN numeric >= 5 OR alphanum >= 5 THEN CASE WHEN numeric > alphanum THEN 'numeric' ELSE 'alphanum' END WHEN words > 0 THEN 'words' ELSE 'numeric' END AS scheme FROM (SELECT source, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM {LINES} WHERE page <= 8) GROUP BY source""")
 def a5(spark, d):
-    return S.detect_scheme(headed(spark, d)).select("source", "numeric", "scheme")
+    return S.detect_scheme(headed(spark, d)).select("source", "numeric", "alphanum", "words", "scheme")
 
 
 @query("a8_header_index", f"SELECT source, code, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages, arg_min(title, page) AS title FROM (SELECT DISTINCT source, (doc_id % 9) || '.' || (doc_id % 4) AS code, page, 'Part ' || (doc_id % 5) AS title FROM {PAGES}) GROUP BY ALL")
@@ -108,10 +136,10 @@ def artifacts(spark, d):
 GROUPS = f"(SELECT source, page // 3 AS g, min(page) AS lo, max(page) AS hi, count(*) AS c FROM {PAGES} GROUP BY ALL)"
 
 
-@query("a1_aggregate_sections", f"SELECT source || '.pdf' AS source, g || '.0' AS section_code, lo AS first_page, 'Part ' || g AS section_title, c AS n_pages, source || '#s' || g || '.0' AS id FROM {GROUPS} UNION ALL SELECT source || '.pdf', g || '.1', lo + 1, 'Rest ' || g, c, source || '#s' || g || '.1' FROM {GROUPS}")
+@query("a1_aggregate_sections", f"SELECT source || '.pdf' AS source, g || '.0' AS section_code, lo AS first_page, 'Part ' || g AS section_title, c AS n_pages, array_to_string(range(lo, hi + 1), ',') AS pages, 'On Part ' || g AS summary, source || '#s' || g || '.0' AS id FROM {GROUPS} UNION ALL SELECT source || '.pdf', g || '.1', lo + 1, 'Rest ' || g, c, array_to_string(range(lo + 1, hi + 2), ','), 'On Rest ' || g, source || '#s' || g || '.1' FROM {GROUPS}")
 def a1(spark, d):
     made = S.aggregate_sections(artifacts(spark, d), "v2.3")
-    return made.select("source", "section_code", "first_page", "section_title", F.size("pages").cast("long").alias("n_pages"), "id")
+    return made.select("source", "section_code", "first_page", "section_title", F.size("pages").cast("long").alias("n_pages"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "summary", "id")
 
 
 @query("a1_section_texts")
@@ -119,7 +147,7 @@ def a1b(spark, d):
     return S.aggregate_sections(artifacts(spark, d), "v2.3").select("id", F.sha2("text", 256).alias("digest"), "summary", F.size("header_anchors_pct").alias("anchors"))
 
 
-@query("a2_major_keywords")
+@query("a2_major_keywords", f"SELECT source || '#s' || (page // 3) || '.0' AS id, string_agg(DISTINCT 'k' || (doc_id % 3), ', ' ORDER BY 'k' || (doc_id % 3)) AS keywords FROM {PAGES} GROUP BY ALL UNION ALL SELECT source || '#s' || g || '.1', '' FROM {GROUPS}")
 def a2(spark, d):
     return S.aggregate_sections(artifacts(spark, d), "v2.3", "major").select("id", F.regexp_extract("text", "Search hints: KW: ([^\n]*)", 1).alias("keywords"))
 
@@ -130,23 +158,28 @@ def w12(spark, d):
     return S.earliest_anchor(items).select("source", "section_id", F.col("anchor")[0].alias("x"))
 
 
-@query("v8_page_section_split", f"SELECT source || '.pdf' AS source, page, (page // 3) || '.0' AS primary_code, (page // 3) || '.1' AS next_code FROM {PAGES}")
+@query("v8_page_section_split", f"SELECT source || '.pdf' AS source, page, (page // 3) || '.0' AS primary_code, (page // 3) || '.1' AS next_code, (page // 3) || '.0=' || page || ',' || (page // 3) || '.1=' || (page + 1) AS pages, 'Part ' || (page // 3) || ',Rest ' || (page // 3) AS titles, 'On Part ' || (page // 3) || ',On Rest ' || (page // 3) AS summaries FROM {PAGES}")
 def v8(spark, d):
-    return S.page_section_split(artifacts(spark, d)).select("source", "page", F.array_join("primary", ",").alias("primary_code"), F.array_join("continuation", ",").alias("next_code"))
+    return S.page_section_split(artifacts(spark, d)).select("source", "page", F.array_join("primary", ",").alias("primary_code"), F.array_join("continuation", ",").alias("next_code"), F.array_join(F.transform(F.map_entries("section_pages"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("pages"), F.array_join(F.map_values("section_titles"), ",").alias("titles"), F.array_join(F.map_values("section_summaries"), ",").alias("summaries"))
 
 
-@query("v7_embed_text", f"SELECT source, page, length(chr(83) || '. ' || source || chr(10) || chr(10) || 'Search hints: Q: q1; q2 | KW: k' || (doc_id % 3) || chr(10) || chr(10) || 'Headers: h' || chr(10) || chr(10) || text) AS n FROM {PAGES}")
+@query("v7_embed_text", f"SELECT source, page, sha256(chr(83) || '. ' || source || chr(10) || chr(10) || 'Search hints: Q: q1; q2 | KW: k' || (doc_id % 3) || chr(10) || chr(10) || 'Headers: h' || chr(10) || chr(10) || text) AS digest FROM {PAGES}")
 def v7(spark, d):
     given = pages(spark, d).select("source", "page", "text", F.concat(F.lit("S. "), "source").alias("summary"), F.array(F.lit("q1"), F.lit("q2")).alias("questions"), F.array().cast("array<string>").alias("synonyms"), F.array().cast("array<string>").alias("rules"), F.array(F.concat(F.lit("k"), F.col("doc_id") % 3)).alias("keywords"), F.array(F.lit("h")).alias("headers"))
-    return S.embed_text(given).select("source", "page", F.length("embed").cast("long").alias("n"))
+    return S.embed_text(given).select("source", "page", F.sha2("embed", 256).alias("digest"))
+
+
+SEGMENTS = rf"""l AS (SELECT source, page, unnest(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), 1) AS k FROM {PAGES} WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+ g AS (SELECT source, page, k, line, length(line) + 1 AS size, 1 AS part FROM l WHERE k = 1 UNION ALL SELECT l.source, l.page, l.k, l.line, CASE WHEN g.size + length(l.line) + 1 > 1600 THEN 0 ELSE g.size END + length(l.line) + 1, g.part + CAST(g.size + length(l.line) + 1 > 1600 AS INTEGER) FROM g JOIN l ON l.source = g.source AND l.page = g.page AND l.k = g.k + 1),
+ s AS (SELECT source, page, part, string_agg(line, chr(10) ORDER BY k) AS text FROM g GROUP BY source, page, part)"""
 
 
-@query("w5_segment_lines")
+@query("w5_segment_lines", f"WITH RECURSIVE {SEGMENTS} SELECT source, page, part, sha256(text) AS digest FROM s")
 def w5(spark, d):
-    return S.segment_lines(pages(spark, d)).select("source", "page", "part", F.length("text").alias("n"))
+    return S.segment_lines(pages(spark, d)).select("source", "page", "part", F.sha2("text", 256).alias("digest"))
 
 
-@query("w6_pack_batches")
+@query("w6_pack_batches", f"WITH RECURSIVE {SEGMENTS}, o AS (SELECT source, page, part, length(text) + 32 AS n, row_number() OVER (PARTITION BY source ORDER BY page, part) AS k FROM s), b AS (SELECT source, page, part, k, n AS size, 0 AS batch FROM o WHERE k = 1 UNION ALL SELECT o.source, o.page, o.part, o.k, CASE WHEN b.size + o.n > 24000 THEN 0 ELSE b.size END + o.n, b.batch + CAST(b.size + o.n > 24000 AS INTEGER) FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1) SELECT source, page, part, batch FROM b")
 def w6(spark, d):
     return S.pack_batches(S.segment_lines(pages(spark, d)))
 
@@ -176,6 +209,20 @@ def q1(spark, d):
     return good.select("doc_id", (F.size("llm.sections") == 1).alias("parsed")).union(bad.select("doc_id", F.lit(False)))
 
 
+@query("q1_salvage_array", "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN '' ELSE (doc_id % 9) || '.0=' || doc_id || ',' || (doc_id % 9) || '.1=7' END AS items FROM documents")
+def q1b(spark, d):
+    n = F.col("doc_id")
+    body = F.concat(F.lit('[{"code": " '), n % 9, F.lit('.0", "title": "a ] b", "first_page": '), n, F.lit('}, {"code": "", "first_page": 1}, {"code": "x", "first_page": "no"}, {"code": "'), n % 9, F.lit('.1", "first_page": "7"}]'))
+    raw = F.when(n % 3 == 0, body).when(n % 3 == 1, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))).otherwise(F.lit("no list"))
+    told = S.salvage_array(table(spark, d, "documents").select("doc_id", raw.alias("raw")))
+    return told.select("doc_id", F.array_join(F.transform("items", lambda x: F.concat_ws("=", x["code"], x["first_page"])), ",").alias("items"))
+
+
+@query("q11_toc_rule", rf"SELECT source, page, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^\s*\d|\d\s*$')) AS numbered, count(*) FILTER (line_no < 10 AND regexp_matches(line, '(?i)^\s*(table of contents|contents( continued)?|index)\s*$')) AS titled, numbered * 2 > lines OR titled > 0 AND numbered * 4 >= lines AS is_toc FROM {LINES} WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' GROUP BY source, page")
+def q11(spark, d):
+    return S.toc_pages(headed(spark, d))
+
+
 @query(
     "f24_grep_context",
     f"WITH l AS (SELECT source, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM {PAGES}), c AS (SELECT *, array_to_string(list(line) OVER (PARTITION BY source, page ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10)) AS context FROM l) SELECT source, page, CAST(line_no AS INTEGER) AS line_no, line, context FROM c WHERE regexp_matches(line, '(?i)rights reserved')",
@@ -199,3 +246,27 @@ def s2(spark, d):
     from ..sources.pages import file_manifest
 
     return file_manifest(spark, d, "*.parquet", recursive=True).select("name", "size_bytes")
+
+
+@query("s4_read_artifacts", f"SELECT source || '.pdf' AS source, page, sha256(text) AS digest, 'Part ' || (page // 3) || ',Rest ' || (page // 3) AS titles FROM {PAGES}")
+def s4(spark, d):
+    """Artifacts written as JSON files and read back."""
+    from ..sources.pages import read_artifacts, scratch
+
+    path = scratch(spark, "artifacts")
+    artifacts(spark, d).write.option("ignoreNullFields", False).json(path)
+    good, _ = read_artifacts(spark, path, lines=True)
+    return good.select(F.col("pdf").alias("source"), "page", F.sha2("llm.full_text", 256).alias("digest"), F.array_join("llm.sections.title", ",").alias("titles"))
+
+
+@query("t6_ingest_stream", f"SELECT source || '.pdf' AS source, count(*) * 2 AS sections FROM {GROUPS} GROUP BY source")
+def t6(spark, d):
+    """Artifacts that a file stream hands over once, aggregated into sections and stored by source."""
+    from ..sources.pages import read_sections, scratch, write_sections
+    from ..streaming.state import ingest_stream
+
+    inbox, store = scratch(spark, "inbox"), scratch(spark, "store")
+    artifacts(spark, d).write.parquet(inbox)
+    stream = spark.readStream.schema(artifacts(spark, d).schema).parquet(inbox)
+    ingest_stream(stream, scratch(spark, "progress"), lambda new, _: write_sections(S.aggregate_sections(new, "v2.3").select("id", "source", "text"), store)).awaitTermination()
+    return read_sections(spark, store).groupBy("source").agg(F.count("*").alias("sections"))

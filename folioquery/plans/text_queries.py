@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.sections import find_chunks
 from ..sources import pages as P
 
 QUERIES: dict = {}
@@ -101,14 +102,13 @@ WORDS2 = "lower(array_to_string(list_slice(list_filter(string_split_regex(regexp
 
 @query(
     "f6_section_id2",
-    f"""WITH b AS (SELECT doc_id, source, regexp_extract(coalesce(text, ''), '^[^\\n]*') AS start, (doc_id % 9) || '.0-' || {WORDS2} AS own FROM documents WHERE regexp_full_match(regexp_extract(coalesce(text, ''), '^[^\\n]*'), '[ -~]*')),
-    c AS (SELECT *, replace(regexp_replace(regexp_replace(lower(source || '|' || own || '|' || start), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), ' ', '-') AS seed FROM b)
+    f"""WITH b AS (SELECT doc_id, source, regexp_extract(coalesce(text, ''), '^[^\\n]*') AS start, (doc_id % 9) || '.0-' || {WORDS2} AS own FROM documents),
+    c AS (SELECT *, replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(source || '|' || own || '|' || start), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), ' ', '-') AS seed FROM b)
     SELECT doc_id, CASE WHEN regexp_full_match(own, '[A-Za-z0-9.]+-[a-z0-9-]+') AND start <> '' THEN own || '-' || substring(sha1(seed), 1, 4) ELSE '' END AS section_id2 FROM c""",
 )
 def f6(spark, d):
     start = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0)
-    docs = table(spark, d, "documents").where(start.rlike("^[ -~]*$"))
-    return docs.select("doc_id", X.section_id2(F.col("source"), F.concat(F.col("doc_id") % 9, F.lit(".0")), F.lit(""), start).alias("section_id2"))
+    return table(spark, d, "documents").select("doc_id", X.section_id2(F.col("source"), F.concat(F.col("doc_id") % 9, F.lit(".0")), F.lit(""), start).alias("section_id2"))
 
 
 @query("f7_ascii_slug", r"SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(regexp_extract(coalesce(text, ''), '^[^\n]*'))), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' ', '-') AS slug FROM documents")
@@ -190,19 +190,34 @@ def f20(spark, d):
     return tokens.select("t", F.array_join(F.array_sort(X.plural_variants(F.col("t"))), " ").alias("variants"))
 
 
-@query("f21_query_variants")
+def first_of(items: str) -> str:
+    """A list without later equals of an element."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+PLURALS = f"list_filter([w, CASE WHEN ends_with(t, 'ies') AND length(t) > 3 THEN t[:-4] || 'y' WHEN ends_with(t, 'es') AND length(t) > 2 THEN t[:-3] WHEN ends_with(t, 's') AND length(t) > 1 THEN t[:-2] END, {MORE}], lambda x: x IS NOT NULL)"
+VARIANTS = rf"""WITH q AS (SELECT conv_id, turn, {TRIM.format('text')} AS raw FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, i, k[i] AS w, lower(k[i]) AS t FROM (SELECT *, unnest(range(1, least(6, len(k)) + 1)) AS i FROM (SELECT *, regexp_extract_all(raw, '([A-Za-z][A-Za-z\-]{{2,}})', 1) AS k FROM q))),
+ p AS (SELECT conv_id, turn, i, CASE WHEN regexp_full_match(w, '\p{{L}}+') THEN {PLURALS} ELSE [w] END AS forms FROM w), f AS (SELECT conv_id, turn, flatten(list(forms ORDER BY i)) AS forms FROM p GROUP BY conv_id, turn),
+ v AS (SELECT q.conv_id, q.turn, raw, substring(array_to_string({first_of('forms')}, ' '), 1, 200) AS tail FROM q LEFT JOIN f ON q.conv_id = f.conv_id AND q.turn = f.turn), b AS (SELECT conv_id, turn, CASE WHEN coalesce(raw, '') = '' THEN [] WHEN coalesce(tail, '') = '' OR {TRIM.format("raw || ' ' || tail")} = raw THEN [raw] ELSE [raw, {TRIM.format("raw || ' ' || tail")}] END AS l FROM v)
+ SELECT conv_id, turn, CAST(unnest(range(0, len(l))) AS INTEGER) AS place, unnest(l) AS variant FROM b"""
+
+
+@query("f21_query_variants", VARIANTS)
 def f21(spark, d):
     asked = table(spark, d, "conversations").where("role = 'user'")
     return asked.select("conv_id", "turn", F.posexplode(X.query_variants(F.col("text"))).alias("place", "variant"))
 
 
-@query("f22_ngram_phrases", f"SELECT conv_id, turn, len(list_distinct(list_filter(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), lambda p: length(p) >= 5) || list_filter(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]), lambda p: length(p) >= 7))) AS n FROM (SELECT conv_id, turn, {TOKENS} AS k FROM conversations WHERE role = 'user')")
+@query("f22_ngram_phrases", f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), lambda p: length(p) >= 5) || list_filter(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]), lambda p: length(p) >= 7))), '|') AS phrases FROM (SELECT conv_id, turn, {TOKENS} AS k FROM conversations WHERE role = 'user')")
 def f22(spark, d):
     asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", X.query_tokens(F.col("text")).alias("k"))
-    return asked.select("conv_id", "turn", F.size(X.ngram_phrases(F.col("k"))).cast("long").alias("n"))
+    return asked.select("conv_id", "turn", F.array_join(F.array_sort(X.ngram_phrases(F.col("k"))), "|").alias("phrases"))
 
 
-@query("f23_edge_variants")
+EDGES = f"list_filter([base, replace(base, chr(39), '’'), replace(base, chr(39), 'ʼ'), CASE WHEN len(w) >= 4 THEN array_to_string(w[1:7], ' ') END], lambda x: x IS NOT NULL AND x <> '')"
+
+
+@query("f23_edge_variants", f"WITH b AS (SELECT item_id, {TRIM.format('replace(text, chr(160), chr(32))')} AS base FROM benchmark), c AS (SELECT *, list_filter(string_split_regex(base, '\\s+'), lambda x: x <> '') AS w FROM b), e AS (SELECT item_id, {EDGES} AS l FROM c), u AS (SELECT item_id, {first_of('l')} AS l FROM e) SELECT item_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS place, unnest(l) AS variant FROM u")
 def f23(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(X.edge_variants(F.col("text"))).alias("place", "variant"))
 
@@ -213,9 +228,11 @@ def f24(spark, d):
     return table(spark, d, "documents").where(at > 0).select("doc_id", "source", F.substring(F.col("text"), F.greatest(F.lit(1), at - 150), F.lit(307)).alias("preview"))
 
 
-@query("f25_find_chunks", "SELECT doc_id, source FROM documents WHERE ends_with(source, '1') AND starts_with(text, 'A') AND contains(text, 'the')")
+@query("f25_find_chunks", "SELECT doc_id, source FROM documents WHERE ends_with(lower(source), '1') AND starts_with((doc_id % 9) || '.' || (doc_id % 4), '3.') AND contains(lower(text), 'the')")
 def f25(spark, d):
-    return table(spark, d, "documents").where(F.col("source").endswith("1") & F.col("text").startswith("A") & F.col("text").contains("the")).select("doc_id", "source")
+    n = F.col("doc_id")
+    chunks = table(spark, d, "documents").select("doc_id", "source", F.concat(n % 9, F.lit("."), n % 4).alias("section"), "text")
+    return find_chunks(chunks, "1", "3.", "The").select("doc_id", "source")
 
 
 @query("f26_section_match_rank", "SELECT doc_id, CASE WHEN num = '3' THEN 0 WHEN starts_with(num, '3.') THEN 1 WHEN lab = '3' THEN 2 WHEN starts_with(lab, '3.') THEN 3 END AS rank FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 6) || '.' || (doc_id % 3) ELSE '' END AS num, (doc_id % 5) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.' || (doc_id % 3) END AS lab FROM documents)")
@@ -240,9 +257,9 @@ def f28(spark, d):
     return table(spark, d, "documents").select("doc_id", X.moderate(F.col("text"), F.col("source")).alias("flagged"))
 
 
-@query("f29_clip", "SELECT doc_id, length(CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || ' …(truncated)' ELSE text END) AS n FROM documents")
+@query("f29_clip", "SELECT doc_id, sha256(CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || ' …(truncated)' ELSE text END) AS digest FROM documents")
 def f29(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(X.clip(F.col("text"))).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.clip(F.col("text")), 256).alias("digest"))
 
 
 @query("f30_slices", "SELECT conv_id, turn, i AS seq, substring(text, i * 64 + 1, 64) AS part FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 64.0) AS INTEGER))) AS i FROM conversations WHERE role = 'assistant')")
@@ -273,26 +290,53 @@ def q2(spark, d):
     return answers(spark, d).select("conv_id", "turn", F.array_join(F.array_sort(X.used_citations(F.col("answer"))), "|").alias("used"))
 
 
-@query("q3_link_citations")
+@query("q3_link_citations", "SELECT conv_id, turn, text || ' [' || c || '](section:' || c || ') and [ Setup ](section:%20Setup%20) see [' || c || '](section:' || c || ').' AS linked FROM (SELECT *, (conv_id % 9) || '.' || (turn % 4) AS c FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)")
 def q3(spark, d):
     return answers(spark, d).select("conv_id", "turn", X.link_citations(F.col("answer")).alias("linked"))
 
 
-@query("q4_strip_markdown", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '^\s+|\s+$', '', 'g'), '<[^>]+>', '', 'g'), '[*_~`\\#>\[\]!]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS n FROM pages")
+MARKS = "'## **' || coalesce(text, '') || '** and `code` ~~gone~~ ![pic](a.png) [link](http://b/) __under__ \\*kept\\* _it_ <b>tag</b>'"
+STEPS = [
+    ("<[^>]+>", ""), (r"!\[(.*?)\]\((.*?)\)", r"\1"), (r"\[(.*?)\]\((.*?)\)", r"\1"), (r"^#{1,6}\s*", ""), (r"^>\s*", ""), (r"^\s*([-*+]\s+|\d+\.\s+)", ""),
+    (r"\*\*(.*?)\*\*", r"\1"), ("__(.*?)__", r"\1"), (r"\*(.*?)\*", r"\1"), ("_(.*?)_", r"\1"), ("~~(.*?)~~", r"\1"), ("`([^`]+)`", r"\1"), (r"\\([\\`*_{}\[\]()#+\-.!])", r"\1"), (r"\s+", " "), (r"^\s+|\s+$", ""),
+]
+
+
+def bare_of(text: str) -> str:
+    """SQL of the marks' removal, step by step."""
+    out = TRIM.format(text)
+    for pattern, by in STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return out
+
+
+@query("q4_strip_markdown", f"SELECT 'page' AS kind, page_id AS id, 0 AS turn, sha256({bare_of("coalesce(html, '')")}) AS digest FROM pages UNION ALL SELECT 'said', conv_id, CAST(turn AS INTEGER), sha256({bare_of(MARKS)}) FROM conversations")
 def q4(spark, d):
-    # marks other than tags are rare in these pages; what is left of either kind is compared without them
-    bare = F.regexp_replace(X.strip_markdown(F.regexp_replace(F.regexp_replace(X.trimmed(F.col("html")), "<[^>]+>", ""), r"[*_~`\\#>\[\]!]", "")), r"\s+", " ")
-    return table(spark, d, "pages").select("page_id", F.length(bare).cast("long").alias("n"))
+    marked = F.concat(F.lit("## **"), F.coalesce("text", F.lit("")), F.lit("** and `code` ~~gone~~ ![pic](a.png) [link](http://b/) __under__ \\*kept\\* _it_ <b>tag</b>"))
+    digest = lambda c: F.sha2(X.strip_markdown(c), 256).alias("digest")
+    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.lit(0).alias("turn"), digest(F.col("html")))
+    return pages.union(table(spark, d, "conversations").select(F.lit("said"), "conv_id", F.col("turn").cast("int"), digest(marked)))
+
 
+TITLE = r"regexp_replace(regexp_replace(regexp_extract(coalesce(text, ''), '^\s*([^\n]*)', 1), '^\s+|\s+$', '', 'g'), '^[#* ]+|[#* ]+$', '', 'g')"
 
-@query("q5_answer_title")
+
+@query("q5_answer_title", rf"SELECT conv_id, turn, CASE WHEN t <> '' AND length(t) <= 60 AND NOT regexp_matches(t, '^\p{{Ll}}') AND NOT regexp_matches(t, '^({'|'.join(X.SENTENCE_STARTS)}) ') AND NOT regexp_matches(t, '[.!?:]$') AND len(string_split_regex(t, '\s+')) <= 8 AND NOT regexp_matches(lower(t), '{'|'.join(X.MODALS)}') THEN t ELSE '' END AS title FROM (SELECT conv_id, turn, {TRIM.format(TITLE)} AS t FROM conversations WHERE role = 'assistant')")
 def q5(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", X.answer_title(F.col("text")).alias("title"))
 
 
-@query("q6_tidy_title", r"SELECT conv_id, turn, regexp_replace(substring(regexp_replace(regexp_replace(split_part(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), 1), '^\s+|\s+$', '', 'g'), '[.!?:;,\s]+$', ''), 1, 60), '^\s+|\s+$', '', 'g') AS title FROM conversations WHERE regexp_matches(text, '^\s*\w')")
+SAID = "CASE CAST(turn % 4 AS INTEGER) WHEN 0 THEN '\"' || chr(39) || text || chr(39) || '\" ' WHEN 1 THEN ' ?! ' || chr(10) || text WHEN 2 THEN '\" ' || text || '...\"' ELSE text END"
+CUT = r"regexp_replace(substring(regexp_replace({}, '[.!?:;,\s]+$', ''), 1, 60), '\s+$', '')"
+HEAD = lambda c: TRIM.format(f"split_part({TRIM.format(c)}, chr(10), 1)")
+
+
+@query("q6_tidy_title", f"WITH s AS (SELECT conv_id, turn, {HEAD('coalesce(' + SAID + chr(44) + ' chr(32))')} AS line, {HEAD("'Question ' || conv_id || ': ' || coalesce(text, '')")} AS q FROM conversations), b AS (SELECT *, {CUT.format("regexp_replace(regexp_replace(line, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')")} AS cut FROM s) SELECT conv_id, turn, CASE WHEN cut <> '' THEN cut ELSE {CUT.format('q')} END AS title FROM b")
 def q6(spark, d):
-    return table(spark, d, "conversations").where(F.col("text").rlike(r"^\s*\w")).select("conv_id", "turn", X.tidy_title(F.col("text"), F.lit("")).alias("title"))
+    n, text = F.col("turn") % 4, F.col("text")
+    said = F.when(n == 0, F.concat(F.lit("\"'"), text, F.lit("'\" "))).when(n == 1, F.concat(F.lit(" ?! \n"), text)).when(n == 2, F.concat(F.lit('" '), text, F.lit('..."'))).otherwise(text)
+    asked = F.concat(F.lit("Question "), "conv_id", F.lit(": "), F.coalesce(text, F.lit("")))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.tidy_title(said, asked).alias("title"))
 
 
 @query("q11_toc_pages", rf"SELECT doc_id, sum(CAST(regexp_matches(line, '^\s*\d|\d\s*$') AS INTEGER)) AS numbered, count(*) AS lines, sum(CAST(regexp_matches(line, '^\s*\d|\d\s*$') AS INTEGER)) * 2 > count(*) AS is_toc FROM {LINES} WHERE line <> '' GROUP BY doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -81,9 +82,9 @@ def content_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Page artifacts, and the files that can't be read as one (path, _bad)."""
-    read = spark.read.schema(ARTIFACT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+def read_artifacts(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Page artifacts, and the files that can't be read as one (path, _bad). lines: files hold an artifact a line."""
+    read = spark.read.schema(ARTIFACT).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     read = read.withColumn("path", F.input_file_name())
     bad = F.col("_bad").isNotNull() | F.col("llm").isNull()
     return read.where(~bad).drop("_bad", "path"), read.where(bad).select("path", "_bad")
@@ -137,6 +138,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
