@@ -15,8 +15,8 @@ def stem(name):
 def sources_for_title(catalog: DataFrame, titles: DataFrame) -> DataFrame:
     """title, source: sources whose title is equal in any case, or whose file name starts with it; untitled sources never match.
 
-    The two conditions are joined apart: equality by hash, prefixes by the first characters that every title has, whose
-    number is the shortest title's, so that neither is a nested loop over the catalog.
+    The two conditions are joined apart: equality by hash, prefixes by their first three characters, and shorter ones by
+    all they have, so that neither is a nested loop over the catalog.
     """
     known = catalog.where(trimmed(or_empty(F.col("title"))) != "").select(F.lower(trimmed(F.col("title"))).alias("_t"), "source", F.lower("source").alias("_f"))
     asked = titles.select("title", F.lower(trimmed(F.col("title"))).alias("_key")).where("_key <> ''").distinct()
@@ -121,8 +121,12 @@ def processed_pages(totals: DataFrame, store: DataFrame, version: str) -> DataFr
     return joined.groupBy("source", "total_pages").agg(F.count("page").alias("processed"))
 
 
-def storage_usage(files: DataFrame, size: str = "size_bytes") -> DataFrame:
-    return files.agg(F.count("*").alias("files"), F.round(F.coalesce(F.sum(size), F.lit(0)) / 1048576, 6).alias("megabytes"))
+def storage_usage(files: DataFrame, size: str = "size_bytes", conversations: DataFrame | None = None) -> DataFrame:
+    """files and megabytes, and with a table of conversation numbers how many there are."""
+    told = files.agg(F.count("*").alias("files"), F.round(F.coalesce(F.sum(size), F.lit(0)) / 1048576, 6).alias("megabytes"))
+    if conversations is None:
+        return told
+    return told.withColumn("conversations", F.lit(conversations.distinct().count()))
 
 
 def catalog_validation(entries: DataFrame) -> DataFrame:

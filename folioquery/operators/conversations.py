@@ -61,6 +61,19 @@ def sticky_block(events: DataFrame, session: str, flagged, order: list[str]) ->
     return joined.select(*events.columns, blocked.alias("blocked"), F.when(blocked, F.col(f"_first.{order[0]}")).alias("since"))
 
 
+def block_until_lifted(requests: DataFrame) -> DataFrame:
+    """sid, event_id, ts, blocked, since of every request (sid, event_id, ts, flagged, control): the batch twin of the stream.
+
+    A flagged request blocks its session from then on; an event with the control "unblock" lifts that.
+    """
+    w = Window.partitionBy("sid").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    lifts = F.coalesce(F.col("control") == "unblock", F.lit(False))
+    told = requests.withColumn("_lifts", lifts).withColumn("_span", F.sum(F.col("_lifts").cast("int")).over(w))
+    own = Window.partitionBy("sid", "_span").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    since = F.min(F.when(F.col("flagged") & ~F.col("_lifts"), F.col("ts"))).over(own)
+    return told.withColumn("since", since).select("sid", "event_id", "ts", F.col("since").isNotNull().alias("blocked"), "since")
+
+
 def job_progress(events: DataFrame, job: str, entry: str, state: str, order: list[str]) -> DataFrame:
     """Latest state of every entry of a job, and when."""
     latest = F.max_by(F.struct(F.col(state).alias("state"), F.col(order[0]).alias("updated_at")), F.struct(*order))

@@ -144,9 +144,9 @@ def a11(spark, d):
     return K.processed_pages(pages.groupBy("source").agg(F.max("page").alias("total_pages")), pages, "v2.3")
 
 
-@query("a12_storage_usage", "SELECT count(*) AS files, round(sum(n_chars) / 1048576.0, 6) AS megabytes FROM documents")
+@query("a12_storage_usage", "SELECT count(*) AS files, round(sum(n_chars) / 1048576.0, 6) AS megabytes, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations FROM documents")
 def a12(spark, d):
-    return K.storage_usage(table(spark, d, "documents"), "n_chars")
+    return K.storage_usage(table(spark, d, "documents"), "n_chars", table(spark, d, "conversations").select("conv_id"))
 
 
 @query("a17_catalog_validation", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM orders")
@@ -161,10 +161,10 @@ def j9(spark, d):
     return K.citations_by_page(chunks)
 
 
-@query("j10_locate_section", "SELECT (doc_id % 6) || '.0' AS label, source, min(doc_id % 60) AS page FROM documents WHERE doc_id % 6 IN (1, 4) GROUP BY ALL")
+@query("j10_locate_section", "SELECT (doc_id % 6) || '.0' AS label, source, min(doc_id % 60) AS page, arg_min(doc_id % 10 + 1.0, (doc_id % 60, doc_id % 10))::DOUBLE AS left_ FROM documents WHERE doc_id % 6 IN (1, 4) GROUP BY ALL")
 def j10(spark, d):
     n = F.col("doc_id")
     label = F.concat(n % 6, F.lit(".0"))
-    chunks = table(spark, d, "documents").select("source", F.create_map(label, n % 60).alias("section_pages"), F.create_map(label, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))).alias("header_anchors_pct"), label.alias("label"))
+    chunks = table(spark, d, "documents").select("source", F.create_map(label, n % 60).alias("section_pages"), F.create_map(label, F.array((n % 10 + 1).cast("double"), F.lit(2.0), F.lit(3.0), F.lit(4.0))).alias("header_anchors_pct"), label.alias("label"))
     wanted = chunks.select("label").where("label in ('1.0', '4.0')")
-    return K.locate_section(chunks, wanted).select("label", "source", "page")
+    return K.locate_section(chunks, wanted).select("label", "source", "page", F.col("bbox")[0].alias("left_"))

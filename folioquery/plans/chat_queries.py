@@ -69,6 +69,24 @@ def w13(spark, d):
     return V.sticky_block(events, "user_id", F.col("event_type") == "error", ["ts", "event_id"]).select("event_id", "user_id", "blocked")
 
 
+@query("t2_unblock", """WITH r AS (SELECT *, event_id % 7 = 0 AS lifts, sum(CAST(event_id % 7 = 0 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS span FROM events), s AS (SELECT *, min(CASE WHEN event_type = 'error' AND NOT lifts THEN ts END) OVER (PARTITION BY user_id, span ORDER BY ts, event_id) AS since FROM r)
+ SELECT user_id AS sid, event_id, since IS NOT NULL AS blocked, strftime(since, '%Y-%m-%d %H:%M:%S') AS since FROM s""")
+def t2(spark, d):
+    flagged, control = F.col("event_type") == "error", F.when(F.col("event_id") % 7 == 0, "unblock")
+    told = V.block_until_lifted(table(spark, d, "events").select(F.col("user_id").alias("sid"), "event_id", "ts", flagged.alias("flagged"), control.alias("control")))
+    return told.select("sid", "event_id", "blocked", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query("t2_blocked_sessions", """WITH r AS (SELECT *, event_id % 7 = 0 AS lifts, sum(CAST(event_id % 7 = 0 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS span FROM events), s AS (SELECT *, min(CASE WHEN event_type = 'error' AND NOT lifts THEN ts END) OVER (PARTITION BY user_id, span ORDER BY ts, event_id) AS since, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM r)
+ SELECT user_id AS sid, strftime(since, '%Y-%m-%d %H:%M:%S') AS since FROM s WHERE back = 1 AND since IS NOT NULL""")
+def t2b(spark, d):
+    from ..streaming.state import blocked_sessions
+
+    flagged, control = F.col("event_type") == "error", F.when(F.col("event_id") % 7 == 0, "unblock")
+    told = V.block_until_lifted(table(spark, d, "events").select(F.col("user_id").alias("sid"), "event_id", "ts", flagged.alias("flagged"), control.alias("control")))
+    return blocked_sessions(told).select("sid", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
 @query("t3_job_progress", "SELECT user_id, event_type, arg_max(CAST(round(value) AS VARCHAR), (ts, event_id)) AS state FROM events GROUP BY user_id, event_type")
 def t3(spark, d):
     events = table(spark, d, "events").withColumn("state", F.format_string("%.1f", F.round("value")))

@@ -16,11 +16,12 @@ LABEL = re.compile(r"\[([^\[\]]+)\]$")
 FORBIDDEN = re.compile(r"\((?:see\s*)?\[[^\]]+\]\)", re.IGNORECASE)
 
 
-def sticky_block_stream(requests: DataFrame, ttl: str = "1 hour") -> DataFrame:
+def sticky_block_stream(requests: DataFrame, ttl: str | None = None) -> DataFrame:
     """sid, event_id, ts, blocked, since of every request; requests: sid, event_id, ts, flagged, and control ("unblock" or null).
 
     A flagged request blocks its session from then on, an unblock event frees it. Rows of one trigger are taken in order of
-    time; results equal the batch twin's for rows in order within the watermark. A session's state ends `ttl` after its last event.
+    time; results equal the batch twin's for rows in order. A block lasts until it is lifted; only with ttl a session's state
+    ends so long after its last event, and later events find it free.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,13 +39,15 @@ def sticky_block_stream(requests: DataFrame, ttl: str = "1 hour") -> DataFrame:
             blocked.append(since is not None)
             times.append(pd.NaT if since is None else pd.Timestamp(since))
         state.update((since,))
-        late = max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(ttl).total_seconds() * 1000)
-        state.setTimeoutTimestamp(late)
+        if ttl:
+            late = max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(ttl).total_seconds() * 1000)
+            state.setTimeoutTimestamp(late)
         yield pd.DataFrame({"sid": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "blocked": blocked, "since": pd.Series(times, index=rows.index, dtype="datetime64[ns]")})
 
     kind = requests.schema["sid"].dataType.simpleString()
-    keyed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", ttl).select("sid", "event_id", "ts", "flagged", "control")
-    return keyed.groupBy("sid").applyInPandasWithState(update, f"sid {kind}, event_id long, ts timestamp, blocked boolean, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = requests.withColumn("ts", F.col("ts").cast("timestamp")).select("sid", "event_id", "ts", "flagged", "control")
+    keyed, timeout = (keyed.withWatermark("ts", ttl), GroupStateTimeout.EventTimeTimeout) if ttl else (keyed, GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("sid").applyInPandasWithState(update, f"sid {kind}, event_id long, ts timestamp, blocked boolean, since timestamp", "since long", "append", timeout)
 
 
 def blocked_sessions(told: DataFrame) -> DataFrame:
