@@ -72,6 +72,91 @@ def test_knn_equals_brute_force(spark):
     assert R.knn(df.limit(0), df, 3).count() == 0
 
 
+def clustered(n, groups=40, dim=16):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(groups, dim)) * 4
+    return [(k, [float(x) for x in centres[k % groups] + rng.normal(size=dim) * 0.3], k % 3) for k in range(n)]
+
+
+def test_blocks_of_any_size_give_the_same_neighbours(spark):
+    df = spark.createDataFrame([(k, [float(x) for x in v[:2]], g) for k, v, g in clustered(300)] + [(900, None, 1)], "vec_id long, embedding array<float>, label int")
+    asked = df.where("vec_id % 7 = 0")
+    for by in (None, "label"):
+        told = [sorted(map(tuple, R.knn(asked, df, 5, by, size=n, asked=m).collect())) for n, m in ((4096, 512), (11, 5), (3, 2))]
+        assert told[0] == told[1] == told[2] and len(told[0]) == 5 * asked.where("embedding is not null").count()
+
+
+def test_cells_prune_clustered_vectors(spark):
+    df = spark.createDataFrame(clustered(3000), "vec_id long, embedding array<float>, label int").repartition(4).cache()
+    asked = df.where("vec_id % 50 = 0")
+    index = R.fit_cells(df)
+    assert R.met_share(asked, df, index) < 0.1
+    assert R.recall(R.ann(asked, df, index=index), R.knn(asked, df)).first().recall >= 0.95
+    assert R.ann(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_batches_have_no_seams(spark):
+    segments = spark.createDataFrame([(s, p, 1, "x" * (500 + (p * 37) % 900)) for s in ("a", "b") for p in range(1, 1500)], "source string, page int, part int, text string")
+    got = sorted(map(tuple, S.pack_batches(segments).collect()))
+    want = []
+    for s in ("a", "b"):
+        batch = size = 0
+        for p in range(1, 1500):
+            n = 500 + (p * 37) % 900 + 32
+            if size and size + n > 24000:
+                batch, size = batch + 1, 0
+            size += n
+            want.append((s, p, 1, batch))
+    assert got == want
+    few = S.pack_batches(segments.where("source = 'a' and page <= 10"), items=4).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in few) == [2, 4, 4]
+
+
+def test_refined_spill(spark):
+    pages = spark.createDataFrame([("s", 1, "one "), ("s", 2, "runs on.\n(A)  New.Part here\nOther"), ("s", 3, "Start of three")], "source string, page int, text string")
+    starts = spark.createDataFrame([("s", 2, "Other"), ("s", 2, "(a) new.part"), ("s", 3, "start"), ("s", 2, None), ("s", 2, "newxpart")], "source string, page int, section_start string")
+    got = {r.page: r.full_text for r in S.refine_spill(pages, starts).collect()}
+    assert got == {1: "one\n\nruns on.", 2: pages.collect()[1].text, 3: "Start of three"}
+
+
+def boxes(spark, lines):
+    """A page a key of `lines`; words of five units a character on lines of ten."""
+    rows = []
+    for page, texts in lines.items():
+        for k, text in enumerate(texts):
+            x = 10.0
+            for i, word in enumerate(text.split(" ")):
+                rows.append(("s", page, 0, k, i, x, 10.0 * k, x + 5 * len(word), 10.0 * k + 8, word, 500.0, 800.0, 0))
+                x += 5 * len(word) + 5
+    return spark.createDataFrame(rows, "source string, page int, block int, line int, word_no int, x0 double, y0 double, x1 double, y1 double, word string, page_w double, page_h double, rotation int")
+
+
+def test_codes_are_boxed_at_their_section(spark):
+    words = boxes(spark, {1: ["see 3.1 there", "3.1 Moving units fast"], 2: ["no codes in here", "4 . 2 Building roads here"], 3: ["5.1", "Trading goods all day 5.1"]})
+    starts = spark.createDataFrame([("s", 1, "3.1", "3.1 Moving units"), ("s", 2, "4.2", "4 . 2 Building roads"), ("s", 3, "5.1", "Trading goods all"), ("s", 1, "9", "nowhere to be")], "source string, page int, code string, section_start string")
+    got = {(r.page, r.code): (r.x0, r.y0, r.x1) for r in G.code_box_at(words, starts).collect()}
+    assert got == {(1, "3.1"): (10.0, 10.0, 25.0), (2, "4.2"): (10.0, 10.0, 35.0), (3, "5.1"): (10.0, 0.0, 25.0)}
+    long = "4.5.6.7.8.9.10.11.12.13.14.15"
+    told = G.code_match(boxes(spark, {1: [f"a {long}: b"]}), spark.createDataFrame([(long,), ("b",)], "code string")).collect()
+    assert {r.code: r.place for r in told} == {long: 2, "b": 3}
+    only = G.phrase_box(words, spark.createDataFrame([("3.1 Moving units",), ("Moving units",)], "phrase string")).collect()
+    assert {r.phrase: (r.x0, r.x1) for r in only} == {"3.1 Moving units": (30.0, 45.0), "Moving units": (30.0, 90.0)}
+
+
+def test_folding_and_titles(spark):
+    v = F.col("v")
+    assert one(spark, X.ascii_slug(v), "Ĉu ﬁne ½ Straße…") == "cu-fine-12-strae..." and one(spark, X.ascii_slug(v), "Plain Text") == "plain-text"
+    assert one(spark, X.tidy_title(v, F.lit("Why so?\nx")), '"?!"') == "Why so" and one(spark, X.tidy_title(v, F.lit("")), "\"'Turn order:'\"\nmore") == "Turn order" and one(spark, X.parse_page(v), "p12.pdf") == 12
+    assert one(spark, X.choice_title(X.format_choice(v, F.lit("a.pdf"))), "The Game") == "The Game"
+
+
+def test_contents_pages(spark):
+    pages = spark.createDataFrame([("s", 1, "Table of Contents\n1.0 Setup 3\nTurns\nEnd"), ("s", 2, "Setup 3\nTurns 4\nEnd"), ("s", 3, "Some prose.\nIt has 4\nmore\nand more")], "source string, page int, text string")
+    assert {r.page: r.is_toc for r in S.toc_pages(pages).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_model_errors_stay_in_their_rows(spark):
     def client():
         seen = {}

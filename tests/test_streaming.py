@@ -41,6 +41,15 @@ def test_unblock_frees_the_session(spark, tmp_path):
     assert [r.sid for r in S.blocked_sessions(told).collect()] == [2]
 
 
+def test_blocks_outlast_idle_days_and_equal_the_batch_twin(spark, tmp_path):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").limit(200)
+    rows = events.select(F.col("user_id").alias("sid"), "event_id", "ts", (F.col("event_type") == "error").alias("flagged"), F.when(F.col("event_id") % 7 == 0, "unblock").alias("control"))
+    told = drained(S.sticky_block_stream(replay(spark, rows, str(tmp_path), 3, ["ts", "event_id"])), "lasting")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, V.block_until_lifted(rows).collect()))
+    twin = S.blocked_sessions(V.block_until_lifted(rows)).collect()
+    assert sorted(map(tuple, S.blocked_sessions(told).collect())) == sorted(map(tuple, twin)) and twin
+
+
 def test_jobs_are_refused_while_one_runs(spark, tmp_path):
     at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
     rows = spark.createDataFrame(
