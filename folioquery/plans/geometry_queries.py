@@ -65,9 +65,9 @@ def x5(spark, d):
     return G.phrase_box(words(spark, d), spark.createDataFrame([("Of the",)], "phrase string")).drop("phrase")
 
 
-@query("x6_code_box", f"""WITH w AS (SELECT *, lower(word) AS bare FROM {WORDS}), p AS (SELECT *, lead(bare) OVER w AS b2, lead(x0) OVER w AS p0, lead(y0) OVER w AS q0, lead(x1) OVER w AS p1, lead(y1) OVER w AS q1 FROM w WINDOW w AS (PARTITION BY source, page ORDER BY place)),
- h AS (SELECT source, page, 'and' AS code, place, CASE WHEN starts_with(bare, 'and') THEN x0 ELSE least(x0, p0) END AS x0, CASE WHEN starts_with(bare, 'and') THEN y0 ELSE least(y0, q0) END AS y0, CASE WHEN starts_with(bare, 'and') THEN x1 ELSE greatest(x1, p1) END AS x1, CASE WHEN starts_with(bare, 'and') THEN y1 ELSE greatest(y1, q1) END AS y1 FROM p WHERE starts_with(bare, 'and') OR bare IN ('a', 'an') AND starts_with(bare || b2, 'and') UNION ALL SELECT source, page, 'ofthe', place, CASE WHEN starts_with(bare, 'ofthe') THEN x0 ELSE least(x0, p0) END, CASE WHEN starts_with(bare, 'ofthe') THEN y0 ELSE least(y0, q0) END, CASE WHEN starts_with(bare, 'ofthe') THEN x1 ELSE greatest(x1, p1) END, CASE WHEN starts_with(bare, 'ofthe') THEN y1 ELSE greatest(y1, q1) END FROM p WHERE starts_with(bare, 'ofthe') OR starts_with(bare, 'of') AND length(bare) < 5 AND starts_with('ofthe', bare) AND starts_with(bare || b2, 'ofthe'))
- SELECT source, page, code, arg_min(x0, place) AS x0, arg_min(y0, place) AS y0, arg_min(x1, place) AS x1, arg_min(y1, place) AS y1 FROM h GROUP BY source, page, code""")
+@query("x6_code_box", f"""WITH w AS (SELECT *, lower(word) AS bare FROM {WORDS}), p AS (SELECT source, page, place, bare, list(bare) OVER six AS bs, list(x0) OVER six AS a, list(y0) OVER six AS b, list(x1) OVER six AS c, list(y1) OVER six AS d FROM w WINDOW six AS (PARTITION BY source, page ORDER BY place ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+ h AS (SELECT p.*, code, list_filter(range(1, len(bs) + 1), lambda k: starts_with(array_to_string(bs[1:k], ''), code))[1] AS need FROM p JOIN (VALUES ('ofthe'), ('and')) v(code) ON substring(bare, 1, 1) = substring(code, 1, 1))
+ SELECT source, page, code, arg_min(list_min(a[1:need]), place) AS x0, arg_min(list_min(b[1:need]), place) AS y0, arg_min(list_max(c[1:need]), place) AS x1, arg_min(list_max(d[1:need]), place) AS y1 FROM h WHERE need IS NOT NULL GROUP BY source, page, code""")
 def x6(spark, d):
     return G.code_box(words(spark, d), spark.createDataFrame([("ofthe",), ("and",)], "code string"))
 
