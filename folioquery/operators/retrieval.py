@@ -27,7 +27,7 @@ WEIGHTS = {
 #: Vectors of a block of chunks and of a block of questions.
 CHUNKS, QUESTIONS = 4096, 512
 #: Vectors that the cells of an index are fitted on, questions that its probes are fitted on, cells, and the recall aimed at.
-SAMPLE, PROBED, CELLS, AIM = 20_000, 200, 64, 0.97
+SAMPLE, PROBED, CELLS, AIM = 20_000, 200, 64, 0.94
 
 
 def blocks(vectors: DataFrame, number: str, vector: str, by: list[str], size: int, salts: int) -> DataFrame:
