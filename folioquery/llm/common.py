@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 24
 
 
+#: Rows of a file of a small table.
+ROWS = 10_000
 #: Rows of whole texts in an Arrow batch.
 BATCH = 2000
 _held: dict[str, object] = {}
@@ -69,11 +71,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it back.
+
+    rows: about how many there are, where it is known; a small table then has few files, one for ROWS rows.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -108,7 +113,7 @@ def owned(df: DataFrame, made: Iterable[str], body: str | None = None) -> tuple[
 def _words(ids: DataFrame, of: str) -> DataFrame:
     """A Bloom filter with one hash: FILTER_BITS bits at most, whatever the input, as words of 64 bits."""
     words = ids.select(_word(of).alias("_word"), _bit(of).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    return F.broadcast(written(words, "filter"))
+    return F.broadcast(words)
 
 
 def _word(column: str) -> Column:
@@ -167,8 +172,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = written(edges, name)
-    spark = links.sparkSession
-    before = None
+    rows, before = edges.count(), None
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -176,11 +180,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, name)
+        edges = written(small, name, 2 * rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        rows, before = now[0], now
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")

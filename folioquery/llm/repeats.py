@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, likely, owned, parted, quoted, salted_join, small_batches, trim, written
+from .common import ROWS, hot_keys, likely, owned, parted, quoted, salted_join, small_batches, trim, written
 from .rolling import Prefix, winnow
 
 #: The window and the gram in bytes, and those of passages in words.
@@ -353,17 +353,17 @@ def placed_repeats(docs: DataFrame, text: str, length: int, gram: int, words: bo
     rows = written(kinds_with_bytes(docs, text, kinds.join(anchors, "h"), length, words), "bytes")
     found = repeats_of_groups(rows.where(F.col("n") <= GROUP), length, unit, each)
     rows, width = rows.where(F.col("n") > GROUP), length
-    while rows.limit(1).count():
+    while many := rows.count():
         width = -(-width // SPLIT)
-        split = written(split_by_offset(rows, width, length, unit), "split")
+        split = written(split_by_offset(rows.coalesce(max(1, -(-many // ROWS))), width, length, unit), "split")
         # kinds that are equal at these offsets are one; where the width is 1, all kinds of a group are
         one = split.groupBy("h", "row").agg(*[F.first(c).alias(c) for c in ("low", "high", "left", "data")], F.sum("copies").alias("copies"))
-        one = written(one.withColumnRenamed("row", "kind"), "distinct")
+        one = written(one.withColumnRenamed("row", "kind"), "distinct", SPLIT * many)
         told = one.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n")
         some = repeats_of_groups(one.join(told.where(F.col("n") <= GROUP), "h"), length, unit, each)
         found = found.union(split.select("kind", "row").join(some.withColumnRenamed("kind", "row"), "row").select("kind", "a", "b", "repeat"))
         rows = split.join(told.where(F.col("n") > GROUP), "h").select(*KIND)
-    ranges = written(found.join(kinds.select("kind", *SHAPE), "kind").select(*SHAPE, "a", "b", "repeat").distinct(), "ranges")
+    ranges = found.join(kinds.select("kind", *SHAPE), "kind").select(*SHAPE, "a", "b", "repeat").distinct()
     return near.join(ranges, SHAPE).select("ka", "kb", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), "repeat").distinct()
 
 
@@ -380,7 +380,7 @@ def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
 def covered(docs: DataFrame, text: str, length: int, gram: int, words: bool) -> DataFrame:
     """ka, kb, spans array<struct<a, b>>: ranges of symbols that repeats cover (b excluded, unmerged), of every distinct text that has any."""
     found = placed_repeats(docs, text, length, gram, words)
-    return written(found.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    return found.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, words: bool = False, passage: int = 0) -> DataFrame:
@@ -399,8 +399,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
     body = F.col(quoted(text))
     ka, kb = text_key(body)
     spans = covered(docs, text, length, gram, words)
-    other = covered(docs, text, passage, PASSAGE_GRAM, True) if passage else spans.where("false")
-    spans = written(spans.join(other.withColumnRenamed("spans", "passages"), ["ka", "kb"], "full"), "cover")
+    if passage:
+        other = covered(docs, text, passage, PASSAGE_GRAM, True).withColumnRenamed("spans", "passages")
+        spans = written(spans.join(other, ["ka", "kb"], "full"), "cover")
+    else:
+        spans = written(spans.withColumn("passages", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")), "cover")
 
     clean, maybe = parted(docs.select(own, body.alias("body"), ka, kb), "ka", spans, "ka")
     raw = F.coalesce(F.encode(F.col("body"), "UTF-8"), F.lit(b"").cast("binary"))
