@@ -3,7 +3,6 @@
 import collections
 import hashlib
 import random
-import zlib
 
 import numpy as np
 import pytest
