@@ -65,4 +65,20 @@ def warc_sql(least: int = warc.LEAST) -> str:
  SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f ON p.h = f.h"""
 
 
-ORACLES: dict[str, str] = {"op1_ngram_join": classes_sql(), "op3_warc": warc_sql(), "op4_url_filter": url_sql(), "op7_line_dedup": line_dedup_sql(), "op10_quality": quality_sql()}
+def exact_sql() -> str:
+    return rf"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g') AS plain FROM documents)
+ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(plain) AS text_sha256 FROM d WINDOW w AS (PARTITION BY plain)"""
+
+
+def search_sql() -> str:
+    """Integer scores over terms, 10 best a row of benchmark; all divisions are of positive integers."""
+    terms = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return rf"""WITH d AS (SELECT doc_id, {terms} AS w FROM documents), g AS (SELECT count(*) AS c, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+ q AS (SELECT item_id, unnest({terms}) AS term FROM benchmark), q2 AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL), t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+ p AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ s AS (SELECT p.doc_id, p.term, CAST(floor(1000 * ln((2 * c + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * c) // total))) AS part FROM p JOIN f USING (term), g),
+ r AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM q2 JOIN s USING (term) GROUP BY item_id, doc_id),
+ o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0) SELECT * FROM o WHERE rank <= 10"""
+
+
+ORACLES: dict[str, str] = {"op1_ngram_join": classes_sql(), "op3_warc": warc_sql(), "op4_url_filter": url_sql(), "op7_line_dedup": line_dedup_sql(), "op10_quality": quality_sql(), "op11_exact_dedup": exact_sql(), "op13_ranked_search": search_sql()}
