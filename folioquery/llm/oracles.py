@@ -31,7 +31,7 @@ def line_dedup_sql() -> str:
 
 
 def quality_sql() -> str:
-    """A line is boilerplate where ten distinct remaining texts of its host hold it, or two that are over a tenth of the host's documents."""
+    """A line is boilerplate where three distinct remaining texts of its host hold it that are over a tenth of the host's distinct texts."""
     words = rf"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda w: w <> '')"
     plain = lambda line: rf"trim(regexp_replace(translate(lower({line}), '123456789', '000000000'), '{SPACE}+', ' ', 'g'), ' ')"
     return rf"""WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS rid, {words} AS w, string_split(text, chr(10)) AS raw, list_transform(string_split(text, chr(10)), lambda x: {plain('x')}) AS plain FROM documents),
@@ -41,8 +41,8 @@ def quality_sql() -> str:
  n AS (SELECT *, len(list_filter(string_split(bare, ' '), lambda w: w <> '')) AS nw FROM l), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM n WHERE nw > 0 GROUP BY rid),
  u AS (SELECT rid, unnest(list_distinct(plain)) AS bare FROM d WHERE text IS NOT NULL),
  s AS (SELECT d.source, u.bare, array_to_string(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN plain[i] = u.bare THEN chr(1) ELSE raw[i] END), chr(10)) AS rest FROM u JOIN d USING (rid) WHERE u.bare <> ''),
- t AS (SELECT source, count(*) AS total FROM d GROUP BY source), c AS (SELECT source, bare, count(DISTINCT rest) AS n FROM s GROUP BY source, bare),
- bad AS (SELECT c.source, bare FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 10 OR n >= 2 AND n > CAST(0.1 AS DOUBLE) * total),
+ t AS (SELECT source, count(DISTINCT text) + CAST(bool_or(text IS NULL) AS BIGINT) AS total FROM d GROUP BY source), c AS (SELECT source, bare, count(DISTINCT rest) AS n FROM s GROUP BY source, bare),
+ bad AS (SELECT c.source, bare FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > CAST(0.1 AS DOUBLE) * total),
  m AS (SELECT n.*, bad.bare IS NOT NULL AS hit FROM n LEFT JOIN bad ON n.source IS NOT DISTINCT FROM bad.source AND n.bare = bad.bare),
  r AS (SELECT rid, CAST(sum(nw) FILTER (hit) AS BIGINT) AS lost, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT hit), '')) AS left_sha256 FROM m GROUP BY rid),
  a AS (SELECT doc_id, len(w) AS n_words, CAST(length(regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS BIGINT) AS n_symbols,

@@ -1,8 +1,8 @@
 """Rules on a document's own words, and rejection of documents that boilerplate lines deplete.
 
-Lines are normalised and hashed; a line is boilerplate where enough distinct documents of a host hold it. Such lines
-leave the text, and a document that keeps too few of its words without them is rejected. A line counts once per
-distinct remaining text, so that copies don't make all of their lines boilerplate.
+Lines are normalised and hashed; a line is boilerplate where more than a share of a host's distinct documents hold it.
+Such lines leave the text, and a document that keeps too few of its words without them is rejected. Copies are one
+document on both sides of the share: a line counts once per distinct remaining text, a host has its distinct texts.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 #: Characters that count as symbols, and as white space.
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
-#: Line limits: distinct documents of a host, or their share of its documents, that make a line boilerplate.
-LEAST_DOCUMENTS, SHARE = 10, 0.1
+#: Line limit: the share of a host's distinct documents beyond which a line is boilerplate, at every size of a host; and
+#: the documents that tell it, so that a pair of near copies doesn't make each other's lines boilerplate.
+SHARE, LEAST_DOCUMENTS = 0.1, 3
 #: Share of its words that a document has to keep.
 LEFT = 0.3
 
@@ -81,8 +82,8 @@ def boilerplate(docs: DataFrame, host: str, text: str, least: int, share: float)
     """host, line (key), n of the boilerplate lines, and host, line, da, db, rest of all lines.
 
     A line counts once per distinct remaining text, which is the text less that line: copies that differ in nothing
-    but the line (a page number, a date) are one. It is boilerplate where it counts `least` times on its host, or
-    twice and more often than by `share` of the host's documents. Copies are combined before the shuffle.
+    but the line (a page number, a date) are one. It is boilerplate where it counts `least` times at least, and more
+    than `share` of the host's distinct texts. Copies are combined before the shuffle.
     """
     body, key = F.col(quoted(text)), host_key(F.col(quoted(host)))
     rows = docs.select(key.alias("host"), *text_key(F.col(quoted(host)), body), body.alias("body"))
@@ -94,9 +95,10 @@ def boilerplate(docs: DataFrame, host: str, text: str, least: int, share: float)
     single = single.select("host", "da", "db", "whole", "z.number", "z.line").where("line is not null")
     rest = F.first("whole").bitwiseXOR(F.expr("bit_xor(DISTINCT number)"))
     lines = written(single.groupBy("host", "line", "da", "db").agg(rest.alias("rest")), "lines")
-    counts = lines.groupBy("host", "line", "rest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n >= 2")
-    totals = written(rows.groupBy("host").agg(F.count("*").alias("total")), "hosts")
-    found = counts.join(totals, "host").where((F.col("n") >= least) | (F.col("n") > share * F.col("total")))
+    counts = lines.groupBy("host", "line", "rest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    texts = rows.groupBy("host", "da", "db").agg(F.lit(1).alias("one"))
+    totals = written(texts.groupBy("host").agg(F.count("*").alias("total")), "hosts")
+    found = counts.join(totals, "host").where(F.col("n") > share * F.col("total"))
     return written(found.select("host", "line", "n"), "boilerplate"), lines
 
 
@@ -106,7 +108,7 @@ def judge_quality(docs: DataFrame, host: str = "source", text: str = "text", lea
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: counts over the whole text. base_failed: too few
     words, or too many in repeated windows. n_left: words outside boilerplate lines. kept: neither failed nor
     depleted. left_text: the text without its boilerplate lines. A null text has no words and fails, and left_text
-    is null; it counts as one of its host's documents. Documents with a null host form one host. Repeated rows are
+    is null; the null texts of a host are one of its documents. Documents with a null host form one host. Repeated rows are
     judged alike and all kept or dropped. Other columns pass through, whatever their names; an empty table stays empty.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "left_text")

@@ -381,14 +381,25 @@ def test_short_repeats_equal_brute_force(docs, group, monkeypatch):
 
 def test_long_notices_deplete_documents(spark):
     notice = passage(77, 25)
-    told = [(k, f"{notice}\nown words of {k}", "big") for k in range(40)] + [(k, passage(k, 60), "big") for k in range(100, 700)]
+    told = [(k, f"{notice}\nown words of {k}", "big") for k in range(80)] + [(k, passage(k, 60), "big") for k in range(100, 700)]
     told += [(k, f"Copy {k}\n{passage(78, 60)}", "copies") for k in range(700, 703)] + [(k, passage(k, 60), "copies") for k in range(710, 750)]
     told += [(k, f"{passage(80, 30)}\nown words of {k}", "small") for k in range(800, 803)]
     got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(told, "doc_id long, text string, source string")).collect()}
-    assert all(not got[k].kept and got[k].n_left == 4 for k in [*range(40), *range(800, 803)])
+    assert all(not got[k].kept and got[k].n_left == 4 for k in [*range(80), *range(800, 803)])
     assert all(got[k].kept for k in [*range(100, 703), *range(710, 750)])
 
 
+def test_lines_of_copied_documents_count(spark):
+    """A notice that every document of a host holds goes from every copy, however often the documents are copied."""
+    notice = passage(5, 25)
+    texts = [f"{notice}\n{passage(300 + k, 8)}" for k in range(9)]
+    told = [(20 * k + copy, text, "host") for k, text in enumerate(texts) for copy in range(20)] + [(k, f"{passage(k, 30)}\n{passage(k + 1, 30)}" if k > 502 else f"Shared by three\n{passage(k, 30)}", "large") for k in range(500, 600)]
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(told, "doc_id long, text string, source string")).collect()}
+    assert all(got[k].left_text == passage(300 + k // 20, 8) and got[k].n_left == 8 and not got[k].kept for k in range(180))
+    # three of a hundred are no more than three of a million
+    assert all(got[k].left_text == got[k].text for k in range(500, 600))
+
+
 def test_boilerplate_lines_leave_the_text(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     told = [(k, f"Page {k} of 340\n{passage(k, 40)}\n\n  PAGE {k + 1} of 999", "en", "a", 0) for k in range(30)] + [(k, passage(k, 40), "en", "a", 0) for k in range(30, 60)] + [(60, None, "en", "a", 0)]
