@@ -71,14 +71,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     rows: about how many there are, where it is known; a small table then has few files, one for ROWS rows.
+    codec: how to compress it, by default as the session does.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))).write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))).write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import likely, owned, parted, quoted, written
 
 #: Bytes of the first digit; how much longer the next one is; the longest.
-FIRST, FACTOR, LONGEST = 32, 16, 1 << 20
+FIRST, FACTOR, LONGEST = 128, 16, 1 << 20
+#: Bytes that a text can have.
+MOST = 2**31 - 1
 #: A group of more than one in SHARES rows is dealt to several tasks.
 SHARES = 500
 
@@ -29,25 +31,29 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def split(opened: DataFrame, width: int, rows: int) -> DataFrame:
-    """One round over row, id, group, rest: the rows whose next `width` bytes have company in their group.
+def digit_of(rest: Column, width: int) -> list[Column]:
+    """The next digit of a text, and whether the text ends in it."""
+    return [F.substring(rest, 1, width).alias("digit"), (F.length(rest) <= width).alias("ended")]
 
-    Returns row, id, group (a new number), rest (behind the digit), ended, keep (null-last flag, id and row of the
-    smallest) and n. Texts that end within the digit are kept apart from those that go on. Written to the shared folder.
+
+def split(opened: DataFrame, behind: Column, rows: int) -> DataFrame:
+    """One round over row, id, group, digit, ended: the rows that have company in their group by digit and end.
+
+    Returns row, id, group (a new number), rest, ended, keep (null-last flag, id and row of the smallest) and n.
+    Texts that end with the digit are kept apart from those that go on. behind: the text behind the digit, from the
+    column `left`; it is only worked out for rows that may have company. Written to the shared folder.
     """
-    digit = [F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended")]
-    dealt = opened.select("row", "id", "group", *digit, F.substring("rest", width + 1, 2**31 - 1).alias("rest"))
     keys, mark = ["group", "digit", "ended"], F.xxhash64("group", "digit", "ended").alias("mark")
-    counted = dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "row")).alias("keep"))
+    counted = opened.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "row")).alias("keep"))
     groups = written(counted.where("n > 1").select("*", mark, F.monotonically_increasing_id().alias("number")), "groups")
 
     # fewer than SHARES groups are hot; together they are repeated less than twice SHARES times
     hot = F.broadcast(groups.where(F.col("n") * SHARES > rows).groupBy("mark").agg(F.ceil(F.max("n") * SHARES / rows).alias("shares")))
     shares = F.coalesce("shares", F.lit(1))
-    some = likely(dealt.withColumn("mark", mark), "mark", groups, "mark")
+    some = likely(opened.withColumn("mark", mark), "mark", groups, "mark").withColumn("rest", behind).drop("left")
     some = some.join(hot, "mark", "left").withColumn("share", F.pmod(F.xxhash64("row"), shares)).drop("mark", "shares")
     spread = groups.join(hot, "mark", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("mark", "shares")
-    return written(some.join(spread, [*keys, "share"]).select("row", "id", F.col("number").alias("group"), "rest", "ended", "keep", "n"), "members")
+    return written(some.join(spread, [*keys, "share"]).select("row", "id", F.col("number").alias("group"), "rest", "ended", "keep", "n"), "members", codec="zstd")
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,16 +65,18 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     pass through, whatever their names. An empty table stays empty.
     """
     names, own = owned(docs, ("keep_id", "group_size", "kept"), text)
-    body = plain(F.col(quoted(text))).cast("binary")
-    rows = docs.select(own, F.col(quoted(text)).alias("body"), F.col(quoted(id_column)).alias("id"), F.monotonically_increasing_id().alias("row"), body.alias("rest"))
-    rows = written(rows, "texts")
-    opened, width, count = rows.select("row", "id", F.lit(0).cast("long").alias("group"), "rest"), FIRST, rows.count()
-    closed = []
+    rest = plain(F.col("body")).cast("binary")
+    rows = docs.select(own, F.col(quoted(text)).alias("body"), F.col(quoted(id_column)).alias("id"), F.monotonically_increasing_id().alias("row"))
+    # the first digit is written beside the text, so that the first count reads no texts
+    rows = written(rows.select("*", *digit_of(rest, FIRST)), "texts", codec="zstd")
+    opened = rows.select("row", "id", F.lit(0).cast("long").alias("group"), "digit", "ended", F.col("body").alias("left"))
+    behind, width, count, closed = F.substring(plain(F.col("left")).cast("binary"), FIRST + 1, MOST), FIRST, rows.count(), []
     while count:
-        members = split(opened, width, count)
+        members = split(opened, behind, count)
         closed.append(members.where("ended").select("row", "keep", "n"))
-        opened, width = members.where("not ended").select("row", "id", "group", "rest"), min(width * FACTOR, LONGEST)
-        count = opened.count()
+        going, width = members.where("not ended"), min(width * FACTOR, LONGEST)
+        opened = going.select("row", "id", "group", *digit_of(F.col("rest"), width), F.col("rest").alias("left"))
+        behind, count = F.substring("left", width + 1, MOST), going.count()
     if not closed:
         return rows.select(*names, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     found = reduce(DataFrame.union, closed)
