@@ -1,6 +1,6 @@
 """Phrases and codes in tables of word boxes, and boxes on pages.
 
-word_boxes: source, page, block, line, word_no, x0, y0, x1, y1, word, and page_w, page_h, rotation where boxes are normalised.
+Words are rows of boxes or laid out pages, see word_index; phrases may also be looked up in a stored index.
 """
 
 from __future__ import annotations
@@ -10,68 +10,79 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_code, match_tokens, or_empty, trimmed
+from .word_index import BOX, asked_words, bare_word, laid, placed, sent, word_key, words_beginning
 
 # Tokens of a phrase that are compared, and the inset of the page frame.
 WINDOW, MARGIN = 6, 0.02
-READING = ["block", "line", "word_no", "y0", "x0"]
 
 
-def word_key(word: Column) -> Column:
-    return F.regexp_replace(F.lower(F.translate(or_empty(word), " ", " ")), r"^[\s\-–—:;,.]+|[\s\-–—:;,.]+$", "")
+def phrase_parts(phrases: DataFrame, most: int | None = None) -> DataFrame:
+    """phrase, n, k, key: the tokens of each phrase, or its first `most`, numbered from 0."""
+    tokens = match_tokens(F.col("phrase"))
+    asked = phrases.select("phrase", (F.slice(tokens, 1, most) if most else tokens).alias("tokens")).where(F.size("tokens") > 0)
+    return asked.select("phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("k", "key"))
 
 
-def reading_order(words: DataFrame) -> DataFrame:
-    """words with place, from 1 on every page, and key."""
-    w = Window.partitionBy("source", "page").orderBy(*READING)
-    return words.withColumn("place", F.row_number().over(w)).withColumn("key", word_key(F.col("word")))
+def phrase_starts(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """source, page, phrase, n, start, got, and x0, y0, x1, y1 around the tokens that stand where they would from start on.
 
-
-def pages_with(words: DataFrame, keys: DataFrame) -> DataFrame:
-    """The words of the pages that hold a word of keys (key), so that other pages are never put in order."""
-    held = words.select("source", "page", word_key(F.col("word")).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
-    return words.join(held.select("source", "page").distinct(), ["source", "page"], "left_semi")
+    Places are intersected by counting: a token in order keeps place - k the same. A window has to end on its page.
+    """
+    hits = asked_words(words, parts).withColumn("start", F.col("place") - F.col("k")).where((F.col("start") >= 1) & (F.col("start") + F.col("n") - 1 <= F.col("n_words")))
+    sides = [f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    first = [F.max(F.when(F.col("k") == 0, F.col(c))).alias(f"first_{c}") for c in ("x0", "y0")]
+    # one exchange by page serves this count and the choice of the first window after it
+    return hits.repartition("source", "page").groupBy("source", "page", "phrase", "n", "start").agg(F.count("*").alias("got"), F.max(F.col("k") == 0).alias("head"), *sides, *first)
 
 
 def phrase_match(words: DataFrame, phrases: DataFrame, most: int = WINDOW) -> DataFrame:
-    """source, page, phrase, x0, y0: the first window that begins with the phrase's first token and has half of its others, two at least.
-
-    Windows are joined on their first token only, so a page meets the phrases that can begin there.
-    """
-    w = Window.partitionBy("source", "page").orderBy("place")
-    asked = phrases.select("phrase", F.slice(match_tokens(F.col("phrase")), 1, most).alias("tokens")).where(F.size("tokens") > 0).withColumn("head", F.element_at("tokens", 1))
-    ordered = reading_order(pages_with(words, asked.select(F.col("head").alias("key"))))
-    ahead = ordered.withColumn("keys", F.array(*[F.lead("key", k).over(w) if k else F.col("key") for k in range(most)]))
-    pairs = ahead.join(asked, F.col("key") == F.col("head"))
-    n = F.size("tokens")
-    equal = F.size(F.filter(F.zip_with(F.slice("keys", F.lit(1), n), "tokens", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    good = pairs.where((equal >= F.greatest(F.lit(2), F.floor(n / 2))) & F.element_at("keys", n).isNotNull())
-    return good.groupBy("source", "page", "phrase").agg(F.min_by(F.struct("x0", "y0", "place"), "place").alias("at")).select("source", "page", "phrase", "at.x0", "at.y0", "at.place")
+    """source, page, phrase, x0, y0, place: the first window that begins with the phrase's first token and has half of its others, two at least."""
+    starts = phrase_starts(words, phrase_parts(phrases, most)).where(F.col("head") & (F.col("got") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2))))
+    at = F.min_by(F.struct(F.col("first_x0").alias("x0"), F.col("first_y0").alias("y0"), F.col("start").alias("place")), "start")
+    return starts.groupBy("source", "page", "phrase").agg(at.alias("at")).select("source", "page", "phrase", "at.x0", "at.y0", "at.place")
 
 
 def code_match(words: DataFrame, codes: DataFrame, give: list[str] = ["x0", "y0", "place"]) -> DataFrame:  # noqa: B006
     """source, page, code and the columns `give` of the first word that is the code or begins with it.
 
-    Words are joined to codes by their prefixes of the lengths that codes have, so the join is by equality.
+    Words are joined to codes by equality, cut to the lengths of codes that begin as they do.
     """
-    sizes = [r[0] for r in codes.select(F.length("code").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
-    ordered = reading_order(words).withColumn("bare", F.regexp_replace(F.lower(trimmed(F.translate(or_empty(F.col("word")), " ", " "))), "[ :.]+$", "")).where("bare <> ''")
-    prefixes = F.array_compact(F.array(*[F.when(F.length("bare") >= n, F.substring("bare", 1, n)) for n in sizes])) if sizes else F.array().cast("array<string>")
-    lead = ordered.withColumn("low", F.explode(prefixes))
-    asked = codes.select("code", F.lower("code").alias("low")).distinct()
-    return lead.join(asked, "low").groupBy("source", "page", "code").agg(F.min_by(F.struct(*give), "place").alias("at")).select("source", "page", "code", "at.*")
+    rows = placed(words).withColumn("bare", bare_word(F.col("word")))
+    hits = words_beginning(rows, "bare", codes.select("code", F.lower("code").alias("low")))
+    return hits.groupBy("source", "page", "code").agg(F.min_by(F.struct(*give), "place").alias("at")).select("source", "page", "code", "at.*")
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, x0, y0, x1, y1, words: neighbours on a line (tops or bottoms within 2) with a gap of at most max(6, a tenth of the height).
+    """keys, x0, y0, x1, y1, words: boxes merged along a line, in order of y0 and x0.
 
-    Each box is compared with the one before it, not with the box merged so far.
+    A box joins the one merged so far if their tops or bottoms are within 2 and the gap from its right edge is at most
+    max(6, a tenth of its height); the merged box then is that around both.
+
+    The running box is carried over a page by a fold. Long pages are first cut where no running box could reach over:
+    it is no lower than the lowest bottom so far, and no further right than the furthest edge so far, so a box that is
+    more than 2 below every earlier bottom and top begins a new one whatever came before.
     """
-    w = Window.partitionBy(*keys).orderBy("y0", "x0", "x1", "y1")
-    before = {c: F.lag(c).over(w) for c in ("x1", "y0", "y1")}
-    level = (F.abs(F.col("y0") - before["y0"]) <= 2.0) | (F.abs(F.col("y1") - before["y1"]) <= 2.0)
-    close = F.col("x0") - before["x1"] <= F.greatest(F.lit(6.0), 0.1 * F.greatest(F.lit(1.0), before["y1"] - before["y0"]))
-    joined = boxes.withColumn("_new", (~F.coalesce(level & close, F.lit(False))).cast("int"))
-    return joined.withColumn("_box", F.sum("_new").over(w)).groupBy(*keys, "_box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("words")).drop("_box")
+    order = ["y0", "x0", "x1", "y1"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    lowest = F.max(F.greatest("y0", "y1")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("y0") > lowest + 2) & (F.col("y1") > lowest + 2), F.lit(True))
+    parts = boxes.withColumn("_cut", cut.cast("int")).withColumn("_part", F.sum("_cut").over(w))
+    rows = parts.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in order]))).alias("_boxes"))
+    box = "struct<x0:double,y0:double,x1:double,y1:double,words:bigint>"
+    start = F.struct(F.array().cast(f"array<{box}>").alias("done"), F.lit(None).cast(box).alias("now"))
+
+    def add(state: Column, b: Column) -> Column:
+        now = state["now"]
+        level = (F.abs(b["y0"] - now["y0"]) <= 2.0) | (F.abs(b["y1"] - now["y1"]) <= 2.0)
+        close = b["x0"] - now["x1"] <= F.greatest(F.lit(6.0), 0.1 * F.greatest(F.lit(1.0), now["y1"] - now["y0"]))
+        both = F.struct(F.least(now["x0"], b["x0"]).alias("x0"), F.least(now["y0"], b["y0"]).alias("y0"), F.greatest(now["x1"], b["x1"]).alias("x1"), F.greatest(now["y1"], b["y1"]).alias("y1"), (now["words"] + 1).alias("words"))
+        own = F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"), F.lit(1).cast("bigint").alias("words"))
+        joins = F.coalesce(level & close, F.lit(False))
+        done = F.when(joins | now.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(now)))
+        return F.struct(done.alias("done"), F.when(joins, both).otherwise(own).alias("now"))
+
+    merged = F.aggregate("_boxes", start, add, lambda s: F.concat(s["done"], F.array(s["now"])))
+    return rows.select(*keys, F.explode(merged).alias("b")).select(*keys, "b.*")
 
 
 def normalize_box(boxes: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -97,30 +108,35 @@ def phrase_box(words: DataFrame, phrases: DataFrame) -> DataFrame:
 
     A phrase with a section code has the box of the first word that begins with the code, on pages that have one.
     """
-    asked = phrases.select("phrase", match_tokens(F.col("phrase")).alias("tokens"), extract_code(F.col("phrase")).alias("code")).where(F.size("tokens") > 0)
-    parts = asked.select("phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("k", "key"))
-    # a run of tokens in order keeps place - k the same; all n of them make a match
-    hits = reading_order(pages_with(words, parts)).join(parts, "key").withColumn("start", F.col("place") - F.col("k"))
-    runs = hits.groupBy("source", "page", "phrase", "start").agg(F.count("*").alias("got"), F.first("n").alias("n"), *[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]).where("got = n")
-    found = runs.groupBy("source", "page", "phrase").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "start").alias("b")).select("source", "page", "phrase", "b.*")
-    coded = asked.where("code <> ''").select("phrase", "code")
-    own = code_match(words, coded, ["x0", "y0", "x1", "y1"]).join(coded, "code").select("source", "page", "phrase", "x0", "y0", "x1", "y1")
+    runs = phrase_starts(words, phrase_parts(phrases)).where("got = n")
+    found = runs.groupBy("source", "page", "phrase").agg(F.min_by(F.struct(*BOX), "start").alias("b")).select("source", "page", "phrase", "b.*")
+    coded = phrases.select("phrase", match_tokens(F.col("phrase")).alias("tokens"), extract_code(F.col("phrase")).alias("code")).where((F.size("tokens") > 0) & (F.col("code") != "")).select("phrase", "code")
+    own = code_match(words, coded, BOX).join(coded, "code").select("source", "page", "phrase", *BOX)
     return found.join(own.select("source", "page", "phrase"), ["source", "page", "phrase"], "left_anti").union(own)
 
 
 def code_box(words: DataFrame, codes: DataFrame, most: int = WINDOW) -> DataFrame:
-    """source, page, code and the box of the first up to `most` words whose joined text begins with the code."""
-    w = Window.partitionBy("source", "page").orderBy("place")
-    ordered = reading_order(words).withColumn("bare", F.lower(trimmed(or_empty(F.col("word")))))
-    told = ordered.withColumn("ahead", F.array_compact(F.array(*[F.lead(F.struct("bare", "x0", "y0", "x1", "y1"), k).over(w) if k else F.struct("bare", "x0", "y0", "x1", "y1") for k in range(most)])))
-    asked = codes.select("code", F.lower("code").alias("low"), F.substring(F.lower("code"), 1, 1).alias("head")).distinct()
-    pairs = told.withColumn("head", F.substring("bare", 1, 1)).join(asked, "head")
-    text = lambda k: F.array_join(F.transform(F.slice("ahead", F.lit(1), k), lambda s: s["bare"]), "")
-    need = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda k: F.when(text(k).startswith(F.col("low")), k)), lambda k: k.isNotNull()))
-    hit = pairs.withColumn("need", need).where("need is not null").withColumn("used", F.slice("ahead", F.lit(1), F.col("need")))
+    """source, page, code and the box of the first up to `most` words whose joined text begins with the code.
+
+    A word can only take part if it is a piece of the code or begins with the end of one; only such words are joined,
+    and only their places are put in a row.
+    """
+    rows = placed(words).withColumn("bare", F.lower(F.btrim(or_empty(F.col("word")), F.lit(" \t\n\x0b\x0c\r"))))
+    asked = codes.select("code", F.lower("code").alias("low")).where("low <> ''").distinct()
+    rests = asked.select("code", F.explode(F.transform(F.sequence(F.lit(1), F.length("low")), lambda k: F.substring(F.col("low"), k, F.length("low")))).alias("low")).distinct()
+    pieces = rests.select("code", F.explode(F.transform(F.sequence(F.lit(1), F.length("low")), lambda k: F.substring(F.col("low"), F.lit(1), k))).alias("low"))
+    once = ["source", "page", "code", "place"]
+    hits = words_beginning(rows.select("source", "page", "place", "bare", *BOX), "bare", rests, pieces).dropDuplicates(once).join(sent(asked), "code")
+    w = Window.partitionBy("source", "page", "code").orderBy("place")
+    here = F.struct("place", "bare", *BOX)
+    told = hits.withColumn("ahead", F.array(*[F.lead(here, k).over(w) if k else here for k in range(most)]))
+    # words that are not in a row end the window; a space that no code has keeps them from adding to the text
+    joined = lambda k: F.array_join(F.transform(F.slice("ahead", F.lit(1), k), lambda s, i: F.when(s["place"] == F.col("place") + i, s["bare"]).otherwise(" ")), "")
+    need = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(joined(k).startswith(F.col("low")), k)), lambda k: k.isNotNull()))
+    hit = told.withColumn("need", need).where("need is not null").withColumn("used", F.slice("ahead", F.lit(1), F.col("need")))
     side = lambda f, c: f(F.transform("used", lambda s: s[c])).alias(c)
     boxed = hit.select("source", "page", "code", "place", side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
-    return boxed.groupBy("source", "page", "code").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "place").alias("b")).select("source", "page", "code", "b.*")
+    return boxed.groupBy("source", "page", "code").agg(F.min_by(F.struct(*BOX), "place").alias("b")).select("source", "page", "code", "b.*")
 
 
 def code_box_at(words: DataFrame, starts: DataFrame, most: int = WINDOW) -> DataFrame:
@@ -130,25 +146,29 @@ def code_box_at(words: DataFrame, starts: DataFrame, most: int = WINDOW) -> Data
     token and half of them, two at least. From there words are joined until they begin with the code, `most` at most
     and no further than four characters past it. Where they never do, the box is that of a word nearby (three before to
     five after) that begins with the code, is the first of its line and stands at the left inset; else of the words
-    joined. Code mentions elsewhere on the page don't count.
+    joined. Code mentions elsewhere on the page don't count. Pages are joined whole to their starts, and only windows
+    that begin alike are looked at any further.
     """
-    w = Window.partitionBy("source", "page").orderBy("place")
-    line = Window.partitionBy("source", "page", "block", "line").orderBy("place")
     # marks that stand alone are tokens here, without a character
     tokens = F.transform(F.filter(F.split(F.translate(or_empty(F.col("section_start")), "\u00a0", " "), r"\s+"), lambda t: t != ""), word_key)
     asked = starts.select("source", "page", "code", "section_start", F.lower(F.regexp_replace(F.col("code"), r"\s+", "")).alias("low"), F.slice(tokens, 1, most).alias("tokens")).where(F.size("tokens") > 0)
-    # a token and a word of which one begins with the other have a first character in common, unless the word has none
-    asked = asked.withColumn("head", F.explode(F.array(F.substring(F.element_at("tokens", 1), 1, 1), F.lit(""))))
-    ordered = reading_order(words.join(starts.select("source", "page").distinct(), ["source", "page"], "left_semi"))
-    left = F.col("x0") - F.col("page_w") * MARGIN <= F.greatest(F.lit(6.0), 0.02 * F.col("page_w"))
-    ordered = ordered.withColumn("w", F.struct("key", F.lower(F.regexp_replace(or_empty(F.col("word")), r"[\s\u00a0]+", "")).alias("bare"), "x0", "y0", "x1", "y1", ((F.row_number().over(line) == 1) & left).alias("outer")))
-    at = lambda k: F.lead("w", k).over(w) if k > 0 else F.lag("w", -k).over(w) if k else F.col("w")
-    told = ordered.select("source", "page", "place", F.substring("key", 1, 1).alias("head"), F.array_compact(F.array(*map(at, range(most)))).alias("ahead"), F.array_compact(F.array(*map(at, range(-3, 6)))).alias("around"))
+    pages = laid(words).select("source", "page", "words", F.transform("words", lambda s: word_key(s["word"])).alias("keys"))
     n = F.size("tokens")
-    alike = F.zip_with(F.slice(F.transform("ahead", lambda s: s["key"]), F.lit(1), n), "tokens", lambda a, b: a.startswith(b) | b.startswith(a))
-    pairs = told.join(asked, ["source", "page", "head"]).where((F.size("ahead") >= n) & F.element_at(alike, 1))
-    good = pairs.where(F.size(F.filter(alike, lambda x: x)) >= F.greatest(F.lit(2), F.floor(n / 2)))
-    first = good.groupBy("source", "page", "code", "section_start").agg(F.min_by(F.struct("ahead", "around", "low"), "place").alias("f")).select("source", "page", "code", "section_start", "f.*")
+    alike = lambda p, k: F.element_at("keys", p + k).startswith(F.element_at("tokens", k + 1)) | F.element_at("tokens", k + 1).startswith(F.element_at("keys", p + k))
+    last = F.size("keys") - n + 1
+    begins = F.filter(F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda p: alike(p, F.lit(0)))
+    enough = lambda p: F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda k: alike(p, k))) >= F.greatest(F.lit(2), F.floor(n / 2))
+    first = pages.join(asked, ["source", "page"]).withColumn("place", F.array_min(F.filter(begins, enough))).where("place is not null")
+
+    def told(s: Column, p: Column) -> Column:
+        """A word with its text as codes are compared, and whether it is the first of its line and at the left inset."""
+        before = F.get("words", p - 2)
+        new = (p == 1) | (before["block"] != s["block"]) | (before["line"] != s["line"])
+        left = s["x0"] - s["page_w"] * MARGIN <= F.greatest(F.lit(6.0), 0.02 * s["page_w"])
+        return F.struct(F.lower(F.regexp_replace(or_empty(s["word"]), r"[\s\u00a0]+", "")).alias("bare"), *[s[c].alias(c) for c in BOX], (new & left).alias("outer"))
+
+    window = lambda low, high: F.transform(F.sequence(F.greatest(low, F.lit(1)), F.least(high, F.size("words"))), lambda p: told(F.element_at("words", p), p))
+    first = first.withColumn("ahead", window(F.col("place"), F.col("place") + most - 1)).withColumn("around", window(F.col("place") - 3, F.col("place") + 5)).drop("words", "keys")
     text = lambda k: F.array_join(F.transform(F.slice("ahead", F.lit(1), k), lambda s: s["bare"]), "")
     counts = F.filter(F.sequence(F.lit(1), F.size("ahead")), lambda k: (k == 1) | (F.length(text(k - 1)) < F.length("low") + 4))
     whole = F.array_min(F.filter("counts", lambda k: text(k).startswith(F.col("low"))))
@@ -156,7 +176,8 @@ def code_box_at(words: DataFrame, starts: DataFrame, most: int = WINDOW) -> Data
     used = F.when(F.col("whole").isNotNull(), F.slice("ahead", F.lit(1), F.col("whole"))).when(F.size("near") > 0, F.col("near")).otherwise(F.slice("ahead", F.lit(1), F.array_max("counts")))
     boxed = first.withColumn("counts", counts).withColumn("whole", whole).withColumn("near", near).withColumn("used", used)
     side = lambda f, c: f(F.transform("used", lambda s: s[c])).alias(c)
-    return boxed.select("source", "page", "code", "section_start", side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+    how = F.when(F.col("whole").isNotNull(), "joined").when(F.size("near") > 0, "near").otherwise("last").alias("how")
+    return boxed.select("source", "page", "code", "section_start", side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"), how)
 
 
 def anchor_hit_rate(starts: DataFrame, words: DataFrame) -> DataFrame:
@@ -170,36 +191,38 @@ def anchor_hit_rate(starts: DataFrame, words: DataFrame) -> DataFrame:
 def phrase_box_gaps(words: DataFrame, phrases: DataFrame, rows: int = 2) -> DataFrame:
     """phrase_box, and for phrases that stand nowhere in a row on a page: the box of their tokens in order, with gaps.
 
-    The next token may lie lower by at most max(6, 1.6 times the middle height of the page's words), on `rows` lines in
-    all. Only words that are tokens of a phrase of which the page has all are gathered, per page and phrase.
+    From a place of the first token each next token is the next one of its kind; where it is on another line, it may lie
+    at most max(6, 1.6 times the middle height of the page's words) from the one before, else the place is given up. The
+    first place counts whose tokens are on at most `rows` lines. Only words that are tokens of a phrase move, and are
+    looked at together per page and phrase.
     """
     exact = phrase_box(words, phrases)
-    asked = phrases.select("phrase", match_tokens(F.col("phrase")).alias("tokens")).where(F.size("tokens") > 1)
-    ordered = reading_order(words)
-    middle = words.groupBy("source", "page").agg(F.median(F.col("y1") - F.col("y0")).alias("middle"))
-    hits = ordered.join(asked.select("phrase", F.explode(F.array_distinct("tokens")).alias("key")), "key")
-    whole = hits.groupBy("source", "page", "phrase").agg(F.count_distinct("key").alias("got")).join(asked.select("phrase", F.size(F.array_distinct("tokens")).alias("need")), "phrase").where("got = need")
-    open_ = whole.select("source", "page", "phrase").join(exact, ["source", "page", "phrase"], "left_anti")
-    near = hits.join(open_, ["source", "page", "phrase"]).join(asked, "phrase").join(middle, ["source", "page"])
-    kinds = {c: words.schema[c].dataType.simpleString() for c in ("source", "page")}
+    parts = phrase_parts(phrases).where("n > 1")
+    rows_of = placed(words)
+    middle = rows_of.groupBy("source", "page").agg(F.median(F.greatest(F.lit(0.5), F.col("y1") - F.col("y0"))).alias("middle"))
+    hits = rows_of.join(sent(parts.groupBy("phrase", "key").agg(F.sort_array(F.collect_list("k")).alias("ks"), F.first("n").alias("n"))), "key")
+    open_ = hits.join(exact.select("source", "page", "phrase"), ["source", "page", "phrase"], "left_anti").join(middle, ["source", "page"])
+    kinds = {c: laid(words).schema[c].dataType.simpleString() for c in ("source", "page")}
 
     def find(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
-        tokens, jump = list(group["tokens"].iloc[0]), max(6.0, 1.6 * float(group["middle"].iloc[0]))
-        at = list(zip(group["key"], group["x0"], group["y0"], group["x1"], group["y1"]))
+        n, jump = int(group["n"].iloc[0]), max(6.0, 1.6 * float(group["middle"].iloc[0]))
+        at = list(zip(group["ks"].map(set), group["line"], group["y0"], group["x0"], group["x1"], group["y1"]))
         for start, first in enumerate(at):
-            if first[0] != tokens[0]:
+            if 0 not in first[0]:
                 continue
             used = [first]
             for word in at[start + 1 :]:
-                if len(used) == len(tokens):
+                if len(used) == n:
                     break
-                if word[0] == tokens[len(used)] and word[2] - used[-1][2] <= jump and len({w[2] for w in used} | {word[2]}) <= rows:
+                if len(used) in word[0]:
+                    if word[1] != used[-1][1] and abs(word[2] - used[-1][2]) > jump:
+                        break
                     used.append(word)
-            if len(used) == len(tokens):
-                box = (min(w[1] for w in used), min(w[2] for w in used), max(w[3] for w in used), max(w[4] for w in used))
-                return pd.DataFrame([(*key, *box)], columns=["source", "page", "phrase", "x0", "y0", "x1", "y1"])
-        return pd.DataFrame(columns=["source", "page", "phrase", "x0", "y0", "x1", "y1"])
+            if len(used) == n and len({w[1] for w in used}) <= rows:
+                box = (min(w[3] for w in used), min(w[2] for w in used), max(w[4] for w in used), max(w[5] for w in used))
+                return pd.DataFrame([(*key, *box)], columns=["source", "page", "phrase", *BOX])
+        return pd.DataFrame(columns=["source", "page", "phrase", *BOX])
 
-    loose = near.groupBy("source", "page", "phrase").applyInPandas(find, f"source {kinds['source']}, page {kinds['page']}, phrase string, x0 double, y0 double, x1 double, y1 double")
-    return exact.select("source", "page", "phrase", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).union(loose)
+    loose = open_.groupBy("source", "page", "phrase").applyInPandas(find, f"source {kinds['source']}, page {kinds['page']}, phrase string, x0 double, y0 double, x1 double, y1 double")
+    return exact.select("source", "page", "phrase", *[F.col(c).cast("double").alias(c) for c in BOX]).union(loose)

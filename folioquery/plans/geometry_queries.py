@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators import word_index as W
+from ..sources.pages import scratch
 from .text_queries import table
 
 QUERIES: dict = {}
@@ -26,12 +28,15 @@ WORDS = r"""(SELECT source, doc_id AS page, CAST(k // 10 AS INTEGER) AS line, CA
 
 
 def words(spark, d):
+    """The words of the pages with their places."""
     cut = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    placed = table(spark, d, "documents").where("text is not null").select("source", F.col("doc_id").alias("page"), F.posexplode(cut).alias("k", "word"))
+    docs = table(spark, d, "documents").where("text is not null").select("source", F.col("doc_id").alias("page"), cut.alias("cut"))
+    rows = docs.select("source", "page", F.size("cut").alias("n_words"), F.posexplode("cut").alias("k", "word"))
     k = F.col("k")
-    line, at = F.floor(k / 10).cast("int"), (k % 10)
+    line, at = F.floor(k / 10).cast("int"), k % 10
     x, y = at * F.lit(50.0), line * F.lit(12.0)
-    return placed.select("source", "page", F.lit(0).alias("block"), line.alias("line"), at.alias("word_no"), x.alias("x0"), y.alias("y0"), (x + 40 + (k % 3) * 5).alias("x1"), (y + 10).alias("y1"), "word", F.lit(500.0).alias("page_w"), F.lit(800.0).alias("page_h"), ((F.col("page") % 4) * 90).cast("int").alias("rotation"))
+    sides = [y.alias("y0"), x.alias("x0"), (x + 40 + (k % 3) * 5).alias("x1"), (y + 10).alias("y1")]
+    return rows.select("source", "page", "n_words", (k + 1).alias("place"), F.lit(0).alias("block"), line.alias("line"), at.alias("word_no"), *sides, "word", F.lit(500.0).alias("page_w"), F.lit(800.0).alias("page_h"), ((F.col("page") % 4) * 90).cast("int").alias("rotation"))
 
 
 @query("x1_phrase_match", f"""WITH w AS {WORDS}, p AS (SELECT *, lead(key) OVER (PARTITION BY source, page ORDER BY place) AS k2, lead(key, 2) OVER (PARTITION BY source, page ORDER BY place) AS k3 FROM w)
@@ -41,15 +46,35 @@ def x1(spark, d):
     return G.phrase_match(words(spark, d), phrases).select("source", "page", "phrase", F.col("place").cast("long").alias("place"))
 
 
+@query("x1_stored_index", ORACLES["x1_phrase_match"])
+def x1b(spark, d):
+    """The same from a stored index, of which only the folders of the phrase's words are read."""
+    path = scratch(spark, "words")
+    W.write_index(words(spark, d), path)
+    phrases = spark.createDataFrame([("of the and",)], "phrase string")
+    held = W.read_index(spark, path, G.phrase_parts(phrases, G.WINDOW))
+    return G.phrase_match(held, phrases).select("source", "page", "phrase", F.col("place").cast("long").alias("place"))
+
+
 @query("x2_code_match", f"SELECT source, page, 'the' AS code, min(place) AS place FROM {WORDS} WHERE starts_with(regexp_replace(lower(word), '[ :.]+$', ''), 'the') GROUP BY source, page")
 def x2(spark, d):
     return G.code_match(words(spark, d), spark.createDataFrame([("the",)], "code string")).select("source", "page", "code", F.col("place").cast("long").alias("place"))
 
 
-@query("x3_merge_boxes", f"""WITH b AS (SELECT *, CASE WHEN (abs(y0 - lag(y0) OVER w) <= 2 OR abs(y1 - lag(y1) OVER w) <= 2) AND x0 - lag(x1) OVER w <= 6 THEN 0 ELSE 1 END AS n FROM {WORDS} WINDOW w AS (PARTITION BY source, page ORDER BY y0, x0)), c AS (SELECT *, sum(n) OVER (PARTITION BY source, page ORDER BY y0, x0) AS g FROM b)
- SELECT source, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS words FROM c GROUP BY source, page, g""")
+# tops fall along a line and bottoms jump, so that a box is level with its neighbour but not with the box merged so far; lines of odd pages overlap
+SLOPED = f"(SELECT source, page, x0, x1, (place - 1) // 10 * CASE WHEN page % 2 = 0 THEN 30.0::DOUBLE ELSE 5.0::DOUBLE END + word_no * 0.75::DOUBLE AS y0, (place - 1) // 10 * CASE WHEN page % 2 = 0 THEN 30.0::DOUBLE ELSE 5.0::DOUBLE END + word_no * 0.75::DOUBLE + 8 + place % 4 * 1.25::DOUBLE AS y1 FROM {WORDS})"
+
+
+@query("x3_merge_boxes", f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY y0, x0, x1, y1) AS i FROM {SLOPED}),
+ m AS (SELECT source, page, i, x0, y0, x1, y1, 1 AS words, 1 AS box FROM b WHERE i = 1 UNION ALL
+  SELECT b.source, b.page, b.i, CASE WHEN j THEN least(r.x0, b.x0) ELSE b.x0 END, CASE WHEN j THEN least(r.y0, b.y0) ELSE b.y0 END, CASE WHEN j THEN greatest(r.x1, b.x1) ELSE b.x1 END, CASE WHEN j THEN greatest(r.y1, b.y1) ELSE b.y1 END, CASE WHEN j THEN r.words + 1 ELSE 1 END, r.box + CASE WHEN j THEN 0 ELSE 1 END
+  FROM m r JOIN b ON b.source = r.source AND b.page = r.page AND b.i = r.i + 1, LATERAL (SELECT (abs(b.y0 - r.y0) <= 2 OR abs(b.y1 - r.y1) <= 2) AND b.x0 - r.x1 <= greatest(6.0, 0.1 * greatest(1.0, r.y1 - r.y0)) AS j))
+ SELECT source, page, arg_max(x0, i) AS x0, arg_max(y0, i) AS y0, arg_max(x1, i) AS x1, arg_max(y1, i) AS y1, max(words)::BIGINT AS words FROM m GROUP BY source, page, box""")
 def x3(spark, d):
-    return G.merge_boxes(words(spark, d), ["source", "page"])
+    n, pitch = F.col("place"), F.when(F.col("page") % 2 == 0, 30.0).otherwise(5.0)
+    top = F.floor((n - 1) / 10) * pitch + F.col("word_no") * 0.75
+    sloped = words(spark, d).select("source", "page", "x0", "x1", top.alias("y0"), (top + 8 + n % 4 * 1.25).alias("y1"))
+    return G.merge_boxes(sloped, ["source", "page"])
 
 
 @query("x4_normalize_box", f"""WITH b AS (SELECT source, page, place, greatest(0, least(100, (y0 - 16.0) / 768.0 * 100)) AS x, greatest(0, least(100, (x0 - 10.0) / 480.0 * 100)) AS y, greatest(0.2, least(100, (x1 - x0) / 480.0 * 100)) AS w, greatest(0.2, least(100, 10 / 768.0 * 100)) AS h, page % 4 AS t FROM {WORDS})
@@ -79,9 +104,26 @@ def a19(spark, d):
     return G.anchor_hit_rate(starts, words(spark, d))
 
 
-@query("x5_phrase_box_gaps")
+GAPS = [("of the and", ["of", "the", "and"]), ("the of", ["the", "of"])]
+
+
+def gaps_sql(phrase, tokens):
+    """The first run of all tokens; where a page has none, from each first token the next of each kind, lines no further apart than 16."""
+    n = len(tokens)
+    spot = " ".join(f"JOIN w w{k} ON w{k}.source = w0.source AND w{k}.page = w0.page AND w{k}.place = w0.place + {k} AND w{k}.key = '{t}'" for k, t in enumerate(tokens) if k)
+    every = lambda f, side, names: f"{f}({', '.join(f'{x}.{side}' for x in names)})"
+    names = [f"w{k}" for k in range(n)]
+    near = " ".join(f"ASOF JOIN (SELECT * FROM w WHERE key = '{t}') w{k} ON w{k}.source = w0.source AND w{k}.page = w0.page AND w{k}.place > w{k - 1}.place" for k, t in enumerate(tokens) if k)
+    level = " AND ".join(f"(w{k}.line = w{k - 1}.line OR abs(w{k}.y0 - w{k - 1}.y0) <= 16)" for k in range(1, n))
+    sides = ", ".join(f"arg_min({every(f, c, names)}, w0.place) AS {c}" for f, c in (("least", "x0"), ("least", "y0"), ("greatest", "x1"), ("greatest", "y1")))
+    lines = f"len(list_distinct([{', '.join(f'{x}.line' for x in names)}])) <= 2"
+    return f"""exact_ AS (SELECT w0.source, w0.page, {sides} FROM w w0 {spot} WHERE w0.key = '{tokens[0]}' GROUP BY ALL),
+ loose_ AS (SELECT w0.source, w0.page, {sides} FROM w w0 {near} WHERE w0.key = '{tokens[0]}' AND {level} AND {lines} GROUP BY ALL)""".replace("exact_", f"exact{n}").replace("loose_", f"loose{n}"), f"SELECT source, page, '{phrase}' AS phrase, x0, y0, x1, y1 FROM exact{n} UNION ALL SELECT source, page, '{phrase}', x0, y0, x1, y1 FROM loose{n} WHERE (source, page) NOT IN (SELECT source, page FROM exact{n})"
+
+
+@query("x5_phrase_box_gaps", f"WITH w AS {WORDS}, " + ", ".join(gaps_sql(*g)[0] for g in GAPS) + " " + " UNION ALL ".join(gaps_sql(*g)[1] for g in GAPS))
 def x5b(spark, d):
-    return G.phrase_box_gaps(words(spark, d), spark.createDataFrame([("of the and",), ("the of",)], "phrase string"))
+    return G.phrase_box_gaps(words(spark, d), spark.createDataFrame([(p,) for p, _ in GAPS], "phrase string"))
 
 
 START = "(SELECT source, page, max(word) FILTER (place = 4) AS code, string_agg(word, ' ' ORDER BY place) AS section_start FROM w WHERE place BETWEEN 4 AND 6 GROUP BY source, page HAVING count(*) = 3 AND bool_and(regexp_full_match(word, '[A-Za-z]{4,}')))"
@@ -93,8 +135,9 @@ START = "(SELECT source, page, max(word) FILTER (place = 4) AS code, string_agg(
  SELECT m.source, m.page, m.code, m.section_start, a.x0, a.y0 FROM m JOIN w a ON a.source = m.source AND a.page = m.page AND a.place = m.spot WHERE starts_with(lower(a.word), lower(m.code))""")
 def x6b(spark, d):
     told = words(spark, d)
-    some = G.reading_order(told).where("place BETWEEN 4 AND 6 AND word rlike '^[A-Za-z]{4,}$'").groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("held")).where("size(held) = 3")
-    starts = some.select("source", "page", F.col("held")[0]["word"].alias("code"), F.array_join(F.transform("held", lambda h: h["word"]), " ").alias("section_start"))
+    some = F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda w: w["word"])
+    starts = told.where("place BETWEEN 4 AND 6").groupBy("source", "page").agg(some.alias("held")).where(F.size("held") == 3).where(F.forall("held", lambda w: w.rlike("^[A-Za-z]{4,}$")))
+    starts = starts.select("source", "page", F.col("held")[0].alias("code"), F.array_join("held", " ").alias("section_start"))
     # where the window's first word is the code, its box is that word's
-    boxed = G.code_box_at(told, starts).join(told.select("source", "page", "x0", "y0", "word"), ["source", "page", "x0", "y0"])
+    boxed = G.code_box_at(told, starts).join(words(spark, d).select("source", "page", "x0", "y0", "word"), ["source", "page", "x0", "y0"])
     return boxed.where(F.lower("word").startswith(F.lower("code"))).select("source", "page", "code", "section_start", "x0", "y0")
