@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.text import or_empty, trimmed
 from ..sources.pages import MODEL_OUTPUT
+from . import batches
 
 # Section code families of whole lines, and headings in words.
 NUMERIC = r"^\s*(\d+\.)+\d+\s*(:?\s*$|\s\s*\S)"
@@ -22,8 +23,8 @@ HEADINGS = ["setup", "components?", "objectives?", "overview", "how to play", "t
 WORDED = r"^[A-Z][A-Z0-9 &'\-/()]{3,}$|^[A-Z][a-z0-9'\-/()]+(\s+[A-Z][a-z0-9'\-/()]+){0,2}$|^(?i:" + "|".join(HEADINGS) + r")\b"
 LETTERED_ITEM = r"^[A-Z]\)\s+.+$"
 VALID_CODE = r"^(\d+(\.[A-Za-z0-9]+)+|[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?)$"
-# Matches that make a family primary; pages looked at; characters of a segment and of a batch.
-PRIMARY, SCHEME_PAGES, SEGMENT, BATCH, SEGMENT_COST = 5, 8, 1600, 24000, 32
+# Matches that make a family primary; pages looked at; characters of a segment and of a batch, what a segment costs, lines of a batch.
+PRIMARY, SCHEME_PAGES, SEGMENT, BATCH, SEGMENT_COST, BATCH_LINES = 5, 8, 1600, 24000, 32, 800
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -210,26 +211,10 @@ def segment_lines(pages: DataFrame, most: int = SEGMENT) -> DataFrame:
 def pack_batches(segments: DataFrame, most: int = BATCH, cost: int = SEGMENT_COST, items: int | None = None) -> DataFrame:
     """source, page, part, batch: segments in order of page and part, as many to a batch as fit; items: and no more than so many.
 
-    A batch depends on where the one before it ends, so a source's segments are read in order by one task, as a stream
-    of which only the current sum is held; only lengths move.
+    Only lengths move, and no task reads a source as a whole; see batches.
     """
     sized = segments.select("source", F.col("page").cast("int").alias("page"), F.col("part").cast("int").alias("part"), (F.length("text") + cost).cast("long").alias("n"))
-
-    def number(batches):
-        now, batch, size, held = None, 0, 0, 0
-        for rows in batches:
-            out = []
-            for source, n in zip(rows.column("source").to_pylist(), rows.column("n").to_pylist()):
-                if (source,) != now:
-                    now, batch, size, held = (source,), 0, 0, 0
-                elif held and (size + n > most or held == items):
-                    batch, size, held = batch + 1, 0, 0
-                size, held = size + n, held + 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("source", "page", "part")), pa.array(out, pa.int32())], names=["source", "page", "part", "batch"])
-
-    ordered = sized.repartition("source").sortWithinPartitions("source", "page", "part")
-    return ordered.mapInArrow(number, "source string, page int, part int, batch int")
+    return batches.pack_batches(sized, most, items)
 
 
 def embed_text(pages: DataFrame) -> DataFrame:

@@ -179,11 +179,21 @@ def w5(spark, d):
     return S.segment_lines(pages(spark, d)).select("source", "page", "part", F.sha2("text", 256).alias("digest"))
 
 
-@query("w6_pack_batches", f"WITH RECURSIVE {SEGMENTS}, o AS (SELECT source, page, part, length(text) + 32 AS n, row_number() OVER (PARTITION BY source ORDER BY page, part) AS k FROM s), b AS (SELECT source, page, part, k, n AS size, 0 AS batch FROM o WHERE k = 1 UNION ALL SELECT o.source, o.page, o.part, o.k, CASE WHEN b.size + o.n > 24000 THEN 0 ELSE b.size END + o.n, b.batch + CAST(b.size + o.n > 24000 AS INTEGER) FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1) SELECT source, page, part, batch FROM b")
+def packed(rows, limit):
+    return f"o AS (SELECT source, page, part, n, row_number() OVER (PARTITION BY source ORDER BY page, part) AS k FROM {rows}), b AS (SELECT source, page, part, k, n AS size, 1 AS held, 0 AS batch FROM o WHERE k = 1 UNION ALL SELECT o.source, o.page, o.part, o.k, CASE WHEN b.size + o.n > 24000 OR b.held = {limit} THEN 0 ELSE b.size END + o.n, CASE WHEN b.size + o.n > 24000 OR b.held = {limit} THEN 0 ELSE b.held END + 1, b.batch + CAST(b.size + o.n > 24000 OR b.held = {limit} AS INTEGER) FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1)"
+
+
+@query("w6_pack_batches", f"WITH RECURSIVE {SEGMENTS}, {packed('(SELECT source, page, part, length(text) + 32 AS n FROM s)', 1000000000)} SELECT source, page, part, batch FROM b")
 def w6(spark, d):
     return S.pack_batches(S.segment_lines(pages(spark, d)))
 
 
+@query("w6_pack_lines", rf"WITH RECURSIVE {packed(f"(SELECT source, page, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS part, length(unnest(string_split(text, chr(10)))) + 1 AS n FROM {PAGES})", 800)} SELECT source, page, part, batch FROM b")
+def w6b(spark, d):
+    """Lines of pages, in batches of at most 24,000 characters and 800 lines."""
+    return S.pack_batches(S.lines(pages(spark, d)).select("source", "page", (F.col("line_no") + 1).alias("part"), F.col("line").alias("text")), cost=1, items=S.BATCH_LINES)
+
+
 @query("a20_merge_codes", "SELECT source, (doc_id % 9) || '.0' AS code, min(doc_id % 50 + 1) AS first_page, arg_min('T' || (doc_id % 2), doc_id) FILTER (doc_id % 3 <> 0) AS title FROM documents GROUP BY source, doc_id % 9")
 def a20(spark, d):
     n = F.col("doc_id")
