@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,26 @@ def merge_objects(batches: DataFrame, outline: DataFrame) -> DataFrame:
     return good.join(known, ["source", "parent_code"], "left_semi").select("source", "parent_code", kind.alias("kind"), "title", "first_page", own.alias("anchor_code"), "snippet")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less the share of edits; stands in for matching-block ratios."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(1.0)
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in longest matching blocks, as a share of both texts, as the standard library has it; null for null."""
+    from difflib import SequenceMatcher
+
+    def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+
+    return F.arrow_udf(ratios, "double")(a, b)
+
+
+def unlike(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Whether the matching ratio of two texts is below `least`.
+
+    Equal texts, and texts that differ too much in length to reach it, are told apart by that alone; blocks are only
+    looked for in the others.
+    """
+    both = F.length(a) + F.length(b)
+    alike, apart = a == b, 2 * F.least(F.length(a), F.length(b)) < least * both
+    ask = ~alike & ~apart
+    return F.when(alike, False).when(apart, True).otherwise(matching_ratio(F.when(ask, a), F.when(ask, b)) < least)
 
 
 def outline_qa(outline: DataFrame, headers: DataFrame) -> DataFrame:
@@ -54,10 +71,11 @@ def outline_qa(outline: DataFrame, headers: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(trimmed(or_empty(F.col(c))), "[:.]+$", "")
     here, there = F.col("first_page").isNotNull(), F.col("_page").isNotNull()
     far = here & there & (F.col("first_page") > 0) & (F.abs(F.col("first_page") - F.col("_page")) > 1)
-    other = here & there & (bare("title") != "") & (bare("_title") != "") & (similarity(F.lower(bare("title")), F.lower(bare("_title"))) < 0.7)
+    other = here & there & (bare("title") != "") & (bare("_title") != "")
+    both = both.withColumns({"_own": F.when(other, F.lower(bare("title"))), "_other": F.when(other, F.lower(bare("_title")))}).withColumn("_unlike", F.coalesce(unlike(F.col("_own"), F.col("_other")), F.lit(False)))
     told = both.groupBy("source").agg(
         F.count_if(there).alias("headers"), F.count_if(here).alias("outlined"), F.count_if(here & there).alias("found"), F.count_if(~here & there).alias("missing"), F.count_if(here & ~there).alias("extra"),
-        F.count_if(far).alias("page_mismatches"), F.count_if(other).alias("title_mismatches"), F.count_if(here & ~F.col("code").rlike(VALID_CODE)).alias("invalid_codes"),
+        F.count_if(far).alias("page_mismatches"), F.count_if("_unlike").alias("title_mismatches"), F.count_if(here & ~F.col("code").rlike(VALID_CODE)).alias("invalid_codes"),
     )
     return told.withColumn("coverage", F.round(F.col("found") / F.greatest(F.lit(1), F.col("headers")), 6))
 

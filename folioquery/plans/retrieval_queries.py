@@ -207,14 +207,22 @@ def a16(spark, d):
     return L.merge_objects(objects(spark, d), L.merge_outline(outlines(spark, d))).select("source", "title", "kind", "anchor_code")
 
 
+# outlines as a model may give them: codes of a wrong form, and titles that share few letters with those of the pages, or nearly all
+ODD = f"(SELECT source, CASE WHEN starts_with(code, '7.') THEN code || '..' ELSE code END AS code, CASE WHEN first_page % 3 = 0 THEN upper(title) || 's:' WHEN first_page % 3 = 1 THEN 'xyz' || title ELSE title END AS title, first_page FROM {MERGED})"
+
+
 @query(
     "j7_outline_qa",
-    f"""WITH b AS (SELECT coalesce(o.source, h.source) AS source, o.code AS oc, h.code AS hc, o.first_page, h.page, o.title AS ot, h.title AS ht FROM {MERGED} o FULL JOIN {HEADERS} h ON o.source = h.source AND o.code = h.code)
+    f"""WITH b AS (SELECT coalesce(o.source, h.source) AS source, o.code AS oc, h.code AS hc, o.first_page, h.page, o.title AS ot, h.title AS ht FROM {ODD} o FULL JOIN {HEADERS} h ON o.source = h.source AND o.code = h.code),
+ s AS (SELECT *, CASE WHEN right(regexp_extract(ot, '[0-9]'), 1) = right(ht, 1) THEN 6 ELSE 5 END AS held, length(rtrim(ot, ':')) + 6 AS whole FROM b)
  SELECT source, count(hc) AS headers, count(oc) AS outlined, count(*) FILTER (oc IS NOT NULL AND hc IS NOT NULL) AS found, count(*) FILTER (oc IS NULL) AS missing, count(*) FILTER (hc IS NULL) AS extra, count(*) FILTER (abs(first_page - page) > 1) AS page_mismatches,
- count(*) FILTER (oc IS NOT NULL AND hc IS NOT NULL AND 1 - levenshtein(lower(ot), lower(ht)) / greatest(length(ot), length(ht)) < 0.7) AS title_mismatches, 0::BIGINT AS invalid_codes, round(count(*) FILTER (oc IS NOT NULL AND hc IS NOT NULL) / greatest(1, count(hc)), 6) AS coverage FROM b GROUP BY source""",
+ count(*) FILTER (oc IS NOT NULL AND hc IS NOT NULL AND 2.0 * held / whole < 0.7) AS title_mismatches, count(*) FILTER (ends_with(oc, '..')) AS invalid_codes, round(count(*) FILTER (oc IS NOT NULL AND hc IS NOT NULL) / greatest(1, count(hc)), 6) AS coverage FROM s GROUP BY source""",
 )
 def j7(spark, d):
-    return L.outline_qa(L.merge_outline(outlines(spark, d)), headers(spark, d))
+    page, title = F.col("first_page") % 3, F.col("title")
+    odd = L.merge_outline(outlines(spark, d)).withColumn("title", F.when(page == 0, F.concat(F.upper(title), F.lit("s:"))).when(page == 1, F.concat(F.lit("xyz"), title)).otherwise(title))
+    odd = odd.withColumn("code", F.when(F.col("code").startswith("7."), F.concat("code", F.lit(".."))).otherwise(F.col("code")))
+    return L.outline_qa(odd, headers(spark, d))
 
 
 @query("o5_code_sets", f"SELECT coalesce(o.source, h.source) AS source, coalesce(o.code, h.code) AS code, CASE WHEN o.code IS NULL THEN 'headers' WHEN h.code IS NULL THEN 'outline' ELSE 'both' END AS side FROM {MERGED} o FULL JOIN {HEADERS} h ON o.source = h.source AND o.code = h.code")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.sections import find_chunks
 from ..sources import pages as P
+from ..sources import store as K
+from ..sources.pages import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +68,25 @@ def s8(spark, d):
     return left.groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("s7_store_upsert", "SELECT doc_id AS id, source, CASE WHEN n_chars > 1000 AND lang <> 'fr' THEN 'new' WHEN lang = 'en' THEN 'old' ELSE 'late' END AS origin FROM documents WHERE lang IN ('en', 'fr') OR n_chars > 1000")
+def s7_store(spark, d):
+    """A stored table, with rows put in place of others, then rows added that it lacks, read back."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "store")
+    pick = lambda where, origin: docs.where(where).select(F.col("doc_id").alias("id"), "source", F.lit(origin).alias("origin"))
+    K.create_store(pick("lang = 'en'", "old"), path)
+    K.upsert_rows(pick("n_chars > 1000 AND lang <> 'fr'", "new"), path)
+    K.insert_rows(pick("lang = 'fr' OR n_chars > 1000", "late"), path)
+    return K.read_store(spark, path)
+
+
+@query("s8_store_delete", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, (SELECT count(*) FROM documents WHERE source = 'src3') AS removed FROM documents WHERE source <> 'src3' GROUP BY source")
+def s8_store(spark, d):
+    docs, path = table(spark, d, "documents"), scratch(spark, "store")
+    K.create_store(docs.select(F.col("doc_id").alias("id"), "source", "n_chars"), path)
+    removed = K.delete_rows(spark, "src3", path)
+    return K.read_store(spark, path).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).withColumn("removed", F.lit(removed).cast("long"))
+
+
 @query("s10_lookup", "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def s10(spark, d):
     return P.lookup(table(spark, d, "documents"), table(spark, d, "labels").where("quality = 1"), ["doc_id"]).select("doc_id", "source", "n_chars")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -145,6 +145,32 @@ def validate_stream(chunks: DataFrame, repair: bool = True, run: int = 3, ttl: s
     return given.groupBy("req").applyInPandasWithState(update, f"req {kind}, seq int, sentence string, valid boolean, filler boolean", "buffer string, seq int, bad int, allowed array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def ingest_once(path: str, ledger: str) -> Callable[[DataFrame, int], None]:
+    """A load for ingest_stream that takes each batch in once, however often it is replayed.
+
+    Rows lie in folders by the number of their batch, so a batch that failed on its way, or between its rows and its
+    commit, replaces what it had written. The ledger then takes the number and the count of rows; a batch that it
+    holds is left alone.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        if number in ledger_of(batch.sparkSession, ledger):
+            return
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        rows = batch.sparkSession.read.parquet(path).where(F.col("batch") == number).count() if not batch.isEmpty() else 0
+        batch.sparkSession.createDataFrame([(number, rows)], "number long, rows long").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/number={number}")
+
+    return load
+
+
+def ledger_of(spark: SparkSession, ledger: str) -> dict[int, int]:
+    """Rows by the number of each batch that was taken in; one entry a batch of the stream."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    return {r["number"]: r["rows"] for r in spark.read.schema("number long, rows long").option("recursiveFileLookup", True).parquet(ledger).collect()}
+
+
 def ingest_stream(artifacts: DataFrame, checkpoint: str, load: Callable[[DataFrame, int], None]):
     """Start a query that hands new artifacts to `load` once, in batches; artifacts: a file stream."""
     return artifacts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(load).start()

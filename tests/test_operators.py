@@ -205,3 +205,15 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan("o3_top_k")
     for name in ("j2_sources_for_title", "j5_expected_vs_present", "w13_sticky_block", "a1_aggregate_sections"):
         assert "CartesianProduct" not in plan(name) and "Python" not in plan(name)
+
+
+def test_matching_ratio_is_the_standard_one(spark):
+    from difflib import SequenceMatcher
+
+    from folioquery.operators import outline as L
+
+    titles = ["", "combat", "combat phase", "the combat phases", "abcd", "dcba", "sequence of play", "play sequence", "é" * 3, "a" * 250, "ab" * 150, None]
+    pairs = spark.createDataFrame([(a, b) for a in titles for b in titles], "a string, b string")
+    for r in pairs.select("a", "b", L.matching_ratio(F.col("a"), F.col("b")).alias("ratio"), L.unlike(F.col("a"), F.col("b")).alias("unlike")).collect():
+        want = None if r.a is None or r.b is None else SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.ratio == want and (want is None or r.unlike == (want < 0.7))
