@@ -10,44 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .processors import Block, Jobs, ordered_stream
+
 # The end of a sentence, the label at its end, and forms that it must not hold.
 STOP = re.compile(r"[.!?](?:\s+\[[^\[\]]+\])*\s+(?=[^\s\[])")
 LABEL = re.compile(r"\[([^\[\]]+)\]$")
 FORBIDDEN = re.compile(r"\((?:see\s*)?\[[^\]]+\]\)", re.IGNORECASE)
 
 
-def sticky_block_stream(requests: DataFrame, ttl: str | None = None) -> DataFrame:
+def sticky_block_stream(requests: DataFrame, ttl: str | None = None, delay: str | None = None) -> DataFrame:
     """sid, event_id, ts, blocked, since of every request; requests: sid, event_id, ts, flagged, and control ("unblock" or null).
 
     A flagged request blocks its session from then on, an unblock event frees it. Rows of one trigger are taken in order of
-    time; results equal the batch twin's for rows in order. A block lasts until it is lifted; only with ttl a session's state
-    ends so long after its last event, and later events find it free.
+    time; results equal the batch twin's for rows in order. With delay, rows wait until the stream's time is so long past
+    them and come out in order of time, repeated ones once, so that late ones count as the batch twin counts them. A block
+    lasts until it is lifted; only with ttl an event that comes so long after its session's last one finds it free.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        since = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        blocked, times = [], []
-        for ts, flagged, control in zip(rows["ts"], rows["flagged"], rows["control"]):
-            if control == "unblock":
-                since = None
-            elif flagged and since is None:
-                since = int(ts.value)
-            blocked.append(since is not None)
-            times.append(pd.NaT if since is None else pd.Timestamp(since))
-        state.update((since,))
-        if ttl:
-            late = max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(ttl).total_seconds() * 1000)
-            state.setTimeoutTimestamp(late)
-        yield pd.DataFrame({"sid": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "blocked": blocked, "since": pd.Series(times, index=rows.index, dtype="datetime64[ns]")})
-
     kind = requests.schema["sid"].dataType.simpleString()
-    keyed = requests.withColumn("ts", F.col("ts").cast("timestamp")).select("sid", "event_id", "ts", "flagged", "control")
-    keyed, timeout = (keyed.withWatermark("ts", ttl), GroupStateTimeout.EventTimeTimeout) if ttl else (keyed, GroupStateTimeout.NoTimeout)
-    return keyed.groupBy("sid").applyInPandasWithState(update, f"sid {kind}, event_id long, ts timestamp, blocked boolean, since timestamp", "since long", "append", timeout)
+    processor = Block(delay is not None, int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None)
+    keyed = requests.select("sid", "event_id", "ts", "flagged", "control")
+    return ordered_stream(keyed, "sid", processor, f"sid {kind}, event_id long, ts timestamp, blocked boolean, since timestamp", delay)
 
 
 def blocked_sessions(told: DataFrame) -> DataFrame:
@@ -63,32 +45,17 @@ def job_progress_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return kept.groupBy("job_id", "entry").agg(latest.alias("l")).select("job_id", "entry", "l.state", "l.updated_at")
 
 
-def suppress_duplicate_jobs_stream(requests: DataFrame, delay: str = "1 day") -> DataFrame:
+def suppress_duplicate_jobs_stream(requests: DataFrame, delay: str | None = None) -> DataFrame:
     """job_id, accepted, running of start requests; requests: job_id, step, mode, entries, ts, done (an end event of its job).
 
-    A start is refused while the job that was accepted for the same step, mode and entries isn't done.
+    A start is refused while the job that was accepted for the same step, mode and entries isn't done. With delay, rows
+    wait until the stream's time is so long past them and come in order of time, repeated ones once.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        running = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "done", "job_id"], ascending=[True, False, True])
-        out = []
-        for job, done in zip(rows["job_id"], rows["done"]):
-            if done:
-                running = None if running == job else running
-            else:
-                out.append((job, running is None, job if running is None else running))
-                running = running or job
-        state.update((running,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(delay).total_seconds() * 1000))
-        yield pd.DataFrame(out, columns=["job_id", "accepted", "running"])
-
     key = F.sha2(F.concat_ws("|", "step", "mode", F.array_join(F.array_sort("entries"), ",")), 256)
-    keyed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(key.alias("key"), F.col("job_id").cast("string").alias("job_id"), "ts", "done")
-    return keyed.groupBy("key").applyInPandasWithState(update, "job_id string, accepted boolean, running string", "running string", "append", GroupStateTimeout.EventTimeTimeout)
+    # at one time ends come first, then starts by number
+    rank = F.concat(F.when(F.col("done"), "0").otherwise("1"), F.col("job_id").cast("string"))
+    keyed = requests.select(key.alias("key"), F.col("job_id").cast("string").alias("job_id"), "ts", "done", rank.alias("rank"))
+    return ordered_stream(keyed, "key", Jobs(delay is not None), "key string, job_id string, accepted boolean, running string", delay).drop("key")
 
 
 def check_sentence(sentence: str, allowed: list[str]) -> tuple[bool, str | None]:

@@ -50,6 +50,30 @@ def test_blocks_outlast_idle_days_and_equal_the_batch_twin(spark, tmp_path):
     assert sorted(map(tuple, S.blocked_sessions(told).collect())) == sorted(map(tuple, twin)) and twin
 
 
+def test_late_and_repeated_events_equal_the_batch_twin(spark, tmp_path):
+    """Events that come up to an hour late, some twice, out of order over several triggers."""
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").limit(150).select((F.col("user_id") % 9).alias("sid"), "event_id", "ts", (F.col("event_type") == "error").alias("flagged"), F.when(F.col("event_id") % 7 == 0, "unblock").alias("control"))
+    start = datetime(2024, 1, 1)
+    told = [(r.sid, r.event_id, start + timedelta(minutes=4 * k), r.flagged, r.control) for k, r in enumerate(rows.orderBy("ts", "event_id").collect())]
+    rows = spark.createDataFrame(told, "sid long, event_id long, ts timestamp, flagged boolean, control string")
+    late = F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, cast(event_id % 3 * 20 as int))")
+    again = rows.where("event_id % 5 = 0")
+    end = spark.createDataFrame([(-1, -1, start + timedelta(days=30), False, None)], rows.schema)
+    arriving = rows.union(again).union(end).withColumn("arrives", late)
+    stream = replay(spark, arriving, str(tmp_path), 5, ["arrives", "event_id"]).drop("arrives")
+    out = drained(S.sticky_block_stream(stream, delay="2 hours"), "ordered").where("sid >= 0")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, V.block_until_lifted(rows).collect()))
+
+
+def test_late_job_ends(spark, tmp_path):
+    """An end that comes after a later start still frees its key before that start."""
+    at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
+    order = [("a", at(0), False), ("b", at(5), False), ("a", at(3), True), ("a", at(0), False), ("c", at(6), False), ("z", at(10000), False)]
+    rows = spark.createDataFrame([(k, j, "split", "all", ["x"] if j != "z" else ["y"], ts, done) for k, (j, ts, done) in enumerate(order)], "n int, job_id string, step string, mode string, entries array<string>, ts timestamp, done boolean")
+    told = drained(S.suppress_duplicate_jobs_stream(replay(spark, rows, str(tmp_path), 3, ["n"]).drop("n"), "1 hour"), "late_jobs")
+    assert sorted((r.job_id, r.accepted, r.running) for r in told.collect()) == [("a", True, "a"), ("b", True, "b"), ("c", False, "b")]
+
+
 def test_jobs_are_refused_while_one_runs(spark, tmp_path):
     at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
     rows = spark.createDataFrame(
