@@ -19,7 +19,7 @@ from . import batches
 NUMERIC = r"^\s*(\d+\.)+\d+\s*(:?\s*$|\s\s*\S)"
 LETTERED = r"^\s*([A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?)\.?\s*:?(\s*$|\s+\S)"
 LETTERED_INSIDE = r"\b([A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?)\.?\s+([A-Z][A-Za-z0-9'\-/()]+\s+)+[A-Za-z0-9'\-/()]+\s*$"
-HEADINGS = ["setup", "components?", "objectives?", "overview", "how to play", "turn order", "game round", "player turn", "phases", "phase [a-z]", "end of (the )?game", "game end", "scoring", "glossary", "reference"]
+HEADINGS = ["setup", "components?", "objective", "objectives", "overview", "how to play", "turn order", "game round", "player turn", "phases", "phase [a-z]", "end of (the )?game", "game end", "scoring", "glossary", "reference"]
 WORDED = r"^[A-Z][A-Z0-9 &'\-/()]{3,}$|^[A-Z][a-z0-9'\-/()]+(\s+[A-Z][a-z0-9'\-/()]+){0,2}$|^(?i:" + "|".join(HEADINGS) + r")\b"
 LETTERED_ITEM = r"^[A-Z]\)\s+.+$"
 VALID_CODE = r"^(\d+(\.[A-Za-z0-9]+)+|[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?|\d+[A-Za-z]\d+(\.[A-Za-z0-9]+)*[a-z]?)$"

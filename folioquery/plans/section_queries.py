@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import sections as S
+from ..operators.ranks import global_rank
 from ..sources.pages import numbered_pages
 from .text_queries import table
 
@@ -110,10 +111,15 @@ def a3(spark, d):
 @query("o1_numeric_order", "SELECT label, row_number() OVER (ORDER BY a, b) AS place FROM (SELECT DISTINCT (doc_id % 9) || '.' || (doc_id % 12) AS label, doc_id % 9 AS a, doc_id % 12 AS b FROM documents)")
 def o1(spark, d):
     n = F.col("doc_id")
-    from pyspark.sql import Window
-
     labels = table(spark, d, "documents").select(F.concat(n % 9, F.lit("."), n % 12).alias("label")).distinct()
-    return labels.withColumn("place", F.row_number().over(Window.orderBy(*S.numeric_first(F.col("label")))).cast("long"))
+    return global_rank(labels, S.numeric_first(F.col("label")), "place")
+
+
+@query("o1_rank_all_pages", "SELECT doc_id, row_number() OVER (ORDER BY doc_id % 9, doc_id % 12, doc_id) AS place FROM documents")
+def o1b(spark, d):
+    n = F.col("doc_id")
+    label = F.concat(n % 9, F.lit("."), n % 12)
+    return global_rank(table(spark, d, "documents").select("doc_id"), [*S.numeric_first(label), n], "place")
 
 
 @query("w1_first_run", "WITH p AS (SELECT DISTINCT source, doc_id % 7 AS k, doc_id // 7 % 30 AS page FROM documents WHERE doc_id % 11 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY page) AS n, min(page) OVER (PARTITION BY source, k) AS f FROM p) SELECT source, k, page FROM r WHERE page - n = f - 1")
@@ -142,7 +148,13 @@ def a1(spark, d):
     return made.select("source", "section_code", "first_page", "section_title", F.size("pages").cast("long").alias("n_pages"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "summary", "id")
 
 
-@query("a1_section_texts")
+def section_text_sql(code, title, shift, anchors):
+    two = "chr(10) || chr(10)"
+    return f"""SELECT source || '#s' || g || '.{code}' AS id, sha256('Section: ' || g || '.{code} {title} ' || g || {two} || 'On {title} ' || g || chr(10) || string_agg('Page ' || page, chr(10) ORDER BY 'Page ' || page) || {two} || 'Search hints: KW: ' || array_to_string(list_sort(list_distinct(list_append(list('w' || (doc_id % 2)), 'all'))), ', ')
+ || {two} || 'Pages: ' || string_agg(CAST(page + {shift} AS VARCHAR), ', ' ORDER BY page) || coalesce({two} || string_agg(text, {two} ORDER BY page) FILTER (regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''), '')) AS digest, 'On {title} ' || g AS summary, {anchors} AS anchors FROM (SELECT *, page // 3 AS g FROM {PAGES}) GROUP BY source, g"""
+
+
+@query("a1_section_texts", section_text_sql(0, "Part", 0, "1") + " UNION ALL " + section_text_sql(1, "Rest", 1, "NULL::INTEGER"))
 def a1b(spark, d):
     return S.aggregate_sections(artifacts(spark, d), "v2.3").select("id", F.sha2("text", 256).alias("digest"), "summary", F.size("header_anchors_pct").alias("anchors"))
 
@@ -210,13 +222,14 @@ def u2(spark, d):
     return S.title_prompt(pages(spark, d))
 
 
-@query("q1_salvage_json", "SELECT doc_id, doc_id % 4 <> 3 AS parsed FROM documents")
+@query("q1_salvage_json", "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN (doc_id % 9) || '.0' END AS section_id, CASE WHEN doc_id % 4 <> 3 THEN 'a } b ' || doc_id END AS title, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 5 AS INTEGER) END AS visual_importance, CASE WHEN doc_id % 4 <> 3 THEN 1 END AS sections FROM documents")
 def q1(spark, d):
     n = F.col("doc_id")
-    body = F.concat(F.lit('{"sections": [{"section_id": "'), n % 9, F.lit('.0", "title": "a } b"}], "visuals": [], "visual_importance": 2}'))
+    body = F.concat(F.lit('{"sections": [{"section_id": "'), n % 9, F.lit('.0", "title": "a } b '), n, F.lit('"}], "visuals": [], "visual_importance": '), n % 5, F.lit("}"))
     raw = F.when(n % 4 == 0, body).when(n % 4 == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone"))).when(n % 4 == 2, F.concat(F.lit("See {x} and "), body, F.lit(" as asked"))).otherwise(F.lit('{"sections": [], "visuals": []}'))
     good, bad = S.salvage_json(table(spark, d, "documents").select("doc_id", raw.alias("raw")))
-    return good.select("doc_id", (F.size("llm.sections") == 1).alias("parsed")).union(bad.select("doc_id", F.lit(False)))
+    told = good.select("doc_id", F.col("llm.sections")[0]["section_id"].alias("section_id"), F.col("llm.sections")[0]["title"].alias("title"), "llm.visual_importance", F.size("llm.sections").alias("sections"))
+    return told.unionByName(bad.select("doc_id"), allowMissingColumns=True)
 
 
 @query("q1_salvage_array", "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN '' ELSE (doc_id % 9) || '.0=' || doc_id || ',' || (doc_id % 9) || '.1=7' END AS items FROM documents")
