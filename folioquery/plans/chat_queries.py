@@ -155,7 +155,7 @@ def q9(spark, d):
 WITH_LABELS = SENTENCES.replace(r"""regexp_replace(answer, '([.!?])\s+', '\1' || chr(2), 'g')""", r"""regexp_replace(answer, '([.!?](?:\s+\[[^\[\]]+\])*)\s+([^\s\[])', '\1' || chr(2) || '\2', 'g')""")
 
 
-@query("q7_sentences_with_labels", WITH_LABELS + r" SELECT conv_id, turn, CAST(place AS INTEGER) AS place, sentence, valid, CASE WHEN NOT valid THEN regexp_replace(regexp_replace(sentence, '\s*\[[^\]]+\]\s*', '', 'g'), '^\s+|\s+$', '', 'g') || ' [' || CASE WHEN label <> '' AND list_contains(labels, label) THEN label ELSE labels[1] END || ']' END AS repaired FROM f")
+@query("q7_sentences_with_labels", WITH_LABELS + r" SELECT conv_id, turn, CAST(place AS INTEGER) AS place, sentence, valid, CASE WHEN valid THEN sentence ELSE regexp_replace(regexp_replace(sentence, '\s*\[[^\]]+\]\s*', '', 'g'), '^\s+|\s+$', '', 'g') || ' [' || CASE WHEN label <> '' AND list_contains(labels, label) THEN label ELSE labels[1] END || ']' END AS repaired FROM f")
 def q7b(spark, d):
     answers, allowed = cited(spark, d)
     return C.check_sentences(C.sentences(answers, ["conv_id", "turn"]), allowed, ["conv_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph_index as N
 from ..operators import outline as L
+from ..operators import pivots as V
 from ..operators import retrieval as R
 from ..sources.pages import scratch
 from .section_queries import PAGES, headed, pages
@@ -40,6 +41,11 @@ def v1(spark, d):
     return R.knn(*vectors(spark, d))
 
 
+@query("v1_knn_pivots", ORACLES["v1_knn"])
+def v1b(spark, d):
+    return V.knn_by_pivots(*vectors(spark, d))
+
+
 @query("v2_knn_filtered", near("q.label = c.label"))
 def v2(spark, d):
     return R.knn(*vectors(spark, d), by="label")

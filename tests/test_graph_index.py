@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folioquery.operators import graph_index as N
+from folioquery.operators import pivots as V
 from folioquery.operators import retrieval as R
 
 
@@ -40,3 +41,15 @@ def test_graph_keeps_links_both_ways():
     graph = N.neighbour_graph(told, 6)
     links = {(a, int(b)) for a, row in enumerate(graph) for b in row if b >= 0}
     assert all(a != b for a, b in links) and sum((b, a) in links for a, b in links) > 0.9 * len(links)
+
+
+def test_pivots_rule_out_cells_and_stay_exact(spark):
+    told = [(k, [float(x) for x in v]) for k, v in enumerate(points(3000, 30) * 1.0)]
+    chunks = spark.createDataFrame([*told, (3000, None)], "vec_id long, embedding array<float>")
+    asked = chunks.where("vec_id % 100 = 0")
+    found, exact = V.knn_by_pivots(asked, chunks), R.knn(asked, chunks)
+    columns = ["query_id", "chunk_id", "score", "rank"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, exact.select(*columns).collect()))
+    assert V.pairs_met(asked, chunks) < 0.25
+    few = chunks.where("vec_id < 5")
+    assert V.knn_by_pivots(few, few).count() == 25 and V.knn_by_pivots(few, few.limit(0)).count() == 0
