@@ -9,6 +9,7 @@ from ..operators import graph_index as N
 from ..operators import outline as L
 from ..operators import pivots as V
 from ..operators import retrieval as R
+from ..operators import substring_index as U
 from ..sources.pages import scratch
 from .section_queries import PAGES, headed, pages
 from .text_queries import MORE, STOPS, table
@@ -142,6 +143,36 @@ def v4(spark, d):
     return R.rerank_lexical(hits, asked, ["section_titles", "sections_raw"]).select("query_id", "chunk_id", "score")
 
 
+#: Where each lexical field comes from, in SQL that both engines read; the last one is missing everywhere.
+FIELDS = {
+    "embedding_prefix_summary": "substring(text, 1, 200)", "section_search_keywords": "source", "section_start_by_code": "substring(text, 50, 60)", "section_titles": "concat(source, ' ', lang)", "section_summaries": "substring(text, 300, 300)",
+    "primary_section_id2": "lang", "section_id2_by_code": "substring(text, 1, 20)", "sections_raw": "text", "embedding_prefix_headers": "upper(substring(text, 100, 80))", "embedding_prefix_search_hints": "CAST(NULL AS STRING)",
+}
+
+
+def fields_sql():
+    one = lambda f: f"{R.WEIGHTS[f]} * (CAST(len(list_filter(forms, lambda x: contains({f}, x))) > 0 AS INTEGER) + 0.6 * least(len(list_filter(phrases, lambda p: contains({f}, p))), 3))"
+    return f"""WITH t AS (SELECT item_id, {FORMS} AS forms, {PHRASES} AS phrases FROM {ASKED}), h AS (SELECT doc_id, doc_id % 40 AS query_id, (doc_id * 37 % 1000) / 1000.0 AS score, {', '.join(f"lower(coalesce({e}, '')) AS {f}" for f, e in FIELDS.items())} FROM documents)
+ SELECT query_id, doc_id AS chunk_id, round(score - 0.2 * ({' + '.join(map(one, FIELDS))}), 6)::DOUBLE AS score FROM h JOIN t ON query_id = item_id"""
+
+
+@query("v4_rerank_all_fields", fields_sql())
+def v4b(spark, d):
+    n = F.col("doc_id")
+    hits = table(spark, d, "documents").select((n % 40).alias("query_id"), n.alias("chunk_id"), ((n * 37 % 1000) / 1000.0).alias("score"), *[F.expr(e).alias(f) for f, e in FIELDS.items()])
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return R.rerank_lexical(hits, asked, list(R.WEIGHTS)).select("query_id", "chunk_id", "score")
+
+
+@query("f25_find_by_pieces", "WITH t AS (SELECT DISTINCT term FROM (SELECT lower(substring(text, 6, 9)) AS term FROM benchmark UNION ALL SELECT 'qu')) SELECT term, doc_id AS number FROM t JOIN documents ON contains(lower(text), term)")
+def f25b(spark, d):
+    """Which texts hold which parts of the benchmark's, from a stored index of pieces."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "pieces")
+    U.write_pieces(docs, path, "doc_id", "text")
+    terms = table(spark, d, "benchmark").select(F.lower(F.substring("text", 6, 9)).alias("term")).union(spark.createDataFrame([("qu",)], "term string")).distinct()
+    return U.rows_with(spark, path, terms, docs, "doc_id", "text")
+
+
 @query("v9_section_search", """SELECT id, rank, page FROM (SELECT doc_id AS id, doc_id % 50 AS page, length(text) AS n, CASE WHEN doc_id % 6 = 3 THEN 1 END AS rank FROM documents WHERE source = 'src1') WHERE rank IS NOT NULL ORDER BY rank, page, n, id LIMIT 20""")
 def v9(spark, d):
     n = F.col("doc_id")

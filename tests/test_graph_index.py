@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folioquery.operators import graph_index as N
 from folioquery.operators import pivots as V
 from folioquery.operators import retrieval as R
+from folioquery.operators import substring_index as U
 
 
 def points(n, groups, dim=24):
@@ -53,3 +54,17 @@ def test_pivots_rule_out_cells_and_stay_exact(spark):
     assert V.pairs_met(asked, chunks) < 0.25
     few = chunks.where("vec_id < 5")
     assert V.knn_by_pivots(few, few).count() == 25 and V.knn_by_pivots(few, few.limit(0)).count() == 0
+
+
+def test_pieces_choose_few_rows(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijklmnopé"), 6)) for _ in range(400)]
+    told = [(k, " ".join(rng.choice(words, 20))) for k in range(400)] + [(400, None), (401, ""), (402, "ab"), (403, "Needle in HAY")]
+    rows = spark.createDataFrame(told, "n long, text string")
+    terms = ["eedle", "in hay", "ab", "nowhere at all", words[0], words[1][1:5], "é"]
+    asked = spark.createDataFrame([(t,) for t in [*terms, ""]], "term string")
+    U.write_pieces(rows, f"{tmp_path}/pieces", "n", "text")
+    found = sorted(map(tuple, U.rows_with(spark, f"{tmp_path}/pieces", asked, rows, "n", "text").collect()))
+    assert found == sorted((t, k) for t in terms for k, text in told if text is not None and t in text.lower())
+    tested = {r.term: r["count"] for r in U.rows_to_test(spark, f"{tmp_path}/pieces", asked, rows, "n").groupBy("term").count().collect()}
+    assert tested["eedle"] == 1 and tested["in hay"] == 1 and tested[words[0]] < 60 and tested["ab"] == 404 and "nowhere at all" not in tested
