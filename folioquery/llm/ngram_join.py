@@ -36,8 +36,8 @@ WORDS = 5
 BLOCK, PART, TOGETHER = 512, 1 << 21, 8 << 20
 #: Hubs that a set is held against, so that what the star step moves stays in proportion to the sets.
 HUBS = 8
-#: Sets of a family that are joined as one group, in blocks.
-FAMILY = 16 * BLOCK
+#: Sets of a family that are joined as one group, in blocks; turns in which a larger one is held against other hubs first.
+FAMILY, TURNS = 16 * BLOCK, 12
 #: The threshold of 75 of 100: 7 * overlap >= 3 * (a + b) for sets of a and b.
 EDGE = 32
 
@@ -360,6 +360,19 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return split.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
 
 
+def other_hubs(loose: DataFrame, turn: int, whole: DataFrame) -> DataFrame:
+    """The sets of loose (key, node, component) beside a hub of another component that shares an n-gram, HUBS at most.
+
+    Each n-gram's hub is another one every turn; rows as star_links takes them.
+    """
+    hubs = loose.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+    near = loose.join(hubs, "key").where("component <> hub.component")
+    shared = near.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.count("*").alias("shared"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("shared").desc(), "hub"))
+    pairs = written(shared.withColumn("place", place).where(F.col("place") <= HUBS).select("hub", "node"), "pairs")
+    return pairs.join(whole, "node").join(whole.select(F.col("node").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
+
+
 def links_of(sets: DataFrame) -> DataFrame:
     """node, component for the nodes of sets (node, n, keys) that have a link."""
 
@@ -387,17 +400,27 @@ def links_of(sets: DataFrame) -> DataFrame:
     links = written(star_links(both), "stars")
     first = written(components(links), "first")
 
-    placed = index.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    told = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low <> high")
-    open_ = written(placed.join(told.select("key", "hub"), "key"), "open")
-    # sets that n-grams tie together, linked or not, travel once, as a family; only of overlarge families each n-gram's sets do
-    family = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")), name="family")
-    family = written(open_.select("node", "component").distinct().join(family.toDF("node", "key"), "node"), "families")
-    sizes = written(family.groupBy("key").agg(F.count("*").alias("rows")), "sizes")
+    for turn in range(TURNS + 1):
+        placed = index.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        told = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low <> high")
+        open_ = written(placed.join(told.select("key", "hub"), "key"), "open")
+        # sets that n-grams tie together, linked or not, travel once, as a family; only of overlarge families each n-gram's sets do
+        family = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")), name="family")
+        family = written(open_.select("node", "component").distinct().join(family.toDF("node", "key"), "node"), "families")
+        sizes = written(family.groupBy("key").agg(F.count("*").alias("rows")), "sizes")
+        overlarge = sizes.where(F.col("rows") > FAMILY)
+        if turn == TURNS or not overlarge.limit(1).count():
+            break
+        loose = open_.drop("hub").join(family.join(overlarge, "key").select("node"), "node", "left_semi")
+        more = written(star_links(other_hubs(loose, turn, whole)), "stars")
+        if not more.limit(1).count():
+            break
+        links = written(links.union(more), "links")
+        first = written(components(links), "first")
     small = family.join(sizes.where(F.col("rows") <= FAMILY), "key")
     found = block_links(in_blocks(small).join(whole, "node"))
-    if sizes.where(F.col("rows") > FAMILY).limit(1).count():
-        large = open_.drop("hub").join(family.join(sizes.where(F.col("rows") > FAMILY), "key").select("node"), "node", "left_semi")
+    if overlarge.limit(1).count():
+        large = open_.drop("hub").join(family.join(overlarge, "key").select("node"), "node", "left_semi")
         groups = large.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         groups = written(groups.groupBy("rows", "x", "y").agg(F.min("key").alias("key")), "groups")
         found = found.union(block_links(in_blocks(large.join(groups.select("key", "rows"), "key")).join(whole, "node")))

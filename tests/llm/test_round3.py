@@ -262,3 +262,39 @@ def test_shared_sets_add_up(corpus):
 
 def test_length_beyond_64_bits():
     assert ranked_search.relative_length(np.array([10**9]), 10**12, 10**15).tolist() == [25 + 75 * 10**9 * 10**12 // 10**15]
+
+
+def test_overlarge_families_stay_linear(spark, monkeypatch):
+    """Versions of a template that drift apart, far beyond FAMILY: other hubs link them, and few sets are left for blocks."""
+    from folioquery.llm import ngram_join as J
+
+    r, texts, words = random.Random(12), [], [f"t{k}" for k in range(120)]
+    for k in range(700):
+        for _ in range(2):
+            words[r.randrange(len(words))] = f"v{k}x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "FAMILY", 64)
+    copies, blocks = [], J.in_blocks
+
+    def counted(rows):
+        out = J.written(blocks(rows), "counted")
+        copies.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "in_blocks", counted)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(max(0, i - 60), i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {x.doc_id: x.component_id for x in J.ngram_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+    with_turns = sum(copies)
+    copies.clear()
+    monkeypatch.setattr(J, "TURNS", 0)
+    again = {x.doc_id: x.component_id for x in J.ngram_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert again == got
+    assert with_turns <= sum(copies) // 2 and with_turns <= 4 * len(texts), (with_turns, sum(copies))
