@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import url_filter, warc
 
 SPACE = r"[\x20\x09-\x0D]"
+#: The five rules of the query: host, path, verdict.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 BARE = rf"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def url_sql() -> str:
     """Rules as a CASE, longest first; a term counts where no letter or digit is next to it."""
-    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
