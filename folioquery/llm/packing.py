@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import quoted, small_batches, written
 from .token_shards import encoder
 
 #: Rows of a group within which ranks are counted.
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_colum
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -372,6 +372,7 @@ def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
 
     repeat: 64 bits of the string. ka, kb: the text, see text_key; equal texts are one. A repeat that stands once in
     one distinct text stands in two rows with that text. Positions and sizes are in bytes, or in words with words.
+    Null texts count as empty and have no repeat; an empty table gives no rows.
     """
     found = placed_repeats(small_batches(docs), text, length, gram, words, each=True)
     return found.select("repeat", (F.col("b") - F.col("a")).alias("size"), "ka", "kb", F.col("a").alias("start"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import WordTable, byte_characters
-from .common import held, small_batches
+from .common import held, quoted, small_batches
 
 #: Fixed value: the vocabulary's published word pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -156,7 +156,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                     names=["doc_id", "ids", "decoded"],
                 )
 
-    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 

@@ -298,3 +298,15 @@ def test_overlarge_families_stay_linear(spark, monkeypatch):
     again = {x.doc_id: x.component_id for x in J.ngram_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert again == got
     assert with_turns <= sum(copies) // 2 and with_turns <= 4 * len(texts), (with_turns, sum(copies))
+
+
+def test_odd_column_names(spark):
+    import public_tokenizers as P
+
+    from folioquery.llm import packing, repeats, word_bpe
+
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "`doc.id` long, `my text` string").withColumnRenamed("my text", "my.text")
+    assert {r.doc_id for r in packing.pieces(docs, str(P.path("byte_bpe_50k.json")), 16, 2, "doc.id", "my.text").collect()} == {1, 2}
+    assert {r.doc_id for r in word_bpe.encode_documents(docs, str(P.path("word_bpe_49k.json")), "doc.id", "my.text").collect()} == {1, 2}
+    texts = docs.withColumnRenamed("my.text", "text")
+    assert repeats.repeat_groups(texts.limit(0)).count() == 0 and repeats.repeat_groups(texts.where("text is null")).count() == 0
