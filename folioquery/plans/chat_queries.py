@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import slices
 from ..operators import citations as C
 from ..operators import conversations as V
+from ..sources.pages import scratch
 from .text_queries import table
 
 QUERIES: dict = {}
@@ -87,6 +88,22 @@ def t2b(spark, d):
     return blocked_sessions(told).select("sid", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
 
 
+@query("t1_block_stream", ORACLES["t2_unblock"])
+def t1(spark, d):
+    """Requests as a stream that is stopped and started again at the middle of their time."""
+    from ..streaming.state import sticky_block_stream
+
+    inbox, progress, told = (scratch(spark, n) for n in ("requests", "progress", "blocks"))
+    control = F.when(F.col("event_id") % 7 == 0, "unblock")
+    requests = table(spark, d, "events").select(F.col("user_id").alias("sid"), "event_id", "ts", (F.col("event_type") == "error").alias("flagged"), control.alias("control"))
+    middle = requests.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).first()[0]
+    for half in (F.lit(True) if middle is None else F.col("ts") < middle, F.lit(False) if middle is None else F.col("ts") >= middle):
+        requests.where(half).write.mode("append").parquet(inbox)
+        stream = sticky_block_stream(spark.readStream.schema(requests.schema).parquet(inbox))
+        stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).format("parquet").start(told).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(told).select("sid", "event_id", "blocked", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
 @query("t3_job_progress", "SELECT user_id, event_type, arg_max(CAST(round(value) AS VARCHAR), (ts, event_id)) AS state FROM events GROUP BY user_id, event_type")
 def t3(spark, d):
     events = table(spark, d, "events").withColumn("state", F.format_string("%.1f", F.round("value")))
@@ -161,6 +178,25 @@ def q7b(spark, d):
     return C.check_sentences(C.sentences(answers, ["conv_id", "turn"]), allowed, ["conv_id"])
 
 
+@query(
+    "t5_validate_stream",
+    WITH_LABELS + """, g AS (SELECT *, sum(CAST(valid AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY place) AS island FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, island, valid ORDER BY place) AS run FROM g)
+ SELECT conv_id || '/' || turn AS req, CAST(place AS INTEGER) AS seq, sentence, valid, NOT valid AND run % 3 = 0 AS filler FROM h""",
+)
+def t5(spark, d):
+    """Answers as streams of chunks, of which every second one comes a run of the stream earlier than the one before it."""
+    from ..streaming.state import validate_stream
+
+    inbox, progress, told = (scratch(spark, n) for n in ("chunks", "progress", "sentences"))
+    answers, allowed = cited(spark, d)
+    pieces = answers.join(allowed, "conv_id").select(F.concat_ws("/", "conv_id", "turn").alias("req"), F.posexplode(slices(F.col("answer"))).alias("i", "data"), F.lit("2024-01-01").cast("timestamp").alias("ts"), (F.col("i") == F.ceil(F.length("answer") / 64) - 1).alias("is_end"), F.col("labels").alias("allowed"))
+    for odd in (1, 0):
+        pieces.where(F.col("i") % 2 == odd).write.mode("append").parquet(inbox)
+        stream = validate_stream(spark.readStream.schema(pieces.schema).parquet(inbox), repair=False)
+        stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).format("parquet").start(told).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(told)
+
+
 @query("q10_answer_eval", "SELECT lang, count(*) AS tests, round(avg(CAST(contains(lower(text), lower(substring(source, 4))) AS INTEGER)), 6) AS pass_rate FROM documents GROUP BY lang")
 def q10(spark, d):
     docs = table(spark, d, "documents")

@@ -271,6 +271,37 @@ def s2(spark, d):
     return file_manifest(spark, d, "*.parquet", recursive=True).select("name", "size_bytes")
 
 
+def page_files(spark, d):
+    """Texts as files of a new folder, 256 numbers of a source together."""
+    from ..sources.pages import scratch, write_page_files
+
+    path = scratch(spark, "files")
+    write_page_files(table(spark, d, "documents"), path)
+    return path
+
+
+def file_place():
+    """The source and the part of a file of page_files, from its path."""
+    return [F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), F.regexp_extract("path", "/part=([0-9]*)/", 1).cast("long").alias("part")]
+
+
+FILES = "(SELECT source, doc_id // 256 AS part, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY ALL)"
+
+
+@query("s2_page_files", f"SELECT source, part, strlen(content) AS size_bytes FROM {FILES}")
+def s2b(spark, d):
+    from ..sources.pages import file_manifest
+
+    return file_manifest(spark, page_files(spark, d), "*.txt", recursive=True).select(*file_place(), "size_bytes")
+
+
+@query("s3_file_hashes", f"SELECT source, part, sha256(content) AS sha256 FROM {FILES}")
+def s3b(spark, d):
+    from ..sources.pages import content_hashes
+
+    return content_hashes(spark, page_files(spark, d), "*.txt", recursive=True).select(*file_place(), "sha256")
+
+
 @query("s4_read_artifacts", f"SELECT source || '.pdf' AS source, page, sha256(text) AS digest, 'Part ' || (page // 3) || ',Rest ' || (page // 3) AS titles FROM {PAGES}")
 def s4(spark, d):
     """Artifacts written as JSON files and read back."""

@@ -71,15 +71,26 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return read.select(F.regexp_replace("name", r"(_p\d{4})?\.[^.]*$", "").alias("source"), parse_page(F.col("name")).alias("page"), clean_text(F.col("value")).alias("text"))
 
 
+def write_page_files(docs: DataFrame, path: str, source: str = "source", order: str = "doc_id", text: str = "text", together: int = 256) -> None:
+    """Texts as plain files, one for each source and `together` numbers, in order, each text with a line feed after it.
+
+    A file is one row, so a source with a third of all rows has as many files as it needs. Null texts count as empty.
+    """
+    rows = docs.select(F.col(source).alias("source"), F.floor(F.col(order) / together).alias("part"), F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t")).alias("row"))
+    files = rows.groupBy("source", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["t"]), "\n").alias("value"))
+    files.write.partitionBy("source", "part").option("compression", "none").text(path)
+
+
 def file_manifest(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:
-    """name, size_bytes, modified of files; their bytes are not read."""
+    """name, size_bytes, modified, path of files; their bytes are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(folder)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "path")
 
 
-def content_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("sha256"))
+def content_hashes(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:
+    """name, sha256, path of files, by their bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(folder)
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("sha256"), "path")
 
 
 def read_artifacts(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:

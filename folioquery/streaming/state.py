@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .processors import Block, Jobs, ordered_stream
-
-# The end of a sentence, the label at its end, and forms that it must not hold.
-STOP = re.compile(r"[.!?](?:\s+\[[^\[\]]+\])*\s+(?=[^\s\[])")
-LABEL = re.compile(r"\[([^\[\]]+)\]$")
-FORBIDDEN = re.compile(r"\((?:see\s*)?\[[^\]]+\]\)", re.IGNORECASE)
+from .processors import Block, Jobs, keep_variables, ordered_stream
+from .sentences import Sentences
 
 
 def sticky_block_stream(requests: DataFrame, ttl: str | None = None, delay: str | None = None) -> DataFrame:
@@ -58,58 +52,19 @@ def suppress_duplicate_jobs_stream(requests: DataFrame, delay: str | None = None
     return ordered_stream(keyed, "key", Jobs(delay is not None), "key string, job_id string, accepted boolean, running string", delay).drop("key")
 
 
-def check_sentence(sentence: str, allowed: list[str]) -> tuple[bool, str | None]:
-    """Whether a sentence ends with an allowed label, and else the sentence with one, as the column functions do."""
-    found = LABEL.search(sentence)
-    if found and found[1].strip() in allowed and not FORBIDDEN.search(sentence):
-        return True, None
-    if not allowed:
-        return False, None
-    labels = re.findall(r"\[([^\]]+)\]", sentence)
-    label = labels[-1].strip() if labels and labels[-1].strip() in allowed else min(allowed)
-    return False, f"{re.sub(r'\s*\[[^\]]+\]\s*', '', sentence).strip()} [{label}]"
-
-
 def validate_stream(chunks: DataFrame, repair: bool = True, run: int = 3, ttl: str = "10 minutes") -> DataFrame:
-    """req, seq, sentence, valid, filler: sentences of token streams, checked as they end; chunks: req, i, data, ts, is_end, allowed.
+    """req, seq, sentence, valid, filler: sentences of token streams, checked as they end; chunks: req, i (from 0), data, ts, is_end, allowed.
 
-    A label that follows a full stop stays with its sentence, so a sentence is only cut when what follows it is seen. The rest
-    of the buffer comes out with the end event, or when the stream's time is `ttl` past its last chunk. Without repair, every `run` invalid sentences in a row give a filler.
+    Chunks are read in order of i, however they arrive, each once; one that comes early waits for those before it. A
+    label that follows a full stop stays with its sentence, so a sentence is only cut when what follows it is seen. The
+    rest of the buffer comes out with the end event, or when the stream's time is `ttl` past the request's last chunk,
+    then with the chunks that still waited. Without repair, every `run` invalid sentences in a row give a filler.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, seq, bad, allowed = state.get if state.exists else ("", 0, 0, [])
-        allowed = list(allowed)
-        ended = state.hasTimedOut
-        if not ended:
-            rows = pd.concat(list(batches)).sort_values("i")
-            for data, given in zip(rows["data"], rows["allowed"]):
-                buffer += data or ""
-                allowed = list(given) if given is not None and len(given) else allowed
-            ended = bool(rows["is_end"].any())
-        ends = [0, *(m.end() for m in STOP.finditer(buffer))]
-        done, buffer = [buffer[a:b] for a, b in zip(ends, ends[1:])], buffer[ends[-1] :]
-        if ended:
-            done, buffer = [*done, buffer], ""
-        out = []
-        for sentence in (s.strip() for s in done):
-            if not sentence:
-                continue
-            valid, fixed = check_sentence(sentence, allowed)
-            passed = valid or (repair and fixed is not None)
-            bad = 0 if passed else bad + 1
-            out.append((key[0], seq, (sentence if valid else fixed if repair else sentence), valid, not passed and bad % run == 0))
-            seq += 1
-        if ended:
-            state.remove()
-        else:
-            state.update((buffer, seq, bad, allowed))
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(ttl).total_seconds() * 1000))
-        yield pd.DataFrame(out, columns=["req", "seq", "sentence", "valid", "filler"])
-
+    keep_variables(chunks.sparkSession)
     kind = chunks.schema["req"].dataType.simpleString()
     given = chunks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", ttl).select("req", "i", "data", "ts", "is_end", "allowed")
-    return given.groupBy("req").applyInPandasWithState(update, f"req {kind}, seq int, sentence string, valid boolean, filler boolean", "buffer string, seq int, bad int, allowed array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    processor = Sentences(repair, run, int(pd.Timedelta(ttl).total_seconds() * 1000))
+    return given.groupBy("req").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"req {kind}, seq int, sentence string, valid boolean, filler boolean", outputMode="Append", timeMode="EventTime")
 
 
 def ingest_once(path: str, ledger: str) -> Callable[[DataFrame, int], None]:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from folioquery.operators import citations as C
 from folioquery.operators import conversations as V
 from folioquery.streaming import state as S
 
@@ -92,6 +93,42 @@ def test_sentences_of_a_token_stream(spark, tmp_path):
     assert [(r.sentence, r.valid) for r in told] == [("First one. [3.2]", True), ("Second has. [4.1]", False), ("Third is bare. [3.2]", False), ("Last ends [3.2]", True)]
 
 
+def chunked(spark, answers, size, at):
+    """Chunk rows (n, req, i, data, ts, is_end, allowed) of answers (req, text, allowed), numbered as they are sent."""
+    cut = [(req, k, text[k * size : (k + 1) * size], k == (len(text) - 1) // size, labels) for req, text, labels in answers for k in range((len(text) + size - 1) // size)]
+    rows = [(n, req, k, data, at, end, labels) for n, (req, k, data, end, labels) in enumerate(cut)]
+    return rows, "n int, req long, i int, data string, ts timestamp, is_end boolean, allowed array<string>"
+
+
+def test_chunks_in_any_order_equal_the_batch_twin(spark, tmp_path):
+    """Chunks shuffled over six triggers, a third of them sent twice, some of another request's end after it."""
+    said = spark.read.parquet(f"{SMALL}/conversations.parquet").where("role = 'assistant' and text <> ''").orderBy("conv_id", "turn").limit(20).collect()
+    labels = lambda r: [f"{r.conv_id % 3}.1", f"{r.conv_id % 3}.2"]
+    answers = [(k, f"{r.text} [{r.conv_id % 3}.{r.turn % 4}] And more (see [1.1]). Then. [{r.conv_id % 3}.1] Last one", labels(r)) for k, r in enumerate(said)]
+    rows, schema = chunked(spark, answers, 17, datetime(2024, 1, 1))
+    shuffled = sorted([*rows, *rows[::3]], key=lambda r: (r[0] * 7919 % 1009, r[1]))
+    sent = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(shuffled)], schema)
+    told = drained(S.validate_stream(replay(spark, sent, str(tmp_path), 6, ["n"]).drop("n"), repair=False), "any_order")
+    texts = spark.createDataFrame(answers, "req long, answer string, labels array<string>")
+    checked = C.check_sentences(C.sentences(texts, ["req"]), texts.select("req", "labels"), ["req"])
+    twin = C.fallback_on_run(checked.withColumnRenamed("valid", "passed"), ["req"]).select("req", "place", "sentence", "passed", "filler")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, twin.collect()))
+    assert {r.filler for r in told.collect()} == {True, False}
+
+
+def test_a_lost_end_and_a_lost_chunk_come_out_by_the_timer(spark, tmp_path):
+    at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
+    rows = [
+        (0, 1, 0, "One. [1.1] Two is not ov", at(0), False, ["1.1"]), (1, 2, 0, "Kept. [1.1] Then", at(0), False, ["1.1"]), (2, 2, 2, " after. [1.1]", at(1), True, None),
+        (3, 3, 0, None, at(0), None, None), (4, 9, 0, "Later. [9] On", at(60), False, ["9"]), (5, 9, 1, " it goes [9]", at(120), False, None), (6, 9, 2, "", at(121), True, None),
+    ]
+    sent = spark.createDataFrame(rows, "n int, req long, i int, data string, ts timestamp, is_end boolean, allowed array<string>")
+    told = drained(S.validate_stream(replay(spark, sent, str(tmp_path), 7, ["n"]).drop("n")), "by_timer")
+    got = sorted((r.req, r.seq, r.sentence, r.valid) for r in told.collect())
+    # the second request lacks its chunk 1: what came ahead of it comes out when the timer fires; the third never says anything
+    assert got == [(1, 0, "One. [1.1]", True), (1, 1, "Two is not ov [1.1]", False), (2, 0, "Kept. [1.1]", True), (2, 1, "Then after. [1.1]", True), (9, 0, "Later. [9]", True), (9, 1, "On it goes [9]", True)]
+
+
 def test_job_progress_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SMALL}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("entry"), F.col("value").cast("string").alias("state"), "ts").dropDuplicates(["job_id", "entry", "ts"])
     told = drained(S.job_progress_stream(replay(spark, events, str(tmp_path), 1, ["ts"])), "progress", "complete")
