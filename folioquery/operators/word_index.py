@@ -30,7 +30,7 @@ SENT = 100_000
 
 def word_key(word: Column) -> Column:
     """A word as phrases are compared: lower case, no punctuation at its ends."""
-    return F.btrim(F.lower(F.translate(or_empty(word), "\u00a0", " ")), F.lit(ENDS))
+    return F.btrim(F.lower(F.replace(or_empty(word), F.lit("\u00a0"), F.lit(" "))), F.lit(ENDS))
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def laid(words: DataFrame) -> DataFrame:
 def placed(words: DataFrame) -> DataFrame:
     """One row a word: source, page, n_words, place (from 1 in reading order), its box and its other columns, and key."""
     if "place" not in words.columns:
-        rows = laid(words).select("source", "page", F.size("words").alias("n_words"), F.posexplode("words").alias("place", "w"))
+        # counted first, so that no row carries its page's words
+        rows = laid(words).withColumn("n_words", F.size("words")).select("source", "page", "n_words", F.posexplode("words").alias("place", "w"))
         words = rows.select("source", "page", "n_words", (F.col("place") + 1).alias("place"), "w.*")
     return words if "key" in words.columns else words.withColumn("key", word_key(F.col("word")))
 

@@ -31,7 +31,9 @@ def words(spark, d):
     """The words of the pages with their places."""
     cut = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     docs = table(spark, d, "documents").where("text is not null").select("source", F.col("doc_id").alias("page"), cut.alias("cut"))
-    rows = docs.select("source", "page", F.size("cut").alias("n_words"), F.posexplode("cut").alias("k", "word"))
+    # counted first, so that no row carries its page's words; a text has a word at least, and the outer form keeps the
+    # optimizer from cutting every text once more to test that
+    rows = docs.withColumn("n_words", F.size("cut")).select("source", "page", "n_words", F.posexplode_outer("cut").alias("k", "word"))
     k = F.col("k")
     line, at = F.floor(k / 10).cast("int"), k % 10
     x, y = at * F.lit(50.0), line * F.lit(12.0)
