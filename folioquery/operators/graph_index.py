@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import QUESTIONS, RANKED, blocks, distances, salts_for
+from .retrieval import AT_ONCE, QUESTIONS, RANKED, block_rows, blocks, distances, salts_for
 
-#: Vectors of a part; neighbours chosen for a vector, out of so many nearest; breadth of the beam, at least.
-PART, DEGREE, NEAREST, BEAM = 4096, 10, 32, 20
+#: Vectors of a part; neighbours chosen for a vector, out of so many nearest; breadth of the beam, at least, and the
+#: vectors of a part for one of its places: a question is no vector of most parts, and has to be led to its neighbours there.
+PART, DEGREE, NEAREST, BEAM, PLACE = 16384, 10, 32, 20, 64
 
 
 def spread_pivots(points: np.ndarray, count: int) -> np.ndarray:
@@ -35,18 +36,21 @@ def neighbour_graph(points: np.ndarray, degree: int = DEGREE, nearest: int = NEA
         return np.full((n, 1), -1, np.int32)
     nearest = min(nearest, n - 1)
     near, far = np.empty((n, nearest), np.int64), np.empty((n, nearest))
-    for low in range(0, n, 1024):
-        d = distances(points[low : low + 1024], points)
+    for low in range(0, n, step := max(1, AT_ONCE // n)):
+        d = distances(points[low : low + step], points)
         d[np.arange(len(d)), np.arange(low, low + len(d))] = np.inf
         part = np.argpartition(d, nearest - 1, 1)[:, :nearest]
         order = np.argsort(np.take_along_axis(d, part, 1), 1, kind="stable")
-        near[low : low + 1024] = np.take_along_axis(part, order, 1)
-        far[low : low + 1024] = np.take_along_axis(d, near[low : low + 1024], 1)
+        near[low : low + step] = np.take_along_axis(part, order, 1)
+        far[low : low + step] = np.take_along_axis(d, near[low : low + step], 1)
     chosen, count = np.full((n, degree), -1, np.int64), np.zeros(n, np.int64)
     for k in range(nearest):
         # one that is nearer to a chosen neighbour than to the vector is reached through that
-        behind = ((points[near[:, k]][:, None] - points[np.maximum(chosen, 0)]) ** 2).sum(2)
-        hidden = ((behind < far[:, k, None]) & (chosen >= 0)).any(1)
+        hidden = np.empty(n, bool)
+        for low in range(0, n, 1024):
+            at = slice(low, low + 1024)
+            behind = ((points[near[at, k]][:, None] - points[np.maximum(chosen[at], 0)]) ** 2).sum(2)
+            hidden[at] = ((behind < far[at, k, None]) & (chosen[at] >= 0)).any(1)
         new = np.flatnonzero(~hidden & (count < degree))
         chosen[new, count[new]] = near[new, k]
         count[new] += 1
@@ -113,15 +117,12 @@ def graph_index(chunks: DataFrame, number: str = "vec_id", vector: str = "embedd
     parts = blocks(chunks, number, vector, [], size, salts_for(chunks, [], size))
 
     def build(batches):
-        for batch in batches:
-            rows = []
-            for salt, ids, raw in zip(*(batch.column(c).to_pylist() for c in ("salt", "ids", "matrix"))):
-                points = np.frombuffer(raw).reshape(len(ids), -1)
-                pivots = spread_pivots(points, int(np.ceil(np.sqrt(len(ids)) / 2)))
-                rows.append((salt, ids, raw, neighbour_graph(points, degree).tobytes(), pivots.astype(np.int32).tobytes()))
-            columns = list(zip(*rows)) if rows else [[]] * 5
+        for salt, ids, raw in block_rows(batches, "salt", "ids", "matrix"):
+            points = np.frombuffer(raw).reshape(len(ids), -1)
+            pivots = spread_pivots(points, int(np.ceil(np.sqrt(len(ids)) / 2)))
+            row = [salt, ids, raw.to_pybytes(), neighbour_graph(points, degree).tobytes(), pivots.astype(np.int32).tobytes()]
             kinds = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["salt", "ids", "matrix", "graph", "pivots"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["salt", "ids", "matrix", "graph", "pivots"])
 
     return parts.mapInArrow(build, "salt int, ids array<long>, matrix binary, graph binary, pivots binary")
 
@@ -133,17 +134,16 @@ def graph_candidates(questions: DataFrame, index: DataFrame, k: int = RANKED, be
     pairs = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(index, "salt")
 
     def rank(batches):
-        for batch in batches:
-            for q_ids, q_raw, salt, ids, raw, edges, first in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_matrix", "salt", "ids", "matrix", "graph", "pivots"))):
-                points, asked_points = np.frombuffer(raw).reshape(len(ids), -1), np.frombuffer(q_raw).reshape(len(q_ids), -1)
-                graph = np.frombuffer(edges, np.int32).reshape(len(ids), -1)
-                places, best, met = walk(points, graph, np.frombuffer(first, np.int32).astype(np.int64), asked_points, max(beam, k))
-                own, far = np.array(ids)[np.maximum(places, 0)], np.sqrt(best).round(6)
-                order = np.lexsort((own, far), axis=1)[:, :k]
-                own, far = np.take_along_axis(own, order, 1), np.take_along_axis(far, order, 1)
-                who, column = np.nonzero(np.isfinite(far))
-                columns = [np.array(q_ids)[who], own[who, column], far[who, column], np.full(len(who), salt, np.int32), met[who]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "chunk_id", "score", "salt", "met"])
+        for q_ids, q_raw, salt, ids, raw, edges, first in block_rows(batches, "q_ids", "q_matrix", "salt", "ids", "matrix", "graph", "pivots"):
+            points, asked_points = np.frombuffer(raw).reshape(len(ids), -1), np.frombuffer(q_raw).reshape(len(q_ids), -1)
+            graph = np.frombuffer(edges, np.int32).reshape(len(ids), -1)
+            places, best, met = walk(points, graph, np.frombuffer(first, np.int32).astype(np.int64), asked_points, max(beam, k, -(-len(ids) // PLACE)))
+            own, far = ids[np.maximum(places, 0)], np.sqrt(best).round(6)
+            order = np.lexsort((own, far), axis=1)[:, :k]
+            own, far = np.take_along_axis(own, order, 1), np.take_along_axis(far, order, 1)
+            who, column = np.nonzero(np.isfinite(far))
+            columns = [q_ids[who], own[who, column], far[who, column], np.full(len(who), salt, np.int32), met[who]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "chunk_id", "score", "salt", "met"])
 
     return pairs.select("q_ids", "q_matrix", "salt", "ids", "matrix", "graph", "pivots").mapInArrow(rank, "query_id long, chunk_id long, score double, salt int, met long")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph_index import spread_pivots
-from .retrieval import RANKED, distances, knn, with_cells
+from .retrieval import AT_ONCE, RANKED, distances, knn, with_cells
 
 #: Pivots at most, vectors for one at least, and vectors that pivots are chosen from, those of the smallest hashes.
 PIVOTS, EACH, SAMPLE = 1024, 64, 20_000
@@ -56,9 +56,11 @@ def cells_to_meet(questions: DataFrame, pivots: np.ndarray, radius: np.ndarray,
     def near(values: pd.Series, limits: pd.Series) -> pd.Series:
         if not len(values):
             return pd.Series([], dtype=object)
-        low = np.sqrt(distances(np.stack(values.to_list()).astype(float), pivots)) - radius[None] - SLACK
-        met = (radius[None] >= 0) & (low <= limits.fillna(np.inf).to_numpy()[:, None])
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in met])
+        points, most, step, out = np.stack(values.to_list()).astype(float), limits.fillna(np.inf).to_numpy()[:, None], max(1, AT_ONCE // len(pivots)), []
+        for k in range(0, len(points), step):
+            low = np.sqrt(distances(points[k : k + step], pivots)) - radius[None] - SLACK
+            out += [np.flatnonzero(row).astype(np.int32) for row in (radius[None] >= 0) & (low <= most[k : k + step])]
+        return pd.Series(out)
 
     return questions.where(F.col(vector).isNotNull()).withColumn("cell", F.explode(near(vector, most)))
 

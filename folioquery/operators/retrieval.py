@@ -26,6 +26,8 @@ WEIGHTS = {
 }
 #: Vectors of a block of chunks and of a block of questions.
 CHUNKS, QUESTIONS = 4096, 512
+#: Distances that a task holds at once.
+AT_ONCE = 500_000
 #: Vectors that the cells of an index are fitted on, questions that its probes are fitted on, cells, and the recall aimed at.
 SAMPLE, PROBED, CELLS, AIM = 20_000, 200, 64, 0.94
 
@@ -64,6 +66,14 @@ def blocks(vectors: DataFrame, number: str, vector: str, by: list[str], size: in
     return spread.mapInArrow(pack, schema)
 
 
+def block_rows(batches, *columns: str):
+    """The rows of batches one by one, without copies: matrices as flat arrays over the batch's own bytes, ids as arrays."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            cells = (batch.column(c)[k] for c in columns)
+            yield tuple(v.as_buffer() if pa.types.is_binary(v.type) else v.values.to_numpy() if pa.types.is_list(v.type) else v.as_py() for v in cells)
+
+
 def salts_for(vectors: DataFrame, by: list[str], size: int) -> int:
     """Salts that spread the vectors of the largest group over blocks of about `size`."""
     rows = vectors.groupBy(*by).count().agg(F.max("count")).first()[0] if by else vectors.count()
@@ -85,24 +95,24 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = RANKED, by: str | None
     pairs = left.join(blocks(chunks, number, vector, on, size, salts), [*on, "salt"])
 
     def rank(batches):
-        for batch in batches:
-            for q_ids, q_raw, ids, raw in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_matrix", "ids", "matrix"))):
-                a, b = np.frombuffer(q_raw).reshape(len(q_ids), -1), np.frombuffer(raw).reshape(len(ids), -1)
-                far = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)).round(6)
-                own = np.array(ids)
+        for q_ids, q_raw, ids, raw in block_rows(batches, "q_ids", "q_matrix", "ids", "matrix"):
+            a, b = np.frombuffer(q_raw).reshape(len(q_ids), -1), np.frombuffer(raw).reshape(len(ids), -1)
+            out = ([], [], [])
+            # so many questions at a time that their distances take a few MB
+            for low in range(0, len(a), step := max(1, AT_ONCE // len(ids))):
+                far = np.sqrt(distances(a[low : low + step], b)).round(6)
                 if not same:
-                    far[np.array(q_ids)[:, None] == own[None]] = np.inf
+                    far[q_ids[low : low + step][:, None] == ids[None]] = np.inf
                 # whatever is as near as the k-th takes part in the order, so that ties go by number
-                last = np.partition(far, k - 1, 1)[:, k - 1] if k < len(own) else np.full(len(far), np.inf)
-                out = ([], [], [])
-                for q, row, most in zip(q_ids, far, last):
+                last = np.partition(far, k - 1, 1)[:, k - 1] if k < len(ids) else np.full(len(far), np.inf)
+                for q, row, most in zip(q_ids[low : low + step], far, last):
                     near = np.flatnonzero(row <= most)
-                    best = near[np.lexsort((own[near], row[near]))[:k]]
+                    best = near[np.lexsort((ids[near], row[near]))[:k]]
                     best = best[np.isfinite(row[best])]
                     out[0].append(np.full(len(best), q))
-                    out[1].append(own[best])
+                    out[1].append(ids[best])
                     out[2].append(row[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "chunk_id", "score"])
 
     near = pairs.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(rank, "query_id long, chunk_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "chunk_id")
@@ -146,7 +156,8 @@ def with_cells(vectors: DataFrame, centres: np.ndarray, probes: int, vector: str
 
         if not len(values):
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.argsort(distances(np.stack(values.to_list()).astype(float), centres), 1)[:, :probes].astype(np.int32)))
+        points, step = np.stack(values.to_list()).astype(float), max(1, AT_ONCE // len(centres))
+        return pd.Series([cells for low in range(0, len(points), step) for cells in np.argsort(distances(points[low : low + step], centres), 1)[:, :probes].astype(np.int32)])
 
     return vectors.where(F.col(vector).isNotNull()).withColumn("cell", F.explode(nearest(vector)))
 
