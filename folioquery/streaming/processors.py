@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,111 +24,133 @@ def keep_variables(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+#: Nanoseconds that a millisecond has, and the number that stands for no time.
+MILLI, NEVER = 1_000_000, np.iinfo(np.int64).min
+#: Buckets that owners are dealt to where no event waits.
+BUCKETS = 512
+
+
 def millis(ts: pd.Timestamp) -> int:
-    return int(ts.value // 1_000_000)
+    return int(ts.value // MILLI)
 
 
 class Ordered(StatefulProcessor):
-    """fields: the columns of an event, ts and number first; subclasses turn events into rows of `columns` by `take`."""
+    """owner: the column of the key that events belong to; fields: the other columns of an event, ts and number first.
+
+    Subclasses turn an event into rows of `columns` by `take`, which is given what is known of its owner (None: nothing)
+    and gives it back. A call has the events of one owner, or of all owners of a bucket; what is known of them is read
+    and written once a call, as numbers or texts of `kept`. Times are whole nanoseconds; `times` names those in results.
+    """
 
+    owner: str
     fields: list[tuple[str, str]]
+    kept: str
     columns: list[str]
+    times: tuple[str, ...] = ()
 
-    def __init__(self, held: bool) -> None:
-        self.held = held
+    def __init__(self, held: bool, kind: str) -> None:
+        self.held, self.kind = held, kind
 
-    def variables(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
-
-    def take(self, event: dict) -> list[tuple]:
+    def take(self, known: tuple | None, event: tuple) -> tuple[tuple | None, list[tuple]]:
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.variables(handle)
+        self.known = handle.getListState("known", f"owner {self.kind}, {self.kept}")
         if self.held:
             # an event is kept under its time and number, so a repeated one is the same entry
             self.waiting = handle.getMapState("waiting", "at long, number string", ", ".join(f"{n} {kind}" for n, kind in self.fields))
 
-    def _made(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(key[0], *row) for row in rows], columns=self.columns)
+    def _follow(self, events: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The rows that events (owner, ts, number, ...) make in order of time; what is known of owners is kept."""
+        made: list[tuple] = []
+        if events:
+            before = {owner: tuple(rest) for owner, *rest in self.known.get()} if self.known.exists() else {}
+            known = dict(before)
+            for owner, *event in sorted(events, key=lambda e: e[1:3]):
+                known[owner], rows = self.take(known.get(owner), tuple(event))
+                made += [(owner, *row) for row in rows]
+            now = {owner: value for owner, value in known.items() if value is not None}
+            if now and now != before:
+                self.known.put([(owner, *value) for owner, value in now.items()])
+            elif before and not now:
+                self.known.clear()
+        told = dict(zip(self.columns, zip(*made))) if made else dict.fromkeys(self.columns, ())
+        as_times = lambda x: np.array([NEVER if v is None else v for v in x], np.int64).view("datetime64[ns]")
+        yield pd.DataFrame({c: as_times(x) if c in self.times else pd.Series(x, dtype=object) for c, x in told.items()})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        names = [n for n, _ in self.fields]
-        frame = pd.concat(list(rows))[names]
-        events = [dict(zip(names, row)) for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)]
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+        plain = lambda c: [None if v is None or v != v else v for v in frame[c].tolist()]
+        events = list(zip(plain(self.owner), *(frame[n].to_numpy("datetime64[ns]").astype(np.int64).tolist() if kind == "timestamp" else plain(n) for n, kind in self.fields)))
         if not self.held:
-            events.sort(key=lambda e: (e[names[0]], e[names[1]]))
-            yield from self._made(key, [row for e in events for row in self.take(e)])
+            yield from self._follow(events)
             return
-        for e in events:
-            self.waiting.updateValue((millis(pd.Timestamp(e[names[0]])), str(e[names[1]])), tuple(e.values()))
-        for at in {millis(pd.Timestamp(e[names[0]])) for e in events}:
+        for _, at, *rest in events:
+            self.waiting.updateValue((at // MILLI, str(rest[0])), (pd.Timestamp(at), *rest))
+        for at in {e[1] // MILLI for e in events}:
             self.handle.registerTimer(at + 1)
-        yield from self._made(key, [])
+        yield from self._follow([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        names, until, out = [n for n, _ in self.fields], expiredTimerInfo.getExpiryTimeInMs(), []
-        due = sorted(((place, dict(zip(names, value))) for place, value in self.waiting.iterator() if place[0] < until), key=lambda x: (x[1][names[0]], x[1][names[1]]))
-        for place, event in due:
-            out += self.take(event)
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        due = [(place, (key[0], pd.Timestamp(at).value, *rest)) for place, (at, *rest) in self.waiting.iterator() if place[0] < until]
+        for place, _ in due:
             self.waiting.removeKey(place)
-        yield from self._made(key, out)
+        yield from self._follow([event for _, event in due])
 
     def close(self) -> None:
         pass
 
 
 class Block(Ordered):
-    """A session's block: since when, until an event lifts it."""
+    """A session's block: since when, and its last event's time, until an event lifts it."""
 
+    owner, kept = "sid", "since long, last long"
     fields = [("ts", "timestamp"), ("event_id", "long"), ("flagged", "boolean"), ("control", "string")]
     columns = ["sid", "event_id", "ts", "blocked", "since"]
+    times = ("ts", "since")
 
-    def __init__(self, held: bool, ttl_ms: int | None) -> None:
-        super().__init__(held)
+    def __init__(self, held: bool, kind: str, ttl_ms: int | None) -> None:
+        super().__init__(held, kind)
         self.ttl_ms = ttl_ms
 
-    def variables(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("since", "since timestamp, last timestamp")
-
-    def take(self, event: dict) -> list[tuple]:
-        since, last = self.since.get() if self.since.exists() else (None, None)
-        ts = pd.Timestamp(event["ts"])
-        if self.ttl_ms and last is not None and millis(ts) - millis(pd.Timestamp(last)) > self.ttl_ms:
+    def take(self, known: tuple | None, event: tuple) -> tuple[tuple | None, list[tuple]]:
+        (since, last), (ts, number, flagged, control) = known or (None, None), event
+        if self.ttl_ms and last is not None and ts // MILLI - last // MILLI > self.ttl_ms:
             since = None
-        if event["control"] == "unblock":
+        if control == "unblock":
             since = None
-        elif event["flagged"] and since is None:
+        elif flagged and since is None:
             since = ts
-        self.since.update((since if since is None else pd.Timestamp(since).to_pydatetime(), ts.to_pydatetime()))
-        return [(event["event_id"], ts, since is not None, pd.NaT if since is None else pd.Timestamp(since))]
+        return None if since is None else (since, ts), [(number, ts, since is not None, since)]
 
 
 class Jobs(Ordered):
     """The job that runs for a key; others are refused until it is done. Ends come after starts of their time."""
 
+    owner, kept = "key", "job string"
     fields = [("ts", "timestamp"), ("rank", "string"), ("job_id", "string"), ("done", "boolean")]
     columns = ["key", "job_id", "accepted", "running"]
 
-    def variables(self, handle: StatefulProcessorHandle) -> None:
-        self.running = handle.getValueState("running", "job string")
+    def take(self, known: tuple | None, event: tuple) -> tuple[tuple | None, list[tuple]]:
+        _, _, job, done = event
+        if done:
+            return (None if known == (job,) else known), []
+        running = known or (job,)
+        return running, [(job, known is None, *running)]
 
-    def take(self, event: dict) -> list[tuple]:
-        running = self.running.get()[0] if self.running.exists() else None
-        job = event["job_id"]
-        if event["done"]:
-            if running == job:
-                self.running.clear()
-            return []
-        if running is None:
-            self.running.update((job,))
-        return [(job, running is None, running or job)]
 
+def ordered_stream(events: DataFrame, processor: Ordered, schema: str, delay: str | None) -> DataFrame:
+    """What the processor makes of the events of each owner; with delay, in order of time once no earlier one can come.
 
-def ordered_stream(events: DataFrame, key: str, processor: Ordered, schema: str, delay: str | None) -> DataFrame:
-    """What the processor makes of the events of each key; with delay, in order of time once no earlier one can come."""
+    Without delay owners are taken a bucket at a time, since a call to a processor costs far more than an event. With
+    delay each is a key of its own, since a timer looks through all that waits for its key.
+    """
     keep_variables(events.sparkSession)
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = timed.withWatermark("ts", delay) if delay else timed
-    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if delay else "None")
+    if delay:
+        return timed.withWatermark("ts", delay).groupBy(processor.owner).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64(processor.owner), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")

@@ -21,9 +21,9 @@ def sticky_block_stream(requests: DataFrame, ttl: str | None = None, delay: str
     lasts until it is lifted; only with ttl an event that comes so long after its session's last one finds it free.
     """
     kind = requests.schema["sid"].dataType.simpleString()
-    processor = Block(delay is not None, int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None)
+    processor = Block(delay is not None, kind, int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None)
     keyed = requests.select("sid", "event_id", "ts", "flagged", "control")
-    return ordered_stream(keyed, "sid", processor, f"sid {kind}, event_id long, ts timestamp, blocked boolean, since timestamp", delay)
+    return ordered_stream(keyed, processor, f"sid {kind}, event_id long, ts timestamp, blocked boolean, since timestamp", delay)
 
 
 def blocked_sessions(told: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def suppress_duplicate_jobs_stream(requests: DataFrame, delay: str | None = None
     # at one time ends come first, then starts by number
     rank = F.concat(F.when(F.col("done"), "0").otherwise("1"), F.col("job_id").cast("string"))
     keyed = requests.select(key.alias("key"), F.col("job_id").cast("string").alias("job_id"), "ts", "done", rank.alias("rank"))
-    return ordered_stream(keyed, "key", Jobs(delay is not None), "key string, job_id string, accepted boolean, running string", delay).drop("key")
+    return ordered_stream(keyed, Jobs(delay is not None, "string"), "key string, job_id string, accepted boolean, running string", delay).drop("key")
 
 
 def validate_stream(chunks: DataFrame, repair: bool = True, run: int = 3, ttl: str = "10 minutes") -> DataFrame:
