@@ -138,14 +138,20 @@ class Encoder:
 
     def ids_of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words with the space before them; NUL in its place: of the word alone."""
-        known, piece, out = self.known.get, self.piece, []
+        known, piece, tokenize, out = self.known.get, self.piece, self.model.tokenize, []
         for word in words:
-            if word.isalpha():
-                word = " " + word
-                out.append(known(word) or piece(word))
-            elif word[-1:] in STOPS and (stem := word[:-1]).isalpha():
-                stem, stop = " " + stem, word[-1]
-                out.append((known(stem) or piece(stem)) + (known(stop) or piece(stop)))
+            stem = word[:-1] if (stop := word[-1:]) in STOPS else word
+            if stem.isalpha():
+                ids = known(spaced := " " + stem)
+                if ids is None:
+                    if stem.isascii():
+                        ids = array("I", [t.id for t in tokenize("Ġ" + stem)]).tobytes()
+                        # a word without a stop is remembered by the table of words
+                        if stop in STOPS and len(self.known) < self.memory:
+                            self.known[spaced] = ids
+                    else:
+                        ids = piece(spaced)
+                out.append(ids if stem is word else ids + (known(stop) or piece(stop)))
             else:
                 cut = self.find(word[1:] if word[:1] == "\0" else f" {word}")
                 out.append(b"".join([known(x) or piece(x) for x in cut]))

@@ -22,7 +22,7 @@ from .token_shards import encoder
 #: Rows of a group within which ranks are counted.
 GROUP = 200_000
 #: Words that a worker remembers; fewer than the shards' writer, since packing may follow other stages in one session.
-MEMORY = 120_000
+MEMORY = 300_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
