@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole texts, from the tokenizers library, in Arrow batches.
 
 A text is cut at spaces, where the vocabulary's own pattern always cuts it; the library's model encodes
-every distinct word once per task and the ids of a text are gathered from that table. Texts with runs of
+every distinct word of a text, and words that come again are gathered from a table of a worker. Texts with runs of
 mixed white space are cut by the pattern itself. Texts that hold a special token, or a character whose
 class may differ between regular-expression engines, go to the library whole.
 """
@@ -18,8 +18,10 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 PLAIN = "\t\n\r -~¡-ɏΆ-ώЁ-џ‐-‧‰-⁞₠-₵ぁ-ゖァ-ヺ一-龥가-힣"
 #: Fixed value: marks that often end a word; such words are cut without the pattern.
 STOPS = (".", ",", ";", ":", "!", "?")
-#: Distinct words, and pieces of them, that a worker remembers.
+#: Distinct words that a worker remembers; of pieces of them a quarter.
 MEMORY = 500_000
+#: Places in which a word that came once leaves a mark, a byte each.
+SEEN = 1 << 22
 
 
 def byte_characters() -> dict[int, str]:
@@ -29,8 +31,9 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-#: White space next to white space: such texts are cut by the pattern.
+#: White space next to white space: such texts are cut by the pattern. SHORT: all that a text without tabs and returns can have.
 RUNS = [a + b for a in " \n\t\r" for b in " \n\t\r"]
+SHORT = [a + b for a in " \n" for b in " \n"]
 
 
 class Numbers(dict):
@@ -61,8 +64,8 @@ class WordTable:
 
     def learn(self) -> list[str]:
         words, self.index.fresh = self.index.fresh, []
-        ids = self.ids_of(words)
         first, last = len(self.index) - len(words), len(self.index)
+        ids = self.ids_of(words)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         while last > len(self.start):
@@ -102,6 +105,50 @@ class WordTable:
         return self.gather_all([words])[0]
 
 
+class SeenTable(WordTable):
+    """A table in which a word stays from the second text on that brings it, so that words that come once take no room."""
+
+    def __init__(self, ids_of, memory: int | None = None):
+        super().__init__(ids_of, memory)
+        self.seen, self.stays = bytearray(SEEN), 0
+
+    def gather(self, words: list[str]) -> np.ndarray:
+        used, at = self.used, self.number(words)
+        if not self.index.fresh:
+            return self.ids(at)
+        fresh = self.learn()
+        found, first = self.ids(at), len(self.index) - len(fresh)
+        for word in fresh:
+            del self.index[word]
+        self.used = used
+        if first < self.memory:
+            self.keep(fresh, first)
+        return found
+
+    def get(self, word: str) -> bytes | None:
+        """Ids of a word that stays."""
+        at = self.index.get(word, self.memory)
+        return self.flat[self.start[at] : self.start[at] + self.length[at]].tobytes() if at < self.stays else None
+
+    def keep(self, fresh: list[str], first: int) -> None:
+        """Of words that were learnt from number `first` on, take those up that were seen before, as far as there is room."""
+        slots, again = [hash(word) % SEEN for word in fresh], []
+        for k, slot in enumerate(slots):
+            if self.seen[slot]:
+                again.append(k)
+            self.seen[slot] = 1
+        again = again[: self.memory - first]
+        if again:
+            at = np.array(again) + first
+            flat, size, last = self.ids(at), self.length[at], first + len(again)
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.start[first:last] = self.used + np.cumsum(size) - size
+            self.length[first:last] = size
+            self.used += len(flat)
+            self.index.update(zip([fresh[k] for k in again], range(first, last)))
+            self.stays = last
+
+
 class Encoder:
     """encode(text) gives the ids that the library gives with add_special_tokens=False."""
 
@@ -118,8 +165,9 @@ class Encoder:
         self.odd = regex.compile(f"[^{PLAIN}]").search
         self.shown = byte_characters()
         self.known: dict[str, bytes] = {}
-        self.memory = memory or MEMORY
-        self.words, self.pieces = WordTable(self.ids_of_words, self.memory), WordTable(self.ids_of_pieces, self.memory)
+        memory = memory or MEMORY
+        self.memory = memory // 4
+        self.words, self.pieces = SeenTable(self.ids_of_words, memory), SeenTable(self.ids_of_pieces, memory)
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece that is new; the library's model takes it in the characters that stand for its bytes."""
@@ -138,19 +186,19 @@ class Encoder:
 
     def ids_of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words with the space before them; NUL in its place: of the word alone."""
-        known, piece, tokenize, out = self.known.get, self.piece, self.model.tokenize, []
+        known, stays, piece, tokenize, out = self.known.get, self.words.get, self.piece, self.model.tokenize, []
         for word in words:
             stem = word[:-1] if (stop := word[-1:]) in STOPS else word
             if stem.isalpha():
                 ids = known(spaced := " " + stem)
+                if ids is None and stop in STOPS:
+                    ids = stays(stem)
                 if ids is None:
-                    if stem.isascii():
-                        ids = array("I", [t.id for t in tokenize("Ġ" + stem)]).tobytes()
-                        # a word without a stop is remembered by the table of words
-                        if stop in STOPS and len(self.known) < self.memory:
-                            self.known[spaced] = ids
-                    else:
-                        ids = piece(spaced)
+                    shown = "Ġ" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.shown))
+                    ids = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                    # a word without a stop is remembered by the table of words
+                    if stop in STOPS and len(self.known) < self.memory:
+                        self.known[spaced] = ids
                 out.append(ids if stem is word else ids + (known(stop) or piece(stop)))
             else:
                 cut = self.find(word[1:] if word[:1] == "\0" else f" {word}")
@@ -162,7 +210,8 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if self.odd(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if text[0] == " " or text[-1] == " " or any(run in text for run in RUNS):
+        runs = RUNS if "\t" in text or "\r" in text else SHORT
+        if text[0] == " " or text[-1] == " " or any(run in text for run in runs):
             return self.pieces.gather(self.find(text))
         # a single line feed is a piece of its own, and the word after it has no space before it
         return self.words.gather(("\0" + text.replace("\n", " \0\n \0")).split(" "))

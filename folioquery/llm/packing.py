@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, written
+from .common import quoted, small_batches, trim, written
 from .token_shards import encoder
 
 #: Rows of a group within which ranks are counted.
 GROUP = 200_000
 #: Words that a worker remembers; fewer than the shards' writer, since packing may follow other stages in one session.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -41,6 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_colum
                         column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            trim()
 
     texts = small_batches(docs).select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import Encoder
-from .common import fresh_path, held, quoted, slots, small_batches, written
+from .common import fresh_path, held, quoted, slots, small_batches, trim, written
 
 MAGIC = b"FQSST01\n"
 FOOTER = struct.Struct("<QQQQQBB8s")
@@ -160,6 +160,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                 if full == blocks:
                     yield from map(row, writer.close())
                     writer, full = ShardWriter(width, block), 0
+            trim()
         if writer.keys:
             yield from map(row, writer.close())
 
