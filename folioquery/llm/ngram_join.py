@@ -12,8 +12,9 @@ are one node. Then:
 3. Star. Of each such n-gram's sets the smallest is its hub; every other one is held against the hub, in
    a prefix tree of the members that the hub's set walks down. Links give first components.
 4. Rest. Sets that n-grams with several components tie together are a family, joined in blocks: a prefix tree
-   of one block, walked by the sets of another, skipping branches of the walker's own component and branches
-   that the remaining lengths rule out. A family beyond FAMILY is joined by n-gram instead, in blocks as well.
+   of one block, walked by all sets of another at once, skipping branches of the walkers' own components and
+   branches that the remaining lengths rule out. A family beyond FAMILY is joined in blocks too, as a whole or
+   n-gram by n-gram, whichever compares fewer pairs.
 
 A large group of near copies is so joined through its hub, not in pairs. Rows that share an n-gram are never
 gathered beyond BLOCK; larger ones take more blocks, none is dropped.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, likely, quoted, release, slots, small_batches, written
@@ -33,13 +34,15 @@ from .rolling import BASE, mix
 
 WORDS = 5
 #: Sets in one block of the last step; hashes in one part of the first; text characters hashed at a time.
-BLOCK, PART, TOGETHER = 512, 1 << 21, 8 << 20
+BLOCK, PART, TOGETHER = 2048, 1 << 21, 8 << 20
+#: Keys in one block, as long as that leaves it a quarter of its sets; bytes of the table of a block's walkers; sets in one tree of the star step.
+KEYS, TABLE, STAR = 1 << 20, 32 << 20, 512
 #: Hubs that a set is held against, so that what the star step moves stays in proportion to the sets.
 HUBS = 8
 #: Sets of a family that are joined as one group, in blocks; turns in which a larger one is held against other hubs first.
 FAMILY, TURNS = 16 * BLOCK, 12
-#: The threshold of 75 of 100: 7 * overlap >= 3 * (a + b) for sets of a and b.
-EDGE = 32
+#: The threshold of 75 of 100: 7 * overlap >= 3 * (a + b) for sets of a and b. Keys of an edge that are looked up together, by one walker and by many.
+EDGE, EDGES = 32, 255
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -289,6 +292,102 @@ def numbers(keys: bytes) -> np.ndarray:
     return np.frombuffer(keys, ">u8").astype(np.uint64)
 
 
+class Branches:
+    """The prefix tree of a block's ordered sets as arrays, built from what neighbours share; no set is a branch of its own depth.
+
+    A branch holds the keys start to end of the set `of`; below it are sets of least to most keys, of one component or of several (-1).
+    """
+
+    def __init__(self, sets: list[tuple[bytes, int, int]]):
+        """sets: (keys, index, component), ascending by keys."""
+        self.keys = [numbers(k) for k, _, _ in sets]
+        self.start, self.end, self.of, self.below, self.members = [0], [0], [0], [[]], [[]]
+        self.least, self.most, self.component = [1 << 62], [0], [None]
+        path, before = [0], b""
+        for k, (keys, index, component) in enumerate(sets):
+            shared, last = common_prefix(before, keys) // 8, None
+            while self.end[path[-1]] > shared:
+                last = self.closed(last, path.pop())
+            if self.end[path[-1]] < shared:
+                path.append(self.added(shared, k - 1))
+            self.closed(last, path[-1])
+            if len(keys) // 8 > self.end[path[-1]]:
+                path.append(self.added(len(keys) // 8, k))
+            self.members[path[-1]].append((index, component))
+            self.seen(path[-1], len(keys) // 8, len(keys) // 8, component)
+            before = keys
+        last = None
+        while path:
+            last = self.closed(last, path.pop())
+
+    def added(self, end: int, of: int) -> int:
+        for column, value in ((self.start, 0), (self.end, end), (self.of, of), (self.below, []), (self.members, []), (self.least, 1 << 62), (self.most, 0), (self.component, None)):
+            column.append(value)
+        return len(self.end) - 1
+
+    def seen(self, branch: int, least: int, most: int, component: int) -> None:
+        self.least[branch], self.most[branch] = min(self.least[branch], least), max(self.most[branch], most)
+        self.component[branch] = component if self.component[branch] in (None, component) else -1
+
+    def closed(self, branch: int | None, above: int) -> int:
+        """Hang a finished branch under the one above it, which is returned."""
+        if branch is not None:
+            self.start[branch] = self.end[above]
+            self.below[above].append(branch)
+            self.seen(above, self.least[branch], self.most[branch], self.component[branch])
+        return above
+
+    def walk(self, walkers: list[np.ndarray], components: np.ndarray, root: np.ndarray):
+        """Yields (index, component, numbers of the walkers that are linked to that set), but for walkers of its own component.
+
+        components: the walkers'; root: what components are one by now, which may change between steps.
+        """
+        flat = np.concatenate(walkers)
+        row = np.repeat(np.arange(len(walkers)), [len(w) for w in walkers])
+        own = np.unique(np.concatenate(self.keys))
+        both = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common, at = np.unique(flat[both], return_inverse=True)
+        if len(common) * len(walkers) > TABLE and len(walkers) > 1:
+            half = len(walkers) // 2
+            yield from self.walk(walkers[:half], components[:half], root)
+            for index, component, found in self.walk(walkers[half:], components[half:], root):
+                yield index, component, found + half
+            return
+        if not len(common):
+            return
+        table = np.zeros((len(common), len(walkers)), np.uint8)
+        table[at, row[both]] = 1
+        # of every 64th key, how many of the common ones each walker has from there on
+        ahead = np.add.reduceat(table, np.arange(0, len(common), 64), axis=0, dtype=np.int32)[::-1].cumsum(axis=0)[::-1]
+        ahead = np.concatenate([ahead, np.zeros((1, len(walkers)), ahead.dtype)])
+        n = np.array([len(w) for w in walkers])
+        todo = [(0, np.zeros(len(walkers), np.int64), np.ones(len(walkers), bool))]
+        while todo:
+            branch, overlap, alive = todo.pop()
+            if self.component[branch] != -1:
+                alive = alive & (root[components] != root[self.component[branch]])
+            edge, seen = self.keys[self.of[branch]][self.start[branch] : self.end[branch]], self.start[branch]
+            for k in range(0, max(1, len(edge)), EDGES):
+                part = edge[k : k + EDGES]
+                seen += len(part)
+                place = np.searchsorted(common, part)
+                known = place[common[np.minimum(place, len(common) - 1)] == part]
+                if len(known):
+                    overlap = overlap + np.add.reduce(table[known], axis=0, dtype=np.uint8)
+                left = ahead[place[-1] // 64 if len(place) else 0]
+                # the best size below: as many keys to come as the walker has left
+                size = np.clip(seen + left, self.least[branch], self.most[branch])
+                alive = alive & (7 * (overlap + np.minimum(size - seen, left)) >= 3 * (n + size))
+                if not alive.any():
+                    break
+            else:
+                for index, component in self.members[branch]:
+                    found = np.flatnonzero(alive & (7 * overlap >= 3 * (n + self.end[branch])) & (root[components] != root[component]))
+                    if len(found):
+                        yield index, component, found
+                todo += [(b, overlap, alive) for b in self.below[branch]]
+
+
 def star_links(pairs: DataFrame) -> DataFrame:
     """a, b of the pairs (hub, hub_keys, node, keys) that are linked; rows of a hub come together."""
 
@@ -298,7 +397,7 @@ def star_links(pairs: DataFrame) -> DataFrame:
             nodes, keys = batch.column("node").to_pylist(), batch.column("keys").to_pylist()
             out, start = [], 0
             for k in range(1, len(hubs) + 1):
-                if k == len(hubs) or hubs[k] != hubs[start] or k - start == BLOCK:
+                if k == len(hubs) or hubs[k] != hubs[start] or k - start == STAR:
                     tree = Tree(sorted((keys[i], i, None) for i in range(start, k)))
                     walker = numbers(batch.column("hub_keys")[start].as_py())
                     out += [(hubs[start], nodes[i]) for i, _ in tree.walk(walker, None)]
@@ -312,25 +411,19 @@ def block_links(rows: DataFrame) -> DataFrame:
     """a, b: a link of every two components that one has, within the groups (key, i, j) of rows node, component, keys, side."""
 
     def join(group):
-        linked, root = [], {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        left = sorted((keys, k, c) for k, (node, c, keys, side) in enumerate(group) if side != 1)
+        left = [k for k, x in enumerate(group) if x[3] != 1]
         right = [k for k, x in enumerate(group) if x[3] != 0]
         if not left or not right:
             return []
-        tree = Tree(left)
-        for k in right:
-            node, c, keys, _ = group[k]
-            for i, other in tree.walk(numbers(keys), c):
-                if find(other) != find(c):
-                    root[find(other)] = find(c)
-                    linked.append((node, group[i][0]))
+        nodes, linked = [x[0] for x in group], []
+        names, own = np.unique([x[1] for x in group], return_inverse=True)
+        root = np.arange(len(names))
+        tree = Branches(sorted((group[k][2], k, int(own[k])) for k in left))
+        for i, c, found in tree.walk([numbers(group[k][2]) for k in right], own[right], root):
+            found = np.array(right)[found]
+            while len(found := found[root[own[found]] != root[c]]):
+                linked.append((nodes[found[0]], nodes[i]))
+                root[root == root[own[found[0]]]] = root[c]
         return linked
 
     def run(batches):
@@ -351,6 +444,11 @@ def block_links(rows: DataFrame) -> DataFrame:
     return spread.select("key", "i", "j", "node", "component", "keys", "side").mapInArrow(run, "a long, b long")
 
 
+def heft() -> Column:
+    """As how many sets the rows (n) of a group count: those with many keys count for more, for four at most."""
+    return F.greatest(F.count("*"), F.least(4 * F.count("*"), F.ceil(F.sum("n") * BLOCK / KEYS))).alias("rows")
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
     """rows (key, node, component, rows) for every pair of blocks i <= j of their group; side 0: of i, 1: of j, 2: of both."""
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
@@ -407,7 +505,7 @@ def links_of(sets: DataFrame) -> DataFrame:
         # sets that n-grams tie together, linked or not, travel once, as a family; only of overlarge families each n-gram's sets do
         family = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")), name="family")
         family = written(open_.select("node", "component").distinct().join(family.toDF("node", "key"), "node"), "families")
-        sizes = written(family.groupBy("key").agg(F.count("*").alias("rows")), "sizes")
+        sizes = written(family.join(sets.select("node", "n"), "node").groupBy("key").agg(heft()), "sizes")
         overlarge = sizes.where(F.col("rows") > FAMILY)
         if turn == TURNS or not overlarge.limit(1).count():
             break
@@ -417,13 +515,21 @@ def links_of(sets: DataFrame) -> DataFrame:
             break
         links = written(links.union(more), "links")
         first = written(components(links), "first")
-    small = family.join(sizes.where(F.col("rows") <= FAMILY), "key")
-    found = block_links(in_blocks(small).join(whole, "node"))
+    small, large = sizes.where(F.col("rows") <= FAMILY), None
     if overlarge.limit(1).count():
-        large = open_.drop("hub").join(family.join(overlarge, "key").select("node"), "node", "left_semi")
-        groups = large.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-        groups = written(groups.groupBy("rows", "x", "y").agg(F.min("key").alias("key")), "groups")
-        found = found.union(block_links(in_blocks(large.join(groups.select("key", "rows"), "key")).join(whole, "node")))
+        beyond = family.join(overlarge.select("key"), "key").select("node", F.col("key").alias("family"))
+        large = written(open_.drop("hub").join(beyond, "node").join(sets.select("node", "n"), "node"), "large")
+        groups = large.groupBy("family", "key").agg(heft(), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        groups = written(groups.groupBy("family", "rows", "x", "y").agg(F.min("key").alias("key")), "groups")
+        # near copies share most of their n-grams, so that these would pair them again and again; sets tied by few are not paired at all
+        pairs = groups.groupBy(F.col("family").alias("key")).agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("pairs"))
+        whole_too = written(overlarge.join(pairs, "key").where(F.col("rows").cast("double") * F.col("rows") <= F.col("pairs")).select("key", "rows"), "whole_too")
+        small = small.union(whole_too)
+        apart = groups.join(whole_too.select(F.col("key").alias("family")), "family", "left_anti").select("key", "rows")
+        large = large.select("key", "node", "component").join(apart, "key")
+    found = block_links(in_blocks(family.join(small, "key")).join(whole, "node"))
+    if large is not None:
+        found = found.union(block_links(in_blocks(large).join(whole, "node")))
     more = written(found, "blocks")
     return written(components(links.union(more)), "classes")
 
